@@ -171,6 +171,31 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return Model(samples, sample_chars)
 
 
+def _in_parts(model: Model, texts: list[str | None], most: int = 2_000_000) -> list[tuple[str, float]]:
+    """classify() over parts of about ``most`` code points, which bounds the parse's memory."""
+    told, part, size = [], [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size > most:
+            told += classify(model, part)
+            part, size = [], 0
+    return told + classify(model, part)
+
+
+def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents with a language, which becomes their ``lang``; 'und' ones go. All columns stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = pa.array([x for x, _ in _in_parts(sent.value, batch.column("text").to_pylist())], pa.string())
+            named = batch.set_column(batch.schema.get_field_index("lang"), "lang", told)
+            yield named.filter(pa.array([x.as_py() != "und" for x in told], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
@@ -183,15 +208,7 @@ def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            told, part, size = [], [], 0
-            for text in texts:
-                part.append(text)
-                size += len(text or "")
-                if size > 2_000_000:
-                    told += classify(sent.value, part)
-                    part, size = [], 0
-            told += classify(sent.value, part)
+            told = _in_parts(sent.value, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licenses, packing, pii, quality, secrets, warc
+from . import chat, decontamination, language, licenses, neardup, packing, pii, quality, secrets, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotations(spark, _table(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.query_pii(_table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_licenses, op4_quality, op6_pii, op7_secrets, op8_warc, op9_language)
+    f.__name__: f for f in (op1_packing, op2_licenses, op3_chat, op4_quality, op5_decontamination, op6_pii, op7_secrets, op8_warc, op9_language, op10_neardup)
 }
 
 ORACLES: dict[str, str] = {
