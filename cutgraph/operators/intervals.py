@@ -51,7 +51,7 @@ def gaps(df: DataFrame, keys: list[str], duration: int, least: int) -> DataFrame
 def merge(df: DataFrame, keys: list[str], gap: int, aggs: list[Column] | None = None, tie: str = "id", strict: bool = False) -> DataFrame:
     """Islands of intervals that overlap or lie at most ``gap`` apart (less than, if ``strict``).
 
-    Rows go by (start_us, end_us, tie); ``aggs`` are further aggregates of an island's rows.
+    Rows go by (start_us, end_us, tie), which must be distinct within ``keys``; ``aggs`` are further aggregates of an island's rows.
     """
     order = ["start_us", "end_us", tie]
     seen = running_max(df, keys, order, "end_us", "_seen")
