@@ -7,7 +7,7 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,19 +103,21 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
         yield head, b"".join(block)
 
 
-def _archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    open_archive, size = [], 0
-    for pdf in batches:
-        for page, url, html, digest, refers in zip(pdf.page_id, pdf.url, pdf.html, pdf.digest, pdf.refers_to, strict=True):
-            page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
-            record = warc_record(page, url if isinstance(url, str) else None, html or b"", digest, refers)
-            open_archive.append(record)
-            size += len(record)
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def closed(records: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(records)], pa.binary())], ["content"])
+
+    records, size = [], 0
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            page, url, html, digest, refers = (x.as_py() for x in row)
+            records.append(warc_record(page, url, html, digest, refers))
+            size += len(records[-1])
             if size >= ARCHIVE_BYTES:
-                yield pd.DataFrame({"content": [b"".join(open_archive)]})
-                open_archive, size = [], 0
-    if open_archive:
-        yield pd.DataFrame({"content": [b"".join(open_archive)]})
+                yield closed(records)
+                records, size = [], 0
+    if records:
+        yield closed(records)
 
 
 def write_warc(pages: DataFrame) -> DataFrame:
@@ -130,25 +132,33 @@ def write_warc(pages: DataFrame) -> DataFrame:
     first = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
     known = rows.join(first.select(F.col("digest").alias("_d"), "refers_to"), F.col("digest") == F.col("_d"), "left")
     own = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")), None).otherwise(F.col("refers_to"))
-    return known.select("page_id", "url", "html", "digest", own.alias("refers_to")).mapInPandas(_archives, "content binary")
+    return known.select("page_id", "url", "html", "digest", own.alias("refers_to")).mapInArrow(_archives, "content binary")
+
+
+_FIELDS = (("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary()))
+
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for content in pdf.content:
-            rows = []
-            for head, block in read_records(content[i : i + CHUNK] for i in range(0, len(content), CHUNK)):
+    for batch in batches:
+        for cell in batch.column(0):
+            content, rows = cell.as_buffer(), []
+            for head, block in read_records(memoryview(content)[i : i + CHUNK] for i in range(0, content.size, CHUNK)):
                 page, refers = (head.get(k, "")[len("<urn:page:") : -1] for k in ("warc-record-id", "warc-refers-to"))
                 url = base64.b64decode(head["x-target-base64"]).decode() if "x-target-base64" in head else head.get("warc-target-uri")
                 rows.append((int(page) if page else None, url, head["warc-type"], int(head.get("x-payload-length", len(block))), head.get("warc-payload-digest", "").removeprefix("sha256:"), int(refers) if refers else None, block))
-            for i in range(0, len(rows), 500):
-                part = pd.DataFrame(rows[i : i + 500], columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "block"])
-                yield part.astype({"page_id": "Int64", "refers_to": "Int64"})
+                if len(rows) == 256:
+                    yield told(rows)
+                    rows = []
+            if rows:
+                yield told(rows)
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """A row per record of archives with a ``content`` column, such as write_warc or the binaryFile source give."""
-    return archives.select("content").mapInPandas(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary")
+    return archives.select("content").mapInArrow(_read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary")
 
 
 def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
