@@ -39,8 +39,11 @@ _HAS_SPELLED = re.compile(rf"\b{_ONE}[ \t,-]+(?:{_ONE}|[0-9])", re.I)
 _DIGIT_OR_SEPARATOR = re.compile(rf"({_ONE})|([0-9])|[ \t,-]+", re.I)
 # "plus" before figures or spelled digits
 _PLUS = re.compile(rf"\bplus[ \t]+(?=[0-9]|{_ONE}\b)", re.I)
-_AT = re.compile(r"[ \t]*(?:\[at\]|\(at\)|\{at\}|<at>|\[@\]|\(@\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|[ \t]*[\[({<]dot[\])}>])[ \t]*[A-Za-z])", re.I)
-_DOT = re.compile(r"[ \t]*(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\[\.\]|\(\.\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
+# Words without brackets are signs only before one of these. Fixed values.
+_TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|ai|de|fr|es|it|nl|uk|eu|us|ca|ch|at)"
+_TO_TOP = rf"(?:[A-Za-z0-9-]+[ \t]+dot[ \t]+)*+{_TOP}\b"
+_AT = re.compile(rf"[ \t]*(?:\[at\]|\(at\)|\{{at\}}|<at>|\[@\]|\(@\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+{_TO_TOP}|[ \t]*[\[({{<]dot[\])}}>]))", re.I)
+_DOT = re.compile(rf"[ \t]*(?:\[dot\]|\(dot\)|\{{dot\}}|<dot>|\[\.\]|\(\.\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?={_TO_TOP})", re.I)
 _HAS_SIGN = re.compile(r"[\[({<](?:at|dot|@|\.)[\])}>]|[ \t]dot[ \t]", re.I)
 
 
@@ -127,14 +130,14 @@ def plain_form(text: str) -> Plain | None:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers that touch no base span, in source characters."""
+    """Spans of disguised identifiers that no base span of their kind holds, in source characters."""
     p = plain_form(text)
     if p is None or p.text == text:
         return []
     out = []
     for kind, a, b in find_spans(p.text):
         start, end = p.starts[a], p.ends[b - 1]
-        if not any(s < end and start < e for k, s, e in base if k == kind) and text[start:end] != p.text[a:b]:
+        if not any(s <= start and end <= e for k, s, e in base if k == kind) and text[start:end] != p.text[a:b]:
             out.append((kind, start, end))
     return out
 
