@@ -77,16 +77,17 @@ class Model:
         size = 0
         for language in self.languages:
             moves = suffix_automaton(self.encode(texts[language]).tolist())
-            table = np.full((len(moves), self.width), -1, np.int32)
+            # one more state, before a phrase: every symbol begins one, and those that no phrase holds lead back to it
+            outside = len(moves)
+            table = np.full((len(moves) + 1, self.width), -1, np.int32)
             for state, to in enumerate(moves):
                 for c, target in to.items():
                     table[state, c] = target
-            first = np.where(table[0] >= 0, table[0], 0) | _BREAK
+            first = np.where(table[0] >= 0, table[0], outside) | _BREAK
             table = np.where(table >= 0, table, first[None, :])
-            table[:, 0] = 0  # after the end: the start, no phrase
             tables.append(table + np.int32(size))
-            self.starts.append(size)
-            size += len(moves)
+            self.starts.append(size + outside)
+            size += len(moves) + 1
         # states as offsets into the flat table
         flat = np.concatenate(tables) if tables else np.zeros((1, self.width), np.int32)
         mark = flat & _BREAK
@@ -121,7 +122,7 @@ class Model:
         alive = np.searchsorted(-lengths, -np.arange(len(grid)), "left")  # lanes longer than each step
         for k, start in enumerate(self.starts):
             state = np.full(len(lanes), start * self.width, np.int32)
-            count = np.ones(len(lanes), np.int64)
+            count = np.zeros(len(lanes), np.int64)
             for step, n in enumerate(alive):
                 to = self.table[state[:n] + grid[step, :n]]
                 count[:n] += to >> 30
