@@ -186,11 +186,11 @@ def _in_parts(model: Model, texts: list[str | None], most: int = 2_000_000) -> l
 
 def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with a language, which becomes their ``lang``; 'und' ones go. All columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
+    model = model or learn(docs)  # goes with the tasks; bounded by MOST_LANGUAGES * SAMPLE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = pa.array([x for x, _ in _in_parts(sent.value, batch.column("text").to_pylist())], pa.string())
+            told = pa.array([x for x, _ in _in_parts(model, batch.column("text").to_pylist())], pa.string())
             named = batch.set_column(batch.schema.get_field_index("lang"), "lang", told)
             yield named.filter(pa.array([x.as_py() != "und" for x in told], pa.bool_()))
 
@@ -204,12 +204,11 @@ def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     letterless text is 'und' with score 0, ties go to the first language by name; repeated rows each give a
     row; other columns are not read.
     """
-    model = model or learn(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES * SAMPLE_CHARS
+    model = model or learn(docs)  # goes with the tasks; bounded by MOST_LANGUAGES * SAMPLE_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = _in_parts(sent.value, batch.column(2).to_pylist())
+            told = _in_parts(model, batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
