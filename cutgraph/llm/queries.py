@@ -50,7 +50,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(spark, _table(spark, sf_dir, "documents")).drop("set_digest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -66,4 +66,29 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> o THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> o THEN o END AS refers_to
         FROM f""",
+    "op3_chat": r"""
+        WITH RECURSIVE known AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+             line AS (SELECT conv_id, turn, unnest(ls) AS t FROM known),
+             part AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(t, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, lower(trim(regexp_replace(regexp_replace(t, '^(?:[ \t]*>)+', ''), '\s+', ' ', 'g'))) AS p FROM line),
+             quoted AS (SELECT conv_id, turn, p, min(level) AS level FROM part WHERE level > 0 AND p <> '' GROUP BY ALL),
+             own AS (SELECT DISTINCT conv_id, turn, p FROM part WHERE level = 0 AND p <> ''),
+             source AS (SELECT q.conv_id, q.turn, q.p, q.level, max(o.turn) AS source FROM quoted q JOIN own o ON o.conv_id = q.conv_id AND o.p = q.p AND o.turn < q.turn GROUP BY ALL),
+             vote AS (SELECT conv_id, turn, source, level = 1 AS direct, sum(length(p)) AS chars FROM source GROUP BY ALL),
+             link AS (SELECT conv_id, turn, source AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY direct DESC, chars DESC, source DESC) AS r FROM vote) WHERE r = 1),
+             chain AS (SELECT conv_id, turn, reply_to AS up, 1 AS depth FROM link UNION ALL SELECT c.conv_id, c.turn, l.reply_to, c.depth + 1 FROM chain c JOIN link l ON l.conv_id = c.conv_id AND l.turn = c.up),
+             top AS (SELECT conv_id, turn, min(up) AS thread, max(depth) AS depth FROM chain GROUP BY ALL)
+        SELECT m.conv_id, m.turn, m.role, l.reply_to, coalesce(t.thread, m.turn) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth,
+               CASE WHEN regexp_matches(m.text, '(?m)^[ \t]*>') THEN regexp_replace(array_to_string(list_filter(m.ls, lambda x, i: NOT regexp_matches(x, '^[ \t]*>') AND NOT (
+                   regexp_matches(trim(x), '(?i)^(on\b.*\bwrote|le\b.*\ba écrit|am\b.*\bschrieb.*|el\b.*\bescribió)\s*:$') AND coalesce(regexp_matches(m.ls[i + 1], '^[ \t]*>'), false))), chr(10)), '^\s+|\s+$', '', 'g') ELSE m.text END AS text
+        FROM (SELECT *, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations) m
+        LEFT JOIN link l ON l.conv_id = m.conv_id AND l.turn = m.turn LEFT JOIN top t ON t.conv_id = m.conv_id AND t.turn = m.turn""",
+    "op10_neardup": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM words),
+             sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+             shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+             near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+             reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, n.b FROM reach r JOIN near n ON n.a = r.other)
+        SELECT node AS doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(other) AS component_id, node = min(other) AS kept FROM reach LEFT JOIN sizes s ON s.doc_id = node GROUP BY node""",
 }

@@ -1,4 +1,7 @@
+import duckdb
+
 from cutgraph.llm.chat import link_quotations
+from cutgraph.llm.queries import ORACLES
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string"
 
@@ -41,3 +44,25 @@ def test_edges(spark):
     got = linked(spark, rows)
     assert len(got) == 8
     assert (1, 3, "", 2, 2, 1) in got and (None, 0, "", None, 0, 0) in got and (1, 0, None, None, 0, 0) in got
+
+
+def test_against_the_oracle(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for conv in range(20):
+        said: list[str] = []
+        for turn in range(12):
+            lines = [f"{'> ' * r.randint(1, 3)}{r.choice(said)}" for _ in range(r.randint(0, 3)) if said]
+            lines = (["On Monday A wrote:"] if lines and r.random() < 0.4 else []) + lines
+            own = [f"line {r.randint(0, 9)}" for _ in range(r.randint(0, 3))]
+            said += own
+            rows.append((conv, turn, "user", "\n".join(lines + own)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    told = con.execute(f"SELECT conv_id, turn, text, reply_to, thread, depth FROM ({ORACLES['op3_chat']})").fetchall()
+    got = linked(spark, rows)
+    assert sorted(told) == sorted(got)
+    assert sum(r[3] is not None for r in got) > 50

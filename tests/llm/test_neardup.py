@@ -5,7 +5,7 @@ import pytest
 
 from cutgraph.llm import neardup
 
-SCHEMA = "doc_id long, text string, n_links string"
+SCHEMA = "doc_id long, text string, n_shingles string"
 
 
 def brute(rows, width):
