@@ -1,11 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Each text gets counts over all of its words. Labelled documents then set, per stratum and
-rule, the strictest cutoff whose share of wrongly rejected good documents is proven small:
-an exact binomial (Clopper-Pearson) upper bound must lie under the rule's part of the risk.
-Cutoffs of one rule are tested from the laxest on and the first failure ends the test
-(fixed sequence, no correction needed within a rule); strata and rules share the error
-probability (Bonferroni).
+Each text gets counts over all of its words. Labelled documents that pass the base rules then set, per stratum
+and rule, a cutoff whose share of wrongly rejected good documents is proven small: an exact binomial
+(Clopper-Pearson) upper bound must lie under the rule's part of the risk. Cutoffs of one rule are tested
+from the laxest on and the first failure ends the test (fixed sequence, no correction needed within a rule); strata
+and rules share the error probability (Bonferroni). Of the proven cutoffs that one is taken that is worth most:
+labelled bad documents rejected, less GOOD_WEIGHT times good ones; none, if none is worth anything.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RULES = (
     ("short_words", "word_chars", "n_words", False),
 )
 STRATA = ("en", "fr", "de", "es")
+#: Bad documents that a good one is worth when cutoffs are compared.
+GOOD_WEIGHT = 10
 #: Cutoffs tried per rule: steps of the scale below, laxest first.
 STEPS = 40
 
@@ -101,19 +103,22 @@ def upper_bound(failures: int, n: int, delta: float) -> float:
     return high
 
 
-def choose_cutoffs(good: dict[tuple[str, str], list[int]], total: dict[str, int], risk: float, delta: float) -> dict[tuple[str, str], int]:
-    """Step of the chosen cutoff per (stratum, rule); absent where none is proven.
+def choose_cutoffs(good: dict[tuple[str, str], list[int]], bad: dict[tuple[str, str], list[int]], total: dict[str, int], risk: float, delta: float) -> dict[tuple[str, str], int]:
+    """Number of the chosen cutoff per (stratum, rule); absent where none is proven and worth anything.
 
-    ``good[s, r][i]``: labelled good documents of the stratum that cutoff i of the rule would reject.
+    ``good[s, r][i]`` and ``bad[s, r][i]``: labelled documents of the stratum that cutoff i of the rule would
+    reject; ``total[s]``: good ones of the stratum. Of cutoffs worth the same the laxest is taken.
     """
     part = delta / (len(RULES) * max(1, len(total)))
     chosen = {}
-    for (stratum, rule), lost in good.items():
-        n = total.get(stratum, 0)
-        for step, k in enumerate(lost):
+    for key, lost in good.items():
+        n, best = total.get(key[0], 0), 0
+        for i, k in enumerate(lost):
             if k > n * risk / len(RULES) or upper_bound(k, n, part) > risk / len(RULES):
                 break
-            chosen[stratum, rule] = step
+            worth = bad[key][i] - GOOD_WEIGHT * k
+            if worth > best:
+                best, chosen[key] = worth, i
     return chosen
 
 
@@ -129,33 +134,34 @@ def _step(num: str, den: str, high: bool) -> Column:
     return F.least(F.lit(STEPS), F.floor(F.lit(STEPS) * a / b))
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, strata: tuple[str, ...] = STRATA) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, strata: tuple[str, ...] = STRATA) -> DataFrame:
     """Counts and verdict of every document.
 
     Null text counts as empty; null or unlisted lang is stratum 'other'; labels of unknown documents,
     with null doc_id or null quality are ignored; a repeated label counts once, good winning. Without
     labels no rule rejects beyond the base. Repeated rows each give a row. Other columns are not read.
 
-    The table that reaches the driver has a row for each of (len(strata) + 1) x rules x STEPS at most.
+    The table that reaches the driver has 2 x (len(strata) + 1) x rules x (STEPS + 1) rows at most.
     """
     counts = Scratch(spark, "quality").save(document_counts(docs, strata))
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1")
-    held = counts.join(good.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good"))
+    held = counts.filter(~base).join(known, F.col("doc_id") == F.col("_id"))
     steps = F.array(*(F.struct(F.lit(name).alias("rule"), _step(n, d, high).cast("long").alias("step")) for name, n, d, high in RULES))
-    table = held.select("stratum", F.explode(steps).alias("s")).groupBy("stratum", "s.rule", "s.step").count().collect()
+    table = held.select("stratum", "good", F.explode(steps).alias("s")).groupBy("stratum", "good", "s.rule", "s.step").count().collect()
     total: dict[str, int] = {}
-    lost: dict[tuple[str, str], list[int]] = {}
-    for stratum, rule, step, n in table:
-        total[stratum] = total.get(stratum, 0) + (n if rule == RULES[0][0] else 0)
+    rejected: dict[bool, dict[tuple[str, str], list[int]]] = {True: {}, False: {}}
+    for stratum, good, rule, step, n in table:
+        total[stratum] = total.get(stratum, 0) + (n if good and rule == RULES[0][0] else 0)
+        for kind in (True, False):
+            rejected[kind].setdefault((stratum, rule), [0] * STEPS)
         # cutoff i rejects rows whose step is at least STEPS - i
-        cells = lost.setdefault((stratum, rule), [0] * STEPS)
         for i in range(max(0, STEPS - step), STEPS):
-            cells[i] += n
-    chosen = choose_cutoffs(lost, total, risk, delta)
+            rejected[good][stratum, rule][i] += n
+    chosen = choose_cutoffs(rejected[True], rejected[False], total, risk, delta)
     bad = F.lit(False)
     for name, num, den, high in RULES:
         for stratum in (*strata, "other"):
             if (i := chosen.get((stratum, name))) is not None:
                 bad |= (F.col("stratum") == stratum) & (_step(num, den, high) >= STEPS - i)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & ~bad).alias("kept"))

@@ -43,9 +43,24 @@ def test_bound_is_exact():
 
 
 def test_cutoffs_stop_at_the_first_failure():
-    lost = [0] * 10 + [500] + [0] * (STEPS - 11)
-    assert choose_cutoffs({("en", "symbols"): lost}, {"en": 10_000}, 0.01, 0.05) == {("en", "symbols"): 9}
-    assert choose_cutoffs({("en", "symbols"): [0] * STEPS}, {"en": 20}, 0.01, 0.05) == {}
+    key = ("en", "symbols")
+    lost, rising = [0] * 10 + [500] + [0] * (STEPS - 11), list(range(STEPS))
+    assert choose_cutoffs({key: lost}, {key: rising}, {"en": 10_000}, 0.01, 0.05) == {key: 9}
+    assert choose_cutoffs({key: [0] * STEPS}, {key: [5] * STEPS}, {"en": 10_000}, 0.01, 0.05) == {key: 0}
+    assert choose_cutoffs({key: [0] * STEPS}, {key: [0] * STEPS}, {"en": 10_000}, 0.01, 0.05) == {}
+    assert choose_cutoffs({key: [0] * STEPS}, {key: rising}, {"en": 20}, 0.01, 0.05) == {}
+    assert choose_cutoffs({key: [0, 0, 1, 1] + [1] * (STEPS - 4)}, {key: [0, 4, 13, 14] + [15] * (STEPS - 4)}, {"en": 100_000}, 0.01, 0.05) == {key: 4}
+
+
+def test_false_rejection_is_limited():
+    """Whatever the labels, a fresh sample of the same kind loses no more than the risk."""
+    for seed in range(20):
+        r = random.Random(seed)
+        draw = lambda n: Counter(min(STEPS, int(r.expovariate(0.5))) for _ in range(n))
+        cells = lambda c: [sum(v for s, v in c.items() if s >= STEPS - i) for i in range(STEPS)]
+        key = ("en", "symbols")
+        chosen = choose_cutoffs({key: cells(draw(4000))}, {key: list(range(0, 100 * STEPS, 100))}, {"en": 4000}, 0.05, 0.05)
+        assert cells(draw(20_000))[chosen[key]] <= 20_000 * 0.05 / len(RULES) * 1.1
 
 
 def test_rules_reject_junk_and_keep_good(spark):
@@ -54,7 +69,7 @@ def test_rules_reject_junk_and_keep_good(spark):
     rows = [(i, good + f" x{i}", "en") for i in range(6000)] + [(10_000 + i, junk, "en") for i in range(20)]
     rows += [(20_000, None, None), (20_001, "", "xx"), (20_002, good, None), (None, good, "en"), (20_003, "a " * 60, "fr"), (1, good, "en")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], DOCS)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)] + [(i, 0, 0) for i in range(5)] + [(None, 1, 0), (20_003, None, 0), (99_999, 1, 0)], LABELS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6000)] + [(10_000 + i, 0, 0) for i in range(15)] + [(None, 1, 0), (20_003, None, 0), (99_999, 1, 0)], LABELS)
     out = quality_rules(spark, docs, labels).collect()
     assert len(out) == len(rows)
     kept = Counter((r.doc_id is not None and 10_000 <= r.doc_id < 10_020, r.kept) for r in out)
