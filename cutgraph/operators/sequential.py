@@ -226,3 +226,70 @@ def tracks(frames: list[list[tuple[float, float, float, float, float]]], high: f
         if len(t["path"]) >= hits:
             out += [(f, i, t["id"]) for f, i in t["path"]]
     return sorted(out)
+
+
+def merged_identities(people: list[dict], similar: Callable[[dict, dict], float], least: float = 0.8, bonus: float = 0.1, near: int = 2) -> list[int]:
+    """Group of each person (scene): greedy, each joins the first group whose seed is alike; close scenes help."""
+    seeds: list[int] = []
+    out: list[int] = []
+    for i, p in enumerate(people):
+        for g, s in enumerate(seeds):
+            close = abs(people[s]["scene"] - p["scene"]) <= near
+            if similar(people[s], p) + (bonus if close else 0.0) > least:
+                out.append(g)
+                break
+        else:
+            out.append(len(seeds))
+            seeds.append(i)
+    return out
+
+
+def agglomerated(vectors: list[list[float]], distance: float = 0.5) -> list[int]:
+    """Cluster of each vector of length one: average linkage by cosine distance, merged while under ``distance``."""
+    groups = [[i] for i in range(len(vectors))]
+    d = [[1 - sum(x * y for x, y in zip(a, b, strict=True)) for b in vectors] for a in vectors]
+    while len(groups) > 1:
+        best = min((sum(d[x][y] for x in a for y in b) / (len(a) * len(b)), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if best[0] >= distance:
+            break
+        _, i, j = best
+        groups[i] += groups.pop(j)
+    out = [0] * len(vectors)
+    for g, members in enumerate(sorted(groups, key=min)):
+        for i in members:
+            out[i] = g
+    return out
+
+
+def assigned(cost: list[list[float]], most: float = float("inf")) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the least total cost, by shortest augmenting paths; pairs dearer than ``most`` go."""
+    if not cost or not cost[0]:
+        return []
+    turned = len(cost) > len(cost[0])
+    c = [list(x) for x in zip(*cost, strict=True)] if turned else cost
+    n, m = len(c), len(c[0])
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        while owner[j0]:
+            used[j0] = True
+            step, j1 = float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    now = c[owner[j0] - 1][j - 1] - u[owner[j0]] - v[j]
+                    if now < least[j]:
+                        least[j], way[j] = now, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+        while j0:
+            owner[j0], j0 = owner[way[j0]], way[j0]
+    pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
+    return sorted((b, a) if turned else (a, b) for a, b in pairs if c[a][b] <= most)

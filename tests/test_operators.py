@@ -182,3 +182,52 @@ def test_edit_ask_and_revise(spark, sf_dir):
     assert edit.revise(clip, "drop the first clip") == clip[1:]
     assert edit.revise(clip, "swap the first two") == [clip[1], clip[0], clip[2]]
     assert edit.revise(clip, "make it 2 seconds shorter") == [(0, 3 * S), (10 * S, 11 * S), (20 * S, 28 * S)]
+
+
+def test_identity_and_assignment():
+    alike = lambda a, b: a["v"] * b["v"]
+    people = [{"v": 1.0, "scene": 0}, {"v": 0.75, "scene": 1}, {"v": 0.75, "scene": 9}, {"v": 0.95, "scene": 9}]
+    assert seq.merged_identities(people, alike) == [0, 0, 1, 0]
+    assert seq.agglomerated([[1, 0], [0, 1], [1, 0], [0.8, 0.6]]) == [0, 1, 0, 0] and seq.agglomerated([]) == []
+    r = random.Random(1)
+    import itertools
+
+    for _ in range(40):
+        n, m = r.randint(1, 5), r.randint(1, 5)
+        cost = [[r.randint(0, 20) for _ in range(m)] for _ in range(n)]
+        got = sum(cost[a][b] for a, b in seq.assigned(cost))
+        small, wide = (cost, m) if n <= m else ([list(x) for x in zip(*cost, strict=True)], n)
+        assert got == min(sum(row[j] for row, j in zip(small, p, strict=True)) for p in itertools.permutations(range(wide), len(small)))
+    assert seq.assigned([[5.0]], 3) == [] == seq.assigned([])
+
+
+def test_sessions():
+    from cutgraph.plans import session as ss
+
+    s, seen = ss.Session("mechanical"), []
+    while s.state != "done":
+        s = ss.advanced(s)
+        seen.append(s.state)
+    assert seen == ["retrieving", "planning", "validating", "preview_ready", "done"]
+    s = ss.Session("mechanical", "validating")
+    again = ss.advanced(s, False, "planner", "p")
+    assert again.state == "planning" and again.budget.retries == 9
+    assert ss.advanced(ss.advanced(ss.advanced(again), False, "planner", "p")).state == "failed"
+    assert ss.advanced(ss.Session("default", budget=ss.Budget(calls=0))).state == "failed"
+    assert ss.dirty_clips([(0, 1), (2, 3)], [(0, 1), (2, 4), (5, 6)]) == [1, 2]
+    assert ss.plan_key([(0, 100)]) == ss.plan_key([(10, 110)]) and ss.cache_key("a", "b") != ss.cache_key("a", "c")
+
+
+def test_reports(spark, tmp_path):
+    from cutgraph.plans import report
+
+    cues = spark.createDataFrame([(1, 0, "00:00:00,000", "00:00:04,000", "this is Hello world")], "media_id long, cue long, start string, end string, text string")
+    assert report.srt(cues).collect()[0].text == "1\n00:00:00,000 --> 00:00:04,000\nthis is Hello world\n"
+    assert report.vtt(cues).collect()[0].text == "WEBVTT\n\n00:00:00.000 --> 00:00:04.000\nthis is Hello world\n"
+    m = spark.createDataFrame([(1, 5 * S, 2, 0.5)], "media_id long, kept_us long, clip_count long, removal_ratio double")
+    text = report.markdown(m, spark.createDataFrame([(1, "floor")], "media_id long, issue string"), 10 * S)
+    assert "- after: 5.00 s" in text.collect()[0].text and "- checks: floor" in text.collect()[0].text
+    report.write_text(text, str(tmp_path / "md"))
+    assert "- clips: 2" in (tmp_path / "md" / "media_id=1").glob("part-*").__next__().read_text()
+    labels = spark.createDataFrame([("a", "[[1.38, 1.91]]"), ("b", "[]"), ("c", None)], "path string, breath string")
+    assert [tuple(r) for r in report.breath_labels(labels).collect()] == [("a", 1_380_000, 1_910_000)]
