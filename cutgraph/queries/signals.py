@@ -221,3 +221,36 @@ def track(kb: KB) -> DataFrame:
         return [{"frame": names[f], "box": i, "track": t} for f, i, t in sequential.tracks(list(frames.values()))]
 
     return sequential.per_media(b, "media_id", ["frame", "l_linenumber"], core, "media_id long, frame long, box int, track int")
+
+
+@query("""WITH r AS (SELECT media_id, id, start_us AS t, value / 100 AS rms, (id % 40) / 100.0::DOUBLE AS zcr FROM sig WHERE event_type = 'view'),
+    e AS (SELECT *, lag(rms) OVER w AS p, lead(rms) OVER w AS n FROM r WINDOW w AS (PARTITION BY media_id ORDER BY t, id)),
+    k AS (SELECT * FROM e WHERE rms >= 0.2 AND rms > p AND rms > n AND zcr > 0.05 AND zcr < 0.3)
+    SELECT k.media_id, k.id, greatest(s.start_us, k.t - 200000) AS start_us, least(s.end_us, k.t + 300000) AS end_us FROM k JOIN (SELECT media_id, start_us - 2000000 AS start_us, end_us + 2000000 AS end_us FROM silences) s ON k.media_id = s.media_id AND k.t >= s.start_us AND k.t < s.end_us""")
+def breath_heuristic(kb: KB) -> DataFrame:
+    """Peaks of level inside (here: within 2 s of) silences, with few zero crossings, widened and clipped to the silence."""
+    w = Window.partitionBy("media_id").orderBy("t", "id")
+    r = kb.signals.filter("event_type = 'view'").select("media_id", "id", F.col("start_us").alias("t"), (F.col("value") / 100).alias("rms"), (F.col("id") % 40 / 100).alias("zcr"))
+    e = r.withColumn("p", F.lag("rms").over(w)).withColumn("n", F.lead("rms").over(w))
+    peaks = e.filter("rms >= 0.2 and rms > p and rms > n and zcr > 0.05D and zcr < 0.3D").select("media_id", "id", "t")
+    quiet = kb.silences.select("media_id", (F.col("start_us") - 2_000_000).alias("start_us"), (F.col("end_us") + 2_000_000).alias("end_us"))
+    held = iv.point_join(peaks, quiet, M, "t", 5_000_000)
+    return held.select("media_id", "id", F.greatest("start_us", F.col("t") - 200_000).alias("start_us"), F.least("end_us", F.col("t") + 300_000).alias("end_us"))
+
+
+@query("SELECT media_id, id, start_us, least(end_us, start_us + 2000000) AS end_us FROM scenes")
+def tempo(kb: KB) -> DataFrame:
+    """Clips cut to the length that a fast pacing allows."""
+    from ..functions.udfs import trimmed_by_tempo
+
+    return trimmed_by_tempo(kb.scenes.select("media_id", "id", "start_us", "end_us"), "fast")
+
+
+@query("""SELECT event_id, floor(30000.0::DOUBLE / (1000 + event_id % 2) * 1e6 + 0.5) / 1e6 AS fps, abs(30000.0::DOUBLE / (1000 + event_id % 2) - 25 - event_id % 10) > 1 AS is_vfr FROM events""")
+def probe_parse(kb: KB) -> DataFrame:
+    from ..functions.udfs import probe
+
+    i = F.col("event_id")
+    j = F.format_string('{"r_frame_rate": "30000/%d", "avg_frame_rate": "%d/1"}', 1000 + i % 2, 25 + i % 10)
+    p = kb.table("events").select("event_id", probe(j).alias("p"))
+    return p.select("event_id", r6("p.fps").alias("fps"), "p.is_vfr")
