@@ -58,6 +58,7 @@ def test_families_against_brute_force(spark, seed, width):
 
 def test_blocks_smaller_than_a_group(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 500)
+    monkeypatch.setattr(neardup, "CROWD", 7)
     r = random.Random(3)
     base = [f"b{i}" for i in range(80)]
     rows = [(i, " ".join(w if r.random() > 0.07 else f"x{r.randint(0, 10**6)}" for w in base)) for i in range(80)]
