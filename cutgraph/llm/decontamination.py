@@ -4,7 +4,10 @@ Texts become templates: numbers, names (capitalised words within a sentence) and
 replaced by typed placeholders, one token for one. Windows of five template tokens of the documents are
 hash-joined with those of the benchmark. Matches of one document and item at one distance between their
 positions form an alignment; in it, equal slot values of the item must stand for equal values of the document, and
-windows with a slot that breaks this don't count. A document leaks an item if 0.8 of the item's windows are matched.
+windows with a slot that breaks this don't count. Windows of placeholders alone, and items of fewer than five tokens
+(one window each), are matched by their own tokens in the same join. What stands before an item decides whether its
+first token is a name or a unit, so both forms of it are matched. A document leaks an item if 0.8 of the item's windows,
+or 0.8 of those with a token of their own, are matched.
 """
 
 from __future__ import annotations
@@ -16,9 +19,8 @@ from .common import SPACE
 
 WIDTH = 5
 PERCENT = 80
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: Windows of the benchmark with fewer tokens of their own than this are no evidence, and not joined.
-LEAST_LITERALS = 3
+RAW = [f"r{i}" for i in range(WIDTH)]
+NUMBER, NAME, UNIT = SLOTS = "<num>", "<name>", "<unit>"
 #: Windows of the benchmark up to which its table (about 200 bytes each) is broadcast.
 BROADCAST_WINDOWS = 200_000
 # Units as they stand after a number.
@@ -30,60 +32,121 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
 
 
-def template(plain: Column) -> Column:
-    """Template of a text from spaced(): as many tokens, in lower case without punctuation at their ends."""
+def _bared(text: Column) -> Column:
+    """The text in lower case, without punctuation at the ends of its tokens."""
+    return F.lower(F.regexp_replace(text, r"[.,;:!?\x22\x27()\[\]]+(?=\x20|$)|(?<=\x20|^)[\x22\x27(\[]+", ""))
+
+
+def _marked(plain: Column) -> Column:
+    """A text from spaced() with placeholders."""
     named = F.regexp_replace(plain, r"\p{Lu}(?<=[^.!?:;\x20]\x20.)[\p{Ll}\x27-]+", NAME)
     numbered = F.regexp_replace(named, r"[0-9]+(?:[.,:/][0-9]+)*", NUMBER)
-    units = F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, rf"(?<={NUMBER}\x20)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(numbered)
-    return F.lower(F.regexp_replace(units, r"[.,;:!?\x22\x27()\[\]]+(?=\x20|$)|(?<=\x20)[\x22\x27(\[]+", ""))
+    return F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, rf"(?<={NUMBER}\x20)(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)).otherwise(numbered)
+
+
+def template(plain: Column) -> Column:
+    """Template of a text from spaced(): as many tokens, in lower case without punctuation at their ends."""
+    return _bared(_marked(plain))
+
+
+def _windows(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """(key, pos, c0..c4, r0..r4): a row per window of template tokens, with the raw ones."""
+    plain = rows.select(F.col(key), spaced(F.col("text")).alias("plain"), *more)
+    tokens = plain.select(key, F.split("plain", " ").alias("r"), F.split(template(F.col("plain")), " ").alias("c"), *more)
+    shifted = F.arrays_zip(*(F.expr(f"slice({x}, {i + 1}, greatest(size({x}) - {WIDTH - 1}, 0))").alias(f"{x}{i}") for x in "cr" for i in range(WIDTH)))
+    return tokens.select(key, *more, F.posexplode(shifted).alias("pos", "w")).select(key, *more, "pos", *(f"w.{x}{i}" for x in "cr" for i in range(WIDTH)))
+
+
+def _short(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, pos, h): a row per token and length of the run from there, hashed as it is."""
+    plain = rows.select(F.col(key), spaced(F.col("text")).alias("plain")).filter("plain <> ''")
+    tokens = plain.select(key, F.split(_bared(F.col("plain")), " ").alias("e"))
+    runs = F.array(*(F.expr(f"xxhash64({n}, array_join(slice(e, pos + 1, {n}), ' '))") for n in lengths))
+    return tokens.select(key, "e", F.posexplode("e").alias("pos", "_")).select(key, "pos", F.explode(runs).alias("h"))
+
+
+def _hash(first: Column | str = "c0") -> Column:
+    return F.xxhash64(first, *(f"c{i}" for i in range(1, WIDTH)))
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, raw, pos, c0..c4): a row per window of template tokens, with the raw tokens of the whole text."""
-    plain = rows.select(F.col(key), spaced(F.col("text")).alias("plain"))
-    tokens = plain.select(key, F.split("plain", " ").alias("raw"), F.split(template(F.col("plain")), " ").alias("c"))
-    shifted = F.arrays_zip(*(F.expr(f"slice(c, {i + 1}, greatest(size(c) - {WIDTH - 1}, 0))").alias(f"c{i}") for i in range(WIDTH)))
-    return tokens.select(key, "raw", F.posexplode(shifted).alias("pos", "w")).select(key, "raw", "pos", *(f"w.c{i}" for i in range(WIDTH)))
+def _slots_only() -> Column:
+    every = F.col("c0").isin(*SLOTS)
+    for i in range(1, WIDTH):
+        every = every & F.col(f"c{i}").isin(*SLOTS)
+    return every
 
 
-def _hash() -> Column:
-    return F.xxhash64(*(f"c{i}" for i in range(WIDTH)))
+def _own() -> Column:
+    """Hash of a window's own tokens, apart from those of templates."""
+    return F.xxhash64(F.lit("own"), _bared(F.concat_ws(" ", *RAW)))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(h, item_id, item_pos, kinds, item_raw) of the windows that are evidence; items repeated by id count as one text each."""
-    slots = (NUMBER, NAME, UNIT)
-    literals = sum((~F.col(f"c{i}").isin(*slots)).cast("int") for i in range(WIDTH))
-    rows = _windows(benchmark.filter("item_id is not null and text is not null").dropDuplicates(["item_id"]), "item_id").filter(literals >= LEAST_LITERALS)
-    kinds = F.array(*(F.when(F.col(f"c{i}").isin(*slots), F.col(f"c{i}")) for i in range(WIDTH)))
-    return rows.select(_hash().alias("h"), "item_id", F.col("pos").alias("item_pos"), kinds.alias("kinds"), F.expr(f"slice(raw, pos + 1, {WIDTH})").alias("item_raw"))
+    """(h, item_id, item_pos, literal, kinds, item_raw, n, soft) of all windows of n tokens; items repeated by id count as one text each."""
+    items = benchmark.filter("item_id is not null and text is not null").dropDuplicates(["item_id"]).select("item_id", "text")
+    # the first token as it is, after a word, and after a number
+    after = lambda before: F.get(F.split(template(F.concat(F.lit(before), spaced(F.col("text")))), " "), F.lit(1))
+    rows = _windows(items.withColumn("firsts", F.array(after("x "), after("0 "))), "item_id", "firsts")
+    forms = F.when(F.col("pos") == 0, F.array_distinct(F.concat(F.array("c0"), "firsts"))).otherwise(F.array("c0"))
+    rows = rows.withColumn("_c0", F.explode(forms)).withColumn("soft", F.col("_c0") != F.col("c0")).withColumn("c0", F.col("_c0")).withColumn("literal", ~_slots_only())
+    kinds = F.array(*(F.when(F.col(f"c{i}").isin(*SLOTS), F.col(f"c{i}")) for i in range(WIDTH)))
+    long = rows.select(F.when(F.col("literal"), _hash()).otherwise(_own()).alias("h"), "item_id", F.col("pos").alias("item_pos"), "literal", kinds.alias("kinds"), F.array(*RAW).alias("item_raw"), F.lit(WIDTH).alias("n"), "soft")
+    few = items.withColumn("n", F.size(F.split(spaced(F.col("text")), " "))).filter(F.col("n") < WIDTH)
+    for n in range(1, WIDTH):
+        short = _short(few.filter(F.col("n") == n), "item_id", [n]).filter("pos = 0")
+        none = F.lit(None).cast("array<string>")
+        long = long.unionByName(short.select("h", "item_id", F.col("pos").alias("item_pos"), F.lit(True).alias("literal"), none.alias("kinds"), none.alias("item_raw"), F.lit(n).alias("n"), F.lit(False).alias("soft")))
+    return long
+
+
+def _document_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, r0..r4, h, soft): windows by template, with a capitalised first token also as a name; those of placeholders alone by their own tokens."""
+    rows = _windows(docs, "doc_id")
+    name = r"^[\x22\x27(\[]*\p{Lu}[\p{Ll}\x27-]+"
+    first = F.col("r0")
+    # a word that begins a sentence is a literal here and may be a name in the item
+    named = F.regexp_replace(first, name, NAME)
+    also = F.regexp_like(first, F.lit(name)) & ~F.contains("c0", F.lit(NAME))
+    either = F.when(also, F.array(_hash(), _hash(_bared(named)))).when(_slots_only(), F.array(_own())).otherwise(F.array(_hash()))
+    return rows.select("doc_id", "pos", *RAW, F.posexplode(either).alias("form", "h")).withColumn("soft", F.col("form") > 0).drop("form")
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, windows, reparameterised) of each item that a document leaks.
 
-    Texts of fewer than five words, items without a window that is evidence, null texts and rows without an id
-    match nothing. Documents repeated by id count as one; of items repeated by id one row counts. Other columns are not read.
+    ``windows`` are all of the item's, or those with a token of their own where only of these enough are matched. Texts
+    without a word, null texts and rows without an id match nothing. Documents repeated by id count as one; of items
+    repeated by id one row counts. Other columns are not read.
     """
     of_items = benchmark_windows(benchmark)
-    count = of_items.count()
-    totals = of_items.groupBy("item_id").agg(F.count("*").alias("windows"))
-    of_docs = _windows(docs.filter("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").withColumn("h", _hash())
-    hits = of_docs.join(F.broadcast(of_items) if count <= BROADCAST_WINDOWS else of_items, "h")
-    doc_raw = F.expr(f"slice(raw, pos + 1, {WIDTH})")
+    counts = {r["n"]: r["count"] for r in of_items.groupBy("n").count().collect()}
+    totals = of_items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"), F.countDistinct(F.when(F.col("literal"), F.col("item_pos"))).alias("literals"))
+    known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     # bare values: without the punctuation that the template drops
     bare = lambda c: F.transform(c, lambda t: F.regexp_replace(t, r"^[\x22\x27(\[]+|[.,;:!?\x22\x27()\[\]]+$", ""))
-    hits = hits.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), F.when(F.exists("kinds", lambda k: k.isNotNull()), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), bare("item_raw").alias("item_value"), bare(doc_raw).alias("value")), lambda s: s["kind"].isNotNull())).alias("slots"))
-    hits = hits.distinct()
-    at = ["doc_id", "item_id", "shift"]
-    bound = hits.filter("slots is not null").select(*at, F.explode("slots").alias("s"))
-    broken = bound.groupBy(*at, "s.kind", "s.item_value").agg(F.min("s.value").alias("a"), F.max("s.value").alias("b")).filter("a <> b").select(*at, F.struct("kind", "item_value").alias("slot"))
-    broken = broken.groupBy(*at).agg(F.collect_set("slot").alias("broken"))
-    sound = hits.join(broken, at, "left").filter(F.col("slots").isNull() | F.col("broken").isNull() | ~F.exists("slots", lambda s: F.array_contains("broken", F.struct(s["kind"].alias("kind"), s["item_value"].alias("item_value")))))
+    slots = F.when(F.exists("kinds", lambda k: k.isNotNull()), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), bare("item_raw").alias("item_value"), bare(F.array(*RAW)).alias("value")), lambda s: s["kind"].isNotNull()))
+
+    def met(of_docs: DataFrame, of_items: DataFrame) -> DataFrame:
+        both = of_docs.withColumnRenamed("soft", "_soft").join(F.broadcast(of_items) if sum(counts.values()) <= BROADCAST_WINDOWS else of_items, "h")
+        return both.select("doc_id", "item_id", "item_pos", "literal", (F.col("soft") | F.col("_soft")).alias("soft"), (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
+
+    hits = met(_document_windows(known), of_items.filter(F.col("n") == WIDTH))
+    if lengths := sorted(n for n in counts if n < WIDTH):
+        short = _short(known, "doc_id", lengths).select("*", *(F.lit(None).cast("string").alias(r) for r in RAW), F.lit(False).alias("soft"))
+        hits = hits.unionByName(met(short, of_items.filter(F.col("n") < WIDTH)))
+    # an alignment has a few rows per window of the item; a window that only another form of its first token matched breaks no other
+    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("item_pos", "literal", "soft", F.coalesce("slots", F.array()).alias("slots"))).alias("hits"))
+    values = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda h: h["slots"])))
+    aligned = aligned.withColumn("firm", values(F.filter("hits", lambda h: ~h["soft"]))).withColumn("every", values(F.col("hits")))
+    clash = lambda s, known: F.exists(known, lambda o: (o["kind"] == s["kind"]) & (o["item_value"] == s["item_value"]) & (o["value"] != s["value"]))
+    whole = F.filter("hits", lambda h: ~F.exists(h["slots"], lambda s: F.when(h["soft"], clash(s, F.col("every"))).otherwise(clash(s, F.col("firm")))))
+    sound = aligned.select("doc_id", "item_id", F.inline(whole))
     changed = F.coalesce(F.exists("slots", lambda s: s["item_value"] != s["value"]), F.lit(False))
-    found = sound.select("doc_id", "item_id", "item_pos", changed.alias("changed")).groupBy("doc_id", "item_id", "item_pos").agg(F.min("changed").alias("changed"))
-    found = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.max("changed").alias("reparameterised"))
-    return found.join(totals, "item_id").filter(100 * F.col("matched") >= percent * F.col("windows")).select("doc_id", "item_id", "matched", "windows", "reparameterised")
+    found = sound.select("doc_id", "item_id", "item_pos", "literal", changed.alias("changed")).groupBy("doc_id", "item_id", "item_pos").agg(F.min("changed").alias("changed"), F.max("literal").alias("literal"))
+    found = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.count_if("literal").alias("by_literal"), F.max("changed").alias("reparameterised")).join(totals, "item_id")
+    every, some = (100 * F.col(a) >= percent * F.col(b) for a, b in (("matched", "windows"), ("by_literal", "literals")))
+    found = found.filter(every | some & (F.col("literals") > 0))
+    return found.select("doc_id", "item_id", F.when(every, F.col("matched")).otherwise(F.col("by_literal")).alias("matched"), F.when(every, F.col("windows")).otherwise(F.col("literals")).alias("windows"), "reparameterised")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -29,3 +29,17 @@ def test_share_of_windows(spark):
 def test_empty_tables(spark):
     assert leaks(spark, [])[0] == {}
     assert leaks(spark, [(1, ITEM)], [(None, None)])[0] == {}
+
+
+def test_slot_dense_and_short_items(spark):
+    items = [(1, "Add 12 7 33 45"), (2, "Order 3, 9, 14, 2, 8, 21, 5"), (3, "Name four primes."), (4, "3 9 14 2 8 21 5")]
+    docs = [(1, "So: Add 12 7 33 45 now."), (2, "Please order 3, 9, 14, 2, 8, 21, 5 at once."), (3, "He said: name four primes, and left."), (4, "Order 1, 2, 4, 6, 9, 20, 7 of them."), (5, "Table: 1 2 3 4 5 6 7 8 9"), (6, "Name five primes."), (7, "Add 1 2 3 4")]
+    found, *_ = leaks(spark, docs, items)
+    assert found == {(1, 1): False, (2, 2): False, (2, 4): False, (3, 3): False, (4, 2): True, (7, 1): True}
+
+
+def test_what_stands_before_an_item(spark):
+    items = [(1, "What is the capital of France?"), (2, "A farmer sold seven brown cows"), (3, "Anna took the early train home")]
+    docs = [(1, "Quiz night\nWhat is the capital of France?"), (2, "He asked what is the capital of France"), (3, "Problem 12\nA farmer sold seven brown cows"), (4, "Well. Ben took the early train home"), (5, "\"What is the capital of France?\"")]
+    found, *_ = leaks(spark, docs, items)
+    assert found == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 3): True, (5, 1): False}
