@@ -34,16 +34,29 @@ _HAS_LOOKALIKE = re.compile("[" + "".join(map(chr, _LOOKALIKES)) + "]")
 _HIDDEN = re.compile("[​-‍⁠﻿­]")
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ONE = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED = re.compile(rf"\b{_ONE}(?:[ \t,-]+(?:{_ONE}|[0-9]))*[ \t,-]+{_ONE}\b", re.I)
-_HAS_SPELLED = re.compile(rf"\b{_ONE}[ \t,-]+(?:{_ONE}|[0-9])", re.I)
-_DIGIT_OR_SEPARATOR = re.compile(rf"({_ONE})|([0-9])|[ \t,-]+", re.I)
+# Runs of spelled digits and groups of figures, none of them part of a word or a local part.
+_ITEM = rf"(?:{_ONE}|[0-9]++)(?![@\w])"
+_SPELLED = re.compile(rf"(?<![@\w]){_ITEM}(?:(?:[ \t,-]+|\.){_ITEM})*+", re.I)
+_HAS_SPELLED = re.compile(rf"\b{_ONE}(?:[ \t,-]+|\.)(?:{_ONE}|[0-9])|[0-9][ \t,-]+{_ONE}\b|\bplus[ \t]+[0-9]", re.I)
+_DIGIT_OR_SEPARATOR = re.compile(rf"({_ONE})|([0-9]+)|([ \t,-]+|\.)", re.I)
 # "plus" before figures or spelled digits
 _PLUS = re.compile(rf"\bplus[ \t]+(?=[0-9]|{_ONE}\b)", re.I)
 # Words without brackets are signs only before one of these. Fixed values.
 _TOP = "(?:com|org|net|edu|gov|mil|int|info|biz|io|co|dev|app|ai|de|fr|es|it|nl|uk|eu|us|ca|ch|at)"
-_TO_TOP = rf"(?:[A-Za-z0-9-]+[ \t]+dot[ \t]+)*+{_TOP}\b"
-_AT = re.compile(rf"[ \t]*(?:\[at\]|\(at\)|\{{at\}}|<at>|\[@\]|\(@\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+{_TO_TOP}|[ \t]*[\[({{<]dot[\])}}>]))", re.I)
-_DOT = re.compile(rf"[ \t]*(?:\[dot\]|\(dot\)|\{{dot\}}|<dot>|\[\.\]|\(\.\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?={_TO_TOP})", re.I)
+# Country codes and generic domains besides; not after a word like "the", as many are words themselves.
+_MORE_TOPS = (
+    "ac ad ae af ag al am ao aq ar as au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz cc cd cf cg ci ck cl cm cn cr cu cv cw cx cy cz dj dk dm do dz ec ee eg er et fi fj fk fm fo ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw "
+    "name pro mobi tel travel jobs museum coop aero asia cat post xyz online site website space store shop tech cloud blog club email live news media digital agency company group network solutions software systems studio design academy university school world life page link one art inc ltd law bank finance health care"
+).split()
+_ARTICLE = "(?:the|a|an|this|that|these|those|each|every|some|any|its|his|her|their|our|your|my)"
+_LABELS = r"(?:[A-Za-z0-9-]+[ \t]+dot[ \t]+)*+"
+_TO_TOP = rf"{_LABELS}(?:{_TOP}|(?:{'|'.join(_MORE_TOPS)}))\b"
+_AT = re.compile(rf"[ \t]*(?:\[at\]|\(at\)|\{{at\}}|<at>|\[@\]|\(@\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+{_LABELS}{_TOP}\b|[ \t]*[\[({{<]dot[\])}}>])|(?!{_ARTICLE}\b)[A-Za-z0-9-]+[ \t]+dot[ \t]+{_TO_TOP})", re.I)
+_DOT = re.compile(rf"[ \t]*(?:\[dot\]|\(dot\)|\{{dot\}}|<dot>|\[\.\]|\(\.\))[ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?={_TO_TOP})|(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
+# Behind a sign "@" any label may follow, and before one the words of a local part.
+_DOTS_BEHIND = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z]{2,}\b", re.I)
+_DOTS_BEFORE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:[ \t]+dot[ \t]+[A-Za-z0-9._%+-]++)++(?=@)", re.I)
+_DOT_WORD = re.compile(r"[ \t]+dot[ \t]+", re.I)
 _HAS_SIGN = re.compile(r"[\[({<](?:at|dot|@|\.)[\])}>]|[ \t]dot[ \t]", re.I)
 
 
@@ -103,13 +116,24 @@ class Plain:
 
 
 def _digits(m: re.Match) -> Iterator[tuple[str, int, int]]:
-    """Spelled and written digits of a run, closed up; fewer than seven stay as they are."""
-    found = [x for x in _DIGIT_OR_SEPARATOR.finditer(m[0]) if x[1] or x[2]]
-    if len(found) < 7:
-        yield from ((c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0]))
-    else:
-        for x in found:
-            yield _DIGIT_WORDS[x[1].lower()] if x[1] else x[2], m.start() + x.start(), m.start() + x.end()
+    """Spelled digits of a run as figures, closed up with their neighbours; what stands between figures stays."""
+    found = list(_DIGIT_OR_SEPARATOR.finditer(m[0]))
+    for i, x in enumerate(found):
+        a, b = m.start() + x.start(), m.start() + x.end()
+        if x[1]:
+            yield _DIGIT_WORDS[x[1].lower()], a, b
+        elif x[2] or x[3] == "." or not (found[i - 1][1] or found[i + 1][1]):
+            yield from ((c, a + k, a + k + 1) for k, c in enumerate(x[0]))
+
+
+def _dots(m: re.Match) -> Iterator[tuple[str, int, int]]:
+    """A match with its words "dot" as signs."""
+    done = 0
+    for x in _DOT_WORD.finditer(m[0]):
+        yield from ((c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m[0][done : x.start()], done))
+        yield ".", m.start() + x.start(), m.start() + x.end()
+        done = x.end()
+    yield from ((c, m.start() + k, m.start() + k + 1) for k, c in enumerate(m[0][done:], done))
 
 
 def plain_form(text: str) -> Plain | None:
@@ -122,10 +146,12 @@ def plain_form(text: str) -> Plain | None:
         p.replace(_HIDDEN, lambda m: ())
     if alike:
         p.text = p.text.translate(_LOOKALIKES)  # one character for one
-    p.replace(_AT, lambda m: (("@", m.start(), m.end()),))
-    p.replace(_DOT, lambda m: ((".", m.start(), m.end()),))
     p.replace(_PLUS, lambda m: (("+", m.start(), m.end()),))
     p.replace(_SPELLED, _digits)
+    p.replace(_AT, lambda m: (("@", m.start(), m.end()),))
+    p.replace(_DOT, lambda m: ((".", m.start(), m.end()),))
+    p.replace(_DOTS_BEHIND, _dots)
+    p.replace(_DOTS_BEFORE, _dots)
     return p
 
 

@@ -74,3 +74,29 @@ def test_redaction(spark):
     out = redact_pii(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).orderBy("doc_id").collect()
     assert [tuple(r) for r in out] == [(1, "<email>", "en", "s", 7), (2, None, None, None, None)]
     assert joined([("ip", 1, 2)]) == "ip:1:2"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host one nine two dot one six eight dot zero dot one is up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("mail anna at firma dot se now", "email", "anna at firma dot se"),
+        ("mail ivan at mail dot ru now", "email", "ivan at mail dot ru"),
+        ("mail ann dot lee at firma dot pl now", "email", "ann dot lee at firma dot pl"),
+        ("mail ann (at) firma dot museumx now", "email", "ann (at) firma dot museumx"),
+        ("call +1 four one five 555 1234 now", "phone", "+1 four one five 555 1234"),
+        ("call +1 (four one five) 555-1234 now", "phone", "+1 (four one five) 555-1234"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+        ("card 4111 1111 1111 one one one one ok", "card", "4111 1111 1111 one one one one"),
+    ],
+)
+def test_mixed_disguises(text, kind, source):
+    spans = find_spans(text) + added_spans(text, find_spans(text))
+    assert (kind, text.index(source), text.index(source) + len(source)) in spans
+
+
+def test_mixed_prose_adds_nothing():
+    for text in ("look at the dot in it", "at 12 one of us left, 7 two", "one@x.com and 5 one two@x.com", "4. One two, 3 one 4", "9 one " * 20_000 + "9a"):
+        assert [s for s in added_spans(text, find_spans(text)) if s[0] != "card"] == []
