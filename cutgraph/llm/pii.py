@@ -32,8 +32,15 @@ _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнАВЕКМНОР
 _LOOKALIKES |= {0xFF10 + i: chr(48 + i) for i in range(10)} | {0xFF21 + i: chr(65 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _HAS_LOOKALIKE = re.compile("[" + "".join(map(chr, _LOOKALIKES)) + "]")
 _HIDDEN = re.compile("[​-‍⁠﻿­]")
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ONE = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+# The words for 0 to 9 in each language; "oh" is a spoken zero.
+_SPOKEN = {
+    "en": "zero one two three four five six seven eight nine",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+_DIGIT_WORDS = {w: str(d) for words in _SPOKEN.values() for d, w in enumerate(words.split())} | {"oh": "0", "fuenf": "5"}
+_ONE = f"(?:{'|'.join(sorted(_DIGIT_WORDS, key=lambda w: (-len(w), w)))})"
 # Runs of spelled digits and groups of figures, none of them part of a word or a local part.
 _ITEM = rf"(?:{_ONE}|[0-9]++)(?![@\w])"
 _SPELLED = re.compile(rf"(?<![@\w]){_ITEM}(?:(?:[ \t,-]+|\.){_ITEM})*+", re.I)
@@ -83,7 +90,7 @@ def find_spans(text: str) -> list[Span]:
         else:
             last = at + 1
             at = text.find("@", last)
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 3 or len(q) == 3 and q <= "255" for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() and 13 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))

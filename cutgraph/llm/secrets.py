@@ -5,11 +5,13 @@ marks are gaps and matches in turn, and the sums of their lengths are code-point
 
 Linking: access identifiers, secrets and endpoints too weak to report alone are joined within scopes (the
 parts of a text between blank lines): one is reported only where a complementary part, weak or not, lies in
-the same scope.
+the same scope. Parts, base spans and scope ends of a text go in one list by position, over which three passes run, so
+that the time grows with the text and not with its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,23 +27,50 @@ WEAK_ID = r"""(?i:(?:access|client|account|user)[_-]?(?:key[_-]?)?(?:id|name))["
 WEAK_SECRET = r"""(?i:password|passwd|pwd|passphrase|secret|token|api_?key|private_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,})"""
 ENDPOINT = r"""(?i:https?|ftp|sftp|ssh|jdbc:[a-z0-9]{1,20}|postgres|postgresql|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+|(?i:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
 BREAK = r"\n[\x20\x09\r]*(?=\n)"
+PARTS = ("secret", "id", "endpoint")
 #: part of a credential that a kind is
 PART = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "endpoint": "endpoint"}
-_EMPTY = "cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)"
+#: Items that one list is folded over.
+BLOCK = 256
+_MATCH = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
+_EMPTY = f"cast(array() as array<{_MATCH}>)"
+
+
+def _fold(items: Column, start: Column, made: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The items, of type ``made``, that ``step`` makes of each item and the state that those before have left.
+
+    Every step copies the list it adds to, so the items go in blocks of BLOCK and the blocks' lists are joined at the end.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        state, item = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    def folded(items: Column) -> Column:
+        def block(acc: Column, number: Column) -> Column:
+            inner = F.struct(acc["state"].alias("state"), F.expr(f"cast(array() as array<{made}>)").alias("out"))
+            whole = lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+            return F.aggregate(F.slice(items, number * BLOCK + 1, F.lit(BLOCK)), inner, one, whole)
+
+        numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")))
+        blocks = F.aggregate(numbers, F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{made}>>)").alias("out")), block)
+        return F.flatten(blocks["out"])
+
+    # a lambda's variable is evaluated once, an expression wherever it stands
+    return F.get(F.transform(F.array(items), folded), F.lit(0))
 
 
 def _matches(text: Column, kind: str, pattern: str, trace: str) -> Column:
     """All matches as structs (start, rank, end, kind, value), in order; ``trace`` is a cheap test for any."""
     rank = KINDS.index(kind) if kind in KINDS else -1
     pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.expr(_EMPTY).alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        one = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("value"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+    def step(at: Column, piece: Column) -> tuple[Column, Column]:
+        end = at + F.length(piece)
+        return end, F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), piece.alias("value"))
 
-    return F.when(F.regexp_like(text, F.lit(trace)), F.aggregate(pieces, start, step)["found"]).otherwise(F.expr(_EMPTY))
+    every = _fold(pieces, F.lit(0).cast("long"), _MATCH, step)
+    return F.when(F.regexp_like(text, F.lit(trace)), F.filter(every, lambda _, i: i % 2 == 1)).otherwise(F.expr(_EMPTY))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -60,22 +89,39 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "t", assign.alias("assign"), _matches(t, "access", ACCESS, "AKIA").alias("access"), _matches(t, "hex", HEX, HEX).alias("hex"), weak.alias("weak"))
     order = F.array_sort(F.concat("assign", "access", "hex"))
     rows = rows.select("doc_id", "t", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), order.alias("base"), "weak")
-    # a weak part that touches a base span is that secret again
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    rows = rows.withColumn("weak", F.when(F.size("weak") > 0, free).otherwise(F.col("weak")))
-    breaks = F.transform(_matches(t, "break", BREAK, r"\n[\x20\x09\r]*\n"), lambda m: m["start"])
-    rows = rows.withColumn("breaks", F.when(F.size("weak") > 0, breaks).otherwise(F.expr("cast(array() as array<bigint>)")))
-
-    def part(m: Column) -> Column:
-        return reduce(lambda otherwise, k: F.when(m["kind"] == k, PART[k]).otherwise(otherwise), KINDS, F.lit(""))
-
-    def scoped(m: Column) -> Column:
-        return F.struct(F.size(F.filter("breaks", lambda b: b < m["start"])).alias("scope"), part(m).alias("part"))
-
-    parts = F.array_distinct(F.transform(F.concat("base", "weak"), scoped))
-    rows = rows.withColumn("parts", F.when(F.size("weak") > 0, parts).otherwise(F.expr("cast(array() as array<struct<scope:int,part:string>>)")))
-    linked = F.filter("weak", lambda w: F.exists("parts", lambda p: (p["scope"] == scoped(w)["scope"]) & (p["part"] != part(w))))
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:3]), "base", F.when(F.size("weak") > 0, F.array_sort(F.concat("base", linked))).otherwise(F.col("base")).alias("found"))
+    breaks = _matches(t, "break", BREAK, r"\n[\x20\x09\r]*\n")
+    found = F.when(F.size("weak") > 0, F.array_sort(F.concat("base", _linked(F.array_sort(F.concat("base", "weak", breaks)))))).otherwise(F.col("base"))
+    return rows.select("doc_id", *(f"n_{k}" for k in KINDS[:3]), "base", found.alias("found"))
+
+
+def _bit(m: Column) -> Column:
+    """1, 2 or 4 for a secret, an access identifier or an endpoint; 0 for a break."""
+    return reduce(lambda otherwise, k: F.when(m["kind"] == k, 1 << PARTS.index(PART[k])).otherwise(otherwise), PART, F.lit(0))
+
+
+def _linked(events: Column) -> Column:
+    """The weak parts that a complementary part lies in one scope with, of base spans, weak parts and breaks by start.
+
+    Three passes, each linear: the end that base spans reach before an event; from behind, the start of the next
+    base span, hence whether the weak part touches none, and the parts in the rest of its scope; and the parts in the scope so far.
+    """
+    base, gap = (lambda m: m["rank"].between(0, 2)), (lambda m: m["kind"] == "break")
+    reached = _fold(events, F.lit(-1).cast("long"), f"struct<m:{_MATCH},reached:bigint>", lambda at, m: (F.when(base(m), F.greatest(at, m["end"])).otherwise(at), F.struct(m.alias("m"), at.alias("reached"))))
+
+    def back(state: Column, x: Column) -> tuple[Column, Column]:
+        m = x["m"]
+        free = base(m) | (~gap(m) & (x["reached"] <= m["start"]) & (state["next"] >= m["end"]))
+        bit = F.when(free, _bit(m)).otherwise(0)
+        after = F.when(gap(m), 0).otherwise(state["mask"].bitwiseOR(bit))
+        return F.struct(F.when(base(m), m["start"]).otherwise(state["next"]).alias("next"), after.alias("mask")), F.struct(m.alias("m"), bit.alias("bit"), state["mask"].alias("rest"))
+
+    behind = _fold(F.reverse(reached), F.struct(F.lit(2**62).cast("long").alias("next"), F.lit(0).alias("mask")), f"struct<m:{_MATCH},bit:int,rest:int>", back)
+
+    def forth(mask: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(gap(x["m"]), 0).otherwise(mask.bitwiseOR(x["bit"])), F.struct(x["m"].alias("m"), x["bit"].alias("bit"), mask.bitwiseOR(x["rest"]).alias("scope"))
+
+    whole = _fold(F.reverse(behind), F.lit(0), f"struct<m:{_MATCH},bit:int,scope:int>", forth)
+    return F.transform(F.filter(whole, lambda x: (x["m"]["rank"] > 2) & (x["bit"] > 0) & (x["scope"].bitwiseOR(x["bit"]) != x["bit"])), lambda x: x["m"])
 
 
 def query_secrets(docs: DataFrame) -> DataFrame:

@@ -100,3 +100,37 @@ def test_mixed_disguises(text, kind, source):
 def test_mixed_prose_adds_nothing():
     for text in ("look at the dot in it", "at 12 one of us left, 7 two", "one@x.com and 5 one two@x.com", "4. One two, 3 one 4", "9 one " * 20_000 + "9a"):
         assert [s for s in added_spans(text, find_spans(text)) if s[0] != "card"] == []
+
+
+def test_octets_of_any_length():
+    assert find_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)] and find_spans("0" * 5000 + "256.1.1.1") == []
+    assert find_spans("9" * 5000 + ".1.1.1") == []
+
+
+@pytest.mark.parametrize("run", ["null drei null eins zwei drei vier fünf sechs", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho"])
+def test_digit_words_of_the_languages(run):
+    text = f"tel plus vier {run} ok"
+    assert added_spans(text, []) == [("phone", 4, len(text) - 3)]
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_planted_disguises_against_the_plain_text(seed):
+    """A plain text and its disguise hold the same identifiers, and disguised spans map back to what was planted."""
+    r = random.Random(seed)
+    words = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
+    spell = lambda digits: " ".join(words[d] if d in words else d for d in digits)
+    alike = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р"}
+    text, want = "", []
+    for _ in range(r.randint(1, 6)):
+        kind = r.choice(["email", "phone", "ip"])
+        if kind == "email":
+            user, host = "".join(r.choice("aeocpmnr") for _ in range(6)), "".join(r.choice("aeocpmnr") for _ in range(6))
+            hidden = r.choice([f"{user} (at) {host} (dot) com", f"{user} at {host} dot org", "".join(alike.get(c, c) for c in f"a{user}") + f"@{host}.de", f"{user}[at]{host}[dot]co[dot]uk"])
+        elif kind == "phone":
+            hidden = "plus " + spell([str(r.randint(1, 9)) for _ in range(r.randint(9, 12))])
+        else:
+            hidden = " dot ".join(str(r.randint(0, 255)) for _ in range(4))
+        text += r.choice(["We said ", "Here it is, ", "Ok; "])
+        want.append((kind, len(text), len(text) + len(hidden)))
+        text += hidden + r.choice([" then.\n", ", yes; ", "\n\n"])
+    assert sorted(added_spans(text, find_spans(text))) == sorted(want)
