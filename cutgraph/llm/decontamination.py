@@ -57,12 +57,12 @@ def _windows(rows: DataFrame, key: str, *more: str) -> DataFrame:
     return tokens.select(key, *more, F.posexplode(shifted).alias("pos", "w")).select(key, *more, "pos", *(f"w.{x}{i}" for x in "cr" for i in range(WIDTH)))
 
 
-def _short(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+def _short(rows: DataFrame, key: str, lengths: list[int], *more: str) -> DataFrame:
     """(key, pos, h): a row per token and length of the run from there, hashed as it is."""
-    plain = rows.select(F.col(key), spaced(F.col("text")).alias("plain")).filter("plain <> ''")
-    tokens = plain.select(key, F.split(_bared(F.col("plain")), " ").alias("e"))
+    plain = rows.select(F.col(key), *more, spaced(F.col("text")).alias("plain")).filter("plain <> ''")
+    tokens = plain.select(key, *more, F.split(_bared(F.col("plain")), " ").alias("e"))
     runs = F.array(*(F.expr(f"xxhash64({n}, array_join(slice(e, pos + 1, {n}), ' '))") for n in lengths))
-    return tokens.select(key, "e", F.posexplode("e").alias("pos", "_")).select(key, "pos", F.explode(runs).alias("h"))
+    return tokens.select(key, *more, "e", F.posexplode("e").alias("pos", "_")).select(key, *more, "pos", F.explode(runs).alias("h"))
 
 
 def _hash(first: Column | str = "c0") -> Column:
@@ -81,75 +81,92 @@ def _own() -> Column:
     return F.xxhash64(F.lit("own"), _bared(F.concat_ws(" ", *RAW)))
 
 
+def _value(raw: str) -> Column:
+    """A raw token without the punctuation that the template drops."""
+    return F.ltrim(F.rtrim(F.col(raw), F.lit(".,;:!?\"'()[]")), F.lit("\"'(["))
+
+
+def _values() -> Column:
+    """What stands in a window's slots, separated by blanks."""
+    return F.concat_ws(" ", *(F.when(F.col(f"c{i}").isin(*SLOTS), _value(f"r{i}")) for i in range(WIDTH)))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(h, item_id, item_pos, literal, kinds, item_raw, n, soft) of all windows of n tokens; items repeated by id count as one text each."""
-    items = benchmark.filter("item_id is not null and text is not null").dropDuplicates(["item_id"]).select("item_id", "text")
+    """(h, item_id, item_text, item_pos, literal, kinds, values, n, soft) of all windows of n tokens; item_text tells the texts of an id apart."""
+    items = benchmark.filter("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("item_text"), "text").dropDuplicates(["item_id", "item_text"])
     # the first token as it is, after a word, and after a number
     after = lambda before: F.get(F.split(template(F.concat(F.lit(before), spaced(F.col("text")))), " "), F.lit(1))
-    rows = _windows(items.withColumn("firsts", F.array(after("x "), after("0 "))), "item_id", "firsts")
+    rows = _windows(items.withColumn("firsts", F.array(after("x "), after("0 "))), "item_id", "item_text", "firsts")
     forms = F.when(F.col("pos") == 0, F.array_distinct(F.concat(F.array("c0"), "firsts"))).otherwise(F.array("c0"))
     rows = rows.withColumn("_c0", F.explode(forms)).withColumn("soft", F.col("_c0") != F.col("c0")).withColumn("c0", F.col("_c0")).withColumn("literal", ~_slots_only())
-    kinds = F.array(*(F.when(F.col(f"c{i}").isin(*SLOTS), F.col(f"c{i}")) for i in range(WIDTH)))
-    long = rows.select(F.when(F.col("literal"), _hash()).otherwise(_own()).alias("h"), "item_id", F.col("pos").alias("item_pos"), "literal", kinds.alias("kinds"), F.array(*RAW).alias("item_raw"), F.lit(WIDTH).alias("n"), "soft")
+    kinds = F.filter(F.array(*(F.when(F.col(f"c{i}").isin(*SLOTS), F.col(f"c{i}")) for i in range(WIDTH))), lambda k: k.isNotNull())
+    long = rows.select(F.when(F.col("literal"), _hash()).otherwise(_own()).alias("h"), "item_id", "item_text", F.col("pos").alias("item_pos"), "literal", kinds.alias("kinds"), F.split(_values(), " ").alias("values"), F.lit(WIDTH).alias("n"), "soft")
     few = items.withColumn("n", F.size(F.split(spaced(F.col("text")), " "))).filter(F.col("n") < WIDTH)
+    none = F.expr("cast(array() as array<string>)")
     for n in range(1, WIDTH):
-        short = _short(few.filter(F.col("n") == n), "item_id", [n]).filter("pos = 0")
-        none = F.lit(None).cast("array<string>")
-        long = long.unionByName(short.select("h", "item_id", F.col("pos").alias("item_pos"), F.lit(True).alias("literal"), none.alias("kinds"), none.alias("item_raw"), F.lit(n).alias("n"), F.lit(False).alias("soft")))
+        short = _short(few.filter(F.col("n") == n), "item_id", [n], "item_text").filter("pos = 0")
+        long = long.unionByName(short.select("h", "item_id", "item_text", F.col("pos").alias("item_pos"), F.lit(True).alias("literal"), none.alias("kinds"), none.alias("values"), F.lit(n).alias("n"), F.lit(False).alias("soft")))
     return long
 
 
 def _document_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, r0..r4, h, soft): windows by template, with a capitalised first token also as a name; those of placeholders alone by their own tokens."""
-    rows = _windows(docs, "doc_id")
+    """(doc_id, doc_text, pos, h, soft, values): windows by template, with a capitalised first token also as a name; those of placeholders alone by their own tokens."""
+    rows = _windows(docs, "doc_id", "doc_text")
     name = r"^[\x22\x27(\[]*\p{Lu}[\p{Ll}\x27-]+"
     first = F.col("r0")
     # a word that begins a sentence is a literal here and may be a name in the item
-    named = F.regexp_replace(first, name, NAME)
     also = F.regexp_like(first, F.lit(name)) & ~F.contains("c0", F.lit(NAME))
-    either = F.when(also, F.array(_hash(), _hash(_bared(named)))).when(_slots_only(), F.array(_own())).otherwise(F.array(_hash()))
-    return rows.select("doc_id", "pos", *RAW, F.posexplode(either).alias("form", "h")).withColumn("soft", F.col("form") > 0).drop("form")
+    form = lambda h, soft, values: F.struct(h.alias("h"), F.lit(soft).alias("soft"), values.alias("values"))
+    firm = form(F.when(_slots_only(), _own()).otherwise(_hash()), False, _values())
+    forms = F.when(also, F.array(firm, form(_hash(_bared(F.regexp_replace(first, name, NAME))), True, F.rtrim(F.concat_ws(" ", _value("r0"), _values()))))).otherwise(F.array(firm))
+    return rows.select("doc_id", "doc_text", "pos", F.inline(forms))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, matched, windows, reparameterised) of each item that a document leaks.
 
     ``windows`` are all of the item's, or those with a token of their own where only of these enough are matched. Texts
-    without a word, null texts and rows without an id match nothing. Documents repeated by id count as one; of items
-    repeated by id one row counts. Other columns are not read.
+    without a word, null texts and rows without an id match nothing. The texts of a doc_id or item_id that is repeated count
+    each for itself; of the leaks found so the one with most matched windows is told. Other columns are not read.
+
+    Documents are joined as (id, position, hash, slot values), about 40 bytes a word, where the benchmark is too
+    large to be broadcast: its windows are counted first.
     """
     of_items = benchmark_windows(benchmark)
     counts = {r["n"]: r["count"] for r in of_items.groupBy("n").count().collect()}
-    totals = of_items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"), F.countDistinct(F.when(F.col("literal"), F.col("item_pos"))).alias("literals"))
-    known = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    # bare values: without the punctuation that the template drops
-    bare = lambda c: F.transform(c, lambda t: F.regexp_replace(t, r"^[\x22\x27(\[]+|[.,;:!?\x22\x27()\[\]]+$", ""))
-    slots = F.when(F.exists("kinds", lambda k: k.isNotNull()), F.filter(F.arrays_zip(F.col("kinds").alias("kind"), bare("item_raw").alias("item_value"), bare(F.array(*RAW)).alias("value")), lambda s: s["kind"].isNotNull()))
+    small = sum(counts.values()) <= BROADCAST_WINDOWS
+    item = ["item_id", "item_text"]
+    totals = of_items.groupBy(*item).agg(F.countDistinct("item_pos").alias("windows"), F.countDistinct(F.when(F.col("literal"), F.col("item_pos"))).alias("literals"))
+    known = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("doc_text"), "text")
+    zipped = F.arrays_zip(F.col("kinds").alias("kind"), F.col("values").alias("item_value"), F.split("_values", " ").alias("value"))
+    slots = F.when(F.size("kinds") > 0, zipped)
 
     def met(of_docs: DataFrame, of_items: DataFrame) -> DataFrame:
-        both = of_docs.withColumnRenamed("soft", "_soft").join(F.broadcast(of_items) if sum(counts.values()) <= BROADCAST_WINDOWS else of_items, "h")
-        return both.select("doc_id", "item_id", "item_pos", "literal", (F.col("soft") | F.col("_soft")).alias("soft"), (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
+        both = of_docs.withColumnsRenamed({"soft": "_soft", "values": "_values"}).join(F.broadcast(of_items) if small else of_items, "h")
+        return both.select("doc_id", "doc_text", *item, "item_pos", "literal", (F.col("soft") | F.col("_soft")).alias("soft"), (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
 
     hits = met(_document_windows(known), of_items.filter(F.col("n") == WIDTH))
     if lengths := sorted(n for n in counts if n < WIDTH):
-        short = _short(known, "doc_id", lengths).select("*", *(F.lit(None).cast("string").alias(r) for r in RAW), F.lit(False).alias("soft"))
+        short = _short(known, "doc_id", lengths, "doc_text").select("*", F.lit(False).alias("soft"), F.lit("").alias("values"))
         hits = hits.unionByName(met(short, of_items.filter(F.col("n") < WIDTH)))
     # an alignment has a few rows per window of the item; a window that only another form of its first token matched breaks no other
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("item_pos", "literal", "soft", F.coalesce("slots", F.array()).alias("slots"))).alias("hits"))
+    aligned = hits.groupBy("doc_id", "doc_text", *item, "shift").agg(F.collect_set(F.struct("item_pos", "literal", "soft", F.coalesce("slots", F.array()).alias("slots"))).alias("hits"))
     values = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda h: h["slots"])))
     aligned = aligned.withColumn("firm", values(F.filter("hits", lambda h: ~h["soft"]))).withColumn("every", values(F.col("hits")))
     clash = lambda s, known: F.exists(known, lambda o: (o["kind"] == s["kind"]) & (o["item_value"] == s["item_value"]) & (o["value"] != s["value"]))
     whole = F.filter("hits", lambda h: ~F.exists(h["slots"], lambda s: F.when(h["soft"], clash(s, F.col("every"))).otherwise(clash(s, F.col("firm")))))
-    sound = aligned.select("doc_id", "item_id", F.inline(whole))
+    sound = aligned.select("doc_id", "doc_text", *item, F.inline(whole))
     changed = F.coalesce(F.exists("slots", lambda s: s["item_value"] != s["value"]), F.lit(False))
-    found = sound.select("doc_id", "item_id", "item_pos", "literal", changed.alias("changed")).groupBy("doc_id", "item_id", "item_pos").agg(F.min("changed").alias("changed"), F.max("literal").alias("literal"))
-    found = found.groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"), F.count_if("literal").alias("by_literal"), F.max("changed").alias("reparameterised")).join(totals, "item_id")
+    found = sound.select("doc_id", "doc_text", *item, "item_pos", "literal", changed.alias("changed")).groupBy("doc_id", "doc_text", *item, "item_pos").agg(F.min("changed").alias("changed"), F.max("literal").alias("literal"))
+    found = found.groupBy("doc_id", "doc_text", *item).agg(F.count("*").alias("matched"), F.count_if("literal").alias("by_literal"), F.max("changed").alias("reparameterised")).join(totals, item)
     every, some = (100 * F.col(a) >= percent * F.col(b) for a, b in (("matched", "windows"), ("by_literal", "literals")))
     found = found.filter(every | some & (F.col("literals") > 0))
-    return found.select("doc_id", "item_id", F.when(every, F.col("matched")).otherwise(F.col("by_literal")).alias("matched"), F.when(every, F.col("windows")).otherwise(F.col("literals")).alias("windows"), "reparameterised")
+    told = F.struct(F.when(every, F.col("matched")).otherwise(F.col("by_literal")).alias("matched"), F.when(every, F.col("windows")).otherwise(F.col("literals")).alias("windows"), (~F.col("reparameterised")).alias("exact"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(told).alias("best"))
+    return best.select("doc_id", "item_id", "best.matched", "best.windows", (~F.col("best.exact")).alias("reparameterised"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns."""
-    leaks = benchmark_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("_leak"), "left_anti")
+    """The documents that leak no item, with all their columns; rows without an id or text stay."""
+    leaks = benchmark_leaks(docs, benchmark).select("doc_id").distinct().alias("leaks")
+    return docs.alias("docs").join(leaks, F.col("docs.doc_id") == F.col("leaks.doc_id"), "left_anti")
