@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text is built. A text is parsed from the left into phrases,
-each the longest match with some substring of that text plus nothing more; the language that needs the
-fewest phrases per character wins. Parsing runs over many texts at once: the automata become dense tables
-of (state, symbol) in which a missing transition leads where the symbol leads from the start, with a mark that
-counts a phrase.
+each the longest match with some substring of the labelled text, or one symbol that it hasn't. A phrase costs the bits that tell one
+of the labelled text's positions or one of all symbols, log2(positions + symbols), so that languages with samples of different
+length compare; the language that needs the fewest bits a symbol wins. Parsing runs over many texts at once: transitions by
+the most frequent letters of a language are a dense table of (state, letter), the others a sorted table. A missing
+transition leads where the letter leads from the start, with a mark that counts a phrase.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: labelled documents and code points per language, and languages.
+#: Bound of the training sample: labelled documents and code points per language.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 16_384
-MOST_LANGUAGES = 256
-#: Symbols with a code of their own; 0 ends a parse lane, 1 is any gap between words, 2 any other letter.
-SYMBOLS = 96
-GAP, RARE, FIRST = 1, 2, 3
-#: A text is parsed in lanes of so many symbols; the cut adds a phrase per lane, for all languages alike.
+#: Symbols: 0 ends a parse lane, 1 is any gap between words, 2 any letter that no sample has; then all letters of the samples.
+GAP, UNKNOWN, FIRST = 1, 2, 3
+#: Entries of the dense tables of all languages; what they can't hold is looked up in the sorted ones.
+DENSE_ENTRIES = 1 << 24
+MOST_DENSE = 96
+#: Symbols that are parsed side by side; where the parse before a lane ends is then carried over.
 LANE = 1024
 _LETTER = re.compile(r"[^\W\d_]")
 _BREAK = np.int32(1 << 30)
@@ -61,73 +63,137 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Automaton:
+    """Transitions of one language over its own codes: dense ones below ``width``, the others as sorted keys. States are offsets into the dense table."""
+
+    def __init__(self, codes: np.ndarray, alphabet: int, most_entries: int):
+        moves = suffix_automaton(codes.tolist())
+        # one more state, before a phrase: every code begins one, and those that the text hasn't lead back to it
+        outside = len(moves)
+        self.alphabet = alphabet
+        self.width = width = max(FIRST, min(MOST_DENSE, alphabet, most_entries // (outside + 1)))
+        first = np.full(alphabet, outside * width | _BREAK, np.int32)
+        for c, to in moves[0].items():
+            first[c] = to * width | _BREAK
+        table = np.tile(first[:width], (outside + 1, 1))
+        rest: list[tuple[int, int]] = []
+        for state, to in enumerate(moves):
+            for c, target in to.items():
+                if c < width:
+                    table[state, c] = target * width
+                else:
+                    rest.append((state * alphabet + c, target * width))
+        # from the start every code begins a phrase
+        table[0] = first[:width]
+        rest = sorted(x for x in rest if x[0] >= alphabet)
+        self.start, self.table, self.first = outside * width, table.ravel(), first
+        self.keys, self.targets = np.array([k for k, _ in rest], np.int64), np.array([t for _, t in rest], np.int32)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after one code each, marked where it begins a phrase."""
+        if self.width == self.alphabet:
+            return self.table[state + code]
+        dense = code < self.width
+        out = self.table[state + np.where(dense, code, 0)]
+        if not dense.all():
+            other = ~dense
+            key = state[other].astype(np.int64) // self.width * self.alphabet + code[other]
+            to = self.first[code[other]]
+            if len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to = np.where(self.keys[at] == key, self.targets[at], to)
+            out[other] = to
+        return out
+
+    def phrases(self, grid: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases begun in each lane (a column, by falling length); ``before`` is the lane that a lane goes on from, or -1.
+
+        All lanes are parsed from the start at once. Then those that go on from a lane are parsed again from its end, only until
+        both parses are in the same state, which is mostly soon; a lane that ends in another state than before hands that on.
+        """
+        state, count = np.full(len(lengths), self.start, np.int32), np.zeros(len(lengths), np.int64)
+        for row, n in zip(grid, np.searchsorted(-lengths, -np.arange(len(grid)), "left"), strict=True):
+            to = self.step(state[:n], row[:n])
+            count[:n] += to >> 30
+            state[:n] = to & ~_BREAK
+        entry = np.full(len(lengths), self.start, np.int32)
+        while True:
+            known = np.where(before >= 0, state[before], self.start)
+            lane = np.flatnonzero(known != entry)
+            if not len(lane):
+                return count
+            old, new = entry[lane], known[lane]
+            entry[lane] = new
+            for at in range(len(grid)):
+                ended = lengths[lane] == at
+                state[lane[ended]] = new[ended]
+                on = ~ended & (old != new)
+                lane, old, new = lane[on], old[on], new[on]
+                if not len(lane):
+                    break
+                a, b = self.step(old, grid[at, lane]), self.step(new, grid[at, lane])
+                count[lane] += (b >> 30) - (a >> 30)
+                old, new = a & ~_BREAK, b & ~_BREAK
+            else:
+                state[lane] = new
+
+
 class Model:
-    """Languages, the code of each character, and one dense table for all automata."""
+    """Languages, the symbol of each letter, and for each language its automaton and its code of each symbol, frequent ones first."""
 
-    def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS):
+    def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS, dense_entries: int = DENSE_ENTRIES):
         self.languages = sorted(samples)
         texts = {k: "\n".join(v).lower()[:sample_chars] for k, v in samples.items()}
-        often = Counter(c for t in texts.values() for c in t if c.isalpha())
-        kept = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - FIRST]]
-        self.code = {c: FIRST + i for i, c in enumerate(sorted(kept))}
-        self.width = FIRST + len(kept)
-        self._low = np.array([self._code(chr(c)) for c in range(0x10000)], np.uint8)
-        tables = []
-        self.starts = []
-        size = 0
-        for language in self.languages:
-            moves = suffix_automaton(self.encode(texts[language]).tolist())
-            # one more state, before a phrase: every symbol begins one, and those that no phrase holds lead back to it
-            outside = len(moves)
-            table = np.full((len(moves) + 1, self.width), -1, np.int32)
-            for state, to in enumerate(moves):
-                for c, target in to.items():
-                    table[state, c] = target
-            first = np.where(table[0] >= 0, table[0], outside) | _BREAK
-            table = np.where(table >= 0, table, first[None, :])
-            tables.append(table + np.int32(size))
-            self.starts.append(size + outside)
-            size += len(moves) + 1
-        # states as offsets into the flat table
-        flat = np.concatenate(tables) if tables else np.zeros((1, self.width), np.int32)
-        mark = flat & _BREAK
-        self.table = ((flat ^ mark) * self.width | mark).ravel().astype(np.int32)
-
-    def _code(self, c: str) -> int:
+        letters = sorted({c for t in texts.values() for c in t if c.isalpha()})
+        self.symbol = {c: FIRST + i for i, c in enumerate(letters)}
+        self._low = np.array([self._symbol(chr(c)) for c in range(0x10000)], np.int32)
+        every = FIRST + len(letters)
+        encoded = [self.encode(texts[k]) for k in self.languages]
+        most = dense_entries // max(1, 2 * sum(map(len, encoded)))  # an automaton has under two states a symbol
+        self.automata, self.codes = [], []
+        for text in encoded:
+            often = Counter(text[text >= FIRST].tolist())
+            code = np.full(every, UNKNOWN, np.int32)
+            code[:FIRST] = range(FIRST)
+            for i, (symbol, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))):
+                code[symbol] = FIRST + i
+            self.codes.append(code)
+            self.automata.append(Automaton(code[text], FIRST + len(often), most * (2 * len(text) + 2)))
+        #: bits of a phrase
+        self.bits = np.log2([len(t) + every for t in encoded])
+
+    def _symbol(self, c: str) -> int:
         c = c.lower()
-        return self.code.get(c[:1], RARE) if c.isalpha() else GAP
+        return self.symbol.get(c[:1], UNKNOWN) if c.isalpha() else GAP
 
     def encode(self, text: str) -> np.ndarray:
-        """Symbols of a text: gaps closed up to one, letters by their code."""
+        """Symbols of a text, with gaps closed up to one."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self._low[np.minimum(points, 0xFFFF)]
-        for i in np.flatnonzero(points > 0xFFFF):
-            codes[i] = self._code(chr(points[i]))
-        keep = np.ones(len(codes), bool)
-        keep[1:] = (codes[1:] != GAP) | (codes[:-1] != GAP)
-        return codes[keep]
+        symbols = self._low[np.minimum(points, 0xFFFF)]
+        if len(beyond := np.flatnonzero(points > 0xFFFF)):
+            values, at = np.unique(points[beyond], return_inverse=True)
+            symbols[beyond] = np.array([self._symbol(chr(c)) for c in values], np.int32)[at]
+        keep = np.ones(len(symbols), bool)
+        keep[1:] = (symbols[1:] != GAP) | (symbols[:-1] != GAP)
+        return symbols[keep]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """(text, language): phrases that the parse of each text begins."""
+        """(text, language): phrases that the parse of each text has."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        lanes = [(i, t[a : a + LANE]) for i, t in enumerate(texts) for a in range(0, len(t), LANE)]
-        lanes.sort(key=lambda x: -len(x[1]))
-        if not lanes or not self.languages:
+        lanes = [(i, a, t[a : a + LANE]) for i, t in enumerate(texts) for a in range(0, len(t), LANE)]
+        if not lanes:
             return out
-        owner = np.array([i for i, _ in lanes])
-        lengths = np.array([len(t) for _, t in lanes])
+        order = sorted(range(len(lanes)), key=lambda j: -len(lanes[j][2]))
+        place = np.empty(len(lanes), np.int64)
+        place[order] = np.arange(len(lanes))
+        before = np.array([place[j - 1] if lanes[j][1] else -1 for j in order])
+        lanes = [lanes[j] for j in order]
+        owner, lengths = np.array([i for i, _, _ in lanes]), np.array([len(t) for _, _, t in lanes])
         grid = np.zeros((int(lengths[0]), len(lanes)), np.int32)
-        for j, (_, t) in enumerate(lanes):
+        for j, (_, _, t) in enumerate(lanes):
             grid[: len(t), j] = t
-        alive = np.searchsorted(-lengths, -np.arange(len(grid)), "left")  # lanes longer than each step
-        for k, start in enumerate(self.starts):
-            state = np.full(len(lanes), start * self.width, np.int32)
-            count = np.zeros(len(lanes), np.int64)
-            for step, n in enumerate(alive):
-                to = self.table[state[:n] + grid[step, :n]]
-                count[:n] += to >> 30
-                state[:n] = to & ~_BREAK
-            np.add.at(out[:, k], owner, count)
+        for k, (automaton, code) in enumerate(zip(self.automata, self.codes, strict=True)):
+            np.add.at(out[:, k], owner, automaton.phrases(code[grid], lengths, before))
         return out
 
 
@@ -137,12 +203,12 @@ def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
     if not model.languages:
         return told
-    counts = model.phrases([model.encode(texts[i]) for i in some])
-    for i, row in zip(some, counts, strict=True):
+    bits = model.phrases([model.encode(texts[i]) for i in some]) * model.bits
+    for i, row in zip(some, bits, strict=True):
         order = np.argsort(row, kind="stable")
-        best = int(row[order[0]])
-        rest = int(row[order[1]]) if len(order) > 1 else 2 * best
-        told[i] = (model.languages[order[0]], 1.0 - best / max(rest, 1))
+        best = row[order[0]]
+        rest = row[order[1]] if len(order) > 1 else 2 * best
+        told[i] = (model.languages[order[0]], float(1.0 - best / rest))
     return told
 
 
@@ -154,20 +220,17 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit the automata on a bounded sample of the labelled documents that aren't held out.
 
-    The most frequent MOST_LANGUAGES languages are learned; of each, the whole texts of the ``sample_docs``
-    documents with the smallest hash of their id, until ``sample_chars`` code points are reached.
+    Every language that has one is learned: the texts of the ``sample_docs`` documents with the smallest hash of their id, until
+    ``sample_chars`` code points are reached. What reaches the driver is bounded by these two a language.
     """
-    from pyspark.sql import Window
-
     known = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
-    ids = known.select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h"))
-    names = [r[0] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    ids = known.select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct()
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = [r[0] for r in ids.filter(F.col("lang").isin(names)).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs).select("doc_id").distinct().collect()]
-    rows = known.filter(F.col("doc_id").isin(chosen)).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).collect()
+    chosen = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs).select("lang", "doc_id")
+    rows = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct().collect()
     samples: dict[str, list[str]] = {}
     for lang, text, _ in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
-        if lang in names and sum(map(len, samples.get(lang, []))) < sample_chars:
+        if sum(map(len, samples.get(lang, []))) < sample_chars:
             samples.setdefault(lang, []).append(text)
     return Model(samples, sample_chars)
 
@@ -186,7 +249,7 @@ def _in_parts(model: Model, texts: list[str | None], most: int = 2_000_000) -> l
 
 def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents with a language, which becomes their ``lang``; 'und' ones go. All columns stay."""
-    model = model or learn(docs)  # goes with the tasks; bounded by MOST_LANGUAGES * SAMPLE_CHARS
+    model = model or learn(docs)  # goes with the tasks; its size is that of the samples and of DENSE_ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,11 +263,11 @@ def in_known_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def identify_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
-    Only the text is used for a prediction. The score is 1 - phrases(best) / phrases(second). A null or
+    Only the text is used for a prediction. The score is 1 - bits(best) / bits(second). A null or
     letterless text is 'und' with score 0, ties go to the first language by name; repeated rows each give a
     row; other columns are not read.
     """
-    model = model or learn(docs)  # goes with the tasks; bounded by MOST_LANGUAGES * SAMPLE_CHARS
+    model = model or learn(docs)  # goes with the tasks; its size is that of the samples and of DENSE_ENTRIES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

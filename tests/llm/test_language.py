@@ -71,3 +71,40 @@ def test_edges(spark):
 def test_classify_bounds():
     assert classify(Model({}), ["a"]) == [("und", 0.0)]
     assert classify(Model({"x": ["abc"]}), ["abc", "1"])[1] == ("und", 0.0)
+
+
+def test_long_texts_are_parsed_whole_and_sparse_tables_agree():
+    r = random.Random(3)
+    samples = {"a": ["".join(r.choice("abcde fgh") for _ in range(3000))], "b": ["ab" * 40 + " cde" * 60], "c": ["a"]}
+    texts = ["".join(r.choice("abcdefgh x") for _ in range(5000)), "abcde" * 2000, "a" * 3000 + "b" * 3000, "ab " * 1500 + "z", ""]
+    for entries in (0, 1 << 14, 1 << 24):
+        model = Model(samples, dense_entries=entries)
+        codes = [model.encode(t) for t in texts]
+        got = model.phrases(codes).tolist()
+        for k, language in enumerate(model.languages):
+            train = "".join(map(chr, model.encode(samples[language][0])))
+            assert [row[k] for row in got] == [phrases("".join(map(chr, c)), train) for c in codes], (entries, language)
+
+
+def test_scripts_and_a_small_sample():
+    """Every script has letters of its own, and neither a large alphabet nor a tiny sample draws texts to it."""
+    r = random.Random(4)
+
+    def text(letters, n, seed):
+        words = ["".join(random.Random(seed * 1000 + i).choice(letters) for _ in range(2 + i % 5)) for i in range(400)]
+        return " ".join(r.choice(words) for _ in range(n))
+
+    scripts = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "hi": "अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह", "zh": "".join(chr(0x4E00 + i) for i in range(1500)), "ja": "".join(chr(0x4E00 + i) for i in range(700, 2200)), "pl": "aąbcćdeęfghijklłmnńoóprsśtuwyzźż", "cs": "aábcčdďeéěfghiíjklmnňoóprřsštťuúůvyýzž"}
+    model = Model({k: [text(v, 3000, i)] for i, (k, v) in enumerate(scripts.items())} | {"xx": ["hapax"]})
+    for i, (language, letters) in enumerate(scripts.items()):
+        told = classify(model, [text(letters, 60, i) for _ in range(20)])
+        assert sum(k == language for k, _ in told) >= 19, language
+
+
+def test_samples_of_different_length():
+    r = random.Random(5)
+    words = {k: ["".join(r.choice("aeinrst") for _ in range(r.randint(2, 7))) for _ in range(300)] for k in "pq"}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    model = Model({"p": [text("p", 3000)], "q": [text("q", 400)]})
+    for k in "pq":
+        assert sum(x == k for x, _ in classify(model, [text(k, 80) for _ in range(50)])) >= 49
