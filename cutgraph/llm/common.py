@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java pattern of the separators between words, and of a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -52,6 +54,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once: an expression in a lambda is evaluated wherever it stands, a variable isn't."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; the same in every process."""
 

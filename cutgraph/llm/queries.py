@@ -67,13 +67,23 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> o THEN o END AS refers_to
         FROM f""",
     "op3_chat": r"""
-        WITH RECURSIVE known AS (SELECT conv_id, turn, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
-             line AS (SELECT conv_id, turn, unnest(ls) AS t FROM known),
-             part AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(t, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, lower(trim(regexp_replace(regexp_replace(t, '^(?:[ \t]*>)+', ''), '\s+', ' ', 'g'))) AS p FROM line),
-             quoted AS (SELECT conv_id, turn, p, min(level) AS level FROM part WHERE level > 0 AND p <> '' GROUP BY ALL),
-             own AS (SELECT DISTINCT conv_id, turn, p FROM part WHERE level = 0 AND p <> ''),
-             source AS (SELECT q.conv_id, q.turn, q.p, q.level, max(o.turn) AS source FROM quoted q JOIN own o ON o.conv_id = q.conv_id AND o.p = q.p AND o.turn < q.turn GROUP BY ALL),
-             vote AS (SELECT conv_id, turn, source, level = 1 AS direct, sum(length(p)) AS chars FROM source GROUP BY ALL),
+        WITH RECURSIVE known AS (SELECT row_number() OVER () AS r, conv_id, turn, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+             line AS (SELECT r, conv_id, turn, unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM known),
+             part AS (SELECT r, conv_id, turn, i, length(regexp_replace(regexp_extract(t, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level, lower(trim(regexp_replace(regexp_replace(t, '^(?:[ \t]*>)+', ''), '\s+', ' ', 'g'))) AS p FROM line),
+             turns AS (SELECT *, coalesce(level <> lag(level) OVER (PARTITION BY r ORDER BY i), true) AS begins FROM part),
+             runs AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY r ORDER BY i) AS g FROM turns),
+             passage AS (SELECT conv_id, turn, level, string_agg(p, ' ' ORDER BY i) AS p FROM runs WHERE level > 0 AND p <> '' GROUP BY r, conv_id, turn, level, g
+                 UNION ALL SELECT conv_id, turn, level, p FROM part WHERE level > 0 AND p <> '' AND len(string_split(p, ' ')) < 5),
+             cut AS (SELECT conv_id, turn, p, min(level) AS level, string_split(p, ' ') AS w FROM passage GROUP BY conv_id, turn, p),
+             quoted AS (SELECT DISTINCT conv_id, turn, p, level, unnest(CASE WHEN len(w) < 5 THEN [p] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS k FROM cut),
+             said AS (SELECT r, conv_id, turn, list(p ORDER BY i) AS ls, string_split(string_agg(p, ' ' ORDER BY i), ' ') AS w FROM part WHERE level = 0 AND p <> '' GROUP BY r, conv_id, turn),
+             own AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS k FROM said
+                 UNION SELECT conv_id, turn, k FROM (SELECT conv_id, turn, unnest(flatten(list_transform(range(1, len(ls) + 1), lambda i: [array_to_string(ls[i:i], ' '), array_to_string(ls[i:i + 1], ' '), array_to_string(ls[i:i + 2], ' '), array_to_string(ls[i:i + 3], ' ')]))) AS k FROM said) WHERE len(string_split(k, ' ')) < 5),
+             found AS (SELECT q.conv_id, q.turn, q.p, q.level, q.k, max(o.turn) AS source FROM quoted q JOIN own o ON o.conv_id = q.conv_id AND o.k = q.k AND o.turn < q.turn GROUP BY ALL),
+             hits AS (SELECT conv_id, turn, p, level, source, count(*) AS hits FROM found GROUP BY ALL),
+             sizes AS (SELECT conv_id, turn, p, count(*) AS n FROM quoted GROUP BY ALL),
+             best AS (SELECT h.* FROM hits h JOIN sizes s ON s.conv_id = h.conv_id AND s.turn = h.turn AND s.p = h.p WHERE 2 * hits >= n QUALIFY row_number() OVER (PARTITION BY h.conv_id, h.turn, h.p ORDER BY hits DESC, source DESC) = 1),
+             vote AS (SELECT conv_id, turn, source, level = 1 AS direct, sum(length(p)) AS chars FROM best GROUP BY ALL),
              link AS (SELECT conv_id, turn, source AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY direct DESC, chars DESC, source DESC) AS r FROM vote) WHERE r = 1),
              chain AS (SELECT conv_id, turn, reply_to AS up, 1 AS depth FROM link UNION ALL SELECT c.conv_id, c.turn, l.reply_to, c.depth + 1 FROM chain c JOIN link l ON l.conv_id = c.conv_id AND l.turn = c.up),
              top AS (SELECT conv_id, turn, min(up) AS thread, max(depth) AS depth FROM chain GROUP BY ALL)

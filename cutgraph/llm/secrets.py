@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound
+
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,8 +58,7 @@ def _fold(items: Column, start: Column, made: str, step: Callable[[Column, Colum
         blocks = F.aggregate(numbers, F.struct(start.alias("state"), F.expr(f"cast(array() as array<array<{made}>>)").alias("out")), block)
         return F.flatten(blocks["out"])
 
-    # a lambda's variable is evaluated once, an expression wherever it stands
-    return F.get(F.transform(F.array(items), folded), F.lit(0))
+    return bound(items, folded)
 
 
 def _matches(text: Column, kind: str, pattern: str, trace: str) -> Column:

@@ -66,3 +66,51 @@ def test_against_the_oracle(spark):
     got = linked(spark, rows)
     assert sorted(told) == sorted(got)
     assert sum(r[3] is not None for r in got) > 50
+
+
+def test_partial_rewrapped_and_mixed_quotes(spark):
+    first = "We met on the old bridge at noon. Then it began to rain and we went home by the river road."
+    rows = [
+        (1, 0, "u", first),
+        (1, 1, "u", "Something else was said here by someone else again."),
+        (1, 2, "u", "> Then it began to rain and we went home\nReally?"),
+        (1, 3, "u", "> We met on\n> the old bridge\n> at noon. Then it\n> began to rain\nI saw you."),
+        (1, 4, "u", ">> We met on the old bridge\n> I saw\n> you.\nWhere?"),
+        (1, 5, "u", "> one two three four five six began to rain and we\nno"),
+        (1, 6, "u", "> Something else was said here\n> Really?\nboth"),
+    ]
+    got = {t: up for _, t, _, up, _, _ in linked(spark, rows)}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 3, 5: None, 6: 1}
+
+
+def test_random_quotes_against_the_oracle(spark):
+    import random
+
+    r = random.Random(9)
+    rows, words = [], [f"w{i}" for i in range(9)]
+    for conv in range(30):
+        said: list[list[str]] = []
+        for turn in range(10):
+            quotes = []
+            for _ in range(r.randint(0, 2) if said else 0):
+                source = r.choice(said)
+                a = r.randrange(len(source))
+                piece, depth = source[a : a + r.randint(1, 14)], r.randint(1, 2)
+                while piece:
+                    n = r.randint(1, 6)
+                    quotes.append(">" * depth + r.choice(["", " "]) + r.choice([" ", "  "]).join(piece[:n]))
+                    piece = piece[n:]
+            own = [r.choice(words) for _ in range(r.randint(1, 20))]
+            said.append(own)
+            text, rest = "", list(own)
+            while rest:
+                n = r.randint(1, 7)
+                text, rest = text + " ".join(rest[:n]) + r.choice(["\n", "\n\n", "\r\n"]), rest[n:]
+            rows.append((conv, turn, "user", "\n".join(quotes) + "\n" + text))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    told = con.execute(f"SELECT conv_id, turn, text, reply_to, thread, depth FROM ({ORACLES['op3_chat']})").fetchall()
+    got = linked(spark, rows)
+    assert sorted(told) == sorted(got)
+    assert sum(r[3] is not None for r in got) > 100
