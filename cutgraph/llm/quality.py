@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,7 +30,6 @@ RULES = (
     ("long_words", "word_chars", "n_words", True),
     ("short_words", "word_chars", "n_words", False),
 )
-STRATA = ("en", "fr", "de", "es")
 #: Bad documents that a good one is worth when cutoffs are compared.
 GOOD_WEIGHT = 10
 #: Cutoffs tried per rule: steps of the scale below, laxest first.
@@ -76,27 +75,38 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", "stratum", *COUNTS])
 
 
-def document_counts(docs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
-    """(doc_id, stratum, COUNTS) of every row; stratum is lang where listed, else 'other'."""
-    stratum = F.when(F.col("lang").isin(*strata), F.col("lang")).otherwise("other")
-    return docs.select("doc_id", stratum.alias("stratum"), F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, stratum, COUNTS) of every row; the stratum is lang, or '' for null."""
+    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").cast("binary").alias("text")).mapInArrow(_counted, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (modified Lentz method)."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta(1.0 - x, b, a)
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), tiny)
+    whole, m, change = d, 0, 0.0
+    while abs(change - 1.0) > 1e-15 and m < 1_000_000:
+        m += 1
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d or tiny)
+            c = 1.0 + term / c or tiny
+            change = c * d
+            whole *= change
+    return whole * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
 
 
 def upper_bound(failures: int, n: int, delta: float) -> float:
     """Clopper-Pearson: the largest rate at which ``failures`` or fewer of n have probability delta."""
     if n == 0 or failures >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(failures + 1)]
-
-    def tail(p: float) -> float:
-        terms = [c + k * math.log(p) + (n - k) * math.log1p(-p) for k, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     low, high = failures / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        if mid >= 1.0 or tail(mid) <= delta:
+        if _beta(1.0 - mid, n - failures, failures + 1) <= delta:
             high = mid
         else:
             low = mid
@@ -134,21 +144,26 @@ def _step(num: str, den: str, high: bool) -> Column:
     return F.least(F.lit(STEPS), F.floor(F.lit(STEPS) * a / b))
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, strata: tuple[str, ...] = STRATA) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts and verdict of every document.
 
-    Null text counts as empty; null or unlisted lang is stratum 'other'; labels of unknown documents,
+    Each value of lang is a stratum, null is one. Null text counts as empty; labels of unknown documents,
     with null doc_id or null quality are ignored; a repeated label counts once, good winning. Without
     labels no rule rejects beyond the base. Repeated rows each give a row. Other columns are not read.
 
-    The table that reaches the driver has 2 x (len(strata) + 1) x rules x (STEPS + 1) rows at most.
+    A stratum in which even no failure among all of its good labels would prove anything gets no cutoff and isn't
+    counted as a test. So a table of 2 x rules x (STEPS + 1) rows for each 458 good labels (at the default risk) is
+    the most that reaches the driver, and that only if each language has so few.
     """
-    counts = Scratch(spark, "quality").save(document_counts(docs, strata))
+    counts = Scratch(spark, "quality").save(document_counts(docs))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good"))
     held = counts.filter(~base).join(known, F.col("doc_id") == F.col("_id"))
     steps = F.array(*(F.struct(F.lit(name).alias("rule"), _step(n, d, high).cast("long").alias("step")) for name, n, d, high in RULES))
-    table = held.select("stratum", "good", F.explode(steps).alias("s")).groupBy("stratum", "good", "s.rule", "s.step").count().collect()
+    cells = held.select("stratum", "good", F.explode(steps).alias("s")).groupBy("stratum", "good", "s.rule", "s.step").count()
+    least = math.log(delta / len(RULES)) / math.log1p(-risk / len(RULES))
+    size = F.sum(F.when(F.col("good") & (F.col("rule") == RULES[0][0]), F.col("count")).otherwise(0)).over(Window.partitionBy("stratum"))
+    table = cells.withColumn("size", size).filter(F.col("size") >= least).drop("size").collect()
     total: dict[str, int] = {}
     rejected: dict[bool, dict[tuple[str, str], list[int]]] = {True: {}, False: {}}
     for stratum, good, rule, step, n in table:
@@ -161,7 +176,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, risk:
     chosen = choose_cutoffs(rejected[True], rejected[False], total, risk, delta)
     bad = F.lit(False)
     for name, num, den, high in RULES:
-        for stratum in (*strata, "other"):
-            if (i := chosen.get((stratum, name))) is not None:
-                bad |= (F.col("stratum") == stratum) & (_step(num, den, high) >= STEPS - i)
+        if cut := {stratum: STEPS - i for (stratum, rule), i in chosen.items() if rule == name}:
+            from_step = F.create_map(*(F.lit(x) for pair in sorted(cut.items()) for x in pair))[F.col("stratum")]
+            bad |= F.coalesce(_step(num, den, high) >= from_step, F.lit(False))
     return counts.select("doc_id", *COUNTS, base.alias("base_failed"), (~base & ~bad).alias("kept"))

@@ -85,3 +85,66 @@ def test_without_labels_or_rows(spark):
     assert [r.kept for r in quality_rules(spark, docs, none).collect()] == [False]  # repeats fail the base
     assert quality_rules(spark, docs.limit(0), none).collect() == []
     assert len(RULES) == 5
+
+
+def test_bound_of_large_counts_is_quick():
+    import time
+
+    began = time.time()
+    for k, n in ((10**6, 10**8), (5 * 10**5, 10**6), (0, 10**9), (10**8 - 1, 10**8)):
+        p = upper_bound(k, n, 1e-4)
+        # normal approximation, of a relative 1e-2 at these sizes
+        if 1000 < k < n - 1000:
+            assert abs(p - k / n - 3.719 * (k / n * (1 - k / n) / n) ** 0.5) < 1e-2 * (p - k / n) + 1e-9
+    assert time.time() - began < 5
+
+
+def test_verdict_against_brute_force(spark):
+    """Cutoffs looked for one by one from every labelled document's own shares, in three languages of their own strata."""
+    import math
+
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(9000):
+        lang = ("fi", "fi", None, "tlh" if i % 30 == 0 else "sv")[i % 4]
+        good = r.random() < 0.8
+        mark = ("#" * r.choice([0, 0, 0, 0, 1]) if good else "#" * r.choice([0, 1, 3, 9])) if lang != "sv" else "###"
+        rows.append((i, " ".join(f"w{r.randint(0, 10**6)}{mark}{'x' * (r.choice([0, 20, 40]) if not good and lang is None else 0)}" for _ in range(r.choice([50, 60, 80]))), lang))
+        if i % 10:
+            labels.append((i, int(good), 0))
+    out = {x.doc_id: x for x in quality_rules(spark, spark.createDataFrame([(*x, "") for x in rows], DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    count = {i: brute(t) for i, t, _ in rows}
+    lang = {i: k for i, _, k in rows}
+    quality = {i: q for i, q, _ in labels}
+
+    def step(i, rule):
+        words, chars, symbols, dup, repeat = count[i]
+        if rule == "long_words":
+            return min(STEPS, max(0, 2 * chars // max(1, words) - 20))
+        if rule == "short_words":
+            return min(STEPS, max(0, 20 - 4 * chars // max(1, words)))
+        a, b = {"symbols": (symbols, chars), "repeats": (repeat, words), "dup_lines": (dup, words)}[rule]
+        return min(STEPS, STEPS * a // max(1, b))
+
+    passed = [i for i in count if count[i][0] >= 50 and 2 * count[i][4] <= count[i][0]]
+    strata = [k for k in set(lang.values()) if sum(lang[i] == k and quality.get(i) == 1 for i in passed) >= math.log(0.01) / math.log(0.99)]
+    assert set(strata) == {"fi", "sv", None}
+    want = dict.fromkeys(passed, True)
+    for k in strata:
+        good, bad = ([i for i in passed if lang[i] == k and quality.get(i) == q] for q in (1, 0))
+        for rule, *_ in RULES:
+            best, cut = 0, None
+            for at in range(STEPS, 0, -1):
+                lost = sum(step(i, rule) >= at for i in good)
+                # exact tail at the risk itself: below the corrected error, or the search ends
+                tail = sum(math.comb(len(good), j) * 0.01**j * 0.99 ** (len(good) - j) for j in range(lost + 1)) if lost < 200 else 1
+                if tail > 0.05 / (5 * len(strata)):
+                    break
+                worth = sum(step(i, rule) >= at for i in bad) - 10 * lost
+                if worth > best:
+                    best, cut = worth, at
+            for i in passed:
+                if lang[i] == k and cut is not None and step(i, rule) >= cut:
+                    want[i] = False
+    assert {i: out[i].kept for i in passed} == want and 500 < sum(not x for x in want.values()) < 2500
+    assert all(not out[i].kept for i in count if i not in want)
