@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ CHUNK = 1 << 16
 #: An archive is closed when it has so many bytes; one record may go beyond.
 ARCHIVE_BYTES = 4 << 20
 LEAST_REVISIT = 100
+#: Every record has to have a date; a fixed one gives the same archives each time.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -27,6 +31,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     revisit = refers_to is not None
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Date", DATE),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(len(payload))),
@@ -36,7 +41,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if revisit:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     body = b"" if revisit else payload
-    head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
+    head += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(body).hexdigest() if revisit else digest}"), ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     raw = "WARC/1.1\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + body + b"\r\n\r\n"
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(raw) + packer.flush()
@@ -72,7 +77,7 @@ def members(chunks: Iterable[bytes]) -> Iterator[Iterator[bytes]]:
 def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record; framing by Content-Length.
 
-    A member with a wrong frame, or a response whose block hasn't the digest named, raises ValueError.
+    A member with a wrong frame, or a block that hasn't the digest or the length named, raises ValueError.
     """
     for pieces in members(chunks):
         buffer = b""
@@ -97,9 +102,12 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byte
             piece = next(pieces, None)
         if need or tail != b"\r\n\r\n":
             raise ValueError("the record isn't as long as its Content-Length")
-        said = head.get("warc-payload-digest", "").removeprefix("sha256:")
-        if head["warc-type"] == "response" and said and said != digest.hexdigest():
+        response = head["warc-type"] == "response"
+        told = [head.get("warc-block-digest"), head.get("warc-payload-digest") if response else None]
+        if any(t and t.startswith("sha256:") and t != f"sha256:{digest.hexdigest()}" for t in told):
             raise ValueError(f"digest of {head.get('warc-record-id')} differs")
+        if response and int(head.get("x-payload-length", length)) != length:
+            raise ValueError(f"length of {head.get('warc-record-id')} differs")
         yield head, b"".join(block)
 
 
@@ -129,10 +137,38 @@ def write_warc(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    first = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null")
-    known = rows.join(first.select(F.col("digest").alias("_d"), "refers_to"), F.col("digest") == F.col("_d"), "left")
-    own = F.when(F.col("page_id").eqNullSafe(F.col("refers_to")), None).otherwise(F.col("refers_to"))
-    return known.select("page_id", "url", "html", "digest", own.alias("refers_to")).mapInArrow(_archives, "content binary")
+    ids = rows.filter(F.octet_length("html") >= LEAST_REVISIT).select("digest", "page_id")
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").select("digest", "refers_to")
+    # ids alone meet on the digest; pages then on both, so that neither a payload nor an id of many rows is one key
+    later = ids.join(first, "digest").filter("page_id is null or page_id <> refers_to").distinct().select(F.col("digest").alias("_d"), F.col("page_id").alias("_p"), "refers_to")
+    no_id = F.lit(-(2**63))
+    known = rows.join(later, (F.col("digest") == F.col("_d")) & (F.coalesce("page_id", no_id) == F.coalesce("_p", no_id)), "left")
+    return known.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_archives, "content binary")
+
+
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each archive as a file ``.warc.gz`` in a folder that all executors reach; (path, bytes) of the files.
+
+    ``folder`` is a URI or an absolute path. A file is named by its content and appears under its name when it is whole, so
+    that a task that runs again changes nothing. Nothing is written before an action on the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for cell in batch.column(0):
+                content = cell.as_buffer()
+                path, part = f"{root}/{hashlib.sha256(content).hexdigest()}.warc.gz", f"{root}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(part, compression=None) as out:
+                    out.write(content)
+                files.move(part, path)
+                paths.append(path)
+                sizes.append(content.size)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return archives.select("content").mapInArrow(run, "path string, bytes long")
 
 
 _FIELDS = (("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary()))

@@ -1,8 +1,9 @@
+import gzip
 import hashlib
 
 import pytest
 
-from cutgraph.llm.warc import read_records, read_warc, warc_record, warc_round_trip, write_warc
+from cutgraph.llm.warc import export_archives, read_records, read_warc, warc_record, warc_round_trip, write_warc
 
 SCHEMA = "page_id long, url string, html string, record_type string"
 
@@ -38,3 +39,24 @@ def test_damage_is_told():
 
 def test_empty(spark):
     assert warc_round_trip(spark, spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_exported_files_are_plain_gzip(spark, tmp_path):
+    rows = [(i, f"http://x/{i % 4}", "page " * (i % 5 + 30) if i % 3 else None) for i in range(40)] + [(None, None, "page " * 31), (7, "u", "page " * 31)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives = write_warc(pages)
+    files = export_archives(archives, str(tmp_path / "out")).collect()
+    assert [r.path for r in export_archives(archives, str(tmp_path / "out")).collect()] == [r.path for r in files]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted({r.path.rsplit("/", 1)[1] for r in files})
+    text = b"".join(gzip.open(r.path).read() for r in files)
+    assert text.count(b"WARC/1.1\r\n") == text.count(b"WARC-Date: ") == len(rows)
+    back = read_warc(spark.read.format("binaryFile").load(str(tmp_path / "out")))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, read_warc(archives).collect()))
+
+
+def test_wrong_lengths_and_digests():
+    good = warc_record(1, "u", b"body", hashlib.sha256(b"body").hexdigest(), None)
+    raw = gzip.decompress(good)
+    for old, new in ((b"body", b"bodx"), (b"X-Payload-Length: 4", b"X-Payload-Length: 5"), (b"Content-Length: 4", b"Content-Length: 3")):
+        with pytest.raises(ValueError):
+            list(read_records([gzip.compress(raw.replace(old, new))]))
