@@ -83,9 +83,12 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
         raise ValueError("capacity must be positive")
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.lower(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
-    rows = docs.select("doc_id", "source", F.md5(plain.cast("binary")).alias("cluster"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"))
+    rows = docs.select("doc_id", "source", F.md5(plain.cast("binary")).alias("cluster"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("row"))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int"))
+    # an id of many rows, such as null, would be one shard
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, shard_rows // 4)).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"))
+    rows = rows.join(often, (F.coalesce("doc_id", F.lit(-1)) == F.col("_id")) & (F.col("doc_id").isNull() == F.col("_null")), "left")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.when(F.col("_id").isNotNull(), F.col("row"))), F.lit(shards)).cast("int"))
     n = F.greatest(F.lit(1), F.ceil(F.col("words") / capacity)).cast("int")
     pieces = rows.select("shard", "doc_id", "source", F.when(F.col("words") > 0, F.col("cluster")).alias("cluster"), "words", F.explode(F.sequence(F.lit(0), n - 1)).alias("piece"))
     first = F.col("piece").cast("long") * capacity

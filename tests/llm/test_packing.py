@@ -54,3 +54,15 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_an_id_of_many_rows_is_many_shards(spark):
+    rows = [(None if i % 2 else 7, "same text", "s", "", 0) for i in range(3000)] + [(100 + i, f"a b {i}", None, "", 0) for i in range(1000)]
+    out = pack_documents(spark.createDataFrame(rows, SCHEMA), capacity=50, shard_rows=100).collect()
+    assert len(out) == 4000 and sum(r.n_words for r in out) == 9000
+    shards = defaultdict(int)
+    for r in out:
+        shards[r.bin.split("-")[0]] += 1
+    assert len(shards) == 40 and max(shards.values()) < 200
+    copies = [r.bin for r in out if r.cluster and r.doc_id in (None, 7)]
+    assert len(copies) == len(set(copies))
