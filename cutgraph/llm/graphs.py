@@ -26,4 +26,5 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         new, before = scratch.save(new), labels
         labels = new
         scratch.drop(before)
+    scratch.drop(both)
     return labels.select("node", F.col("l").alias("component"))

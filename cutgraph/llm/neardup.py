@@ -230,6 +230,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     if not twice.isEmpty():
         links = links.union(known.join(twice, "doc_id", "left_semi").join(classes.select("digest", "x"), "digest").select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
     final = components(scratch, links)
+    for table in (lists, members, sets, near, opened, twice):
+        scratch.drop(table)  # the labels are written, and the result reads no other
     found = classes.select("digest", "x").join(final, F.col("x") == F.col("node"), "left").select("digest", F.coalesce("component", "x").alias("component"))
     rows = every.select("doc_id", "n", "digest").join(found, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
@@ -237,6 +239,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, with all their columns; rows without doc_id stay."""
-    gone = near_duplicates(spark, docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents that stay, one of each group, with all their columns; rows without doc_id stay, and so does each row of a doc_id that stays."""
+    gone = near_duplicates(spark, docs, width, percent).filter("not kept").select("doc_id").alias("gone")
+    return docs.alias("docs").join(gone, F.col("docs.doc_id") == F.col("gone.doc_id"), "left_anti")
