@@ -34,7 +34,8 @@ def spaced(text: Column) -> Column:
 
 def _bared(text: Column) -> Column:
     """The text in lower case, without punctuation at the ends of its tokens."""
-    return F.lower(F.regexp_replace(text, r"[.,;:!?\x22\x27()\[\]]+(?=\x20|$)|(?<=\x20|^)[\x22\x27(\[]+", ""))
+    # each alternative begins with a character class, which fails fast on letters
+    return F.lower(F.regexp_replace(text, r"[.,;:!?\x22\x27()\[\]]+(?=\x20|$)|[\x22\x27(\[](?<=(?:\x20|^).)[\x22\x27(\[]*", ""))
 
 
 def _marked(plain: Column) -> Column:
@@ -110,16 +111,20 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _document_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_text, pos, h, soft, values): windows by template, with a capitalised first token also as a name; those of placeholders alone by their own tokens."""
+    """(doc_id, doc_text, pos, c0..c4, r0..r4, h, soft): windows by template, with a capitalised first token also as a name; those of placeholders alone by their own tokens."""
     rows = _windows(docs, "doc_id", "doc_text")
     name = r"^[\x22\x27(\[]*\p{Lu}[\p{Ll}\x27-]+"
     first = F.col("r0")
     # a word that begins a sentence is a literal here and may be a name in the item
-    also = F.regexp_like(first, F.lit(name)) & ~F.contains("c0", F.lit(NAME))
-    form = lambda h, soft, values: F.struct(h.alias("h"), F.lit(soft).alias("soft"), values.alias("values"))
-    firm = form(F.when(_slots_only(), _own()).otherwise(_hash()), False, _values())
-    forms = F.when(also, F.array(firm, form(_hash(_bared(F.regexp_replace(first, name, NAME))), True, F.rtrim(F.concat_ws(" ", _value("r0"), _values()))))).otherwise(F.array(firm))
-    return rows.select("doc_id", "doc_text", "pos", F.inline(forms))
+    also = (first != F.col("c0")) & ~F.contains("c0", F.lit(NAME)) & F.regexp_like(first, F.lit(name))
+    own = F.when(_slots_only(), _own()).otherwise(_hash())
+    either = F.when(also, F.array(own, _hash(_bared(F.regexp_replace(first, name, NAME))))).otherwise(F.array(own))
+    return rows.select("*", F.posexplode(either).alias("form", "h")).withColumn("soft", F.col("form") > 0).drop("form")
+
+
+def _document_values() -> Column:
+    """_values() of a row of _document_windows, whose first token is a name too where it is matched as one."""
+    return F.when(F.col("_soft"), F.rtrim(F.concat_ws(" ", _value("r0"), _values()))).otherwise(_values())
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -141,14 +146,18 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     zipped = F.arrays_zip(F.col("kinds").alias("kind"), F.col("values").alias("item_value"), F.split("_values", " ").alias("value"))
     slots = F.when(F.size("kinds") > 0, zipped)
 
-    def met(of_docs: DataFrame, of_items: DataFrame) -> DataFrame:
-        both = of_docs.withColumnsRenamed({"soft": "_soft", "values": "_values"}).join(F.broadcast(of_items) if small else of_items, "h")
+    def met(of_docs: DataFrame, of_items: DataFrame, values: Column) -> DataFrame:
+        of_docs = of_docs.withColumnRenamed("soft", "_soft")
+        if small:
+            both = of_docs.join(F.broadcast(of_items), "h").withColumn("_values", values)
+        else:
+            both = of_docs.select("doc_id", "doc_text", "pos", "h", "_soft", values.alias("_values")).join(of_items, "h")
         return both.select("doc_id", "doc_text", *item, "item_pos", "literal", (F.col("soft") | F.col("_soft")).alias("soft"), (F.col("pos") - F.col("item_pos")).alias("shift"), slots.alias("slots"))
 
-    hits = met(_document_windows(known), of_items.filter(F.col("n") == WIDTH))
+    hits = met(_document_windows(known), of_items.filter(F.col("n") == WIDTH), _document_values())
     if lengths := sorted(n for n in counts if n < WIDTH):
-        short = _short(known, "doc_id", lengths, "doc_text").select("*", F.lit(False).alias("soft"), F.lit("").alias("values"))
-        hits = hits.unionByName(met(short, of_items.filter(F.col("n") < WIDTH)))
+        short = _short(known, "doc_id", lengths, "doc_text").withColumn("soft", F.lit(False))
+        hits = hits.unionByName(met(short, of_items.filter(F.col("n") < WIDTH), F.lit("")))
     # an alignment has a few rows per window of the item; a window that only another form of its first token matched breaks no other
     aligned = hits.groupBy("doc_id", "doc_text", *item, "shift").agg(F.collect_set(F.struct("item_pos", "literal", "soft", F.coalesce("slots", F.array()).alias("slots"))).alias("hits"))
     values = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda h: h["slots"])))
