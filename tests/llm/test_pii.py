@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from cutgraph.llm.pii import added_spans, find_spans, joined, query_pii, redact_pii, redacted
+from cutgraph.llm.pii import added_spans, find_spans, joined, plain_form, query_pii, redact_pii, redacted, traced
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -134,3 +135,12 @@ def test_planted_disguises_against_the_plain_text(seed):
         want.append((kind, len(text), len(text) + len(hidden)))
         text += hidden + r.choice([" then.\n", ", yes; ", "\n\n"])
     assert sorted(added_spans(text, find_spans(text))) == sorted(want)
+
+
+def test_the_quick_trace_misses_no_disguise():
+    r = random.Random(12)
+    parts = ["one", "ONE", "fünf", "Zéro", "un", "siete", "x", "é", " ", " ", "-", ", ", ".", "7", "12", "plus ", "Plus", "(at)", "[DOT]", " dot ", "\tDOT\t", "<@>", "{.}", "а", "Ｋ", "\u200b", "\u00ad", "ſix", "\n", "one", "@"]
+    texts = ["".join(r.choice(parts[:22]) if r.random() < 0.97 else r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(20_000)]
+    hidden = [plain_form(t) is not None for t in texts]
+    assert not [t for t, a, b in zip(texts, hidden, traced(pa.array(texts)), strict=True) if a and not b]
+    assert 2000 < sum(hidden) < 18_000
