@@ -1,7 +1,9 @@
 """Interval algebra as window chains and bucketed equi-joins.
 
-Running maxima and sums go over chunks first and over the chunks' totals then, so that one long media item
-isn't one task; overlap joins meet in time buckets, so that no inequality becomes a nested loop.
+Running maxima and sums are windows over a media item: every operator of a chain has the same partitioning, so that a plan has
+one exchange and no join of a table with itself. Items grow in number with the data and each is bounded by its length in
+time; windows from the first row on run as streams over sorted rows that can spill. Overlap joins meet in time buckets,
+so that no inequality becomes a nested loop.
 """
 
 from __future__ import annotations
@@ -9,30 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of the chunks of running aggregates, in units of the order column (microseconds or ids).
-CHUNK = 600_000_000
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, before: bool = True) -> DataFrame:
+    """``out``: the greatest ``value`` of the rows before each (up to it, if not ``before``), by the total ``order`` within ``keys``."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    return df.withColumn(out, F.max(value).over(w))
 
-def running_max(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunk: int = CHUNK, before: bool = True) -> DataFrame:
-    """``out``: the greatest ``value`` of the rows before each (up to it, if not ``before``), by ``order`` within ``keys``.
 
-    ``order[0]`` is an integer time; ties go by the rest of ``order``, which must be total.
-    """
-    cut = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk).cast("long"))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    local = cut.withColumn("_local", F.max(value).over(within))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.max(value).alias("_total")).withColumn("_carry", F.max("_total").over(earlier)).drop("_total")
-    return local.join(totals, [*keys, "_chunk"]).withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", "_chunk")
-
-
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str, chunk: int = 10_000) -> DataFrame:
-    """``out``: the sum of ``value`` up to each row, by the integer ``order`` within ``keys``."""
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total")).withColumn("_carry", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
-    return cut.withColumn("_local", F.sum(value).over(within)).join(totals, [*keys, "_chunk"]).withColumn(out, F.col("_local") + F.col("_carry")).drop("_local", "_carry", "_chunk")
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` up to each row, by ``order`` within ``keys``."""
+    return df.withColumn(out, F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def with_next(df: DataFrame, keys: list[str], start: str, tie: str, last: int, out: str = "next_us") -> DataFrame:
@@ -40,12 +28,21 @@ def with_next(df: DataFrame, keys: list[str], start: str, tie: str, last: int, o
     return df.withColumn(out, F.lead(start, 1, last).over(Window.partitionBy(*keys).orderBy(start, tie)))
 
 
-def gaps(df: DataFrame, keys: list[str], duration: int, least: int) -> DataFrame:
-    """(keys, start_us, end_us) of the parts of [0, duration] that no interval covers, of ``least`` or more."""
-    seen = running_max(df.select(*keys, "start_us", "end_us", "id"), keys, ["start_us", "id"], "end_us", "_seen")
-    inner = seen.select(*keys, F.coalesce("_seen", F.lit(0)).alias("start_us"), F.col("start_us").alias("end_us"))
-    tail = df.groupBy(*keys).agg(F.max("end_us").alias("start_us")).withColumn("end_us", F.lit(duration).cast("long"))
-    return inner.unionByName(tail).filter(f"end_us - start_us >= {least}")
+def gaps(df: DataFrame, keys: list[str], duration: int, least: int, items: DataFrame | None = None) -> DataFrame:
+    """(keys, start_us, end_us) of the parts of [0, duration] that no interval covers, of ``least`` or more.
+
+    ``items`` has the keys of all media items: those without any interval are a gap as a whole. Without it they don't show.
+    """
+    spans = df.select(*keys, "start_us", "end_us", F.col("id").cast("long").alias("id"))
+    end = F.lit(duration).cast("long")
+    if items is not None:
+        spans = spans.unionByName(items.select(*keys).distinct().select(*keys, end.alias("start_us"), end.alias("end_us"), F.lit(None).cast("long").alias("id")))
+    seen = running_max(spans, keys, ["start_us", "id"], "end_us", "_seen")
+    last = F.lead("start_us").over(Window.partitionBy(*keys).orderBy("start_us", "id")).isNull()
+    gap = lambda a, b: F.struct(a.alias("start_us"), b.alias("end_us"))
+    before = gap(F.coalesce("_seen", F.lit(0).cast("long")), F.col("start_us"))
+    both = F.when(last, F.array(before, gap(F.greatest("_seen", "end_us"), end))).otherwise(F.array(before))
+    return seen.select(*keys, both.alias("_gaps")).select(*keys, F.inline("_gaps")).filter(f"end_us - start_us >= {least}")
 
 
 def merge(df: DataFrame, keys: list[str], gap: int, aggs: list[Column] | None = None, tie: str = "id", strict: bool = False) -> DataFrame:
@@ -57,14 +54,14 @@ def merge(df: DataFrame, keys: list[str], gap: int, aggs: list[Column] | None =
     seen = running_max(df, keys, order, "end_us", "_seen")
     apart = F.col("start_us") - F.col("_seen")
     first = F.col("_seen").isNull() | ((apart >= gap) if strict else (apart > gap))
-    marked = seen.withColumn("_first", F.when(first, F.struct(*order)))
-    island = running_max(marked, keys, order, "_first", "_island", before=False)
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    island = seen.withColumn("_island", F.sum(F.when(first, 1).otherwise(0)).over(so_far))
     return island.groupBy(*keys, "_island").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), *(aggs or [])).drop("_island")
 
 
-def complement(df: DataFrame, keys: list[str], duration: int, least: int = 1) -> DataFrame:
-    """What the intervals leave of [0, duration]; items without any interval don't show."""
-    return gaps(df, keys, duration, least)
+def complement(df: DataFrame, keys: list[str], duration: int, least: int = 1, items: DataFrame | None = None) -> DataFrame:
+    """What the intervals leave of [0, duration]; the whole of those ``items`` that have none."""
+    return gaps(df, keys, duration, least, items)
 
 
 def _buckets(df: DataFrame, start: str, end: str, width: int) -> DataFrame:

@@ -29,14 +29,16 @@ def bm25_index(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFram
 def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, raw, score, rank): the k best documents of each query with a positive score.
 
-    ``queries`` (query_id, query) are few; repeated words of a query count again. The score is raw / 10, at most 1.
+    ``queries`` are (query_id, query); repeated words of a query count again. The score is raw / 10, at most 1.
     """
     postings, idf, totals = index
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = postings.join(F.broadcast(asked), "term").join(idf, "term").crossJoin(F.broadcast(totals))
+    # the asked terms first: only their postings go on; the optimiser broadcasts the queries if they are few
+    asked = asked.join(idf, "term")
+    hits = postings.join(asked, "term").crossJoin(F.broadcast(totals))
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = hits.groupBy("query_id", "id").agg(F.sum(part).alias("raw")).withColumn("raw", F.floor(F.col("raw") * 1e6 + 0.5) / 1e6).filter("raw > 0")
+    raw = hits.groupBy("query_id", "id").agg(F.sum(part).alias("raw")).withColumn("raw", F.floor(F.col("raw") * 1e5 + 0.5) / 1e5).filter("raw > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
     return raw.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "raw", F.least(F.col("raw") / 10, F.lit(1.0)).alias("score"), "rank")
 
@@ -53,23 +55,23 @@ def channel_order(channel: Column) -> Column:
 
 
 def fuse(segments: DataFrame, threshold: float = 0.35, band: tuple[float, float] = (0.35, 0.55), base: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion of segments (channel, id, start_us, end_us, score, evidence).
+    """Weighted reciprocal-rank fusion of segments (media_id, channel, id, start_us, end_us, score, evidence), within each media item.
 
     Segments of a channel rank by falling score, then start, end and id. Those whose times agree to 10 ms are
     one; each adds weight / (base + rank + 1). The sum times base, at most 1, is the score; under half the threshold it is
     dropped, in the band it needs confirmation. Times are those seen first: by channel, then rank.
     """
-    by_score = Window.partitionBy("channel").orderBy(F.desc("score"), "start_us", "end_us", "id")
+    by_score = Window.partitionBy("media_id", "channel").orderBy(F.desc("score"), "start_us", "end_us", "id")
     ranked = segments.withColumn("r", F.row_number().over(by_score) - 1)
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
     key = lambda c: F.expr(f"({c} + 5000) div 10000")
     seq = F.struct(channel_order(F.col("channel")).alias("c"), "r")
-    parts = ranked.select(key("start_us").alias("ks"), key("end_us").alias("ke"), "start_us", "end_us", seq.alias("seq"), (weight / (base + F.col("r") + 1)).alias("w"), "evidence", "channel")
-    fused = parts.groupBy("ks", "ke").agg(
+    parts = ranked.select("media_id", key("start_us").alias("ks"), key("end_us").alias("ke"), "start_us", "end_us", seq.alias("seq"), (weight / (base + F.col("r") + 1)).alias("w"), "evidence", "channel")
+    fused = parts.groupBy("media_id", "ks", "ke").agg(
         F.sum("w").alias("sum"), F.min_by(F.struct("start_us", "end_us"), "seq").alias("first"),
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"]).alias("evidence"), F.countDistinct("channel").alias("channels"),
     )
-    scored = fused.select("first.start_us", "first.end_us", F.least(F.floor(base * F.col("sum") * 1e6 + 0.5) / 1e6, F.lit(1.0)).alias("score"), "evidence", "channels")
+    scored = fused.select("media_id", "first.start_us", "first.end_us", F.least(F.floor(base * F.col("sum") * 1e6 + 0.5) / 1e6, F.lit(1.0)).alias("score"), "evidence", "channels")
     return scored.filter(F.col("score") >= threshold / 2).withColumn("needs_confirmation", (F.col("score") >= band[0]) & (F.col("score") <= band[1]))

@@ -1,30 +1,42 @@
 """Algorithms whose every step depends on the one before: pure Python cores, run per media item.
 
-Each core takes and returns plain lists; ``per_media`` runs one in a task per item. An item's rows are bounded by its
-length in time, not by the corpus.
+Each core takes and returns plain lists; ``per_media`` runs it for one item after the other as sorted rows stream through a
+task. An item's rows are bounded by its length in time, not by the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 S = 1_000_000
+#: Rows that leave a task in one batch.
+BATCH = 4096
 
 
 def per_media(df: DataFrame, key: str, order: list[str], core: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """Rows of each key, sorted, through ``core``; ``schema`` starts with the key, which is filled in."""
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    """Rows of each key, sorted, through ``core``; ``schema`` starts with the key, which is filled in.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").to_dict("records")
-        out = pd.DataFrame(core(rows), columns=[n for n in names if n != key])
-        out.insert(0, key, pdf[key].iloc[0])
-        return out[names]
+    Many items share a batch, so that small ones cost no call each; memory holds one item and one batch.
+    """
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for value, rows in groupby((row for batch in batches for row in batch.to_pylist()), lambda r: r[key]):
+            made += [{key: value} | x for x in core(list(rows))]
+            while len(made) >= BATCH:
+                yield pa.RecordBatch.from_pylist(made[:BATCH], out)
+                made = made[BATCH:]
+        if made:
+            yield pa.RecordBatch.from_pylist(made, out)
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def retake_clusters(utts: list[dict], similar: Callable[[dict, dict], float], least: float = 0.87, near: int = 5 * S, far: int = 120 * S) -> list[dict]:
@@ -37,7 +49,7 @@ def retake_clusters(utts: list[dict], similar: Callable[[dict, dict], float], le
         members = [i]
         for j in range(i + 1, len(utts)):
             b = utts[j]
-            gap = b["start_us"] - a["end_us"]
+            gap = b["start_us"] - a["start_us"]
             if gap > far:
                 break
             da, db = a["end_us"] - a["start_us"], b["end_us"] - b["start_us"]

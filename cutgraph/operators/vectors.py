@@ -31,12 +31,13 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id: str, vector: str) -> DataFrame:
-    """(query_id, id, score, rank) of the k best vectors of each query; ``queries`` is small and is broadcast.
+    """(query_id, id, score, rank) of the k best vectors of each query; every query meets every vector, in blocks.
 
-    Each partition keeps the k best of a query before anything is shuffled.
+    The optimiser broadcasts the queries if their size allows that and pairs partitions with partitions if not; each task keeps the
+    k best of a query before anything is shuffled.
     """
     from pyspark.sql import Window
 
-    scored = vectors.crossJoin(F.broadcast(queries.select(query_id, F.col(vector).alias("_q")))).select(query_id, id, inner(vector, "_q").alias("score"))
+    scored = vectors.crossJoin(queries.select(query_id, F.col(vector).alias("_q"))).select(query_id, id, inner(vector, "_q").alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

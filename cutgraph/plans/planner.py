@@ -24,12 +24,15 @@ def clamped(df: DataFrame, duration: int) -> DataFrame:
     return c.filter(F.col("end_us") - F.col("start_us") > LEAST)
 
 
-def removals(remove: DataFrame, keep_only: DataFrame | None, duration: int) -> DataFrame:
-    """What goes: the hits of 'remove', and what a positive filter doesn't hit; merged at LEAST."""
+def removals(remove: DataFrame, keep_only: DataFrame | None, duration: int, items: DataFrame | None = None) -> DataFrame:
+    """What goes: the hits of 'remove', and what a positive filter doesn't hit; merged at LEAST.
+
+    With a filter, ``items`` are all media items: one without a hit goes as a whole.
+    """
     parts = remove.select("media_id", "start_us", "end_us")
     if keep_only is not None:
         kept = iv.merge(keep_only.select("media_id", "start_us", "end_us").distinct().withColumn("id", F.lit(0)), M, 100_000)
-        parts = parts.unionByName(iv.complement(kept.withColumn("id", F.lit(0)), M, duration))
+        parts = parts.unionByName(iv.complement(kept.withColumn("id", F.lit(0)), M, duration, items=items))
     return iv.merge(clamped(parts, duration).distinct().withColumn("id", F.lit(0)), M, LEAST)
 
 

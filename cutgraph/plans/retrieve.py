@@ -104,6 +104,6 @@ def derived_moments(kb) -> DataFrame:
 
 
 def merged_hits(fused: DataFrame, threshold: float, gap: int = 1_000_000) -> DataFrame:
-    """Fused segments at the threshold or above, neighbours merged with their best score."""
-    kept = fused.filter(F.col("score") >= threshold).select(F.lit(0).alias("_all"), "start_us", "end_us", "score", F.lit(0).alias("id"))
-    return iv.merge(kept, ["_all"], gap, [F.max("score").alias("score"), F.count("*").alias("n")]).drop("_all")
+    """Fused segments at the threshold or above, neighbours of a media item merged with their best score."""
+    kept = fused.filter(F.col("score") >= threshold).select("media_id", "start_us", "end_us", "score", F.lit(0).alias("id"))
+    return iv.merge(kept, ["media_id"], gap, [F.max("score").alias("score"), F.count("*").alias("n")])

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 #: The knowledge base as common table expressions, each after those that it reads.
 PRELUDE = {
-    "sig": """SELECT user_id % 15 AS media_id, event_id AS id, user_id, event_type, value, props, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS start_us,
+    "sig": """SELECT user_id AS media_id, event_id AS id, user_id, event_type, value, props, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS start_us,
         (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 + CAST(floor(value * 100 + 0.5) AS BIGINT) * 200 AS end_us FROM events""",
     "silences": """SELECT media_id, a AS start_us, b AS end_us FROM (
         SELECT media_id, coalesce(max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, start_us AS b FROM sig

@@ -45,10 +45,9 @@ def normalize_prompt(kb: KB) -> DataFrame:
 
 
 @query(rf"""SELECT doc_id, NOT regexp_matches(trim(t), '(?i)\b(?:{"|".join(scalar.EDIT_VERBS)})\b') AND (ends_with(trim(t), '?') OR regexp_matches(trim(t), '(?i)^(?:{"|".join(scalar.ASKING)})\b')) AS is_question
-    FROM (SELECT doc_id, substring(text, 1, 40) || CASE WHEN doc_id % 2 = 0 THEN '?' ELSE '' END AS t FROM documents)""")
+    FROM (SELECT doc_id, text AS t FROM documents)""")
 def is_question(kb: KB) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 2 == 0, "?").otherwise(""))
-    return kb.table("documents").select("doc_id", scalar.is_question(t).alias("is_question"))
+    return kb.table("documents").select("doc_id", scalar.is_question(F.col("text")).alias("is_question"))
 
 
 PROMPTS = ("Remove filler words.", "cut silences over 2.5s", "remove all the pauses", "please remove retakes", "remove ums", "keep only speech", "remove topics about pricing", "keep only scenes with person:anna", "make it shorter", "make this under 30 seconds", "cut to the beat", "match cut", "Create a trailer-style cut.", "make it cinematic", "build tension", "focus on me", "focus on the product", "make it suitable for TikTok", "something else")
@@ -106,10 +105,10 @@ def classify_label(kb: KB) -> DataFrame:
 
 
 @query("""SELECT event_id, unnest(CASE event_id % 3 WHEN 0 THEN ['the pricing part', 'the price part', 'the cost part', 'the rates part', 'the subscription part', 'the charge part']
-    WHEN 1 THEN ['awkward sponsor', 'pause sponsor', 'silence sponsor', 'stumble sponsor', 'repeat sponsor'] ELSE ['else'] END) AS query FROM events WHERE event_id < 3000""")
+    WHEN 1 THEN ['awkward sponsor', 'pause sponsor', 'silence sponsor', 'stumble sponsor', 'repeat sponsor'] ELSE ['else'] END) AS query FROM events""")
 def expand_query(kb: KB) -> DataFrame:
     q = F.get(F.array(F.lit("the pricing part"), F.lit("awkward sponsor"), F.lit("else")), (F.col("event_id") % 3).cast("int"))
-    return kb.table("events").filter("event_id < 3000").select("event_id", F.explode(scalar.expanded(q)).alias("query"))
+    return kb.table("events").select("event_id", F.explode(scalar.expanded(q)).alias("query"))
 
 
 @query(r"""SELECT w AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 20""")

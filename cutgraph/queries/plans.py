@@ -25,13 +25,13 @@ def _keeps(kb: KB) -> DataFrame:
 @query("""WITH k AS (SELECT media_id, start_us, end_us FROM scenes WHERE is_broll), s AS (SELECT *, max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM k),
     i AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 100000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM s), u AS (SELECT media_id, min(start_us) AS start_us, max(end_us) AS end_us FROM i GROUP BY media_id, g),
     c AS (SELECT media_id, coalesce(max(end_us) OVER (PARTITION BY media_id ORDER BY start_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, start_us AS b FROM u UNION ALL SELECT media_id, max(end_us), 2600000000 FROM u GROUP BY 1),
-    r AS (SELECT media_id, a AS start_us, b AS end_us FROM c WHERE b > a UNION ALL SELECT media_id, start_us, end_us FROM silences), q AS (SELECT DISTINCT * FROM r WHERE end_us - start_us > 10000),
+    r AS (SELECT media_id, a AS start_us, b AS end_us FROM c WHERE b > a UNION ALL SELECT DISTINCT media_id, 0, 2600000000 FROM sig WHERE media_id NOT IN (SELECT media_id FROM u) UNION ALL SELECT media_id, start_us, end_us FROM silences), q AS (SELECT DISTINCT * FROM r WHERE end_us - start_us > 10000),
     s2 AS (SELECT *, max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM q),
     i2 AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 10000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM s2)
     SELECT media_id, min(start_us) AS start_us, max(end_us) AS end_us FROM i2 GROUP BY media_id, g""")
 def removals(kb: KB) -> DataFrame:
     """'Remove silences' with 'keep only b-roll'."""
-    return planner.removals(kb.silences, kb.scenes.filter("is_broll").select("media_id", "start_us", "end_us"), DURATION)
+    return planner.removals(kb.silences, kb.scenes.filter("is_broll").select("media_id", "start_us", "end_us"), DURATION, kb.items)
 
 
 @query(f"WITH {_KEEPS} SELECT media_id, CAST(sum(end_us - start_us) AS BIGINT) AS kept_us, count(*) AS clip_count, floor((1 - sum(end_us - start_us) / 2600000000) * 1e4 + 0.5) / 1e4 AS removal_ratio FROM keeps GROUP BY 1")

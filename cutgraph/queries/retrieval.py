@@ -83,11 +83,11 @@ def object_scenes(kb: KB) -> DataFrame:
     return kb.scenes.select("media_id", "id").join(hits, ["media_id", "id"]).withColumn("score", r6("score"))
 
 
-_SEGMENTS = """SELECT 'structured' AS channel, id, start_us, end_us, intensity AS score FROM scenes WHERE intensity > 0.9
-    UNION ALL SELECT 'keyword', id, start_us, end_us, importance FROM scenes WHERE location = 'loc1' UNION ALL SELECT 'vector', id, start_us, end_us, motion FROM scenes WHERE motion > 0.8
-    UNION ALL SELECT 'metadata', id, start_us, end_us, 0.9 FROM scenes WHERE is_broll AND story_role = 'hook'"""
-_RRF = f"""c AS ({_SEGMENTS}), k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, start_us, end_us, id) - 1 AS r, CASE channel WHEN 'structured' THEN 0 WHEN 'keyword' THEN 1 WHEN 'vector' THEN 2 ELSE 3 END AS o, CASE channel WHEN 'structured' THEN 3.0::DOUBLE WHEN 'metadata' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM c),
-    f AS (SELECT (start_us + 5000) // 10000 AS ks, (end_us + 5000) // 10000 AS ke, least(floor(60 * sum(w / (60 + r + 1)) * 1e6 + 0.5) / 1e6, 1.0) AS score, arg_min(start_us, o * 1000000 + r) AS start_us, arg_min(end_us, o * 1000000 + r) AS end_us, string_agg(channel || ':' || id, ',' ORDER BY o, r) AS evidence, count(DISTINCT channel) AS channels FROM k GROUP BY 1, 2)"""
+_SEGMENTS = """SELECT media_id, 'structured' AS channel, id, start_us, end_us, intensity AS score FROM scenes WHERE intensity > 0.9
+    UNION ALL SELECT media_id, 'keyword', id, start_us, end_us, importance FROM scenes WHERE location = 'loc1' UNION ALL SELECT media_id, 'vector', id, start_us, end_us, motion FROM scenes WHERE motion > 0.8
+    UNION ALL SELECT media_id, 'metadata', id, start_us, end_us, 0.9 FROM scenes WHERE is_broll AND story_role = 'hook'"""
+_RRF = f"""c AS ({_SEGMENTS}), k AS (SELECT *, row_number() OVER (PARTITION BY media_id, channel ORDER BY score DESC, start_us, end_us, id) - 1 AS r, CASE channel WHEN 'structured' THEN 0 WHEN 'keyword' THEN 1 WHEN 'vector' THEN 2 ELSE 3 END AS o, CASE channel WHEN 'structured' THEN 3.0::DOUBLE WHEN 'metadata' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM c),
+    f AS (SELECT media_id, (start_us + 5000) // 10000 AS ks, (end_us + 5000) // 10000 AS ke, least(floor(60 * sum(w / (60 + r + 1)) * 1e6 + 0.5) / 1e6, 1.0) AS score, arg_min(start_us, o * 1000000 + r) AS start_us, arg_min(end_us, o * 1000000 + r) AS end_us, string_agg(channel || ':' || id, ',' ORDER BY o, r) AS evidence, count(DISTINCT channel) AS channels FROM k GROUP BY 1, 2, 3)"""
 
 
 def _segments(kb: KB) -> DataFrame:
@@ -97,7 +97,7 @@ def _segments(kb: KB) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query(f"WITH {_RRF} SELECT start_us, end_us, score, evidence, channels, score >= 0.35 AND score <= 0.55 AS needs_confirmation FROM f WHERE score >= 0.175")
+@query(f"WITH {_RRF} SELECT media_id, start_us, end_us, score, evidence, channels, score >= 0.35 AND score <= 0.55 AS needs_confirmation FROM f WHERE score >= 0.175")
 def rrf(kb: KB) -> DataFrame:
     return search.fuse(_segments(kb)).withColumn("evidence", F.array_join("evidence", ","))
 
@@ -108,11 +108,11 @@ def ask_topk(kb: KB) -> DataFrame:
     return _segments(kb).select("channel", "id", r6("score").alias("score")).orderBy(F.desc("score"), "id", "channel").limit(10)
 
 
-@query(f"""WITH {_RRF}, t AS (SELECT * FROM f WHERE score >= 0.175 AND score >= 0.35), i AS (SELECT *, max(end_us) OVER (ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t),
-    g AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 1000000 THEN 1 ELSE 0 END) OVER (ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM i)
-    SELECT min(start_us) AS start_us, max(end_us) AS end_us, max(score) AS score, count(*) AS n FROM g GROUP BY g""")
+@query(f"""WITH {_RRF}, t AS (SELECT * FROM f WHERE score >= 0.175 AND score >= 0.35), i AS (SELECT *, max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t),
+    g AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM i)
+    SELECT media_id, min(start_us) AS start_us, max(end_us) AS end_us, max(score) AS score, count(*) AS n FROM g GROUP BY media_id, g""")
 def hybrid_retrieve(kb: KB) -> DataFrame:
-    """Channels, fusion, the threshold, and the merge of neighbours, over one timeline."""
+    """Channels, fusion, the threshold, and the merge of neighbours, in each media item."""
     return retrieve.merged_hits(search.fuse(_segments(kb)), 0.35)
 
 
@@ -136,12 +136,12 @@ _INNER = "list_inner_product({a}.embedding::DOUBLE[], {b}.embedding::DOUBLE[])"
 
 
 @query(f"""SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM (
-    SELECT q.vec_id AS query_id, v.vec_id, floor({_INNER.format(a="q", b="v")} * 1e6 + 0.5) / 1e6 AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (3, 5, 8)))
+    SELECT q.vec_id AS query_id, v.vec_id, floor({_INNER.format(a="q", b="v")} * 1e6 + 0.5) / 1e6 AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0))
     WHERE rank <= 20 AND score >= greatest(0.15, best - 0.5)""")
 def vector_topk(kb: KB) -> DataFrame:
     """Exact search with an absolute and a relative cut-off."""
     v = kb.vectors
-    q = v.filter(F.col("vec_id").isin(3, 5, 8)).select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     hits = vectors.top_k(q, v, 20, "query_id", "vec_id", "embedding")
     best = F.max("score").over(Window.partitionBy("query_id"))
     return hits.withColumn("best", best).filter(F.col("score") >= F.greatest(F.lit(0.15), F.col("best") - 0.5)).select("query_id", "vec_id", r6("score").alias("score"), "rank")
@@ -167,12 +167,13 @@ def people_pairs(kb: KB) -> DataFrame:
     return near.select("a", "b", (F.floor(vectors.inner("x", "y") * 1e5 + 0.5) / 1e5).alias("similarity")).filter("similarity > 0.2")
 
 
-@query(f"SELECT a.vec_id AS tail, b.vec_id AS head, floor({_INNER.format(a='a', b='b')} * 1e5 + 0.5) / 1e5 AS similarity, floor({_INNER.format(a='a', b='b')} * 1e5 + 0.5) / 1e5 >= 0.72 AS match FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND b.vec_id % 25 = 1 AND a.label = b.label")
+@query(f"""WITH e AS (SELECT vec_id // 200 AS reel, vec_id // 10 AS scene, arg_min(embedding, vec_id) AS f, arg_max(embedding, vec_id) AS l, min(vec_id) AS head, max(vec_id) AS tail FROM embeddings GROUP BY 1, 2)
+    SELECT tail, head, similarity, similarity >= 0.72 AS match FROM (SELECT x.tail, y.head, floor(list_inner_product(x.l::DOUBLE[], y.f::DOUBLE[]) * 1e5 + 0.5) / 1e5 AS similarity FROM e x JOIN e y ON x.reel = y.reel AND x.scene <> y.scene)""")
 def match_matrix(kb: KB) -> DataFrame:
-    """Tails against heads within an identity."""
-    a = kb.vectors.filter("vec_id % 25 = 0").select("label", F.col("vec_id").alias("tail"), F.col("embedding").alias("x"))
-    b = kb.vectors.filter("vec_id % 25 = 1").select("label", F.col("vec_id").alias("head"), F.col("embedding").alias("y"))
-    s = a.join(b, "label").select("tail", "head", (F.floor(vectors.inner("x", "y") * 1e5 + 0.5) / 1e5).alias("similarity"))
+    """Each scene's last frame against the first frames of the other scenes of its reel (here: twenty scenes of ten vectors)."""
+    e = kb.vectors.groupBy(F.expr("vec_id div 200").alias("reel"), F.expr("vec_id div 10").alias("scene")).agg(F.min_by("embedding", "vec_id").alias("f"), F.max_by("embedding", "vec_id").alias("l"), F.min("vec_id").alias("head"), F.max("vec_id").alias("tail"))
+    y = e.select("reel", F.col("scene").alias("other"), "f", "head")
+    s = e.select("reel", "scene", "l", "tail").join(y, "reel").filter("scene <> other").select("tail", "head", (F.floor(vectors.inner("l", "f") * 1e5 + 0.5) / 1e5).alias("similarity"))
     return s.withColumn("match", F.col("similarity") >= 0.72)
 
 

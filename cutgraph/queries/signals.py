@@ -41,7 +41,7 @@ def mouth_audio_corr(kb: KB) -> DataFrame:
     return g.select("media_id", (F.floor(F.greatest(F.lit(0.0), F.col("c")) * 1e5 + 0.5) / 1e5).alias("corr"), "n")
 
 
-_BOX = "SELECT l_orderkey AS frame, l_linenumber AS box, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + l_quantity AS x1, l_suppkey % 50 + l_quantity AS y1 FROM lineitem WHERE l_orderkey % 4 = 0"
+_BOX = "SELECT l_orderkey AS frame, l_linenumber AS box, l_partkey % 50 AS x0, l_suppkey % 50 AS y0, l_partkey % 50 + l_quantity AS x1, l_suppkey % 50 + l_quantity AS y1 FROM lineitem"
 
 
 @query(f"""WITH b AS ({_BOX}), p AS (SELECT a.frame, a.box AS a, b.box AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b ON a.frame = b.frame AND a.box < b.box)
@@ -49,7 +49,7 @@ _BOX = "SELECT l_orderkey AS frame, l_linenumber AS box, l_partkey % 50 AS x0, l
 def iou_matrix(kb: KB) -> DataFrame:
     """Overlap of the boxes of a frame; a frame has few."""
     q = F.col("l_quantity")
-    b = kb.table("lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("a"), (F.col("l_partkey") % 50).alias("x0"), (F.col("l_suppkey") % 50).alias("y0"), (F.col("l_partkey") % 50 + q).alias("x1"), (F.col("l_suppkey") % 50 + q).alias("y1"))
+    b = kb.table("lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("a"), (F.col("l_partkey") % 50).alias("x0"), (F.col("l_suppkey") % 50).alias("y0"), (F.col("l_partkey") % 50 + q).alias("x1"), (F.col("l_suppkey") % 50 + q).alias("y1"))
     o = b.select("frame", F.col("a").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")))
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(hi, f"b_{hi}") - F.greatest(lo, f"b_{lo}"))
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
@@ -159,11 +159,14 @@ def keyframe_topk(kb: KB) -> DataFrame:
 
 @query()
 def retakes(kb: KB) -> DataFrame:
-    """Greedy retake clusters, by difflib's ratio of the texts' first 200 characters."""
+    """Greedy retake clusters, by difflib's ratio of the whole texts; its cheaper upper bounds come first."""
     import difflib
 
-    alike = lambda a, b: difflib.SequenceMatcher(None, a["text"][:200], b["text"][:200], autojunk=False).ratio()
-    core = lambda rows: sequential.retake_clusters(rows, alike, least=0.3)
+    def alike(a: dict, b: dict) -> float:
+        m = difflib.SequenceMatcher(None, a["text"] or "", b["text"] or "", autojunk=False)
+        return min(m.real_quick_ratio(), m.quick_ratio(), m.ratio()) if m.real_quick_ratio() > 0.87 and m.quick_ratio() > 0.87 else 0.0
+
+    core = lambda rows: sequential.retake_clusters(rows, alike)
     return sequential.per_media(kb.utterances, "media_id", ["start_us", "id"], core, "media_id long, cluster_id long, id long, take_index int")
 
 
@@ -198,13 +201,14 @@ def group_shots(kb: KB) -> DataFrame:
 
 @query()
 def match_chain(kb: KB) -> DataFrame:
-    """Clips of an identity (here: its first forty vectors) chained by likeness."""
+    """Clips of an identity, of a reel each (here: twenty scenes of ten vectors), chained by the likeness of a clip's last to the next one's first vector."""
 
     def core(rows: list[dict]) -> list[dict]:
-        v = [list(map(float, r["embedding"])) for r in rows]
-        return [{"pos": p, "vec_id": rows[i]["vec_id"], "matched": m} for p, (i, _, m) in enumerate(sequential.match_chain(v, v))]
+        heads, tails = ([list(map(float, r[c])) for r in rows] for c in ("head", "tail"))
+        return [{"pos": p, "scene": rows[i]["scene"], "matched": m} for p, (i, _, m) in enumerate(sequential.match_chain(heads, tails))]
 
-    return sequential.per_media(kb.vectors.filter("vec_id < 400"), "label", ["vec_id"], core, "label int, pos int, vec_id long, matched boolean")
+    ends = kb.vectors.groupBy(F.expr("vec_id div 200").alias("reel"), F.expr("vec_id div 10").alias("scene")).agg(F.min_by("embedding", "vec_id").alias("head"), F.max_by("embedding", "vec_id").alias("tail"))
+    return sequential.per_media(ends, "reel", ["scene"], core, "reel long, pos int, scene long, matched boolean")
 
 
 @query()

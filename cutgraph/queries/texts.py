@@ -81,20 +81,17 @@ def seam_merge(kb: KB) -> DataFrame:
     return p.select("media_id", "id", F.coalesce(F.array_max(fits), F.lit(0)).alias("overlap"))
 
 
-_TERMS = ((0, "the ndre the"), (1, "de la mente"), (2, "und nicht ung"), (3, "zzzz"))
-
-
-@query(r"""WITH q AS (SELECT * FROM (VALUES (0, 'the'), (0, 'ndre'), (0, 'the'), (1, 'de'), (1, 'la'), (1, 'mente'), (2, 'und'), (2, 'nicht'), (2, 'ung'), (3, 'zzzz')) t(query_id, term)),
+@query(r"""WITH q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark),
     d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
     p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM d) GROUP BY 1, 2), f AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, n GROUP BY term, n),
     i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM f) ELSE raw END AS idf FROM f),
-    s AS (SELECT query_id, doc_id, floor(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * 1e6 + 0.5) / 1e6 AS raw FROM q JOIN p USING (term) JOIN i USING (term), n GROUP BY 1, 2),
+    s AS (SELECT query_id, doc_id, floor(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * 1e5 + 0.5) / 1e5 AS raw FROM q JOIN p USING (term) JOIN i USING (term), n GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM s WHERE raw > 0)
     SELECT query_id, doc_id AS id, raw, least(raw / 10, 1.0) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def bm25_topk(kb: KB) -> DataFrame:
-    docs = kb.table("documents")
-    asked = kb.spark.createDataFrame(list(_TERMS), "query_id int, query string")
-    return search.bm25_search(search.bm25_index(docs, "doc_id", "text"), asked, 20)
+    """Every benchmark item as a query over all documents."""
+    asked = kb.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25_search(search.bm25_index(kb.table("documents"), "doc_id", "text"), asked, 20)
 
 
 @query("""WITH c AS (SELECT media_id, id, row_number() OVER (PARTITION BY media_id ORDER BY id DESC) AS pos, start_us, end_us FROM utts WHERE id % 2 = 0),
@@ -131,16 +128,16 @@ def qa_lookup(kb: KB) -> DataFrame:
     return first.join(who, "media_id").select("media_id", F.regexp_replace(F.lower("word"), "[.,!?]", "").alias("word"), "start_us", "rank", "speakers")
 
 
-@query("""WITH u AS (SELECT media_id, id, start_us, end_us, speaker, regexp_replace(substring(text, 1, 60), '[^a-zA-Z ]', '', 'g') AS t FROM utts) SELECT a.media_id, a.id AS a, b.id AS b, floor((1 - levenshtein(a.t, b.t) / greatest(1, length(a.t), length(b.t))) * 1e6 + 0.5) / 1e6 AS similarity
-    FROM u a JOIN u b ON a.media_id = b.media_id AND a.speaker = b.speaker AND a.id < b.id AND b.start_us - a.end_us BETWEEN 5000000 AND 120000000 AND least(a.end_us - a.start_us, b.end_us - b.start_us) * 2 >= greatest(a.end_us - a.start_us, b.end_us - b.start_us)""")
+@query("""WITH u AS (SELECT media_id, id, start_us, end_us, speaker, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS t FROM utts) SELECT a.media_id, a.id AS a, b.id AS b, floor((1 - levenshtein(a.t, b.t) / greatest(1, length(a.t), length(b.t))) * 1e6 + 0.5) / 1e6 AS similarity
+    FROM u a JOIN u b ON a.media_id = b.media_id AND a.speaker = b.speaker AND a.id < b.id AND b.start_us - a.start_us BETWEEN 5000000 AND 120000000 AND least(a.end_us - a.start_us, b.end_us - b.start_us) * 2 >= greatest(a.end_us - a.start_us, b.end_us - b.start_us)""")
 def retake_pairs(kb: KB) -> DataFrame:
-    """Candidate retakes: same speaker, 5 to 120 s apart, lengths within a factor of two; pairs meet in time buckets."""
-    head = F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", "")
-    u = kb.utterances.select("media_id", "speaker", F.col("id").alias("a"), "end_us", (F.col("end_us") - F.col("start_us")).alias("d"), head.alias("t"), F.col("end_us").alias("_from"))
+    """Candidate retakes: same speaker, 5 to 120 s from start to start, lengths within a factor of two; pairs meet in time buckets."""
+    head = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    u = kb.utterances.select("media_id", "speaker", F.col("id").alias("a"), "start_us", (F.col("end_us") - F.col("start_us")).alias("d"), head.alias("t"))
     b = kb.utterances.select("media_id", "speaker", F.col("id").alias("b"), F.col("start_us").alias("b_start"), (F.col("end_us") - F.col("start_us")).alias("b_d"), head.alias("b_t"))
     width = 120_000_000
-    left = u.withColumn("k", F.explode(F.array(F.floor(F.col("end_us") / width), F.floor(F.col("end_us") / width) + 1)))
-    met = left.join(b.withColumn("k", F.floor(F.col("b_start") / width)), ["media_id", "speaker", "k"]).filter("a < b and b_start - end_us between 5000000 and 120000000 and least(d, b_d) * 2 >= greatest(d, b_d)")
+    left = u.withColumn("k", F.explode(F.array(F.floor(F.col("start_us") / width), F.floor(F.col("start_us") / width) + 1)))
+    met = left.join(b.withColumn("k", F.floor(F.col("b_start") / width)), ["media_id", "speaker", "k"]).filter("a < b and b_start - start_us between 5000000 and 120000000 and least(d, b_d) * 2 >= greatest(d, b_d)")
     return met.select("media_id", "a", "b", r6(1 - F.levenshtein("t", "b_t") / F.greatest(F.lit(1), F.length("t"), F.length("b_t"))).alias("similarity"))
 
 
@@ -152,9 +149,16 @@ def retakes_to_remove(kb: KB) -> DataFrame:
     return u.join(last, ["media_id", "speaker"]).filter("id < last").select("media_id", "id", "start_us", "end_us", F.lit(0.9).alias("score"))
 
 
-@query(r"""SELECT w.media_id, w.utt_id, w.idx, r.src AS entity FROM (SELECT media_id, utt_id, idx, lower(word) AS word FROM words WHERE utt_id = 0) w JOIN (SELECT DISTINCT 'person:' || s.speaker AS src, s.speaker AS label FROM utts s) r ON contains(w.word, r.label[:2])""")
+_BARE = r"^[^a-z0-9]+|[^a-z0-9]+$"
+
+
+@query(rf"""WITH b AS (SELECT media_id, utt_id, idx, regexp_replace(lower(word), '{_BARE}', '', 'g') AS label FROM words),
+    e AS (SELECT DISTINCT 'person:' || speaker AS entity, speaker AS label FROM utts UNION SELECT 'object:' || label, label FROM (SELECT label FROM b WHERE length(label) > 5 GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 20)),
+    m AS (SELECT b.media_id, b.utt_id, b.idx, e.entity FROM b JOIN e USING (label)) SELECT *, count(*) OVER (PARTITION BY media_id, utt_id, idx) > 1 AS ambiguous FROM m""")
 def ground_entities(kb: KB) -> DataFrame:
-    """Words of the first utterance that name an entity (here: by its first two letters); entities are few."""
-    e = kb.utterances.select(F.concat(F.lit("person:"), "speaker").alias("entity"), F.col("speaker").alias("label")).distinct()
-    w = kb.words.filter("utt_id = 0").select("media_id", "utt_id", "idx", F.lower("word").alias("word"))
-    return w.join(F.broadcast(e), F.contains("word", F.substring("label", 1, 2))).select("media_id", "utt_id", "idx", "entity")
+    """Words that name an entity as a whole: the speakers and the twenty long words said most often; a word that names several is ambiguous."""
+    w = kb.words.select("media_id", "utt_id", "idx", F.regexp_replace(F.lower("word"), _BARE, "").alias("label"))
+    people = kb.utterances.select(F.concat(F.lit("person:"), "speaker").alias("entity"), F.col("speaker").alias("label")).distinct()
+    objects = w.filter(F.length("label") > 5).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20).select(F.concat(F.lit("object:"), "label").alias("entity"), "label")
+    m = w.join(people.unionByName(objects).distinct(), "label").select("media_id", "utt_id", "idx", "entity")
+    return m.withColumn("ambiguous", F.count("*").over(Window.partitionBy("media_id", "utt_id", "idx")) > 1)

@@ -45,10 +45,15 @@ class KB:
         """Every event as an interval."""
         start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000")
         return self.table("events").select(
-            (F.col("user_id") % 15).alias("media_id"), F.col("event_id").alias("id"), "user_id", "event_type", "value", "props",
+            F.col("user_id").alias("media_id"), F.col("event_id").alias("id"), "user_id", "event_type", "value", "props",
             start.alias("start_us"), (start + F.floor(F.col("value") * 100 + 0.5).cast("long") * 200).alias("end_us"),
         )
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """The media items that have signals."""
+        return self.signals.select("media_id").distinct()
+
     @cached_property
     def silences(self) -> DataFrame:
         return intervals.gaps(self.signals, ["media_id"], DURATION, 300_000)

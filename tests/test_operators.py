@@ -74,16 +74,10 @@ def test_intervals_against_plain_python(spark, seed):
             want[-1] = (want[-1][0], max(b, want[-1][1]))
         else:
             want.append((a, b))
-    for chunk in (50, iv.CHUNK):
-        before, iv.CHUNK = iv.CHUNK, chunk
-        try:
-            seen = iv.running_max(df, M, ["start_us", "end_us", "id"], "end_us", "m", chunk)
-            most = 0
-            for row, (a, b) in zip(seen.orderBy("start_us", "end_us").collect(), rows, strict=True):
-                assert (row.m or 0) == most
-                most = max(most, b)
-        finally:
-            iv.CHUNK = before
+    most = 0
+    for row, (a, b) in zip(iv.running_max(df, M, ["start_us", "end_us", "id"], "end_us", "m").orderBy("start_us", "end_us").collect(), rows, strict=True):
+        assert (row.m or 0) == most
+        most = max(most, b)
     merged = iv.merge(df, M, gap)
     assert sorted((x.start_us, x.end_us) for x in merged.collect()) == want
     keeps = iv.complement(merged.withColumn("id", F.lit(0)), M, 3000)
@@ -231,3 +225,39 @@ def test_reports(spark, tmp_path):
     assert "- clips: 2" in (tmp_path / "md" / "media_id=1").glob("part-*").__next__().read_text()
     labels = spark.createDataFrame([("a", "[[1.38, 1.91]]"), ("b", "[]"), ("c", None)], "path string, breath string")
     assert [tuple(r) for r in report.breath_labels(labels).collect()] == [("a", 1_380_000, 1_910_000)]
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_chains_scan_their_tables_once(spark, sf_dir):
+    from cutgraph.queries import QUERIES
+
+    most = {"silences": 1, "merge_adjacent": 1, "merge_removals": 1, "complement": 1, "min_clip": 2, "removals": 3, "critic_tier0": 6, "snap_ladder": 15}
+    found = {name: scans(QUERIES[name](spark, sf_dir)) for name in most}
+    assert found == {k: min(v, found[k]) for k, v in most.items()}
+
+
+def test_items_without_hits(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,)], "media_id long")
+    keep, remove = clips(spark, [(2, 4)]), clips(spark, [(3, 3.5)])
+    gone = sorted((r.media_id, r.start_us / S, r.end_us / S) for r in planner.removals(remove, keep, 10 * S, items).collect())
+    assert gone == [(1, 0, 2), (1, 3, 3.5), (1, 4, 10), (2, 0, 10), (3, 0, 10)]
+    assert sorted((r.media_id, r.start_us, r.end_us) for r in iv.complement(keep.limit(0), M, 10 * S, items=items).collect()) == [(i, 0, 10 * S) for i in (1, 2, 3)]
+
+
+def test_fusion_keeps_media_items_apart(spark):
+    from cutgraph.operators import search
+
+    rows = [(m, "structured", 1, 0, S, 0.9, f"s{m}") for m in (1, 2)] + [(2, "keyword", 2, 0, S, 0.5, "k2")]
+    out = search.fuse(spark.createDataFrame(rows, "media_id long, channel string, id long, start_us long, end_us long, score double, evidence string"))
+    assert {(r.media_id, r.channels, tuple(r.evidence)) for r in out.collect()} == {(1, 1, ("s1",)), (2, 2, ("s2", "k2"))}
+
+
+def test_items_stream_through_batches(spark):
+    from cutgraph.operators import sequential
+
+    df = spark.range(20_000).selectExpr("id % 700 as k", "id as v").unionAll(spark.createDataFrame([(None, 5), (None, 3)], "k long, v long"))
+    out = sequential.per_media(df, "k", ["v"], lambda rows: [{"n": len(rows), "first": rows[0]["v"]}], "k long, n int, first long").collect()
+    assert len(out) == 701 and {(r.k, r.n, r.first) for r in out if r.k in (None, 0, 699)} == {(None, 2, 3), (0, 29, 0), (699, 28, 699)}
