@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import intervals as iv
+from ..operators import search, sequential
+from ..session import cut
 from ..sources.kb import DURATION, KB
 from . import intent as intents
 from . import planner, retrieve
@@ -25,55 +27,144 @@ class Edit:
     failures: DataFrame
 
 
+#: The kind of each source, which weighs it when channels are fused.
+CHANNEL_OF = {"bm25": "keyword", "fuzzy": "keyword", "is_broll": "metadata", "outdoor": "metadata", "indoor": "metadata", "story_role": "metadata"}
+PAUSE_WORDS = ("silence", "silences", "pause", "pauses", "dead time", "dead air", "gap", "gaps")
+FILLER_WORDS = ("filler", "fillers", "um", "ums", "uh", "uhs", "hesitations")
+RETAKE_WORDS = ("retake", "retakes", "take", "takes", "repeated", "bad takes")
+PLACE_WORDS = ("scene", "scenes", "shot", "shots", "topic", "topics", "part", "parts")
+
+
 def channels(kb: KB, query: str) -> DataFrame:
-    """Segments of every channel that the query calls, best score per place."""
+    """Segments (media_id, start_us, end_us, score, source) of every channel that the query calls.
+
+    A stretch of time that the query names is the whole answer; so are pauses and fillers, unless scenes, shots,
+    topics or parts are asked for. What no structured channel knows is looked for in the words said, and in words nearly like them.
+    """
     q = query.lower()
-    parts = []
-    if retrieve.says(q, ("silence", "silences", "pause", "pauses", "dead time", "gap")):
-        parts.append(retrieve.silence_channel(kb, q))
+    if retrieve.times_of(q, DURATION) is not None:
+        return retrieve.time_channel(kb, q, DURATION)
+    pauses, fillers = retrieve.says(q, PAUSE_WORDS), retrieve.says(q, FILLER_WORDS)
+    if (pauses or fillers) and not retrieve.says(q, PLACE_WORDS):
+        parts = [retrieve.silence_channel(kb, q)] * pauses + [retrieve.filler_channel(kb, q)] * fillers
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    parts = [retrieve.silence_channel(kb, q)] * pauses + [retrieve.filler_channel(kb, q)] * fillers
+    if retrieve.says(q, RETAKE_WORDS):
+        parts.append(retrieve.retake_channel(kb, q))
     if any(retrieve.says(q, (w,)) for w, _ in retrieve.SOUND_WORDS):
         parts.append(retrieve.sound_channel(kb, q))
-    parts += [retrieve.emotion_channel(kb, q), retrieve.metadata_channel(kb, q)]
+    if any(retrieve.says(q, words) for _, words in retrieve.EMOTION_WORDS):
+        parts.append(retrieve.emotion_channel(kb, q))
+    if retrieve.says(q, (*retrieve.BROLL_WORDS, *retrieve.OUTDOOR_WORDS, *retrieve.INDOOR_WORDS, "hook", "setup", "development", "climax", "payoff", "outro", "intro", "transition")):
+        parts.append(retrieve.metadata_channel(kb, q))
     if retrieve.says(q, ("awkward", "cringe", "uncomfortable")):
         parts.append(retrieve.segments(retrieve.awkward_moments(kb.utterances), F.lit(0.7), "awkward"))
+    if retrieve.says(q, ("question", "questions", "answer", "answers", "statement", "statements")):
+        parts.append(retrieve.dialogue_channel(kb, q))
+    if retrieve.says(q, ("off-topic", "off topic", "tangent", "tangents", "unrelated")):
+        parts.append(retrieve.off_topic_channel(kb, q))
+    if retrieve.topic_of(q) is not None:
+        parts.append(retrieve.topic_channel(kb, q))
+    if re.search(r"\bloc[0-9]+\b", q) or retrieve.says(q, ("location", "place", "at the")):
+        parts.append(retrieve.location_channel(kb, q))
+    if retrieve.says(q, ("object", "objects", "visible", "product")):
+        parts.append(retrieve.object_channel(kb, q))
     for person in re.findall(r"person:[a-z0-9_]+", q):
         parts.append(retrieve.segments(retrieve.scenes_where(kb, person=person), F.lit(1.0), "graph"))
+    if not parts:
+        parts = [retrieve.keyword_channel(kb, q), retrieve.fuzzy_channel(kb, q)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def fused(kb: KB, query: str) -> DataFrame:
+    """Segments of all channels, fused within each media item and judged by the threshold."""
+    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in CHANNEL_OF.items() for x in pair))[F.col("source")], F.lit("structured"))
+    found = channels(kb, query).groupBy("media_id", "start_us", "end_us", "source").agg(F.max("score").alias("score"))
+    out = search.fuse(found.select("media_id", kind.alias("channel"), F.xxhash64("source").alias("id"), "start_us", "end_us", "score", F.col("source").alias("evidence")))
+    return cut(out.filter("score >= 0.35"))
+
+
 def hits(kb: KB, op: intents.Operation) -> DataFrame:
     """Merged intervals that an operation is about; a negated one is about all the rest."""
     words = scalar.SYNONYMS
     queries = [op.query, *(op.query.replace(head, o) for head, others in words if head in op.query for o in others)]
-    found = channels(kb, queries[0])
+    found = fused(kb, queries[0])
     for q in queries[1:]:
-        found = found.unionByName(channels(kb, q))
+        found = found.unionByName(fused(kb, q))
     spans = found.select("media_id", "start_us", "end_us").distinct().withColumn("id", F.lit(0))
     merged = iv.merge(spans, M, 1_000_000)
-    return iv.complement(merged.withColumn("id", F.lit(0)), M, DURATION) if op.negation else merged
+    return iv.complement(merged.withColumn("id", F.lit(0)), M, DURATION, items=kb.media) if op.negation else merged
+
+
+def selected(kb: KB, clips: DataFrame, target: int) -> DataFrame:
+    """What of the clips fits ``target``: the parts of scenes within them, chosen by value within each media item."""
+    scenes = kb.scenes.select("media_id", "id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"), F.col("intensity").alias("score"), "importance")
+    parts = iv.overlap_join(clips.select("media_id", "start_us", "end_us"), scenes, M, 60_000_000)
+    parts = parts.select("media_id", "id", F.greatest("start_us", "b_start_us").alias("start_us"), F.least("end_us", "b_end_us").alias("end_us"), "score", "importance").filter(F.col("end_us") - F.col("start_us") > planner.LEAST)
+    core = lambda rows: [{k: x[k] for k in ("start_us", "end_us")} for x in sequential.budget_selection(rows, target)]
+    return sequential.per_media(parts, "media_id", ["start_us", "id"], core, "media_id long, start_us long, end_us long")
+
+
+def snapped(kb: KB, clips: DataFrame) -> DataFrame:
+    """Clips whose inner edges moved to pauses and word edges; those that collapse go."""
+    edge = lambda c: clips.select("media_id", F.col(c).alias("t"))
+    points = cut(edge("start_us").union(edge("end_us")).distinct().filter((F.col("t") > 0) & (F.col("t") < DURATION)).withColumn("soft", F.lit(False)))
+    none = kb.words.filter("false").select("media_id", F.col("start_us").alias("t_us"), F.lit(0.0).alias("score"))
+    moved = planner.snap_ladder(points, none, kb.silences, kb.words).select("media_id", "t", "snapped_us")
+    moved = cut(moved)
+    out = clips.select("media_id", "start_us", "end_us")
+    for c in ("start_us", "end_us"):
+        out = out.join(moved.withColumnRenamed("t", c), ["media_id", c], "left").withColumn("_to", F.coalesce("snapped_us", c)).drop("snapped_us", c).withColumnRenamed("_to", c)
+    return out.select("media_id", "start_us", "end_us").filter(F.col("end_us") - F.col("start_us") > planner.LEAST)
+
+
+def with_floor(kb: KB, clips: DataFrame) -> DataFrame:
+    """The clips; of a media item that has none left, a second or 5 % of it from the start."""
+    least = max(1_000_000, DURATION // 20)
+    bare = kb.media.join(clips.select("media_id").distinct(), M, "left_anti")
+    return clips.unionByName(bare.select("media_id", F.lit(0).cast("long").alias("start_us"), F.lit(least).cast("long").alias("end_us")))
 
 
 def edit(kb: KB, prompt: str) -> Edit:
-    """Plan of a prompt for every media item: what stays, its metrics and what the checks find wrong."""
+    """Plan of a prompt for every media item: what stays in its order, its metrics and what the checks find wrong.
+
+    Removals and filters leave clips; a target length selects among them; edges snap to pauses and words unless pauses or
+    times decided them; clips are repaired, short ones dropped, fades set. ``restructure`` only orders, ``stylize`` only sets the
+    style. A question or an empty prompt leaves everything.
+    """
     i = intents.parse(prompt)
-    every = kb.signals.select("media_id").distinct()
+    every = kb.media
     nothing = every.limit(0).select("media_id", F.lit(0).cast("long").alias("start_us"), F.lit(0).cast("long").alias("end_us"))
-    remove, keep = nothing, None
+    remove, keep, exact, template = nothing, None, True, "chronological"
     for op in i.operations:
+        exact = exact and (retrieve.says(op.query, (*PAUSE_WORDS, *FILLER_WORDS)) or retrieve.times_of(op.query, DURATION) is not None)
         if op.action == "remove":
             # as they are: removals aren't widened over what lies between
-            found = channels(kb, op.query) if not op.negation else hits(kb, op)
+            found = fused(kb, op.query) if not op.negation else hits(kb, op)
             remove = remove.unionByName(found.select("media_id", "start_us", "end_us"))
-        else:
+        elif op.action in ("keep_only", "highlight"):
             found = hits(kb, op).select("media_id", "start_us", "end_us")
             keep = found if keep is None else keep.unionByName(found)
-    gone = planner.removals(remove, keep, DURATION)
-    left = iv.complement(gone.withColumn("id", F.lit(0)), M, DURATION)
-    whole = every.join(gone.select("media_id").distinct(), M, "left_anti").select("media_id", F.lit(0).cast("long").alias("start_us"), F.lit(DURATION).cast("long").alias("end_us"))
-    clips = planner.crossfades(planner.min_clip(planner.repaired(left.unionByName(whole), DURATION), 1_000_000))
+        elif op.action == "restructure":
+            template = next((t for w, t in (("trailer", "trailer"), ("hook", "hook_first"), ("highlight", "highlight"), ("setup", "build_tension")) if w in op.query), template)
+    gone = cut(planner.removals(remove, keep, DURATION, every))
+    left = iv.complement(gone.withColumn("id", F.lit(0)), M, DURATION, items=every)
+    target = i.target_us if i.target_us is not None else DURATION // 2 if any(op.action == "compress" for op in i.operations) else None
+    if target is not None:
+        left = selected(kb, left, target)
+    elif not exact:
+        left = snapped(kb, cut(left))
+    left = cut(left)
+    clips = planner.min_clip(planner.repaired(with_floor(kb, left), DURATION), 1_000_000)
+    clips = planner.crossfades(clips)
+    if template != "chronological":
+        role = kb.scenes.select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"), "story_role", "intensity")
+        first = iv.overlap_join(clips, role, M, 60_000_000).groupBy("media_id", "start_us").agg(F.min_by("story_role", "b_start_us").alias("role"), F.max("intensity").alias("score"))
+        clips = planner.ordered(clips.join(first, ["media_id", "start_us"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("id", F.col("start_us")), template)
+    clips = cut(clips)
     m = planner.metrics(clips, DURATION)
     issue = lambda cond, name: m.filter(cond).select("media_id", F.lit(name).alias("issue"))
     failures = issue(F.col("kept_us") < 1_000_000, "floor").unionByName(issue(F.col("removal_ratio") > 0.98, "ratio"))
@@ -83,8 +174,8 @@ def edit(kb: KB, prompt: str) -> Edit:
 
 
 def ask(kb: KB, question: str, k: int = 10) -> DataFrame:
-    """The best segments of all channels by their own scores."""
-    return channels(kb, question).orderBy(F.desc("score"), "media_id", "start_us", "end_us", "source").limit(k)
+    """The best segments of all channels, fused; each with the sources that found it."""
+    return fused(kb, question).orderBy(F.desc("score"), "media_id", "start_us", "end_us").limit(k)
 
 
 def revise(clips: list[tuple[int, int]], prompt: str) -> list[tuple[int, int]]:

@@ -40,7 +40,7 @@ def is_question(prompt: str) -> bool:
 
 
 def duration_of(prompt: str) -> int | None:
-    m = re.search(r"(?:under|less than|best|to)\s+([0-9]+)\s*(seconds?|s|minutes?|min|m)?\b", prompt, re.I)
+    m = re.search(r"(?:under|less than|best|to)\s+([0-9]+)(?![0-9:])\s*(seconds?|s|minutes?|min|m)?\b", prompt, re.I)
     return int(m[1]) * (60 if (m[2] or "s").lower().startswith("m") else 1) * 1_000_000 if m else None
 
 

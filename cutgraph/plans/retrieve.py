@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import intervals as iv
+from ..operators import search, sequential
+from ..operators.sequences import tokens
 
 # The words that call a channel, first match wins.
 SOUND_WORDS = (("laugh", "laughter"), ("laughing", "laughter"), ("laughter", "laughter"), ("chuckle", "laughter"), ("giggling", "laughter"), ("clap", "applause"), ("clapping", "applause"), ("applause", "applause"), ("cheer", "applause"), ("cheering", "applause"), ("gasp", "gasp"), ("gasping", "gasp"))
@@ -103,6 +106,120 @@ def derived_moments(kb) -> DataFrame:
     return funny.unionByName(applause).unionByName(awkward)
 
 
+def filler_channel(kb, query: str, always: tuple[str, ...] = scalar.FILLERS, contextual: tuple[str, ...] = scalar.CONTEXT_FILLERS, phrases: tuple[str, ...] = scalar.FILLER_PHRASES) -> DataFrame:
+    """Words that fill pauses: sure ones, those that a speaker's habit makes likely, and phrases, of which each word goes."""
+    w = kb.words.withColumn("w", F.regexp_replace(F.lower("word"), r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
+    habit = Window.partitionBy("media_id", "speaker")
+    rate = F.count(F.when(F.col("w").isin(*contextual), 1)).over(habit) / F.count("*").over(habit)
+    single = w.withColumn("score", F.when(F.col("w").isin(*always), 0.95).when(F.col("w").isin(*contextual), F.greatest(F.lit(0.3), 0.7 - rate * 2)))
+    out = segments(single.filter("score is not null"), F.col("score"), "filler_detector")
+    by_time = Window.partitionBy("media_id").orderBy("start_us", "utt_id", "idx")
+    for n in sorted({len(p.split()) for p in phrases}):
+        said = F.concat_ws(" ", *(F.lead("w", i).over(by_time) if i else F.col("w") for i in range(n)))
+        run = w.select("media_id", "start_us", F.lead("end_us", n - 1).over(by_time).alias("end_us"), said.alias("said"))
+        out = out.unionByName(segments(run.filter(F.col("said").isin(*(p for p in phrases if len(p.split()) == n))), F.lit(0.9), "filler_phrases"))
+    return out
+
+
+def retake_takes(kb, least: float = 0.87) -> DataFrame:
+    """(media_id, cluster_id, id, take_index) of utterances said again; by difflib's ratio, whose cheaper upper bounds come first."""
+    import difflib
+
+    def alike(a: dict, b: dict) -> float:
+        m = difflib.SequenceMatcher(None, a["text"] or "", b["text"] or "", autojunk=False)
+        return m.ratio() if m.real_quick_ratio() > least and m.quick_ratio() > least else 0.0
+
+    core = lambda rows: sequential.retake_clusters(rows, alike, least)
+    return sequential.per_media(kb.utterances, "media_id", ["start_us", "id"], core, "media_id long, cluster_id long, id long, take_index int")
+
+
+def retake_channel(kb, query: str) -> DataFrame:
+    """All but the last take of each cluster, or only the last ones of a query for the final take."""
+    last = F.max("take_index").over(Window.partitionBy("media_id", "cluster_id"))
+    takes = retake_takes(kb).withColumn("final", F.col("take_index") == last)
+    chosen = takes.filter("final" if says(query, ("final", "last")) else "not final")
+    return segments(kb.utterances.join(chosen.select("media_id", "id"), ["media_id", "id"]), F.lit(0.9), "retakes")
+
+
+def location_channel(kb, query: str) -> DataFrame:
+    return segments(kb.scenes.filter(F.contains(F.lit(query.lower()), F.lower("location"))), F.lit(1.0), "metadata")
+
+
+def object_channel(kb, query: str) -> DataFrame:
+    """Scenes in which something was seen that the query names by its label."""
+    label = F.regexp_extract("src", "[^:]*$", 0)
+    named = kb.appearances.filter(F.array_contains(F.array(*map(F.lit, re.findall(r"[a-z0-9_]+", query.lower()) or [""])), F.lower(label)) & (F.coalesce("source", F.lit("")) == "vision"))
+    return segments(kb.scenes.join(named.select("media_id", F.col("scene_id").alias("id")), ["media_id", "id"], "left_semi"), F.lit(0.8), "vision")
+
+
+def dialogue_channel(kb, query: str) -> DataFrame:
+    acts = [act for act in ("question", "answer", "statement") if says(query, (act, act + "s"))]
+    return segments(kb.utterances.filter(F.col("dialogue_act").isin(*acts) if acts else F.lit(False)), F.lit(0.9), "dialogue")
+
+
+def topic_of(query: str) -> str | None:
+    m = re.search(r"\b(?:about|topics?|regarding|mentions? of|talks? about)\s+(?:about\s+|the\s+)?([a-z0-9][a-z0-9 _-]*)", query.lower())
+    return m[1].strip() if m else None
+
+
+def topic_channel(kb, query: str) -> DataFrame:
+    """Utterances that say the topic as whole words."""
+    topic = topic_of(query)
+    match = F.lit(False) if topic is None else F.regexp_like(F.lower("text"), F.lit(rf"(?<![a-z0-9]){re.escape(topic)}(?![a-z0-9])"))
+    return segments(kb.utterances.filter(match), F.lit(0.95), "topic")
+
+
+def off_topic_channel(kb, query: str) -> DataFrame:
+    """Scenes whose place isn't the one that most of their media item's time is spent at."""
+    spent = kb.scenes.groupBy("media_id", "location").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("us"))
+    main = spent.groupBy("media_id").agg(F.max_by("location", F.struct("us", "location")).alias("main"))
+    return segments(kb.scenes.join(main, "media_id").filter("location <> main"), F.lit(0.6), "off_topic")
+
+
+def times_of(query: str, duration: int) -> tuple[int, int] | None:
+    """The stretch of time that a query names, in microseconds: two clock times, or the first or last so many seconds."""
+    second = 1_000_000
+    if m := re.search(r"\b([0-9]+):([0-5][0-9])\s*(?:to|-|until|and)\s*([0-9]+):([0-5][0-9])\b", query):
+        a, b, c, d = map(int, m.groups())
+        start, end = (60 * a + b) * second, (60 * c + d) * second
+    elif m := re.search(r"\b(first|last)\s+([0-9]+)\s*(s|sec|seconds?|m|min|minutes?)\b", query, re.I):
+        span = min(duration, int(m[2]) * (60 if m[3].lower().startswith("m") else 1) * second)
+        start, end = (0, span) if m[1].lower() == "first" else (duration - span, duration)
+    else:
+        return None
+    return (start, min(end, duration)) if start < min(end, duration) else None
+
+
+def time_channel(kb, query: str, duration: int) -> DataFrame:
+    start, end = times_of(query, duration) or (0, 0)
+    return segments(kb.media.select("media_id", F.lit(start).cast("long").alias("start_us"), F.lit(end).cast("long").alias("end_us")).filter("end_us > start_us"), F.lit(1.0), "time")
+
+
+#: Words of a query that say what to do or nothing, not what to look for.
+COMMON = frozenset("a an the of to in on at is are was were be and or for with me my it this that these those all any every keep only show find remove cut delete make where who what when does do did say says said about scene scenes part parts moment moments everything".split())
+
+
+def keyword_channel(kb, query: str, k: int = 20) -> DataFrame:
+    """The utterances that BM25 ranks best for the query's own words, over all media items."""
+    asked = " ".join(w for w in re.findall(r"[a-z0-9]+", query.lower()) if w not in COMMON)
+    said = kb.utterances.select("media_id", "id", "start_us", "end_us", "text", F.concat_ws(":", "media_id", "id").alias("key"))
+    one = kb.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(asked).alias("query"))
+    hits = search.bm25_search(search.bm25_index(said, "key", "text"), one, k)
+    return segments(said.join(hits.select(F.col("id").alias("key"), "score"), "key"), F.col("score"), "bm25")
+
+
+def fuzzy_channel(kb, query: str, least: float = 0.7) -> DataFrame:
+    """Utterances with a word that is nearly one of the query's: Levenshtein ratio ``least`` over the distinct words said."""
+    asked = sorted({w for w in re.findall(r"[a-z0-9]+", query.lower()) if w not in COMMON and len(w) > 3})
+    if not asked:
+        return segments(kb.utterances.filter("false"), F.lit(0.0), "fuzzy")
+    words = kb.utterances.select("media_id", "start_us", "end_us", F.explode(tokens(F.col("text"))).alias("word"))
+    near = lambda a: 1 - F.levenshtein("word", F.lit(a)) / F.greatest(F.length("word"), F.lit(len(a)))
+    best = near(asked[0]) if len(asked) == 1 else F.greatest(*map(near, asked))
+    known = words.select("word").distinct().filter(best >= least)
+    return segments(words.join(known, "word", "left_semi").select("media_id", "start_us", "end_us").distinct(), F.lit(0.6), "fuzzy")
+
+
 def merged_hits(fused: DataFrame, threshold: float, gap: int = 1_000_000) -> DataFrame:
     """Fused segments at the threshold or above, neighbours of a media item merged with their best score."""
     kept = fused.filter(F.col("score") >= threshold).select("media_id", "start_us", "end_us", "score", F.lit(0).alias("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import sequential
+from ..plans import retrieve
 from ..sources.kb import DURATION, KB
 from .base import query, r6
 
@@ -159,15 +160,8 @@ def keyframe_topk(kb: KB) -> DataFrame:
 
 @query()
 def retakes(kb: KB) -> DataFrame:
-    """Greedy retake clusters, by difflib's ratio of the whole texts; its cheaper upper bounds come first."""
-    import difflib
-
-    def alike(a: dict, b: dict) -> float:
-        m = difflib.SequenceMatcher(None, a["text"] or "", b["text"] or "", autojunk=False)
-        return min(m.real_quick_ratio(), m.quick_ratio(), m.ratio()) if m.real_quick_ratio() > 0.87 and m.quick_ratio() > 0.87 else 0.0
-
-    core = lambda rows: sequential.retake_clusters(rows, alike)
-    return sequential.per_media(kb.utterances, "media_id", ["start_us", "id"], core, "media_id long, cluster_id long, id long, take_index int")
+    """Greedy retake clusters, by difflib's ratio of the whole texts."""
+    return retrieve.retake_takes(kb)
 
 
 @query()

@@ -11,10 +11,7 @@ from ..operators import search
 from ..sources.kb import KB
 from .base import query, r6
 
-# Words and phrases that fill pauses.
-ALWAYS = ("um", "uh", "hmm", "erm", "mmm")
-CONTEXTUAL = ("like", "you know", "so", "actually")
-PHRASES = ("you know", "i mean", "sort of", "kind of", "you know what i mean", "like i said", "to be honest", "at the end of the day")
+ALWAYS, CONTEXTUAL, PHRASES = scalar.FILLERS, scalar.CONTEXT_FILLERS, scalar.FILLER_PHRASES
 #: The test texts hold none of these; their commonest words stand in for them.
 STAND_ALWAYS, STAND_CONTEXT, STAND_PHRASES = ("the", "que"), ("and", "la", "der"), ("of the", "in the", "de la", "the and the")
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"

@@ -1,6 +1,8 @@
 """Session settings that the engine is written for."""
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "cutgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -12,3 +14,17 @@ def get_spark(app: str = "cutgraph", master: str | None = None, **conf: str) ->
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the folder that ``spark.checkpoint.dir`` names, so that later plans are short and survive lost executors.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not (context.master.startswith("local") and "local-cluster" not in context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="cutgraph-"))
+    return df.checkpoint()

@@ -54,6 +54,11 @@ class KB:
         """The media items that have signals."""
         return self.signals.select("media_id").distinct()
 
+    @cached_property
+    def media(self) -> DataFrame:
+        """All media items, those with words alone too."""
+        return self.items.union(self.table("conversations").select(F.col("conv_id").alias("media_id"))).distinct()
+
     @cached_property
     def silences(self) -> DataFrame:
         return intervals.gaps(self.signals, ["media_id"], DURATION, 300_000)
