@@ -225,8 +225,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     """
     known = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
     ids = known.select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct()
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs).select("lang", "doc_id")
+    # the first of parts of a language, then the first of those, so that no task gets more of it than a few from each part
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("r") <= sample_docs)
+    chosen = ids.select("lang", "doc_id")
     rows = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct().collect()
     samples: dict[str, list[str]] = {}
     for lang, text, _ in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
