@@ -41,3 +41,19 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id: str
     scored = vectors.crossJoin(queries.select(query_id, F.col(vector).alias("_q"))).select(query_id, id, inner(vector, "_q").alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def similar_pairs(df: DataFrame, id: str, vector: str, least: float, axes: int = 3) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of unit vectors with an inner product of ``least`` or more.
+
+    Such vectors lie at most sqrt(2 - 2 * least) apart, and so in no coordinate farther: they are in the same or in neighbouring cells
+    of a grid of that width over the first ``axes`` coordinates, where they meet. Equal rows should be grouped before.
+    """
+    width = (2 - 2 * least) ** 0.5 + 1e-9
+    cell = [F.floor(F.get(vector, F.lit(i)).cast("double") / width).cast("long") for i in range(axes)]
+    right = df.select(F.col(id).alias("b"), F.col(vector).alias("_y"), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
+    left = df.select(F.col(id).alias("a"), F.col(vector).alias("_x"), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
+    for i in range(axes):
+        left = left.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + d for d in (-1, 0, 1)))))
+    met = left.join(right, [f"_c{i}" for i in range(axes)]).filter("a < b")
+    return met.select("a", "b", inner("_x", "_y").alias("similarity")).filter(F.col("similarity") >= least - 1e-9)

@@ -117,14 +117,21 @@ def tokenize(kb: KB) -> DataFrame:
     return t.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).filter("n >= 20")
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, floor((1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))) * 1e6 + 0.5) / 1e6 AS ratio FROM part a JOIN part b
-    ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.6""")
+@query("""WITH n AS (SELECT p_name AS name, count(*) AS parts FROM part GROUP BY 1) SELECT a.name AS a, b.name AS b, a.parts AS a_parts, b.parts AS b_parts, floor((1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))) * 1e6 + 0.5) / 1e6 AS ratio
+    FROM n a JOIN n b ON a.name < b.name WHERE levenshtein(a.name, b.name) * 10 <= greatest(length(a.name), length(b.name)) * 3""")
 def fuzzy_match(kb: KB) -> DataFrame:
-    """Levenshtein ratio within blocks of one brand and size; the ratio of longest matching blocks is functions.fuzzy."""
-    p = kb.table("part").select("p_partkey", "p_name", "p_brand", "p_size")
-    b = p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("b_name"), "p_brand", "p_size")
-    ratio = 1 - F.levenshtein("p_name", "b_name") / F.greatest(F.length("p_name"), F.length("b_name"))
-    return p.join(b, ["p_brand", "p_size"]).filter("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", ratio.alias("ratio")).filter("ratio >= 0.6").withColumn("ratio", r6("ratio"))
+    """All pairs of names with a Levenshtein ratio of 0.7 or more, equal names as one, with their parts' number.
+
+    At that ratio two names of length L or less differ by 0.3 L edits, each of which breaks two of L - 1 bigrams at most: one is left
+    that both have, and there they meet.
+    """
+    names = kb.table("part").filter("p_name is not null").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("parts"))
+    grams = names.filter("length(name) > 1").withColumn("g", F.explode(F.expr("array_distinct(transform(sequence(1, length(name) - 1), i -> substring(name, i, 2)))")))
+    b = grams.select("g", F.col("name").alias("b"), F.col("parts").alias("b_parts"))
+    pairs = grams.select("g", F.col("name").alias("a"), F.col("parts").alias("a_parts")).join(b, "g").filter("a < b and 10 * abs(length(a) - length(b)) <= 3 * greatest(length(a), length(b))").drop("g").distinct()
+    longest = F.greatest(F.length("a"), F.length("b"))
+    near = pairs.withColumn("d", F.levenshtein("a", "b")).filter(F.col("d") * 10 <= longest * 3)
+    return near.select("a", "b", "a_parts", "b_parts", r6(1 - F.col("d") / longest).alias("ratio"))
 
 
 @query("SELECT id, CASE WHEN motion < 0.05 THEN 'screencast' WHEN importance * 10 > 1.2 AND motion < 0.20 THEN 'talking_head' ELSE 'standard' END AS class FROM scenes")

@@ -157,14 +157,14 @@ def registry_match(kb: KB) -> DataFrame:
     return s.groupBy("vec_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score")).filter("score > 0.3")
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, floor({_INNER.format(a='a', b='b')} * 1e5 + 0.5) / 1e5 AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND abs(a.vec_id - b.vec_id) <= 20 AND a.vec_id < b.vec_id WHERE floor({_INNER.format(a='a', b='b')} * 1e5 + 0.5) / 1e5 > 0.2")
+@query("""WITH c AS (SELECT label, reel, list(m ORDER BY i) AS v FROM (SELECT label, reel, i, avg(e) AS m FROM (SELECT label, vec_id // 200 AS reel, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    p AS (SELECT a.label AS a_label, a.reel AS a_reel, b.label AS b_label, b.reel AS b_reel, floor(list_cosine_similarity(a.v, b.v) * 1e5 + 0.5) / 1e5 AS similarity FROM c a JOIN c b ON (a.label, a.reel) < (b.label, b.reel)) SELECT * FROM p WHERE similarity > 0.3""")
 def people_pairs(kb: KB) -> DataFrame:
-    """Candidate identity merges: one label, at most 20 apart, above a similarity."""
-    v = kb.vectors
-    left = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.array(F.floor(F.col("vec_id") / 20), F.floor(F.col("vec_id") / 20) + 1)).alias("k"))
-    right = v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.floor(F.col("vec_id") / 20).alias("k"))
-    near = left.join(right, ["label", "k"]).filter("a < b and b - a <= 20")
-    return near.select("a", "b", (F.floor(vectors.inner("x", "y") * 1e5 + 0.5) / 1e5).alias("similarity")).filter("similarity > 0.2")
+    """Identity merges: the persons of all reels (here: a label's vectors of a reel of two hundred), every pair above a similarity."""
+    people = vectors.centroids(kb.vectors.select("label", F.expr("vec_id div 200").alias("reel"), "embedding"), ["label", "reel"], "embedding")
+    pairs = vectors.similar_pairs(people.filter("centroid is not null").select(F.struct("label", "reel").alias("id"), "centroid"), "id", "centroid", 0.3)
+    found = pairs.select("a.*", F.col("b.label").alias("b_label"), F.col("b.reel").alias("b_reel"), (F.floor(F.col("similarity") * 1e5 + 0.5) / 1e5).alias("similarity"))
+    return found.withColumnsRenamed({"label": "a_label", "reel": "a_reel"}).filter("similarity > 0.3")
 
 
 @query(f"""WITH e AS (SELECT vec_id // 200 AS reel, vec_id // 10 AS scene, arg_min(embedding, vec_id) AS f, arg_max(embedding, vec_id) AS l, min(vec_id) AS head, max(vec_id) AS tail FROM embeddings GROUP BY 1, 2)

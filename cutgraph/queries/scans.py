@@ -190,3 +190,49 @@ def longest_silence(kb: KB) -> DataFrame:
 def readiness_gate(kb: KB) -> DataFrame:
     s = kb.signals.groupBy("media_id").agg(F.max("end_us").alias("m"))
     return s.select("media_id", F.round(F.expr("m div 1000000") / 100).cast("long").alias("readiness"), (F.col("m") >= 2_000_000_000).alias("ready"))
+
+
+@query("SELECT media_id, id, CASE WHEN is_broll THEN 'b-roll' ELSE location END AS location, CASE WHEN is_broll AND id % 2 = 0 THEN 'calm' ELSE emotion END AS emotion, start_us FROM scenes")
+def partial_update(kb: KB) -> DataFrame:
+    """New values replace old ones, nulls don't."""
+    new = kb.scenes.filter("is_broll").select("media_id", "id", F.lit("b-roll").alias("location"), F.when(F.col("id") % 2 == 0, "calm").alias("emotion"))
+    return kbs.update(kb.scenes.select("media_id", "id", "location", "emotion", "start_us"), new, ["media_id", "id"])
+
+
+@query("SELECT a.media_id, a.src, a.scene_id, a.t_us FROM appears a WHERE a.src NOT LIKE 'person:1%' AND NOT EXISTS (SELECT 1 FROM scenes s WHERE s.is_broll AND s.media_id = a.media_id AND s.id = a.scene_id)")
+def deletes(kb: KB) -> DataFrame:
+    """Relations without those of deleted scenes and of persons by a pattern."""
+    gone = kb.scenes.filter("is_broll").select("media_id", F.col("id").alias("scene_id"))
+    return kbs.delete(kb.appearances, gone, ["media_id", "scene_id"], {"src": "person:1%"}).select("media_id", "src", "scene_id", "t_us")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE len(embedding) = 64")
+def delete_by_dim(kb: KB) -> DataFrame:
+    return kbs.delete(kb.vectors, dim=("embedding", 64)).select("vec_id", "label")
+
+
+@query("SELECT s.media_id, s.id AS scene_id FROM scenes s WHERE NOT EXISTS (SELECT 1 FROM appears a WHERE a.media_id = s.media_id AND a.scene_id = s.id AND a.source = 'faces')")
+def unmatched_scenes(kb: KB) -> DataFrame:
+    """Scenes that no face was matched to: the difference of two sets of ids."""
+    seen = kb.appearances.filter("source = 'faces'").select("media_id", "scene_id").distinct()
+    return kb.scenes.select("media_id", F.col("id").alias("scene_id")).join(seen, ["media_id", "scene_id"], "left_anti")
+
+
+@query("""SELECT media_id, chunk, id, row_number() OVER (PARTITION BY media_id ORDER BY chunk, start_us, id) - 1 AS new_id FROM (
+    SELECT media_id, id, start_us, unnest([greatest(0, start_us // 180000000 - 1), start_us // 180000000]) AS chunk, (start_us + end_us) // 2 AS mid FROM (SELECT DISTINCT media_id, id, start_us, end_us FROM audio)) WHERE mid >= chunk * 180000000 AND mid < (chunk + 1) * 180000000 AND (chunk > 0 OR start_us < 180000000) GROUP BY media_id, chunk, id, start_us""")
+def chunk_ownership(kb: KB) -> DataFrame:
+    """Segments that overlapping chunks both heard belong to the one that has their middle; ids are given anew."""
+    at = F.expr("start_us div 180000000")
+    heard = kb.audio_events.select("media_id", "id", "start_us", F.expr("(start_us + end_us) div 2").alias("mid"), F.explode(F.array_distinct(F.array(F.greatest(F.lit(0), at - 1), at))).alias("chunk"))
+    own = heard.filter("mid >= chunk * 180000000 and mid < (chunk + 1) * 180000000")
+    order = Window.partitionBy("media_id").orderBy("chunk", "start_us", "id")
+    return own.select("media_id", "chunk", "id", (F.row_number().over(order) - 1).alias("new_id"))
+
+
+@query("""WITH b AS (SELECT media_id, scene_id, arg_max(CASE WHEN confidence > 0.9 THEN 'climax' ELSE 'setup' END, t_us * 1000000 + CAST(substring(src, 8) AS BIGINT)) AS role FROM appears WHERE source = 'graph' GROUP BY 1, 2)
+    SELECT s.media_id, s.id, coalesce(b.role, s.story_role) AS role FROM scenes s LEFT JOIN b ON b.media_id = s.media_id AND b.scene_id = s.id""")
+def role_precedence(kb: KB) -> DataFrame:
+    """A scene's role: that of its last story beat (here: relations from the graph), else its own."""
+    beat = kb.appearances.filter("source = 'graph'").withColumn("beat", F.when(F.col("confidence") > 0.9, "climax").otherwise("setup"))
+    last = beat.groupBy("media_id", F.col("scene_id").alias("id")).agg(F.max_by("beat", F.struct("t_us", F.expr("cast(substring(src, 8) as bigint)"))).alias("beat"))
+    return kb.scenes.join(last, ["media_id", "id"], "left").select("media_id", "id", F.coalesce("beat", "story_role").alias("role"))

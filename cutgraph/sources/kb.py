@@ -119,3 +119,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     rest = [c for c in old.columns if c not in keys]
     best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(version), F.col("_new"))).alias("r"))
     return best.select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest)).select(*old.columns)
+
+
+def update(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial update: per key the values of ``new`` that aren't null, else the old ones; ``new`` has some of the columns and each key once."""
+    changed = [c for c in new.columns if c not in keys]
+    both = old.alias("old").join(new.alias("new"), keys, "left")
+    return both.select(*(F.col(c) if c in keys else (F.coalesce(f"new.{c}", f"old.{c}") if c in changed else F.col(f"old.{c}")).alias(c) for c in old.columns))
+
+
+def delete(df: DataFrame, gone: DataFrame | None = None, keys: list[str] | None = None, like: dict[str, str] | None = None, dim: tuple[str, int] | None = None) -> DataFrame:
+    """Without the rows whose ``keys`` are in ``gone``, whose column is LIKE a pattern, or whose vector hasn't so many dimensions; nulls stay."""
+    if gone is not None:
+        df = df.join(gone.select(*keys).distinct(), keys, "left_anti")
+    for column, pattern in (like or {}).items():
+        df = df.filter(~F.coalesce(F.col(column).like(pattern), F.lit(False)))
+    return df if dim is None else df.filter(F.coalesce(F.size(dim[0]) == dim[1], F.lit(True)))

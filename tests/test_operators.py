@@ -318,3 +318,16 @@ def test_ask_uses_every_channel(spark, sf_dir):
     kb.__dict__["utterances"] = takes
     assert [r.start_us for r in retrieve.retake_channel(kb, "remove retakes").collect()] == [0]
     assert [r.start_us for r in retrieve.retake_channel(kb, "keep the final take").collect()] == [40 * S]
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    from cutgraph.operators import vectors
+
+    r = random.Random(3)
+    base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [x + r.gauss(0, 0.15) for x in r.choice(base)]) for i in range(150)] + [(200, base[0]), (201, base[0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", vectors.unit("v").alias("v"))
+    known = {x.id: x.v for x in df.collect()}
+    for least in (0.5, 0.9, 0.99):
+        want = {(a, b) for a in known for b in known if a < b and sum(x * y for x, y in zip(known[a], known[b], strict=True)) >= least}
+        assert {(x.a, x.b) for x in vectors.similar_pairs(df, "id", "v", least).collect()} == want and (200, 201) in want
