@@ -11,7 +11,7 @@ def test_query(spark, sf_dir, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations"):
+        for t in ("documents", "pages", "conversations", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         told = con.execute(ORACLES[name])
         columns = [d[0] for d in told.description]
