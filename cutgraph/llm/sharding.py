@@ -25,6 +25,8 @@ BUCKET_BYTES = 16 << 20
 OFTEN = 1024
 #: Bytes that a record has besides its text.
 RECORD_BYTES = 8
+#: Ids of more than OFTEN rows up to which their table (16 bytes each) is broadcast; they are counted.
+BROADCAST_IDS = 1_000_000
 
 
 def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
@@ -52,7 +54,7 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = SHAR
     Numbers of rows of any two shards differ by one at most. Columns called shard or slot are replaced. The seed, doc_id and text decide the order; which of
     rows that agree in both comes first depends on their place in the table, and so does the bucket of ids
     that more than OFTEN rows have, null among them. Null texts count as empty. No rows: an empty result. A bucket holds
-    ``bucket_bytes`` on average, or a longer text; nothing larger is in memory, and the driver gets two totals.
+    ``bucket_bytes`` on average, or a longer text; nothing larger is in memory, and the driver gets three totals.
     """
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")
@@ -61,10 +63,15 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = SHAR
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_bytes))
     often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > OFTEN).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_null"))
+    often = scratch.save(often)
+    n_often = often.count()
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("record"), F.monotonically_increasing_id().alias("row"))
-    doc_id = F.col("record.doc_id")
-    rows = rows.join(often, (F.coalesce(doc_id, F.lit(-1)) == F.col("_id")) & (doc_id.isNull() == F.col("_null")), "left")
-    place = F.when(F.col("_id").isNotNull(), F.col("row"))
+    doc_id, place = F.col("record.doc_id"), F.lit(None)
+    if n_often:
+        # beyond the bound the records are shuffled once more
+        often = F.broadcast(often) if n_often <= BROADCAST_IDS else often
+        rows = rows.join(often, (F.coalesce(doc_id, F.lit(-1)) == F.col("_id")) & (doc_id.isNull() == F.col("_null")), "left")
+        place = F.when(F.col("_id").isNotNull(), F.col("row"))
     rows = rows.select(F.xxhash64(F.lit(seed), doc_id, "record.text", place).alias("hash"), "row", "record")
     scattered = rows.select(F.pmod(F.xxhash64(F.lit(seed), "hash"), F.lit(buckets)).alias("bucket"), "hash", "row", "record")
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("place", T.LongType()), T.StructField("record", rows.schema["record"].dataType)])
