@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -172,11 +173,15 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     p = plain_form(text)
     if p is None or p.text == text:
         return []
+    # base spans of a kind come by start and don't overlap, so only the last that begins before one can hold it
+    starts, ends = ({k: [s[i] for s in base if s[0] == k] for k in KINDS} for i in (1, 2))
     out = []
     for kind, a, b in find_spans(p.text):
         start, end = p.starts[a], p.ends[b - 1]
-        if not any(s <= start and end <= e for k, s, e in base if k == kind) and text[start:end] != p.text[a:b]:
-            out.append((kind, start, end))
+        if text[start:end] != p.text[a:b]:
+            before = bisect_right(starts[kind], start) - 1
+            if before < 0 or ends[kind][before] < end:
+                out.append((kind, start, end))
     return out
 
 
@@ -213,7 +218,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     n_* and the digest are of the base spans; ``found`` has all spans as (kind, start, end), in code
     points of the source, by kind and start. Null and empty texts have none. Repeated rows each give a
-    row; a null doc_id stays null; other columns are not read.
+    row; a null doc_id stays null; other columns are not read. The work grows with the text and its identifiers, however many.
     """
     return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found array<struct<kind:string,start:bigint,end:bigint>>")
 

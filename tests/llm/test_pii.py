@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -144,3 +145,31 @@ def test_the_quick_trace_misses_no_disguise():
     hidden = [plain_form(t) is not None for t in texts]
     assert not [t for t, a, b in zip(texts, hidden, traced(pa.array(texts)), strict=True) if a and not b]
     assert 2000 < sum(hidden) < 18_000
+
+
+def test_many_identifiers_and_one_disguise():
+    text = "".join(f"user{i}@mail{i % 97}.example.org 10.0.{i % 200}.7\n" for i in range(50_000)) + "joe (at) home (dot) com"
+    began = time.monotonic()
+    base = find_spans(text)
+    added = added_spans(text, base)
+    assert len(base) == 100_000 and [text[a:b] for _, a, b in added] == ["joe (at) home (dot) com"] and time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_added_spans_against_a_search_of_all_base_spans(seed):
+    """Plain and disguised identifiers side by side: those that a base span of their kind holds, or that were never disguised, aren't added."""
+    r = random.Random(seed)
+    parts = ["joe@a.com", "joe (at) a.com", "x@b dot com", "10.0.0.1", "10.0.0 dot 1", "+1 234 567 890", "plus 1 234 567 890", "1 2 three 4", "4111 1111 1111 1111", "four 111 1111 1111 1111", " ", "\n", "word", "аdam@c.org"]
+    text = " ".join(r.choice(parts) for _ in range(25))
+    base, p = find_spans(text), plain_form(text)
+    told = []
+    for kind, a, b in find_spans(p.text) if p else []:
+        start, end = p.starts[a], p.ends[b - 1]
+        if text[start:end] != p.text[a:b] and not any(k == kind and s <= start and end <= e for k, s, e in base):
+            told.append((kind, start, end))
+    assert added_spans(text, base) == told
+
+
+def test_empty_table_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.com", 5, "x")], "doc_id long, text string, n_email int, spans string")
+    assert query_pii(docs).first()["spans"] == "email:0:7" and query_pii(docs.limit(0)).collect() == [] and redact_pii(docs.limit(0)).collect() == []
