@@ -220,8 +220,9 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit the automata on a bounded sample of the labelled documents that aren't held out.
 
-    Every language that has one is learned: the texts of the ``sample_docs`` documents with the smallest hash of their id, until
-    ``sample_chars`` code points are reached. What reaches the driver is bounded by these two a language.
+    Every language that has one is learned: the texts of the ``sample_docs`` documents with the smallest hash of their id, of
+    which the first ``sample_docs`` different ones count where ids are repeated, until ``sample_chars`` code points are reached. So at most
+    sample_docs texts of sample_chars code points a language reach the driver.
     """
     known = docs.filter(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0))
     ids = known.select("lang", "doc_id", F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct()
@@ -229,7 +230,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
         ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).filter(F.col("r") <= sample_docs)
     chosen = ids.select("lang", "doc_id")
-    rows = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct().collect()
+    texts = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.col("doc_id"), F.lit(17)).alias("h")).distinct()
+    texts = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= sample_docs).drop("r")
+    rows = texts.collect()
     samples: dict[str, list[str]] = {}
     for lang, text, _ in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
         if sum(map(len, samples.get(lang, []))) < sample_chars:

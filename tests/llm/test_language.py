@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from cutgraph.llm.language import Model, classify, identify_language, in_known_language, suffix_automaton
+from cutgraph.llm.language import Model, classify, identify_language, in_known_language, learn, suffix_automaton
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string"
 
@@ -108,3 +108,15 @@ def test_samples_of_different_length():
     model = Model({"p": [text("p", 3000)], "q": [text("q", 400)]})
     for k in "pq":
         assert sum(x == k for x, _ in classify(model, [text(k, 80) for _ in range(50)])) >= 49
+
+
+def test_a_repeated_id_with_many_texts_is_bounded(spark):
+    rows = [(1, f"the text number {i} of one id", "en", None, None) for i in range(3000)] + [(3, "ein ganz anderer Satz", "de", None, None)] * 10
+    held = [i for i in (1, 3) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert not held
+    model = learn(spark.createDataFrame(rows, SCHEMA), sample_docs=5, sample_chars=60)
+    texts = sorted({t for _, t, *_ in rows[:3000]})
+    told = Model({"de": ["ein ganz anderer Satz"], "en": texts[:5]}, 60)
+    for text in ("the text number 12", "ein Satz", "x"):
+        assert classify(model, [text]) == classify(told, [text])
+    assert learn(spark.createDataFrame([], SCHEMA)).languages == Model({}).languages
