@@ -12,7 +12,7 @@ or 0.8 of those with a token of their own, are matched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE
@@ -135,7 +135,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     each for itself; of the leaks found so the one with most matched windows is told. Other columns are not read.
 
     Documents are joined as (id, position, hash, slot values), about 40 bytes a word, where the benchmark is too
-    large to be broadcast: its windows are counted first.
+    large to be broadcast: its windows are counted first. Matches are judged in one sort of their slots; their number, and with it the work, is that of
+    the pairs of equal windows of a document and an item, which is the product of how often each has it.
     """
     of_items = benchmark_windows(benchmark)
     counts = {r["n"]: r["count"] for r in of_items.groupBy("n").count().collect()}
@@ -158,15 +159,16 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
     if lengths := sorted(n for n in counts if n < WIDTH):
         short = _short(known, "doc_id", lengths, "doc_text").withColumn("soft", F.lit(False))
         hits = hits.unionByName(met(short, of_items.filter(F.col("n") < WIDTH), F.lit("")))
-    # an alignment has a few rows per window of the item; a window that only another form of its first token matched breaks no other
-    aligned = hits.groupBy("doc_id", "doc_text", *item, "shift").agg(F.collect_set(F.struct("item_pos", "literal", "soft", F.coalesce("slots", F.array()).alias("slots"))).alias("hits"))
-    values = lambda of: F.array_distinct(F.flatten(F.transform(of, lambda h: h["slots"])))
-    aligned = aligned.withColumn("firm", values(F.filter("hits", lambda h: ~h["soft"]))).withColumn("every", values(F.col("hits")))
-    clash = lambda s, known: F.exists(known, lambda o: (o["kind"] == s["kind"]) & (o["item_value"] == s["item_value"]) & (o["value"] != s["value"]))
-    whole = F.filter("hits", lambda h: ~F.exists(h["slots"], lambda s: F.when(h["soft"], clash(s, F.col("every"))).otherwise(clash(s, F.col("firm")))))
-    sound = aligned.select("doc_id", "doc_text", *item, F.inline(whole))
+    # one exchange, by document and item, serves all that follows. Of an alignment, each slot value of the item must stand for one value of
+    # the document; a window that only another form of its first token matched (a soft one) breaks no other
+    pair = ["doc_id", "doc_text", *item]
+    filled = hits.withColumn("slots", F.coalesce("slots", F.array())).repartition(*pair).select("*", F.explode_outer("slots").alias("s"))
+    alike = Window.partitionBy(*pair, "shift", "s.kind", "s.item_value")
+    clash = lambda value: F.min(value).over(alike) != F.max(value).over(alike)
+    filled = filled.withColumn("clash", F.when(F.col("soft"), clash(F.col("s.value"))).otherwise(clash(F.when(~F.col("soft"), F.col("s.value")))))
+    sound = filled.groupBy(*pair, "shift", "item_pos", "literal", "soft", "slots").agg(F.bool_or(F.coalesce("clash", F.lit(False))).alias("clash")).filter("not clash")
     changed = F.coalesce(F.exists("slots", lambda s: s["item_value"] != s["value"]), F.lit(False))
-    found = sound.select("doc_id", "doc_text", *item, "item_pos", "literal", changed.alias("changed")).groupBy("doc_id", "doc_text", *item, "item_pos").agg(F.min("changed").alias("changed"), F.max("literal").alias("literal"))
+    found = sound.select(*pair, "item_pos", "literal", changed.alias("changed")).groupBy(*pair, "item_pos").agg(F.min("changed").alias("changed"), F.max("literal").alias("literal"))
     found = found.groupBy("doc_id", "doc_text", *item).agg(F.count("*").alias("matched"), F.count_if("literal").alias("by_literal"), F.max("changed").alias("reparameterised")).join(totals, item)
     every, some = (100 * F.col(a) >= percent * F.col(b) for a, b in (("matched", "windows"), ("by_literal", "literals")))
     found = found.filter(every | some & (F.col("literals") > 0))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 import regex
@@ -156,3 +157,12 @@ def test_long_text_repeated_ids_and_clashing_columns(spark, monkeypatch):
     clash = d.selectExpr("*", "1 as _leak", "2 as item_text", "3 as doc_text", "4 as h", "5 as pos", "6 as leaks")
     assert decontaminated(clash, b.selectExpr("*", "1 as h", "2 as n")).count() == 0
     assert decontaminated(clash, b.limit(0)).columns == clash.columns
+
+
+def test_a_long_item_that_is_dense_with_slots(spark):
+    name = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    item = " ".join(name(i) if i % 2 else str(i) for i in range(10_000))
+    other = " ".join(name(i) if i % 2 else str(3 * i + 1) for i in range(10_000))
+    began = time.monotonic()
+    found, *_ = leaks(spark, [(1, item), (2, other), (3, " ".join(item.split(" ")[:7000]))], [(7, item)])
+    assert found == {(1, 7): False, (2, 7): True} and time.monotonic() - began < 60
