@@ -25,8 +25,8 @@ BUCKET_BYTES = 16 << 20
 OFTEN = 1024
 #: Bytes that a record has besides its text.
 RECORD_BYTES = 8
-#: Ids of more than OFTEN rows up to which their table (16 bytes each) is broadcast; they are counted.
-BROADCAST_IDS = 1_000_000
+#: Ids of more than OFTEN rows, and buckets, up to which their tables (16 bytes each) are broadcast; both are counted.
+BROADCAST_ROWS = 1_000_000
 
 
 def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
@@ -69,7 +69,7 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = SHAR
     doc_id, place = F.col("record.doc_id"), F.lit(None)
     if n_often:
         # beyond the bound the records are shuffled once more
-        often = F.broadcast(often) if n_often <= BROADCAST_IDS else often
+        often = F.broadcast(often) if n_often <= BROADCAST_ROWS else often
         rows = rows.join(often, (F.coalesce(doc_id, F.lit(-1)) == F.col("_id")) & (doc_id.isNull() == F.col("_null")), "left")
         place = F.when(F.col("_id").isNotNull(), F.col("row"))
     rows = rows.select(F.xxhash64(F.lit(seed), doc_id, "record.text", place).alias("hash"), "row", "record")
@@ -79,6 +79,7 @@ def shuffle_into_shards(spark: SparkSession, docs: DataFrame, shards: int = SHAR
 
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shuffled.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = F.broadcast(offsets) if buckets <= BROADCAST_ROWS else offsets
     at = F.col("offset") + F.col("place")
     placed = shuffled.join(offsets, "bucket").select("record", at.alias("at"), F.expr(f"(offset + place) * {shards} div {max(1, n)}").alias("shard"))
     slot = F.col("at") - F.expr(f"(shard * {n} + {shards - 1}) div {shards}")

@@ -69,7 +69,7 @@ def test_fisher_yates_is_uniform():
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_a_third_of_the_rows_are_copies(spark, monkeypatch, broadcast):
     monkeypatch.setattr(sharding, "OFTEN", 50)
-    monkeypatch.setattr(sharding, "BROADCAST_IDS", broadcast)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", broadcast)
     rows = made(600) + [(7, "the same text again", "s")] * 300 + [(None, "no id", "s")] * 100 + [(9, None, None)] * 3
     docs = spark.createDataFrame(rows, SCHEMA)
     got = sharding.shuffle_into_shards(spark, docs, bucket_bytes=3000).collect()
