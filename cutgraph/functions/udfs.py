@@ -80,6 +80,16 @@ def close_matches(column: Column, vocabulary: list[str], n: int = 3, cutoff: flo
     return matched(column)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """Likeness of two texts by their matching blocks (difflib's ratio); null where either is null."""
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return alike(a, b)
+
+
 def probe(column: Column) -> Column:
     """Metadata of a media probe (JSON): fps, variable rate, offset of sound in ms, rotation; null where absent."""
     schema = "r_frame_rate string, avg_frame_rate string, video_start string, audio_start string, rotation string, width int, height int"

@@ -2,45 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sequences import tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def bm25_index(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (term, id, tf, dl), terms (term, idf) and one row of totals (n, avgdl).
+#: Partitions of the postings by the hash of their term.
+BUCKETS = 32
+#: Postings to look up from which it pays to leave some out.
+PRUNE_FROM = 20_000_000
+#: Scores are rounded to 5 decimals; a bound must fall short by more to exclude a document.
+SLACK = 1e-4
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings (bucket, item, term, id, part) and terms (item, term, df, idf, most).
 
-    idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become FLOOR times the mean of all.
+    ``part`` is a document's share of the score per idf, ``most`` the greatest part of a term: what a document can gain by it at most.
     """
-    words = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("ws"))
-    lengths = words.select("id", F.size("ws").cast("long").alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("id", F.size("ws").cast("long").alias("dl"), F.explode("ws").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals.select("n")))
-    raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, idf, totals
 
+    postings: DataFrame
+    terms: DataFrame
 
-def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, raw, score, rank): the k best documents of each query with a positive score.
 
-    ``queries`` are (query_id, query); repeated words of a query count again. The score is raw / 10, at most 1.
+def write_index(docs: DataFrame, path: str, id: str, text: str, item: str | None = None, buckets: int = BUCKETS) -> Index:
+    """Write an index of ``docs`` to ``path``; each ``item`` is a corpus by itself, or all documents are one.
+
+    idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become FLOOR times the mean of the item's. Texts are read twice: for the
+    lengths, and for the postings. Postings lie in folders by the hash of their term, sorted by it.
+    """
+    of = F.lit(0).cast("long") if item is None else F.col(item)
+    words = docs.select(of.alias("item"), F.col(id).alias("id"), tokens(F.col(text)).alias("ws"))
+    totals = words.groupBy("item").agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avgdl"))
+    totals.write.parquet(f"{path}/totals")
+    totals = docs.sparkSession.read.parquet(f"{path}/totals")
+    totals = F.broadcast(totals) if item is None else totals  # one row then
+    # dealt by document, texts are moved once and their words are counted where they are
+    dealt = docs.select(of.alias("item"), F.col(id).alias("id"), F.col(text).alias("text")).repartition("item", "id").select("item", "id", tokens(F.col("text")).alias("ws"))
+    counts = dealt.select("item", "id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("item", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    parts = counts.join(totals.select("item", "avgdl"), "item").select(bucket.alias("bucket"), "item", "term", "id", part.alias("part"))
+    parts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "item").write.partitionBy("bucket").parquet(f"{path}/postings")
+    postings = docs.sparkSession.read.schema("item long, term string, id string, part double, bucket int" if parts.schema["id"].dataType.simpleString() == "string" else "item long, term string, id long, part double, bucket int").parquet(f"{path}/postings")
+    df = postings.groupBy("item", "term").agg(F.count("*").alias("df"), F.max("part").alias("most")).join(totals.select("item", "n"), "item")
+    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw.drop("n").write.parquet(f"{path}/raw")
+    raw = docs.sparkSession.read.parquet(f"{path}/raw")
+    mean = raw.groupBy("item").agg(F.avg("raw").alias("mean"))
+    terms = raw.join(F.broadcast(mean) if item is None else mean, "item").select("item", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "most")
+    terms.write.parquet(f"{path}/terms")
+    return Index(postings, docs.sparkSession.read.parquet(f"{path}/terms"))
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+
+
+def bm25_search(index: Index, queries: DataFrame, k: int, prune: bool | None = None) -> DataFrame:
+    """(query_id, item, id, raw, score, rank): the k best documents with a positive score of each query in its item.
+
+    ``queries`` are (query_id, item, query); repeated words of a query count again. The score is raw / 10, at most 1.
+
+    With ``prune``, the stronger half of a query's words is looked up first. The k-th best score by these is a threshold: where the other
+    words together could not reach it, they are looked up only for documents that they could still lift above it. So
+    the long lists of common words are joined with few documents, and the result is the same. Unless it is given, ``prune`` is whether the
+    queries' lists have more than PRUNE_FROM postings in all.
     """
-    postings, idf, totals = index
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # the asked terms first: only their postings go on; the optimiser broadcasts the queries if they are few
-    asked = asked.join(idf, "term")
-    hits = postings.join(asked, "term").crossJoin(F.broadcast(totals))
-    tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = hits.groupBy("query_id", "id").agg(F.sum(part).alias("raw")).withColumn("raw", F.floor(F.col("raw") * 1e5 + 0.5) / 1e5).filter("raw > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
-    return raw.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", "raw", F.least(F.col("raw") / 10, F.lit(1.0)).alias("score"), "rank")
+    keys = ["query_id", "item"]
+    asked = queries.select(*keys, F.explode(tokens(F.col("query"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("times"))
+    asked = cut(asked.join(index.terms, ["item", "term"]).select(*keys, "term", "df", (F.col("times") * F.col("idf")).alias("w"), (F.col("times") * F.col("idf") * F.col("most")).alias("bound")))
+    if prune is None:
+        prune = asked.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] > PRUNE_FROM
+    looked_up = lambda a: index.postings.join(a, ["item", "term"]).select(*keys, "id", (F.col("w") * F.col("part")).alias("gain"))
+    rounded = F.floor(F.col("raw") * 1e5 + 0.5) / 1e5
+    best = Window.partitionBy(*keys).orderBy(F.desc("raw"), "id")
+    if prune:
+        w = Window.partitionBy(*keys)
+        asked = cut(asked.withColumn("r", F.row_number().over(w.orderBy(F.desc("bound"), "term"))).withColumn("m", F.count("*").over(w)).withColumn("sound", F.min("w").over(w) >= 0))
+        first = asked.filter("2 * r <= m + 1")
+        partial = cut(looked_up(first).groupBy(*keys, "id").agg(F.sum("gain").alias("gain")))
+        threshold = partial.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("gain")))).filter(F.col("r") == k).select(*keys, F.col("gain").alias("least"))
+        rest = asked.filter("2 * r > m + 1").groupBy(*keys).agg(F.sum("bound").alias("others"), F.first("sound").alias("sound"))
+        rest = rest.join(threshold, keys, "left").withColumn("closed", F.coalesce(F.col("sound") & (F.col("others") < F.col("least") - SLACK), F.lit(False)))
+        weak = asked.filter("2 * r > m + 1").join(rest.select(*keys, "closed"), keys)
+        # a closed query's other words only count for documents that may still be among the best
+        near = partial.join(rest.filter("closed"), keys).filter(F.col("gain") + F.col("others") >= F.col("least") - SLACK).select(*keys, "id")
+        more = looked_up(weak.filter("not closed").drop("closed")).unionByName(looked_up(weak.filter("closed").drop("closed")).join(near, [*keys, "id"], "left_semi"))
+        gains = partial.unionByName(more)
+    else:
+        gains = looked_up(asked)
+    raw = gains.groupBy(*keys, "id").agg(F.sum("gain").alias("raw")).withColumn("raw", rounded).filter("raw > 0")
+    return raw.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*keys, "id", "raw", F.least(F.col("raw") / 10, F.lit(1.0)).alias("score"), "rank")
 
 
 WEIGHTS = {"structured": 3.0, "metadata": 2.0, "keyword": 1.0, "vector": 1.0}
@@ -54,24 +114,29 @@ def channel_order(channel: Column) -> Column:
     return out
 
 
-def fuse(segments: DataFrame, threshold: float = 0.35, band: tuple[float, float] = (0.35, 0.55), base: int = 60) -> DataFrame:
-    """Weighted reciprocal-rank fusion of segments (media_id, channel, id, start_us, end_us, score, evidence), within each media item.
+def fuse(segments: DataFrame, threshold: float = 0.35, band: tuple[float, float] = (0.35, 0.55), base: int = 60, keys: tuple[str, ...] = ("media_id",), limit: Column | None = None) -> DataFrame:
+    """Weighted reciprocal-rank fusion of segments (keys, channel, id, start_us, end_us, score, evidence), within ``keys``: each media item, and request.
 
     Segments of a channel rank by falling score, then start, end and id. Those whose times agree to 10 ms are
-    one; each adds weight / (base + rank + 1). The sum times base, at most 1, is the score; under half the threshold it is
-    dropped, in the band it needs confirmation. Times are those seen first: by channel, then rank.
+    one; each adds weight / (base + rank + 1). The sum times base, at most 1, is the score; under half the threshold (``limit``, if it
+    depends on the keys) it is dropped, in the band it needs confirmation. Times are those seen first: by channel, then rank. A
+    column scene_id gives the array of an interval's scenes.
     """
-    by_score = Window.partitionBy("media_id", "channel").orderBy(F.desc("score"), "start_us", "end_us", "id")
+    by_score = Window.partitionBy(*keys, "channel").orderBy(F.desc("score"), "start_us", "end_us", "id")
     ranked = segments.withColumn("r", F.row_number().over(by_score) - 1)
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("channel") == name, w).otherwise(weight)
     key = lambda c: F.expr(f"({c} + 5000) div 10000")
     seq = F.struct(channel_order(F.col("channel")).alias("c"), "r")
-    parts = ranked.select("media_id", key("start_us").alias("ks"), key("end_us").alias("ke"), "start_us", "end_us", seq.alias("seq"), (weight / (base + F.col("r") + 1)).alias("w"), "evidence", "channel")
-    fused = parts.groupBy("media_id", "ks", "ke").agg(
+    scene = "scene_id" in segments.columns
+    parts = ranked.select(*keys, key("start_us").alias("ks"), key("end_us").alias("ke"), "start_us", "end_us", seq.alias("seq"), (weight / (base + F.col("r") + 1)).alias("w"), "evidence", "channel", *(["scene_id"] if scene else []))
+    fused = parts.groupBy(*keys, "ks", "ke").agg(
         F.sum("w").alias("sum"), F.min_by(F.struct("start_us", "end_us"), "seq").alias("first"),
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"]).alias("evidence"), F.countDistinct("channel").alias("channels"),
+        *([F.array_sort(F.collect_set("scene_id")).alias("scene_ids")] if scene else []),
     )
-    scored = fused.select("media_id", "first.start_us", "first.end_us", F.least(F.floor(base * F.col("sum") * 1e6 + 0.5) / 1e6, F.lit(1.0)).alias("score"), "evidence", "channels")
-    return scored.filter(F.col("score") >= threshold / 2).withColumn("needs_confirmation", (F.col("score") >= band[0]) & (F.col("score") <= band[1]))
+    score = F.least(F.floor(base * F.col("sum") * 1e6 + 0.5) / 1e6, F.lit(1.0))
+    scored = fused.select(*keys, "first.start_us", "first.end_us", score.alias("score"), "evidence", "channels", *(["scene_ids"] if scene else []))
+    least = F.lit(threshold / 2) if limit is None else limit / 2
+    return scored.filter(F.col("score") >= least).withColumn("needs_confirmation", (F.col("score") >= band[0]) & (F.col("score") <= band[1]))

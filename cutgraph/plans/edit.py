@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar
 from ..operators import intervals as iv
-from ..operators import search, sequential
+from ..operators import sequential
 from ..session import cut
 from ..sources.kb import DURATION, KB
 from . import intent as intents
-from . import planner, retrieve
+from . import planner, requests, retrieve
 
 M = ["media_id"]
 
@@ -27,74 +26,29 @@ class Edit:
     failures: DataFrame
 
 
-#: The kind of each source, which weighs it when channels are fused.
-CHANNEL_OF = {"bm25": "keyword", "fuzzy": "keyword", "is_broll": "metadata", "outdoor": "metadata", "indoor": "metadata", "story_role": "metadata"}
 PAUSE_WORDS = ("silence", "silences", "pause", "pauses", "dead time", "dead air", "gap", "gaps")
 FILLER_WORDS = ("filler", "fillers", "um", "ums", "uh", "uhs", "hesitations")
-RETAKE_WORDS = ("retake", "retakes", "take", "takes", "repeated", "bad takes")
-PLACE_WORDS = ("scene", "scenes", "shot", "shots", "topic", "topics", "part", "parts")
 
 
 def channels(kb: KB, query: str) -> DataFrame:
-    """Segments (media_id, start_us, end_us, score, source) of every channel that the query calls.
-
-    A stretch of time that the query names is the whole answer; so are pauses and fillers, unless scenes, shots,
-    topics or parts are asked for. What no structured channel knows is looked for in the words said, and in words nearly like them.
-    """
-    q = query.lower()
-    if retrieve.times_of(q, DURATION) is not None:
-        return retrieve.time_channel(kb, q, DURATION)
-    pauses, fillers = retrieve.says(q, PAUSE_WORDS), retrieve.says(q, FILLER_WORDS)
-    if (pauses or fillers) and not retrieve.says(q, PLACE_WORDS):
-        parts = [retrieve.silence_channel(kb, q)] * pauses + [retrieve.filler_channel(kb, q)] * fillers
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    parts = [retrieve.silence_channel(kb, q)] * pauses + [retrieve.filler_channel(kb, q)] * fillers
-    if retrieve.says(q, RETAKE_WORDS):
-        parts.append(retrieve.retake_channel(kb, q))
-    if any(retrieve.says(q, (w,)) for w, _ in retrieve.SOUND_WORDS):
-        parts.append(retrieve.sound_channel(kb, q))
-    if any(retrieve.says(q, words) for _, words in retrieve.EMOTION_WORDS):
-        parts.append(retrieve.emotion_channel(kb, q))
-    if retrieve.says(q, (*retrieve.BROLL_WORDS, *retrieve.OUTDOOR_WORDS, *retrieve.INDOOR_WORDS, "hook", "setup", "development", "climax", "payoff", "outro", "intro", "transition")):
-        parts.append(retrieve.metadata_channel(kb, q))
-    if retrieve.says(q, ("awkward", "cringe", "uncomfortable")):
-        parts.append(retrieve.segments(retrieve.awkward_moments(kb.utterances), F.lit(0.7), "awkward"))
-    if retrieve.says(q, ("question", "questions", "answer", "answers", "statement", "statements")):
-        parts.append(retrieve.dialogue_channel(kb, q))
-    if retrieve.says(q, ("off-topic", "off topic", "tangent", "tangents", "unrelated")):
-        parts.append(retrieve.off_topic_channel(kb, q))
-    if retrieve.topic_of(q) is not None:
-        parts.append(retrieve.topic_channel(kb, q))
-    if re.search(r"\bloc[0-9]+\b", q) or retrieve.says(q, ("location", "place", "at the")):
-        parts.append(retrieve.location_channel(kb, q))
-    if retrieve.says(q, ("object", "objects", "visible", "product")):
-        parts.append(retrieve.object_channel(kb, q))
-    for person in re.findall(r"person:[a-z0-9_]+", q):
-        parts.append(retrieve.segments(retrieve.scenes_where(kb, person=person), F.lit(1.0), "graph"))
-    if not parts:
-        parts = [retrieve.keyword_channel(kb, q), retrieve.fuzzy_channel(kb, q)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Segments (media_id, start_us, end_us, score, source) of every channel that the query calls, over all media items."""
+    if retrieve.times_of(query.lower(), DURATION) is not None:
+        return retrieve.time_channel(kb, query.lower(), DURATION)
+    known = requests.ways(kb, requests.complete(requests.of_every_item(kb, [query])))
+    return requests.hits_of(kb, known).select("media_id", "start_us", "end_us", "score", "source")
 
 
 def fused(kb: KB, query: str) -> DataFrame:
-    """Segments of all channels, fused within each media item and judged by the threshold."""
-    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in CHANNEL_OF.items() for x in pair))[F.col("source")], F.lit("structured"))
-    found = channels(kb, query).groupBy("media_id", "start_us", "end_us", "source").agg(F.max("score").alias("score"))
-    out = search.fuse(found.select("media_id", kind.alias("channel"), F.xxhash64("source").alias("id"), "start_us", "end_us", "score", F.col("source").alias("evidence")))
-    return cut(out.filter("score >= 0.35"))
+    """(media_id, start_us, end_us, score, evidence): the query's segments in every media item, by plans.requests; a stretch of time that it names is the whole answer."""
+    if retrieve.times_of(query.lower(), DURATION) is not None:
+        return retrieve.time_channel(kb, query.lower(), DURATION).withColumn("evidence", F.array("source")).drop("source")
+    found = requests.retrieve_segments(kb, requests.of_every_item(kb, [query]))
+    return cut(found.select("media_id", "start_us", "end_us", "score", F.col("sources").alias("evidence")))
 
 
 def hits(kb: KB, op: intents.Operation) -> DataFrame:
     """Merged intervals that an operation is about; a negated one is about all the rest."""
-    words = scalar.SYNONYMS
-    queries = [op.query, *(op.query.replace(head, o) for head, others in words if head in op.query for o in others)]
-    found = fused(kb, queries[0])
-    for q in queries[1:]:
-        found = found.unionByName(fused(kb, q))
-    spans = found.select("media_id", "start_us", "end_us").distinct().withColumn("id", F.lit(0))
+    spans = fused(kb, op.query).select("media_id", "start_us", "end_us").distinct().withColumn("id", F.lit(0))
     merged = iv.merge(spans, M, 1_000_000)
     return iv.complement(merged.withColumn("id", F.lit(0)), M, DURATION, items=kb.media) if op.negation else merged
 
@@ -201,5 +155,5 @@ def status(kb: KB) -> DataFrame:
 
 
 def suite(kb: KB, prompts: list[str]) -> dict[str, Edit]:
-    """An edit per prompt; nothing runs until its tables are read."""
+    """An edit per prompt, one after the other. Each runs its retrieval and cuts its lineage as it is planned; the metrics and failures are lazy."""
     return {p: edit(kb, p) for p in prompts}

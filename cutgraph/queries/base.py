@@ -28,6 +28,12 @@ PRELUDE = {
     "appears": """SELECT g.media_id, 'person:' || g.user_id AS src, 'appears_in' AS rel, 'scene:' || s.id AS dst, s.id AS scene_id, g.start_us AS t_us, least(g.value / 100, 1.0) AS confidence,
         CASE g.event_type WHEN 'click' THEN 'faces' WHEN 'view' THEN 'vision' WHEN 'purchase' THEN 'graph' WHEN 'signup' THEN 'vision' END AS source
         FROM sig g JOIN scenes s ON g.media_id = s.media_id AND g.start_us >= s.start_us AND g.start_us < s.end_us""",
+    "objects": """SELECT g.media_id, ['phone', 'laptop', 'whiteboard', 'cup', 'book', 'camera', 'screen', 'microphone'][g.id % 8 + 1] AS label, s.id AS scene_id, least(g.value / 100, 1.0) AS confidence
+        FROM sig g JOIN scenes s ON g.media_id = s.media_id AND g.start_us >= s.start_us AND g.start_us < s.end_us WHERE g.event_type IN ('view', 'signup')""",
+    "unsure": """SELECT DISTINCT media_id, scene_id FROM (SELECT media_id, label, count(*) AS n, min(scene_id) AS scene_id FROM objects GROUP BY 1, 2) WHERE n = 1""",
+    "topics": """SELECT media_id, id, ['pricing', 'travel', 'family', 'sport', 'music', 'other things'][id % 6 + 1] AS label, ['demo', 'other', 'sponsor', 'review'][id % 4 + 1] AS class, start_us, end_us FROM scenes""",
+    "media": """SELECT user_id AS media_id FROM events UNION SELECT conv_id FROM conversations""",
+    "people": """SELECT media_id, src AS entity_id, 'guest ' || regexp_extract(src, '[0-9]+') AS label, row_number() OVER (PARTITION BY media_id ORDER BY count(*) DESC, src) = 1 AS is_owner FROM appears GROUP BY 1, 2""",
     "utts": """SELECT media_id, id, speaker, text, e - dur AS start_us, e AS end_us, ['question', 'answer', 'statement'][id % 3 + 1] AS dialogue_act FROM (
         SELECT conv_id AS media_id, turn AS id, role AS speaker, text, length(text) * 66667 AS dur, CAST(sum(length(text) * 66667 + ((conv_id * 7 + turn * 13) % 5) * 700000) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS e FROM conversations)""",
     "words": r"""SELECT media_id, utt_id, speaker, idx, word, s + ((e - s) * (c - length(word))) // t AS start_us, s + ((e - s) * c) // t AS end_us FROM (

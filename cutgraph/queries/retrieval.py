@@ -7,68 +7,116 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import search, vectors
-from ..plans import retrieve
+from ..plans import requests, retrieve
 from ..sources.kb import KB
 from .base import query, r6
 
 M = ["media_id"]
-SEG = ["media_id", "start_us", "end_us", "score", "source"]
 
+def _channel(kb: KB, name: str, *queries: str) -> DataFrame:
+    """What a channel of the registry finds for queries over every media item."""
+    return requests.channel(kb, name, requests.of_every_item(kb, list(queries))).select("query_id", "media_id", "start_us", "end_us", r6("score").alias("score"), "source")
 
-def _seg(df: DataFrame, score, source: str) -> DataFrame:
-    return df.select("media_id", "start_us", "end_us", r6(score).alias("score"), F.lit(source).alias("source"))
 
-
-@query("SELECT media_id, start_us, end_us, 1.0::DOUBLE AS score, 'vad' AS source FROM silences WHERE end_us - start_us > 2000000")
+@query("SELECT 0 AS query_id, media_id, start_us, end_us, 1.0::DOUBLE AS score, 'vad' AS source FROM silences WHERE end_us - start_us > 2000000 UNION ALL SELECT 1, media_id, start_us, end_us, 1.0, 'vad' FROM silences")
 def ch_silence(kb: KB) -> DataFrame:
-    return retrieve.silence_channel(kb, "silence > 2.0s").select(*SEG)
+    return _channel(kb, "silence", "silence > 2.0s", "all the pauses")
 
 
-@query("SELECT media_id, start_us, end_us, 0.95::DOUBLE AS score, 'filler_detector' AS source FROM words WHERE lower(word) IN ('the', 'que')")
+@query(r"""WITH w AS (SELECT *, regexp_replace(lower(word), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') AS w FROM words), r AS (SELECT *, count(*) FILTER (w IN ('and', 'la', 'der')) OVER h / count(*) OVER h AS rate FROM w WINDOW h AS (PARTITION BY media_id, speaker)),
+    n AS (SELECT *, lead(w) OVER o AS w2, lead(end_us) OVER o AS e2 FROM w WINDOW o AS (PARTITION BY media_id ORDER BY start_us, utt_id, idx))
+    SELECT media_id, start_us, end_us, CASE WHEN w IN ('the', 'que') THEN 0.95::DOUBLE ELSE floor(greatest(0.3, 0.7 - rate * 2) * 1e6 + 0.5) / 1e6 END AS score, 'filler_detector' AS source FROM r WHERE w IN ('the', 'que', 'and', 'la', 'der')
+    UNION ALL SELECT media_id, start_us, e2, 0.9, 'filler_phrases' FROM n WHERE w || ' ' || w2 IN ('of the', 'in the', 'de la')""")
 def ch_filler(kb: KB) -> DataFrame:
-    return _seg(kb.words.filter(F.lower("word").isin("the", "que")), F.lit(0.95), "filler_detector")
+    """The texts have no fillers; their commonest words stand in for sure and likely ones and for phrases."""
+    out = retrieve.filler_channel(kb, "", ("the", "que"), ("and", "la", "der"), ("of the", "in the", "de la"))
+    return out.select("media_id", "start_us", "end_us", r6("score").alias("score"), "source")
 
 
-@query("SELECT DISTINCT s.media_id, s.start_us, s.end_us, 1.0::DOUBLE AS score, 'graph' AS source FROM scenes s JOIN appears a ON a.media_id = s.media_id AND a.scene_id = s.id WHERE a.src = 'person:7'")
+@query("""SELECT 0 AS query_id, s.media_id, s.start_us, s.end_us, 1.0::DOUBLE AS score, 'graph' AS source FROM scenes s WHERE EXISTS (FROM appears a WHERE a.media_id = s.media_id AND a.scene_id = s.id AND a.src = 'person:7')
+    UNION ALL SELECT 1, s.media_id, s.start_us, s.end_us, 1.0, 'graph' FROM scenes s WHERE EXISTS (FROM appears a JOIN people p ON p.media_id = a.media_id AND p.entity_id = a.src WHERE is_owner AND a.media_id = s.media_id AND a.scene_id = s.id)
+    UNION ALL SELECT 2, s.media_id, s.start_us, s.end_us, 1.0, 'graph' FROM scenes s WHERE EXISTS (FROM appears a JOIN people p ON p.media_id = a.media_id AND p.entity_id = a.src WHERE label = 'guest 3' AND a.media_id = s.media_id AND a.scene_id = s.id)""")
 def ch_person(kb: KB) -> DataFrame:
-    return _seg(retrieve.scenes_where(kb, person="person:7"), F.lit(1.0), "graph")
+    """By id, as the owner, and by label."""
+    return _channel(kb, "person", "scenes with person:7", "what shows me", "the speaker Guest 3")
 
 
-@query("SELECT media_id, start_us, end_us, 1.0::DOUBLE AS score, 'metadata' AS source FROM scenes WHERE contains('cut loc3 please', location)")
+@query("SELECT 0 AS query_id, media_id, start_us, end_us, 1.0::DOUBLE AS score, 'location' AS source FROM scenes WHERE location = 'loc3'")
 def ch_location(kb: KB) -> DataFrame:
-    return _seg(kb.scenes.filter(F.contains(F.lit("cut loc3 please"), F.lower("location"))), F.lit(1.0), "metadata")
+    return _channel(kb, "location", "cut loc3 please", "cut loc33")
 
 
-@query("SELECT media_id, start_us, end_us, floor(CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.8::DOUBLE ELSE confidence END * 1e6 + 0.5) / 1e6 AS score, 'audio_events' AS source FROM audio WHERE type = 'laughter'")
+@query("SELECT i AS query_id, media_id, start_us, end_us, floor(CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.8::DOUBLE ELSE confidence END * 1e6 + 0.5) / 1e6 AS score, 'audio_events' AS source FROM audio JOIN (VALUES (0, 'laughter'), (1, 'applause')) v(i, t) ON type = t")
 def ch_audio_event(kb: KB) -> DataFrame:
-    return retrieve.sound_channel(kb, "keep the laughing").select("media_id", "start_us", "end_us", r6("score").alias("score"), "source")
+    return _channel(kb, "sound", "keep the laughing", "the clapping and the gasping")
 
 
-@query("SELECT media_id, start_us, end_us, floor(intensity * 1e6 + 0.5) / 1e6 AS score, 'emotion' AS source FROM scenes WHERE emotion IN ('happy', 'joy', 'amused', 'excited') AND intensity > 0.5")
+@query("""SELECT 0 AS query_id, media_id, start_us, end_us, floor(intensity * 1e6 + 0.5) / 1e6 AS score, 'emotion' AS source FROM scenes WHERE emotion IN ('happy', 'joy', 'amused', 'excited') AND intensity > 0.5
+    UNION ALL SELECT 1, media_id, start_us, end_us, floor(intensity * 1e6 + 0.5) / 1e6, 'emotion' FROM scenes WHERE intensity > 0.6 UNION ALL SELECT 2, media_id, start_us, end_us, floor(intensity * 1e6 + 0.5) / 1e6, 'emotion' FROM scenes WHERE emotion = 'tense' AND intensity <> 0""")
 def ch_emotion(kb: KB) -> DataFrame:
-    return retrieve.emotion_channel(kb, "the funniest part").select("media_id", "start_us", "end_us", r6("score").alias("score"), "source")
+    return _channel(kb, "emotion", "the funniest part", "emotional parts", "nervous, tense people")
 
 
-@query("SELECT media_id, e AS start_us, n AS end_us, 0.7::DOUBLE AS score, 'awkward' AS source FROM (SELECT media_id, end_us AS e, lead(start_us) OVER (PARTITION BY media_id ORDER BY start_us, id) AS n FROM utts) WHERE n - e > 2000000")
+@query("""SELECT 0 AS query_id, media_id, e AS start_us, n AS end_us, 0.7::DOUBLE AS score, 'derived_moment' AS source FROM (SELECT media_id, end_us AS e, lead(start_us) OVER (PARTITION BY media_id ORDER BY start_us, id) AS n FROM utts) WHERE n - e > 2000000
+    UNION ALL SELECT 1, media_id, start_us, end_us, 0.7, 'derived_moment' FROM audio WHERE type = 'applause'
+    UNION ALL SELECT DISTINCT 2, a.media_id, a.start_us, a.end_us, 0.7, 'derived_moment' FROM audio a JOIN scenes s ON s.media_id = a.media_id AND s.emotion = 'joy' AND a.type = 'laughter' AND a.start_us - 2000000 < s.end_us AND a.end_us + 2000000 > s.start_us""")
 def ch_moment(kb: KB) -> DataFrame:
-    return retrieve.awkward_moments(kb.utterances).select("media_id", "start_us", "end_us", F.lit(0.7).alias("score"), F.lit("awkward").alias("source"))
+    return _channel(kb, "moment", "awkward moments", "the applause", "something hilarious")
 
 
-@query("SELECT media_id, start_us, end_us, 0.9::DOUBLE AS score, 'question' AS source FROM utts WHERE dialogue_act = 'question'")
+@query("SELECT i AS query_id, media_id, start_us, end_us, 0.9::DOUBLE AS score, 'dialogue_act' AS source FROM utts JOIN (VALUES (0, 'question'), (1, 'answer')) v(i, a) ON dialogue_act = a")
 def ch_dialogue(kb: KB) -> DataFrame:
-    return _seg(kb.utterances.filter("dialogue_act = 'question'"), F.lit(0.9), "question")
+    return _channel(kb, "dialogue", "keep only questions and answers", "her answers")
 
 
-@query("SELECT media_id, start_us, end_us, 0.95::DOUBLE AS score, 'topic' AS source FROM scenes WHERE contains('everything about tense moments', emotion) OR contains(emotion, 'everything about tense moments')")
+@query("SELECT i AS query_id, media_id, start_us, end_us, 0.95::DOUBLE AS score, 'topic_model' AS source FROM topics JOIN (VALUES (0, 'sport', 'none'), (1, 'none', 'sponsor'), (2, 'family', 'none')) v(i, l, c) ON label = l OR class = c")
 def ch_topic(kb: KB) -> DataFrame:
-    q = F.lit("everything about tense moments")
-    return _seg(kb.scenes.filter(F.contains(q, F.col("emotion")) | F.contains(F.col("emotion"), q)), F.lit(0.95), "topic")
+    """By label, by class, and by a query that is a part of the label."""
+    return _channel(kb, "topic", "everything about sport", "the sponsor and the other", "famil")
+
+
+@query("""SELECT 0 AS query_id, t.media_id, start_us, end_us, 0.8::DOUBLE AS score, 'off_topic' AS source FROM topics t JOIN (SELECT media_id, arg_max(label, (us, label)) AS main FROM (SELECT media_id, label, sum(end_us - start_us) AS us FROM topics GROUP BY 1, 2) GROUP BY 1) m ON m.media_id = t.media_id AND label <> main""")
+def ch_off_topic(kb: KB) -> DataFrame:
+    return _channel(kb, "off_topic", "cut the tangents")
+
 
+@query("""SELECT i AS query_id, s.media_id, s.start_us, s.end_us, floor(CASE WHEN confidence = 0 THEN 0.7 ELSE confidence END * 1e6 + 0.5) / 1e6 AS score, 'graph_object' AS source FROM objects o JOIN scenes s ON s.media_id = o.media_id AND s.id = o.scene_id
+    JOIN (VALUES (0, 'laptop'), (0, 'screen'), (1, 'phone'), (1, 'microphone'), (2, 'camera')) v(i, l) ON label = l""")
+def ch_object(kb: KB) -> DataFrame:
+    """By label, by a part of one, and by a word that has one."""
+    return _channel(kb, "object", "the laptop or a screen", "objects like a phone", "product on cameras")
 
-@query("""SELECT media_id, start_us, end_us, 0.9::DOUBLE AS score, 'is_broll' AS source FROM scenes WHERE is_broll UNION ALL SELECT media_id, start_us, end_us, 0.95, 'outdoor' FROM scenes WHERE indoor = false
-    UNION ALL SELECT media_id, start_us, end_us, 0.85, 'story_role' FROM scenes WHERE story_role = 'hook' OR story_role = 'intro'""")
+
+@query("SELECT i AS query_id, media_id, a * 1000000 AS start_us, b * 1000000 AS end_us, 1.0::DOUBLE AS score, 'explicit_timestamp' AS source FROM media, (VALUES (0, 30, 105), (1, 10, 20)) v(i, a, b)".replace("media,", "media CROSS JOIN"))
+def ch_time(kb: KB) -> DataFrame:
+    return _channel(kb, "time", "0:30 to 1:45", "from 10 to 20 seconds", "2:00 to 1:00")
+
+
+@query("""SELECT 0 AS query_id, media_id, start_us, end_us, 0.9::DOUBLE AS score, 'metadata' AS source FROM scenes WHERE is_broll UNION ALL SELECT 0, media_id, start_us, end_us, 0.95, 'metadata' FROM scenes WHERE indoor = false
+    UNION ALL SELECT 0, media_id, start_us, end_us, 0.85, 'metadata' FROM scenes WHERE story_role = 'hook' OR story_role = 'intro' UNION ALL SELECT 1, media_id, start_us, end_us, 0.95, 'metadata' FROM scenes WHERE indoor""")
 def ch_metadata(kb: KB) -> DataFrame:
-    return retrieve.metadata_channel(kb, "b-roll outside of the hook").select(*SEG)
+    return _channel(kb, "metadata", "b-roll outside of the hook", "the office")
+
+
+@query(r"""WITH docs AS (SELECT media_id, 'u' || id AS key, text, start_us, end_us FROM utts UNION ALL SELECT media_id, 's' || id, concat_ws(' ', location, emotion, shot_type), start_us, end_us FROM scenes),
+    toks AS (SELECT media_id, key, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs), size AS (SELECT media_id, count(*) AS n, avg(len(w)) AS avgdl FROM toks GROUP BY 1),
+    post AS (SELECT media_id, key, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT media_id, key, unnest(w) AS term, len(w) AS dl FROM toks) GROUP BY 1, 2, 3),
+    raw AS (SELECT media_id, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post JOIN size USING (media_id) GROUP BY media_id, term, n), mean AS (SELECT media_id, avg(raw) AS mean FROM raw GROUP BY 1),
+    idf AS (SELECT media_id, term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw JOIN mean USING (media_id)),
+    okapi AS (SELECT media_id, key, floor(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * 1e5 + 0.5) / 1e5 AS raw FROM post JOIN idf USING (media_id, term) JOIN size USING (media_id) WHERE term IN ('happy', 'wide', 'loc1', 'la', 'que', 'the') GROUP BY 1, 2)
+    SELECT 0 AS query_id, o.media_id, start_us, end_us, floor(least(raw / 10, 1.0) * 1e6 + 0.5) / 1e6 AS score, 'keyword' AS source FROM okapi o JOIN docs d USING (media_id, key) WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY o.media_id ORDER BY raw DESC, key) <= 20""")
+def ch_keyword(kb: KB) -> DataFrame:
+    """The best twenty documents of each media item, scenes among them, by an index of its own."""
+    return _channel(kb, "keyword", "happy wide loc1 la que the")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 3), v AS (SELECT s.*, embedding FROM scenes s JOIN embeddings ON vec_id = s.id % 500),
+    c AS (SELECT query_id, media_id, v.id, start_us, end_us, floor(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 1e6 + 0.5) / 1e6 AS score FROM q, v),
+    t AS (SELECT *, max(score) OVER (PARTITION BY query_id, media_id) AS best FROM c QUALIFY row_number() OVER (PARTITION BY query_id, media_id ORDER BY score DESC, id) <= 20)
+    SELECT query_id, media_id, start_us, end_us, score, 'vector' AS source FROM t WHERE score >= greatest(0.15, best - 0.15)""")
+def ch_vector(kb: KB) -> DataFrame:
+    kb.query_vectors = kb.vectors.select(F.col("vec_id").alias("query_id"), "embedding").filter("query_id < 3")
+    return _channel(kb, "vector", "a", "b", "c")
 
 
 @query("""SELECT s.media_id, s.id FROM scenes s WHERE location = 'loc2' AND shot_type = 'medium' AND EXISTS (FROM appears a WHERE a.media_id = s.media_id AND a.scene_id = s.id AND a.src = 'person:' || s.media_id)""")
@@ -111,11 +159,67 @@ def ask_topk(kb: KB) -> DataFrame:
 @query(f"""WITH {_RRF}, t AS (SELECT * FROM f WHERE score >= 0.175 AND score >= 0.35), i AS (SELECT *, max(end_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM t),
     g AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM i)
     SELECT media_id, min(start_us) AS start_us, max(end_us) AS end_us, max(score) AS score, count(*) AS n FROM g GROUP BY media_id, g""")
-def hybrid_retrieve(kb: KB) -> DataFrame:
+def fused_merged(kb: KB) -> DataFrame:
     """Channels, fusion, the threshold, and the merge of neighbours, in each media item."""
     return retrieve.merged_hits(search.fuse(_segments(kb)), 0.35)
 
 
+#: Requests of every media item that call each kind of channel.
+REQUESTS = ("silence > 2.0s", "the funniest scenes", "b-roll outside of the hook", "scenes about travel", "the questions at loc3", "laughing while happy scenes", "0:30 to 1:45", "the laptop", "person:7 off-topic tangent", "who mentions la que")
+_PARTS = [(q, "w0", text) for q, text in enumerate(REQUESTS) if q not in (0, 5, 6)] + [(5, f"w{i}", f"{x} while happy scenes") for i, x in enumerate(("laughing", "laugh", "laughter", "chuckle", "gasp"))] + [(5, f"a{i}", x) for i, x in enumerate(("laughing", "laugh", "laughter", "chuckle", "gasp"))] + [(5, "b0", "happy scenes")]
+_HYBRID = rf"""WITH parts(query_id, part, q) AS (VALUES {", ".join(f"({q}, '{p}', '{t}')" for q, p, t in _PARTS)}),
+    asked AS (SELECT p.*, media_id FROM parts p CROSS JOIN media),
+    happy AS (SELECT *, emotion LIKE '%happy%' OR emotion LIKE '%joy%' AS yes FROM scenes WHERE intensity <> 0),
+    docs AS (SELECT media_id, 'u' || id AS key, text, start_us, end_us, NULL::BIGINT AS scene_id FROM utts UNION ALL SELECT media_id, 's' || id, concat_ws(' ', location, emotion, shot_type), start_us, end_us, id FROM scenes),
+    toks AS (SELECT media_id, key, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM docs), size AS (SELECT media_id, count(*) AS n, avg(len(w)) AS avgdl FROM toks GROUP BY 1),
+    post AS (SELECT media_id, key, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT media_id, key, unnest(w) AS term, len(w) AS dl FROM toks) GROUP BY 1, 2, 3),
+    raw AS (SELECT media_id, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post JOIN size USING (media_id) GROUP BY media_id, term, n), mean AS (SELECT media_id, avg(raw) AS mean FROM raw GROUP BY 1),
+    idf AS (SELECT media_id, term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw JOIN mean USING (media_id)),
+    words_of AS (SELECT query_id, part, media_id, unnest(regexp_split_to_array(lower(q), '\s+')) AS term FROM asked),
+    okapi AS (SELECT query_id, part, media_id, key, floor(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) * 1e5 + 0.5) / 1e5 AS raw FROM words_of JOIN post USING (media_id, term) JOIN idf USING (media_id, term) JOIN size USING (media_id) GROUP BY 1, 2, 3, 4),
+    kept AS (SELECT o.query_id, o.part, o.media_id, d.start_us, d.end_us, least(raw / 10, 1.0) AS score, scene_id FROM okapi o JOIN docs d USING (media_id, key) WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY o.query_id, o.part, o.media_id ORDER BY raw DESC, key) <= 20),
+    vecs AS (SELECT s.*, embedding FROM scenes s JOIN embeddings ON vec_id = s.id % 500),
+    sims AS (SELECT query_id, part, a.media_id, v.start_us, v.end_us, v.id, floor(list_inner_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) * 1e6 + 0.5) / 1e6 AS score FROM asked a JOIN embeddings e ON e.vec_id = query_id JOIN vecs v ON v.media_id = a.media_id),
+    tops AS (SELECT *, max(score) OVER (PARTITION BY query_id, part, media_id) AS best FROM sims QUALIFY row_number() OVER (PARTITION BY query_id, part, media_id ORDER BY score DESC, id) <= 20),
+    near AS (SELECT * FROM tops WHERE score >= greatest(0.15, best - 0.15)),
+    found AS (
+        SELECT query_id, media_id, part, start_us, end_us, intensity AS score, 'emotion' AS source, h.id AS scene_id, 'structured' AS channel FROM asked JOIN happy h USING (media_id) WHERE query_id = 1 AND emotion IN ('happy', 'joy', 'amused', 'excited') AND intensity > 0.5 OR query_id = 5 AND part[1] IN ('w', 'b') AND yes
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.8 ELSE confidence END, 'audio_events', NULL, 'structured' FROM asked JOIN audio USING (media_id) WHERE query_id = 5 AND part[1] IN ('w', 'a') AND type = CASE WHEN part[2] = '4' THEN 'gasp' ELSE 'laughter' END
+        UNION ALL SELECT DISTINCT query_id, a.media_id, part, a.start_us, a.end_us, 0.7, 'derived_moment', CAST(NULL AS BIGINT), 'structured' FROM asked JOIN audio a USING (media_id) JOIN scenes s ON s.media_id = a.media_id AND s.emotion = 'joy' AND a.type = 'laughter' AND a.start_us - 2000000 < s.end_us AND a.end_us + 2000000 > s.start_us WHERE query_id = 1
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, 0.9, 'dialogue_act', NULL, 'structured' FROM asked JOIN utts USING (media_id) WHERE query_id = 4 AND dialogue_act = 'question'
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, 1.0, 'location', id, 'structured' FROM asked JOIN scenes USING (media_id) WHERE query_id = 4 AND location = 'loc3'
+        UNION ALL SELECT query_id, a.media_id, part, start_us, end_us, CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.7 ELSE confidence END, 'graph_object', scene_id, 'structured' FROM asked a JOIN objects o USING (media_id) JOIN scenes s ON s.media_id = a.media_id AND s.id = scene_id WHERE query_id = 7 AND label = 'laptop'
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, 0.95, 'topic_model', NULL, 'structured' FROM asked JOIN topics USING (media_id) WHERE query_id = 3 AND label = 'travel'
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, 0.8, 'off_topic', NULL, 'structured' FROM asked JOIN topics USING (media_id) JOIN (SELECT media_id, arg_max(label, (us, label)) AS main FROM (SELECT media_id, label, sum(end_us - start_us) AS us FROM topics GROUP BY 1, 2) GROUP BY 1) USING (media_id) WHERE query_id = 8 AND label <> main
+        UNION ALL SELECT DISTINCT query_id, a.media_id, part, s.start_us, s.end_us, 1.0, 'graph', s.id, 'structured' FROM asked a JOIN appears p USING (media_id) JOIN scenes s ON s.media_id = a.media_id AND s.id = p.scene_id WHERE query_id = 8 AND src = 'person:7'
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, unnest(list_filter([CASE WHEN is_broll THEN 0.9 END, CASE WHEN indoor = false THEN 0.95 END, CASE WHEN story_role IN ('hook', 'intro') THEN 0.85 END], lambda x: x IS NOT NULL)), 'metadata', id, 'metadata' FROM asked JOIN scenes USING (media_id) WHERE query_id = 2
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, score, 'keyword', scene_id, 'keyword' FROM kept
+        UNION ALL SELECT query_id, media_id, part, start_us, end_us, score, 'vector', id, 'vector' FROM near),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, media_id, part, channel ORDER BY score DESC, start_us, end_us, coalesce(scene_id, -1)) - 1 AS r, CASE channel WHEN 'structured' THEN 0 WHEN 'keyword' THEN 1 WHEN 'vector' THEN 2 ELSE 3 END AS o, CASE channel WHEN 'structured' THEN 3.0::DOUBLE WHEN 'metadata' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM found),
+    fused AS (SELECT query_id, media_id, part, (start_us + 5000) // 10000 AS ks, (end_us + 5000) // 10000 AS ke, least(floor(60 * sum(w / (60 + r + 1)) * 1e6 + 0.5) / 1e6, 1.0) AS score, arg_min(start_us, o * 1000000 + r) AS start_us, arg_min(end_us, o * 1000000 + r) AS end_us, list(DISTINCT source) AS sources, list(DISTINCT scene_id) FILTER (scene_id IS NOT NULL) AS scene_ids FROM ranked GROUP BY ALL HAVING least(floor(60 * sum(w / (60 + r + 1)) * 1e6 + 0.5) / 1e6, 1.0) >= 0.175),
+    met AS (SELECT a.query_id, a.media_id, greatest(a.start_us, b.start_us) AS start_us, least(a.end_us, b.end_us) AS end_us, (a.score + b.score) / 2 AS score, list_concat(a.sources, b.sources) AS sources, list_concat(a.scene_ids, b.scene_ids) AS scene_ids, false AS doubt
+        FROM fused a JOIN fused b ON a.part[1] = 'a' AND b.part[1] = 'b' AND a.query_id = b.query_id AND a.media_id = b.media_id AND least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us) > 200000),
+    last AS (SELECT * FROM found WHERE part[1] = 'w' AND (query_id <> 5 OR part = (SELECT max(f.part) FROM found f WHERE f.query_id = 5 AND f.media_id = found.media_id AND f.part[1] = 'w'))),
+    sure AS (SELECT f.query_id, f.media_id, f.part, f.ks, f.ke, count(DISTINCT l.channel) AS n FROM fused f JOIN last l ON l.query_id = f.query_id AND l.media_id = f.media_id AND l.start_us <= f.end_us AND l.end_us >= f.start_us GROUP BY ALL),
+    whole AS (SELECT f.query_id, f.media_id, f.start_us, f.end_us, f.score, f.sources, f.scene_ids, f.score <= 0.55 OR (coalesce(n, 0) < 2 AND EXISTS (FROM unsure u WHERE u.media_id = f.media_id AND list_contains(f.scene_ids, u.scene_id))) AS doubt
+        FROM fused f LEFT JOIN sure USING (query_id, media_id, part, ks, ke) WHERE f.part[1] = 'w' AND f.score >= 0.35 AND NOT EXISTS (FROM met m WHERE m.query_id = f.query_id AND m.media_id = f.media_id)),
+    every AS (SELECT *, row_number() OVER () AS tie FROM (SELECT * FROM met UNION ALL SELECT * FROM whole)),
+    seen AS (SELECT *, max(end_us) OVER (PARTITION BY query_id, media_id ORDER BY start_us, end_us, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM every),
+    isle AS (SELECT *, sum(CASE WHEN p IS NULL OR start_us - p > 1000000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, media_id ORDER BY start_us, end_us, tie ROWS UNBOUNDED PRECEDING) AS g FROM seen),
+    joined AS (SELECT query_id, media_id, min(start_us) AS start_us, max(end_us) AS end_us, max(score) AS score, count(*) AS n, list_sort(list_distinct(flatten(list(scene_ids) FILTER (scene_ids IS NOT NULL)))) AS scene_ids, list_sort(list_distinct(flatten(list(sources)))) AS sources, bool_or(doubt) AS doubt FROM isle GROUP BY query_id, media_id, g)
+    SELECT query_id, media_id, start_us, end_us, floor(score * 1e6 + 0.5) / 1e6 AS score, n, coalesce(array_to_string(scene_ids, ','), '') AS scene_ids, array_to_string(sources, ',') AS sources, doubt AS needs_confirmation FROM joined
+    UNION ALL SELECT 0, s.media_id, start_us, end_us, 1.0, 1, '', 'vad', false FROM silences s WHERE end_us - start_us > 2000000 AND EXISTS (FROM words w WHERE w.media_id = s.media_id)
+    UNION ALL SELECT 6, media_id, 30000000, 105000000, 1.0, 1, '', 'explicit_timestamp', false FROM media"""
+
+
+@query(_HYBRID)
+def hybrid_retrieve(kb: KB) -> DataFrame:
+    """Ten requests of every media item in one plan: all channels, fusion, threshold, corroboration and merge; queries have vectors too."""
+    kb.query_vectors = kb.vectors.select(F.col("vec_id").alias("query_id"), "embedding").filter(F.col("query_id") < len(REQUESTS))
+    out = requests.retrieve_segments(kb, requests.of_every_item(kb, list(REQUESTS)))
+    return out.withColumn("scene_ids", F.array_join("scene_ids", ",")).withColumn("sources", F.array_join("sources", ","))
+
+
 @query("""SELECT id, channel, CASE WHEN channel IN ('vector', 'keyword') THEN p ELSE greatest(score, p) END AS score FROM (SELECT id, channel, floor(score * 1e6 + 0.5) / 1e6 AS score, floor(1 / (1 + exp(-(id % 7 - 3.0::DOUBLE))) * 1e6 + 0.5) / 1e6 AS p FROM (""" + _SEGMENTS + "))")
 def rerank_combine(kb: KB) -> DataFrame:
     """A reranker's probability replaces weak evidence's score and can only raise that of the rest."""

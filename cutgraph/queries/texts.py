@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import intervals as iv
 from ..operators import search
+from ..session import folder
 from ..sources.kb import KB
 from .base import query, r6
 
@@ -87,8 +88,9 @@ def seam_merge(kb: KB) -> DataFrame:
     SELECT query_id, doc_id AS id, raw, least(raw / 10, 1.0) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def bm25_topk(kb: KB) -> DataFrame:
     """Every benchmark item as a query over all documents."""
-    asked = kb.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.bm25_search(search.bm25_index(kb.table("documents"), "doc_id", "text"), asked, 20)
+    asked = kb.table("benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).cast("long").alias("item"), F.col("text").alias("query"))
+    index = search.write_index(kb.table("documents"), folder(kb.spark, "bm25"), "doc_id", "text")
+    return search.bm25_search(index, asked, 20).drop("item")
 
 
 @query("""WITH c AS (SELECT media_id, id, row_number() OVER (PARTITION BY media_id ORDER BY id DESC) AS pos, start_us, end_us FROM utts WHERE id % 2 = 0),

@@ -1,6 +1,7 @@
 """Session settings that the engine is written for."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +17,26 @@ def get_spark(app: str = "cutgraph", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the folder that ``spark.checkpoint.dir`` names, so that later plans are short and survive lost executors.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and not (context.master.startswith("local") and "local-cluster" not in context.master):
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, made the context's checkpoint folder; only a local session without it gets one of its own."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not (context.master.startswith("local") and "local-cluster" not in context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="cutgraph-"))
+        at = tempfile.mkdtemp(prefix="cutgraph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder, so that later plans are short and survive lost executors."""
+    _shared(df.sparkSession)
     return df.checkpoint()

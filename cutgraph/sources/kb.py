@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals
@@ -20,6 +20,8 @@ DURATION = 2_600_000_000
 SOUNDS = {"click": "laughter", "view": "music", "purchase": "applause", "signup": "gasp", "error": "cough"}
 EMOTIONS = ("happy", "joy", "sad", "angry", "amused", "excited", "neutral", "tense")
 ROLES = ("hook", "setup", "development", "climax", "payoff", "outro", "intro", "transition", None)
+OBJECTS = ("phone", "laptop", "whiteboard", "cup", "book", "camera", "screen", "microphone")
+TOPICS = ("pricing", "travel", "family", "sport", "music", "other things")
 SOURCES = {"click": "faces", "view": "vision", "purchase": "graph", "signup": "vision", "error": None}
 
 
@@ -101,6 +103,38 @@ class KB:
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select("vec_id", "label", "embedding")
 
+    @cached_property
+    def people(self) -> DataFrame:
+        """(media_id, entity_id, label, is_owner): those who appear; the owner does most often."""
+        n = self.appearances.groupBy("media_id", F.col("src").alias("entity_id")).agg(F.count("*").alias("n"))
+        first = F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("n"), "entity_id"))
+        return n.select("media_id", "entity_id", F.concat(F.lit("guest "), F.regexp_extract("entity_id", "[0-9]+", 0)).alias("label"), (first == 1).alias("is_owner"))
+
+    @cached_property
+    def objects(self) -> DataFrame:
+        """(media_id, label, scene_id, confidence): what was seen in scenes."""
+        seen = self.signals.filter("event_type in ('view', 'signup')").select("media_id", "id", "value", F.col("start_us").alias("t_us"))
+        inside = intervals.point_join(seen, self.scenes.select("media_id", F.col("id").alias("scene_id"), "start_us", "end_us"), ["media_id"], "t_us", 32_000_000)
+        return inside.select("media_id", F.element_at(F.array(*map(F.lit, OBJECTS)), (F.col("id") % len(OBJECTS) + 1).cast("int")).alias("label"), "scene_id", F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"))
+
+    @cached_property
+    def unsure(self) -> DataFrame:
+        """(media_id, scene_id) of the sightings that need verification: of objects that an item shows once."""
+        n = self.objects.groupBy("media_id", "label").agg(F.count("*").alias("n"), F.min("scene_id").alias("scene_id"))
+        return n.filter("n = 1").select("media_id", "scene_id").distinct()
+
+    @cached_property
+    def topics(self) -> DataFrame:
+        """(media_id, label, class, start_us, end_us), one a scene."""
+        i = F.col("id")
+        pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+        return self.scenes.select("media_id", "id", pick(TOPICS).alias("label"), pick(("demo", "other", "sponsor", "review")).alias("class"), "start_us", "end_us")
+
+    @cached_property
+    def scene_vectors(self) -> DataFrame:
+        """(media_id, scene_id, embedding): a vector of the table for each scene."""
+        return self.scenes.select("media_id", F.col("id").alias("scene_id"), (F.col("id") % 500).alias("vec_id")).join(self.vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet, sorted within files by media and start."""

@@ -303,21 +303,26 @@ def test_edit_prompts_end_to_end(spark, sf_dir):
 
 
 def test_ask_uses_every_channel(spark, sf_dir):
-    from cutgraph.plans import edit, retrieve
+    from cutgraph.plans import edit, requests
 
     kb = planted(spark, sf_dir)
-    sources = lambda q: {r.source for r in edit.channels(kb, q).select("source").distinct().collect()}
-    assert sources("remove filler words") == {"filler_detector", "filler_phrases"}
-    assert sources("scenes about pricing") == {"topic"} and sources("where do they meet on a bridge") >= {"bm25"}
-    assert sources("somebody says bridg") == {"fuzzy"}
-    assert sources("the question") == {"dialogue"} and sources("everything at loc1") == {"metadata"} and sources("the tangents") == {"off_topic"}
-    assert sources("happy scenes in b-roll") == {"emotion", "is_broll"} and sources("last 2 minutes") == {"time"}
+    asked = ("remove filler words", "scenes about pricing", "where do they meet on a bridge", "somebody says Bridg", "the question", "everything at loc1", "the tangents", "happy scenes in b-roll")
+    hits = requests.hits_of(kb, requests.ways(kb, requests.complete(requests.of_every_item(kb, list(asked)))))
+    sources: dict = {}
+    for r in hits.select("query_id", "source").distinct().collect():
+        sources.setdefault(asked[r.query_id], set()).add(r.source)
+    assert sources["remove filler words"] == {"filler_detector", "filler_phrases"}
+    assert sources["scenes about pricing"] == {"topic_model", "keyword"} and sources["where do they meet on a bridge"] == {"keyword"}
+    assert sources["somebody says Bridg"] == {"keyword_fuzzy"} and sources["the question"] == {"dialogue_act", "keyword"}
+    assert sources["everything at loc1"] == {"location", "keyword"} and sources["the tangents"] == {"off_topic", "keyword"}
+    assert sources["happy scenes in b-roll"] == {"emotion", "metadata", "keyword"}
+    assert {r.source for r in edit.channels(kb, "last 2 minutes").select("source").distinct().collect()} == {"time"}
     best = edit.ask(kb, "where is the old bridge").collect()[0]
     assert (best.media_id, best.start_us) == (1, 0)
     takes = kb.utterances.union(spark.createDataFrame([(1, 9, "anna", "well um we met at the old bridges", 40 * S, 48 * S, "statement")], kb.utterances.schema))
     kb.__dict__["utterances"] = takes
-    assert [r.start_us for r in retrieve.retake_channel(kb, "remove retakes").collect()] == [0]
-    assert [r.start_us for r in retrieve.retake_channel(kb, "keep the final take").collect()] == [40 * S]
+    found = requests.channel(kb, "retake", requests.of_every_item(kb, ["remove retakes", "keep the final take"]))
+    assert {(r.query_id, r.start_us) for r in found.collect()} == {(0, 0), (1, 40 * S)}
 
 
 def test_similar_pairs_against_all_pairs(spark):
