@@ -6,6 +6,8 @@ task. An item's rows are bounded by its length in time, not by the corpus.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -184,62 +186,6 @@ def claimed_order(keeps: list[tuple[int, int]], wanted: list[tuple[int, int]], s
     return used + [i for i in range(len(keeps)) if i not in used]
 
 
-def settled(keeps: list[tuple[int, int]], snap: Callable[[int], int], micro: int = 300_000, least: int = S, rounds: int = 5) -> list[tuple[int, int]]:
-    """Merge of micro gaps, drop of short clips (never all) and snapping, until nothing changes."""
-    for _ in range(rounds):
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(keeps):
-            if merged and a - merged[-1][1] < micro:
-                merged[-1] = (merged[-1][0], b)
-            else:
-                merged.append((a, b))
-        long = [k for k in merged if k[1] - k[0] >= least] or ([max(merged, key=lambda k: (k[1] - k[0], -k[0]))] if merged else [])
-        new = []
-        for a, b in long:
-            x, y = snap(a), snap(b)
-            new.append((x, y) if x < y else (a, b))
-        if new == keeps:
-            break
-        keeps = new
-    return keeps
-
-
-def tracks(frames: list[list[tuple[float, float, float, float, float]]], high: float = 0.6, low: float = 0.1, overlap: float = 0.5, age: int = 30, hits: int = 3) -> list[tuple[int, int, int]]:
-    """Two-stage tracking of boxes (x0, y0, x1, y1, score): (frame, box, track) of tracks of ``hits`` boxes or more.
-
-    Confident boxes are matched first, by greatest overlap; faint ones can only go on with a track.
-    """
-    live: list[dict] = []
-    out: list[tuple[int, int, int]] = []
-    count = 0
-
-    def iou(a, b) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        both = max(w, 0) * max(h, 0)
-        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both or 1)
-
-    for f, boxes in enumerate(frames):
-        free = [t for t in live if f - t["seen"] <= age]
-        for stage in (lambda s: s >= high, lambda s: low <= s < high):
-            rest = [i for i, b in enumerate(boxes) if stage(b[4])]
-            pairs = sorted(((-iou(t["box"], boxes[i]), t["id"], i) for t in free for i in rest), key=lambda p: p)
-            for score, tid, i in pairs:
-                t = next((t for t in free if t["id"] == tid), None)
-                if t is not None and i in rest and -score >= overlap:
-                    t |= {"box": boxes[i], "seen": f}
-                    t["path"].append((f, i))
-                    free.remove(t)
-                    rest.remove(i)
-            if stage(high):
-                for i in rest:
-                    live.append({"id": count, "box": boxes[i], "seen": f, "path": [(f, i)]})
-                    count += 1
-    for t in live:
-        if len(t["path"]) >= hits:
-            out += [(f, i, t["id"]) for f, i in t["path"]]
-    return sorted(out)
-
-
 def merged_identities(people: list[dict], similar: Callable[[dict, dict], float], least: float = 0.8, bonus: float = 0.1, near: int = 2) -> list[int]:
     """Group of each person (scene): greedy, each joins the first group whose seed is alike; close scenes help."""
     seeds: list[int] = []
@@ -256,23 +202,6 @@ def merged_identities(people: list[dict], similar: Callable[[dict, dict], float]
     return out
 
 
-def agglomerated(vectors: list[list[float]], distance: float = 0.5) -> list[int]:
-    """Cluster of each vector of length one: average linkage by cosine distance, merged while under ``distance``."""
-    groups = [[i] for i in range(len(vectors))]
-    d = [[1 - sum(x * y for x, y in zip(a, b, strict=True)) for b in vectors] for a in vectors]
-    while len(groups) > 1:
-        best = min((sum(d[x][y] for x in a for y in b) / (len(a) * len(b)), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-        if best[0] >= distance:
-            break
-        _, i, j = best
-        groups[i] += groups.pop(j)
-    out = [0] * len(vectors)
-    for g, members in enumerate(sorted(groups, key=min)):
-        for i in members:
-            out[i] = g
-    return out
-
-
 def assigned(cost: list[list[float]], most: float = float("inf")) -> list[tuple[int, int]]:
     """Pairs (row, column) of the least total cost, by shortest augmenting paths; pairs dearer than ``most`` go."""
     if not cost or not cost[0]:
@@ -305,3 +234,156 @@ def assigned(cost: list[list[float]], most: float = float("inf")) -> list[tuple[
             owner[j0], j0 = owner[way[j0]], way[j0]
     pairs = [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
     return sorted((b, a) if turned else (a, b) for a, b in pairs if c[a][b] <= most)
+
+
+class Ladder:
+    """Where cuts of a media item should move, by binary search in sorted targets.
+
+    In turn: the best sample (t, score) of the affinity curve within ``window``, if not negative and more than 50 ms away; the middle of the nearest
+    silence of 300 ms or more that lies in no word; the middle of the nearest gap of 120 ms or more between words; the nearest word edge; the cut as it is.
+    """
+
+    def __init__(self, silences: list[tuple[int, int]], words: list[tuple[int, int]], affinity: list[tuple[int, float]] = (), window: int = 400_000):
+        self.window, words = window, sorted(words)
+        starts, reach = [a + 15_000 for a, _ in words], []
+        for _, b in words:
+            reach.append(max(b - 15_000, reach[-1] if reach else b - 15_000))
+        inside = lambda t: (i := bisect_left(starts, t)) > 0 and reach[i - 1] > t
+        quiet = {(a + b) // 2 for a, b in silences if b - a >= 300_000}
+        self.quiet = sorted(t for t in quiet if not inside(t))
+        self.gaps = sorted({(b + c) // 2 for (_, b), (c, _) in zip(words, words[1:], strict=False) if c - b >= 120_000})
+        self.edges = sorted({t for w in words for t in w})
+        self.curve = sorted(affinity)
+        self.at = [t for t, _ in self.curve]
+
+    def _nearest(self, targets: list[int], t: int) -> int | None:
+        i = bisect_left(targets, t)
+        close = [x for x in targets[max(0, i - 1) : i + 1] if abs(x - t) <= self.window]
+        return min(close, key=lambda x: (abs(x - t), x)) if close else None
+
+    def snap(self, t: int) -> int:
+        near = self.curve[bisect_left(self.at, t - self.window) : bisect_right(self.at, t + self.window)]
+        if near:
+            u, score = max(near, key=lambda x: (x[1], -abs(x[0] - t), -x[0]))
+            if score >= 0 and abs(u - t) > 50_000:
+                return u
+        return next((u for targets in (self.quiet, self.gaps, self.edges) if (u := self._nearest(targets, t)) is not None), t)
+
+
+def settled(keeps: list[tuple[int, int]], snap: Callable[[int], int], micro: int = 300_000, least: int = S, rounds: int = 5) -> list[tuple[int, int]]:
+    """Merge of micro gaps, drop of short clips (never all) and snapping, until nothing changes; clips whose snapped ends collapse go."""
+    for _ in range(rounds):
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(keeps):
+            if merged and a - merged[-1][1] < micro:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        long = [k for k in merged if k[1] - k[0] >= least] or ([max(merged, key=lambda k: (k[1] - k[0], -k[0]))] if merged else [])
+        new = [(x, y) for a, b in long if (x := snap(a)) < (y := snap(b))]
+        if new == keeps:
+            break
+        keeps = new
+    return keeps
+
+
+def smoothed(values: list[float], half: int = 2, sigma: float = 1.1) -> list[float]:
+    """Gaussian average over 2 * half + 1 samples; beyond its ends the series is mirrored."""
+    weights = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-half, half + 1)]
+    n, total = len(values), sum(weights)
+
+    def at(i: int) -> float:
+        while n > 1 and not 0 <= i < n:
+            i = -i if i < 0 else 2 * (n - 1) - i
+        return values[i if n > 1 else 0]
+
+    return [sum(w * at(i + k) for w, k in zip(weights, range(-half, half + 1), strict=True)) / total for i in range(n)]
+
+
+def peaks(values: list[float], distance: int = 10, prominence: float = 0.5) -> list[int]:
+    """Places of the peaks of a series: the middles of stretches that are higher than what is on both sides.
+
+    Of peaks nearer than ``distance`` the higher stays (of equal ones the later), from the highest on. What stays must stand out by ``prominence``: over the higher of the
+    two least values on the ways to something higher on either side, or to the end.
+    """
+    n, found, i = len(values), [], 1
+    while i < n - 1:
+        if values[i - 1] < values[i]:
+            j = i
+            while j + 1 < n and values[j + 1] == values[i]:
+                j += 1
+            if j + 1 < n and values[j + 1] < values[i]:
+                found.append((i + j) // 2)
+            i = j
+        i += 1
+    kept = [True] * len(found)
+    for k in sorted(range(len(found)), key=lambda k: (values[found[k]], k), reverse=True):
+        if kept[k]:
+            for step in (-1, 1):
+                m = k + step
+                while 0 <= m < len(found) and abs(found[m] - found[k]) < distance:
+                    kept[m] = False
+                    m += step
+
+    def lows(order: list[int]) -> dict[int, float]:
+        """Least value on the way back from each place to a higher one: a stack of falling values, each with the least of what it has covered."""
+        stack: list[tuple[float, float]] = []
+        out = {}
+        for p in order:
+            low = values[p]
+            while stack and stack[-1][0] <= values[p]:
+                low = min(low, stack.pop()[1])
+            out[p] = low
+            stack.append((values[p], low))
+        return out
+
+    left, right = lows(list(range(n))), lows(list(range(n - 1, -1, -1)))
+    return [p for p, k in zip(found, kept, strict=True) if k and values[p] - max(left[p], right[p]) >= prominence]
+
+
+def distinct_frames(frames: list[dict], most: int, alike: float = 0.90) -> list[dict]:
+    """The ``most`` best frames (quality, vector), none of which is more than ``alike`` (inner product) one that is better."""
+    kept: list[dict] = []
+    for f in sorted(frames, key=lambda f: (-f["quality"], f["id"])):
+        if len(kept) == most:
+            break
+        if not any(sum(x * y for x, y in zip(f["vector"], k["vector"], strict=True)) > alike for k in kept):
+            kept.append(f)
+    return kept
+
+
+def closed(kept: list[dict], dropped: list[dict], needs: list[tuple[object, object]], target: int | None, floor: int = 3 * S) -> tuple[list[dict], list[dict]]:
+    """(kept, dropped) after the dropped setup (setup, payoff) of each kept payoff is pulled in, by the order of ``needs``.
+
+    Where it doesn't fit the target any more, its middle of what is left, or of ``floor`` at least, is taken.
+    """
+    kept, dropped = list(kept), list(dropped)
+    have = {x["id"] for x in kept}
+    for setup, payoff in needs:
+        if payoff in have and setup not in have and (x := next((d for d in dropped if d["id"] == setup), None)) is not None:
+            length, spent = x["end_us"] - x["start_us"], sum(k["end_us"] - k["start_us"] for k in kept)
+            dropped.remove(x)
+            if target is not None and spent + length > target:
+                allowed = max(target - spent, floor)
+                middle = (x["start_us"] + x["end_us"]) // 2
+                x = x | {"start_us": max(x["start_us"], middle - allowed // 2), "end_us": min(x["end_us"], middle + allowed // 2)}
+            kept.append(x)
+            have.add(setup)
+    return sorted(kept, key=lambda x: (x["start_us"], x["id"])), dropped
+
+
+def swapped(kept: list[dict], dropped: list[dict], swaps: list[tuple[object, object]], needs: list[tuple[object, object]], target: int | None, most: int = 5) -> list[dict]:
+    """``kept`` after up to ``most`` swaps (out, in) of items by id; all are taken back if the result is longer than 1.15 targets or a kept payoff lacks its setup."""
+    new, out = list(kept), list(dropped)
+    for gone, come in swaps[:most]:
+        a, b = next((x for x in new if x["id"] == gone), None), next((x for x in out if x["id"] == come), None)
+        if a is not None and b is not None:
+            new.remove(a)
+            out.remove(b)
+            new.append(b)
+            out.append(a)
+    have = {x["id"] for x in new}
+    too_long = target is not None and 100 * sum(x["end_us"] - x["start_us"] for x in new) > 115 * target
+    if too_long or any(payoff in have and setup not in have for setup, payoff in needs):
+        new = kept
+    return sorted(new, key=lambda x: (x["start_us"], x["id"]))

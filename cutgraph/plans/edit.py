@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
@@ -58,21 +58,24 @@ def selected(kb: KB, clips: DataFrame, target: int) -> DataFrame:
     scenes = kb.scenes.select("media_id", "id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"), F.col("intensity").alias("score"), "importance")
     parts = iv.overlap_join(clips.select("media_id", "start_us", "end_us"), scenes, M, 60_000_000)
     parts = parts.select("media_id", "id", F.greatest("start_us", "b_start_us").alias("start_us"), F.least("end_us", "b_end_us").alias("end_us"), "score", "importance").filter(F.col("end_us") - F.col("start_us") > planner.LEAST)
-    core = lambda rows: [{k: x[k] for k in ("start_us", "end_us")} for x in sequential.budget_selection(rows, target)]
-    return sequential.per_media(parts, "media_id", ["start_us", "id"], core, "media_id long, start_us long, end_us long")
+    parts = cut(parts)
+    core = lambda rows: [{k: x[k] for k in ("id", "start_us", "end_us")} for x in sequential.budget_selection(rows, target)]
+    chosen = cut(sequential.per_media(parts, "media_id", ["start_us", "id"], core, "media_id long, id long, start_us long, end_us long"))
+    # the setups that chosen payoffs need come in, cut to what is left
+    rest = parts.join(chosen.select("media_id", "id").distinct(), ["media_id", "id"], "left_anti").select("media_id", "id", "start_us", "end_us", F.lit(False).alias("kept"))
+    return planner.repaired_selection(chosen.withColumn("kept", F.lit(True)).unionByName(rest), kb.story_needs, target).drop("id")
 
 
 def snapped(kb: KB, clips: DataFrame) -> DataFrame:
-    """Clips whose inner edges moved to pauses and word edges; those that collapse go."""
-    edge = lambda c: clips.select("media_id", F.col(c).alias("t"))
-    points = cut(edge("start_us").union(edge("end_us")).distinct().filter((F.col("t") > 0) & (F.col("t") < DURATION)).withColumn("soft", F.lit(False)))
-    none = kb.words.filter("false").select("media_id", F.col("start_us").alias("t_us"), F.lit(0.0).alias("score"))
-    moved = planner.snap_ladder(points, none, kb.silences, kb.words).select("media_id", "t", "snapped_us")
-    moved = cut(moved)
-    out = clips.select("media_id", "start_us", "end_us")
-    for c in ("start_us", "end_us"):
-        out = out.join(moved.withColumnRenamed("t", c), ["media_id", c], "left").withColumn("_to", F.coalesce("snapped_us", c)).drop("snapped_us", c).withColumnRenamed("_to", c)
-    return out.select("media_id", "start_us", "end_us").filter(F.col("end_us") - F.col("start_us") > planner.LEAST)
+    """Clips settled by the ladder of pauses and word edges; the item's own ends stay where they are."""
+    ends = lambda c: F.when(F.col(c) <= 0, F.lit(0).cast("long")).when(F.col(c) >= DURATION, F.lit(DURATION).cast("long"))
+    before = clips.groupBy("media_id").agg(F.min("start_us").alias("first"), F.max("end_us").alias("last"))
+    out = planner.settled(clips.select("media_id", "start_us", "end_us"), kb.silences, kb.words)
+    w = Window.partitionBy("media_id")
+    out = out.withColumn("f", F.min("start_us").over(w)).withColumn("l", F.max("end_us").over(w)).join(before, "media_id")
+    start = F.when(F.col("start_us") == F.col("f"), F.coalesce(ends("first"), "start_us")).otherwise(F.col("start_us"))
+    end = F.when(F.col("end_us") == F.col("l"), F.coalesce(ends("last"), "end_us")).otherwise(F.col("end_us"))
+    return out.select("media_id", start.alias("start_us"), end.alias("end_us"))
 
 
 def with_floor(kb: KB, clips: DataFrame) -> DataFrame:

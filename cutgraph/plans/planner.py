@@ -1,7 +1,7 @@
 """The deterministic planner: removals to kept clips, snapping, repair, fades and metrics.
 
-Clips are rows (media_id, start_us, end_us); everything is set-based but the fixed point, which is
-sequential.settled per media item.
+Clips are rows (media_id, start_us, end_us); everything is set-based but the fixed point and the repair of selections, which are
+cores of operators.sequential run per media item.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
+from ..operators import sequential
 
 M = ["media_id"]
 #: Clips shorter than this aren't kept after clamping.
@@ -91,6 +92,52 @@ def snap_ladder(points: DataFrame, affinity: DataFrame, silences: DataFrame, wor
     return out.withColumn("snapped_us", F.coalesce("by_affinity", silence, "by_gap", "by_edge", "t")).drop("by_affinity", "by_silence", "by_gap", "by_edge")
 
 
+def settled(clips: DataFrame, silences: DataFrame, words: DataFrame, affinity: DataFrame | None = None, micro: int = 300_000, least: int = 1_000_000) -> DataFrame:
+    """Clips after merging micro gaps, dropping short ones and snapping edges by the ladder until nothing changes, five rounds at most.
+
+    The targets of a media item come with its clips, so each item is one pass over sorted rows.
+    """
+    part = lambda df, kind, a, b: df.select("media_id", F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).cast("double").alias("b"))
+    rows = part(clips, 0, "start_us", "end_us").unionByName(part(silences, 1, "start_us", "end_us")).unionByName(part(words, 2, "start_us", "end_us"))
+    if affinity is not None:
+        rows = rows.unionByName(part(affinity, 3, "t_us", "score"))
+    # items without clips have nothing to settle
+    rows = rows.join(clips.select("media_id").distinct(), "media_id", "left_semi")
+
+    def core(rows: list[dict]) -> list[dict]:
+        of = lambda k: [(r["a"], int(r["b"])) for r in rows if r["kind"] == k]
+        ladder = sequential.Ladder(of(1), of(2), [(r["a"], r["b"]) for r in rows if r["kind"] == 3])
+        return [{"start_us": a, "end_us": b} for a, b in sequential.settled(of(0), ladder.snap, micro, least)]
+
+    return sequential.per_media(rows, "media_id", ["kind", "a", "b"], core, "media_id long, start_us long, end_us long")
+
+
+def repaired_selection(items: DataFrame, needs: DataFrame, target: int | None, swaps: DataFrame | None = None) -> DataFrame:
+    """(media_id, id, start_us, end_us) of the items to keep, from (media_id, id, start_us, end_us, kept).
+
+    ``swaps`` (media_id, pos, gone, come), if any, are applied first, all or none; then ``needs`` (media_id, pos, setup, payoff) pull the setups of
+    kept payoffs in, cut to what the target leaves.
+    """
+    none = F.lit(None).cast("long")
+    item = items.select("media_id", F.lit(0).alias("kind"), F.col("id").cast("long").alias("x"), none.alias("y"), "start_us", "end_us", "kept")
+    link = lambda df, kind, a, b: df.select("media_id", F.lit(kind).alias("kind"), F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"), F.col("pos").cast("long").alias("start_us"), none.alias("end_us"), F.lit(None).cast("boolean").alias("kept"))
+    rows = item.unionByName(link(needs, 1, "setup", "payoff"))
+    if swaps is not None:
+        rows = rows.unionByName(link(swaps, 2, "gone", "come"))
+
+    def core(rows: list[dict]) -> list[dict]:
+        of = lambda k: [r for r in rows if r["kind"] == k]
+        every = [{"id": r["x"], "start_us": r["start_us"], "end_us": r["end_us"], "kept": r["kept"]} for r in of(0)]
+        kept, dropped = [x for x in every if x["kept"]], [x for x in every if not x["kept"]]
+        links = [(r["x"], r["y"]) for r in of(1)]
+        kept = sequential.swapped(kept, dropped, [(r["x"], r["y"]) for r in of(2)], links, target)
+        have = {x["id"] for x in kept}
+        kept, _ = sequential.closed(kept, [x for x in every if x["id"] not in have], links, target)
+        return [{k: x[k] for k in ("id", "start_us", "end_us")} for x in kept]
+
+    return sequential.per_media(rows, "media_id", ["kind", "start_us", "x"], core, "media_id long, id long, start_us long, end_us long")
+
+
 def ordered(segments: DataFrame, template: str) -> DataFrame:
     """``pos`` of each segment (media_id, id, start_us, score, role) by a narrative template.
 

@@ -232,9 +232,29 @@ def stage_plan(kb: KB) -> DataFrame:
 
 @query()
 def plan_fixpoint(kb: KB) -> DataFrame:
-    """Kept clips after micro-gap merge, minimum length and snapping to a 40 ms grid, until settled."""
-    core = lambda rows: [{"start_us": a, "end_us": b} for a, b in sequential.settled([(r["start_us"], r["end_us"]) for r in rows], lambda t: round(t / 40_000) * 40_000)]
-    return sequential.per_media(_keeps(kb), "media_id", ["start_us"], core, "media_id long, start_us long, end_us long")
+    """Kept clips after micro-gap merge, minimum length and the snap ladder, until settled."""
+    return planner.settled(_keeps(kb), kb.silences, kb.words)
+
+
+def _half(kb: KB) -> DataFrame:
+    """Scenes, of which the important ones are kept."""
+    return kb.scenes.select("media_id", "id", "start_us", "end_us", (F.col("importance") > 0.1).alias("kept"))
+
+
+@query()
+def dep_truncated(kb: KB) -> DataFrame:
+    """Kept scenes with the setups that their payoffs need, cut to what ten minutes leave."""
+    return planner.repaired_selection(_half(kb), kb.story_needs, 600_000_000)
+
+
+@query()
+def swaps_applied(kb: KB) -> DataFrame:
+    """Kept scenes after the swaps proposed (here: the first dropped scenes for the last kept ones), all or none."""
+    half = _half(kb)
+    up, down = Window.partitionBy("media_id").orderBy("start_us", "id"), Window.partitionBy("media_id").orderBy(F.desc("start_us"), F.desc("id"))
+    gone = half.filter("kept").select("media_id", F.row_number().over(down).alias("pos"), F.col("id").alias("gone"))
+    come = half.filter("not kept").select("media_id", F.row_number().over(up).alias("pos"), F.col("id").alias("come"))
+    return planner.repaired_selection(half, kb.story_needs, 1_300_000_000, gone.join(come, ["media_id", "pos"]).filter("pos <= 3"))
 
 
 @query()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import clusters, sequential, tracking
 from ..operators import intervals as iv
-from ..operators import sequential
 from ..plans import retrieve
 from ..sources.kb import DURATION, KB
 from .base import query, r6
@@ -207,20 +207,73 @@ def match_chain(kb: KB) -> DataFrame:
 
 @query()
 def track(kb: KB) -> DataFrame:
-    """Boxes of the orders' lines tracked over orders, per supplier group."""
+    """Boxes tracked over frames (here: an order's lines, over a customer's orders), by a Kalman filter a track."""
     q = F.col("l_quantity")
-    b = kb.table("lineitem").select((F.col("l_orderkey") % 50).alias("media_id"), F.col("l_orderkey").alias("frame"), (F.col("l_partkey") % 50).cast("double").alias("x0"), (F.col("l_suppkey") % 50).cast("double").alias("y0"), (F.col("l_partkey") % 50 + q).alias("x1"), (F.col("l_suppkey") % 50 + q).alias("y1"), (F.col("l_discount") * 10).alias("score"), "l_linenumber")
+    box = [(F.col("l_partkey") % 8).cast("double").alias("x0"), (F.col("l_suppkey") % 8).cast("double").alias("y0"), (F.col("l_partkey") % 8 + 20 + q / 10).alias("x1"), (F.col("l_suppkey") % 8 + 20 + q / 10).alias("y1"), (F.col("l_discount") * 10).alias("score")]
+    orders = kb.table("orders").select(F.col("o_custkey").alias("media_id"), F.col("o_orderkey").alias("frame"))
+    b = kb.table("lineitem").select(F.col("l_orderkey").alias("frame"), *box, "l_linenumber").join(orders, "frame")
 
     def core(rows: list[dict]) -> list[dict]:
         frames: dict[int, list] = {}
         for r in rows:
             frames.setdefault(r["frame"], []).append((r["x0"], r["y0"], r["x1"], r["y1"], r["score"]))
         names = list(frames)
-        return [{"frame": names[f], "box": i, "track": t} for f, i, t in sequential.tracks(list(frames.values()))]
+        return [{"frame": names[f], "box": i, "track": t} for f, i, t in tracking.tracks(list(frames.values()))]
 
     return sequential.per_media(b, "media_id", ["frame", "l_linenumber"], core, "media_id long, frame long, box int, track int")
 
 
+def _reels(kb: KB) -> DataFrame:
+    """Fifty vectors to a media item."""
+    return kb.vectors.select(F.expr("vec_id div 50").alias("media_id"), F.col("vec_id").alias("id"), "embedding")
+
+
+@query()
+def speakers(kb: KB) -> DataFrame:
+    """Voices of an item in one to four clusters by Ward's linkage, as many as the silhouette is best for."""
+
+    def core(rows: list[dict]) -> list[dict]:
+        best = clusters.speakers([r["embedding"] for r in rows])
+        return [] if best is None else [{"id": r["id"], "speaker": c, "silhouette": round(best[1], 6)} for r, c in zip(rows, best[0], strict=True)]
+
+    return sequential.per_media(_reels(kb), "media_id", ["id"], core, "media_id long, id long, speaker int, silhouette double")
+
+
+@query()
+def face_clusters(kb: KB) -> DataFrame:
+    """Faces of an item by average linkage of cosine distances (here up to .8; those of one person are under .5)."""
+    core = lambda rows: [{"id": r["id"], "face": c} for r, c in zip(rows, clusters.agglomerated([r["embedding"] for r in rows], 0.8), strict=True)]
+    return sequential.per_media(_reels(kb), "media_id", ["id"], core, "media_id long, id long, face int")
+
+
+@query("""WITH RECURSIVE f AS (SELECT vec_id // 20 AS scene, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY floor(embedding[1]::DOUBLE * 1e6 + 0.5) DESC, vec_id) AS r FROM embeddings),
+    s AS (SELECT DISTINCT scene, 0::BIGINT AS r, []::DOUBLE[][] AS kept, NULL::BIGINT AS took FROM f
+        UNION ALL SELECT s.scene, f.r, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda k: list_inner_product(k, f.v) > 0.2)) = 0 THEN list_append(kept, f.v) ELSE kept END, CASE WHEN len(kept) < 5 AND len(list_filter(kept, lambda k: list_inner_product(k, f.v) > 0.2)) = 0 THEN f.vec_id END FROM s JOIN f ON f.scene = s.scene AND f.r = s.r + 1)
+    SELECT scene AS media_id, took AS id, CAST(row_number() OVER (PARTITION BY scene ORDER BY r) AS INTEGER) AS rank FROM s WHERE took IS NOT NULL""")
+def distinct_keyframes(kb: KB) -> DataFrame:
+    """The five best frames of a scene (here: twenty vectors) of which none is like a better one; test vectors are unlike, so that .2 stands for .9."""
+
+    def core(rows: list[dict]) -> list[dict]:
+        frames = [{"id": r["id"], "quality": r["quality"], "vector": r["embedding"]} for r in rows]
+        return [{"id": f["id"], "rank": i} for i, f in enumerate(sequential.distinct_frames(frames, 5, 0.2), 1)]
+
+    quality = F.floor(F.col("embedding")[0].cast("double") * 1e6 + 0.5).alias("quality")
+    frames = kb.vectors.select(F.expr("vec_id div 20").alias("media_id"), F.col("vec_id").alias("id"), quality, F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    return sequential.per_media(frames, "media_id", ["id"], core, "media_id long, id long, rank int")
+
+
+@query()
+def motion_peaks(kb: KB) -> DataFrame:
+    """Peaks and valleys of an item's smoothed motion (here: its signals' values) that stand out by 5 and are 10 samples apart."""
+
+    def core(rows: list[dict]) -> list[dict]:
+        v = sequential.smoothed([r["value"] for r in rows])
+        found = [(p, 1) for p in sequential.peaks(v, 10, 5.0)] + [(p, -1) for p in sequential.peaks([-x for x in v], 10, 5.0)]
+        return [{"t_us": rows[p]["start_us"], "id": rows[p]["id"], "kind": k} for p, k in sorted(found)]
+
+    return sequential.per_media(kb.signals.select("media_id", "id", "start_us", "value"), "media_id", ["start_us", "id"], core, "media_id long, t_us long, id long, kind int")
+
+
 @query("""WITH r AS (SELECT media_id, id, start_us AS t, value / 100 AS rms, (id % 40) / 100.0::DOUBLE AS zcr FROM sig WHERE event_type = 'view'),
     e AS (SELECT *, lag(rms) OVER w AS p, lead(rms) OVER w AS n FROM r WINDOW w AS (PARTITION BY media_id ORDER BY t, id)),
     k AS (SELECT * FROM e WHERE rms >= 0.2 AND rms > p AND rms > n AND zcr > 0.05 AND zcr < 0.3)

@@ -130,6 +130,13 @@ class KB:
         pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
         return self.scenes.select("media_id", "id", pick(TOPICS).alias("label"), pick(("demo", "other", "sponsor", "review")).alias("class"), "start_us", "end_us")
 
+    @cached_property
+    def story_needs(self) -> DataFrame:
+        """(media_id, pos, setup, payoff): scenes of setups and payoffs, each with the one before it."""
+        w = Window.partitionBy("media_id").orderBy("start_us", "id")
+        d = self.scenes.filter("story_role in ('setup', 'payoff')").select("media_id", "start_us", "id", F.lag("id").over(w).alias("setup"))
+        return d.filter("setup is not null").select("media_id", F.col("start_us").alias("pos"), "setup", F.col("id").alias("payoff"))
+
     @cached_property
     def scene_vectors(self) -> DataFrame:
         """(media_id, scene_id, embedding): a vector of the table for each scene."""

@@ -120,9 +120,6 @@ def test_sequential_cores():
     assert seq.settled([(0, 10 * S), (10 * S + 1000, 12 * S), (20 * S, 20 * S + 1000)], lambda t: t) == [(0, 12 * S)]
     assert seq.settled([(0, 1000)], lambda t: t) == [(0, 1000)] and seq.settled([], lambda t: t) == []
     assert [i for i, _, _ in seq.match_chain([[1, 0], [0, 1], [1, 0]], [[0, 1], [0, 1], [1, 0]])] == [0, 2, 1]
-    box = (0.0, 0.0, 10.0, 10.0, 0.9)
-    assert seq.tracks([[box], [box], [(1.0, 0.0, 11.0, 10.0, 0.3)]]) == [(0, 0, 0), (1, 0, 0), (2, 0, 0)]
-    assert seq.tracks([[box], [box]]) == []
 
 
 def test_upsert_and_repair(spark):
@@ -182,7 +179,6 @@ def test_identity_and_assignment():
     alike = lambda a, b: a["v"] * b["v"]
     people = [{"v": 1.0, "scene": 0}, {"v": 0.75, "scene": 1}, {"v": 0.75, "scene": 9}, {"v": 0.95, "scene": 9}]
     assert seq.merged_identities(people, alike) == [0, 0, 1, 0]
-    assert seq.agglomerated([[1, 0], [0, 1], [1, 0], [0.8, 0.6]]) == [0, 1, 0, 0] and seq.agglomerated([]) == []
     r = random.Random(1)
     import itertools
 
