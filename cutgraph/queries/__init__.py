@@ -1,6 +1,6 @@
 """Every query by name, with its oracle where SQL can express it."""
 
-from . import functions, intervals, plans, retrieval, scans, signals, texts  # noqa: F401
+from . import functions, intervals, plans, retrieval, scans, sessions, signals, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
