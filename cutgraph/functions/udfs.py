@@ -101,7 +101,7 @@ def probe(column: Column) -> Column:
 
 
 # Marks of errors that pass.
-TRANSIENT = ("rate limit", "overloaded", "timeout", "timed out", "connection", "temporarily unavailable", "429", "500", "502", "503", "529")
+TRANSIENT = ("throttl", "rate limit", "too many requests", "429", "500", "502", "503", "504", "overloaded", "timeout", "timed out", "connection", "reset by peer", "service unavailable", "internalservererror", "modelnotready")
 
 
 def is_transient(message: Column) -> Column:

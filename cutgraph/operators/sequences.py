@@ -68,3 +68,26 @@ def local_extrema(df: DataFrame, keys: list[str], at: str, value: str) -> DataFr
     s = df.withColumn("_p", p).withColumn("_n", n)
     kind = F.when((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n")), 1).when((F.col(value) < F.col("_p")) & (F.col(value) < F.col("_n")), -1)
     return s.withColumn("kind", kind).filter("kind is not null").drop("_p", "_n")
+
+
+#: Phrases that a transcriber makes up where nobody speaks.
+MADE_UP = r"(?i)(thanks?\s+for\s+watching|please\s+subscribe|like\s+and\s+subscribe|don'?t\s+forget\s+to\s+subscribe|see\s+you\s+next\s+time|thank\s+you\s+for\s+listening)"
+
+
+def guarded(utterances: DataFrame, speech: DataFrame, repeats: int = 4, least: float = 0.7) -> DataFrame:
+    """Utterances (media_id, id, text, start_us, end_us, no_speech_prob) with why each is not to be trusted.
+
+    ``repeated``: a text of six words or more has a trigram ``repeats`` times. ``gratitude``: it has a phrase of MADE_UP, and ``no_speech``: a probability over
+    ``least``, outside of every interval of ``speech``.
+    """
+    from . import intervals as iv
+
+    key = ["media_id", "id"]
+    spans = speech.select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    spoken = iv.overlap_join(utterances.select(*key, "start_us", "end_us"), spans, ["media_id"], 20_000_000).select(*key).distinct().withColumn("_spoken", F.lit(True))
+    w = tokens(F.col("text"))
+    grams = utterances.select(*key, w.alias("w")).filter("size(w) >= 6").select(*key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).alias("g"))
+    most = grams.groupBy(*key, "g").agg(F.count("*").alias("k")).groupBy(*key).agg((F.max("k") >= repeats).alias("repeated"))
+    out = utterances.join(spoken, key, "left").join(most, key, "left")
+    silent = F.col("_spoken").isNull()
+    return out.withColumns({"repeated": F.coalesce("repeated", F.lit(False)), "gratitude": F.coalesce(F.regexp_like("text", F.lit(MADE_UP)), F.lit(False)) & silent, "no_speech": F.coalesce(F.col("no_speech_prob") > least, F.lit(False)) & silent}).drop("_spoken")

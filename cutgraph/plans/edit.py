@@ -136,10 +136,14 @@ def ask(kb: KB, question: str, k: int = 10) -> DataFrame:
 
 
 def revise(clips: list[tuple[int, int]], prompt: str) -> list[tuple[int, int]]:
-    """Deltas on a timeline: drop the first, swap the first two, shorter or longer by seconds; one second stays of each."""
+    """Deltas on a timeline: restore the intro, drop the first, swap the first two, shorter or longer by seconds; one second stays of each."""
     p = prompt.lower()
     second = 1_000_000
-    if re.search(r"\b(?:drop|remove|delete)\b.*\bfirst\b", p):
+    if clips and re.search(r"\b(?:restore|bring back|add back)\b.*\b(?:intro|beginning)\b", p):
+        # up to the first clip; where that begins at once, five seconds or a tenth of the item
+        end = clips[0][0] if clips[0][0] > second // 10 else min(5 * second, DURATION // 10)
+        clips = [(0, max(end, second)), *clips]
+    elif re.search(r"\b(?:drop|remove|delete)\b.*\bfirst\b", p):
         clips = clips[1:]
     elif re.search(r"\bswap\b.*\bfirst two\b", p) and len(clips) > 1:
         clips = [clips[1], clips[0], *clips[2:]]

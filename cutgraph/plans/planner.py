@@ -67,6 +67,25 @@ def metrics(clips: DataFrame, duration: int) -> DataFrame:
     return g.withColumn("removal_ratio", F.floor((1 - F.col("kept_us") / duration) * 1e4 + 0.5) / 1e4)
 
 
+def target_failures(clips: DataFrame, asked: DataFrame, duration: int) -> DataFrame:
+    """(media_id, issue, route) of what is wrong with plans (media_id, pos, start_us, end_us) for requests (media_id, mode, target_us, compressive, shape).
+
+    A target is a maximum, exact to 2 s, or approximate, which a plan may exceed by 15 %; one second must stay; more than 98 % may only go if compression is asked for; and a
+    hook-first or trailer cut of several clips must not be in the order of its source.
+    """
+    w = Window.partitionBy(*M).orderBy("pos")
+    rising = clips.withColumn("_back", F.col("start_us") < F.lag("start_us").over(w))
+    plan = rising.groupBy(*M).agg(F.sum(F.col("end_us") - F.col("start_us")).alias("kept"), F.count("*").alias("n"), F.coalesce(F.bool_or("_back"), F.lit(False)).alias("moved")).join(asked, "media_id")
+    kept, target = F.col("kept"), F.col("target_us")
+    over = F.when(F.col("mode") == "max", kept > target).when(F.col("mode") == "exact", F.abs(kept - target) > 2_000_000).otherwise(100 * kept > 115 * target)
+    issue = lambda cond, name, route: F.when(cond, F.struct(F.lit(name).alias("issue"), F.lit(route).alias("route")))
+    found = F.array(
+        issue(over, "duration", "story"), issue(kept < 1_000_000, "floor", "planner"), issue((1 - kept / duration > 0.98) & ~F.coalesce("compressive", F.lit(False)), "ratio", "story"),
+        issue(F.col("shape").isin("hook_first", "trailer") & (F.col("n") > 1) & ~F.col("moved"), "order", "story"),
+    )
+    return plan.select("media_id", F.inline(F.array_compact(found)))
+
+
 def snap_ladder(points: DataFrame, affinity: DataFrame, silences: DataFrame, words: DataFrame, window: int = 400_000) -> DataFrame:
     """``snapped_us`` of each point (media_id, t, soft): where a cut should move.
 

@@ -38,13 +38,18 @@ def segments(df: DataFrame, score: Column, source: str) -> DataFrame:
     return df.select("media_id", "start_us", "end_us", score.cast("double").alias("score"), F.lit(source).alias("source"))
 
 
-def scenes_where(kb, person: str | None = None, location: str | None = None, shot_type: str | None = None, emotion: str | None = None, is_broll: bool | None = None) -> DataFrame:
-    """Scenes that satisfy every condition given; each relation is a semi join."""
+def scenes_where(kb, person: str | None = None, location: str | None = None, shot_type: str | None = None, emotion: str | None = None, is_broll: bool | None = None, holds: str | None = None, topic: str | None = None) -> DataFrame:
+    """Scenes that satisfy every condition given; each relation is a semi join. ``holds`` is the label of an object seen, ``topic`` one of a topic in the scene's time."""
     s = kb.scenes
     for column, value in (("location", location), ("shot_type", shot_type), ("emotion", emotion), ("is_broll", is_broll)):
         s = s if value is None else s.filter(F.col(column) == value)
     if person is not None:
         s = s.join(kb.appearances.filter(F.col("src") == person).select("media_id", F.col("scene_id").alias("id")), ["media_id", "id"], "left_semi")
+    if holds is not None:
+        s = s.join(kb.objects.filter(F.lower("label") == holds.lower()).select("media_id", F.col("scene_id").alias("id")), ["media_id", "id"], "left_semi")
+    if topic is not None:
+        about = kb.topics.filter(F.lower("label") == topic.lower()).select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+        s = s.join(iv.overlap_join(s.select("media_id", "id", "start_us", "end_us"), about, ["media_id"], 60_000_000).select("media_id", "id").distinct(), ["media_id", "id"], "left_semi")
     return s
 
 

@@ -6,6 +6,11 @@ import time
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+
 # Stages and what they need.
 NEEDS: dict[str, tuple[str, ...]] = {
     "normalize": (),
@@ -33,6 +38,24 @@ def levels(needs: dict[str, tuple[str, ...]] = NEEDS) -> dict[str, int]:
     return done
 
 
+def levels_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(g, node, level) of many graphs at once, from (g, node) and (g, node, needs): the longest way to each node from one that needs nothing.
+
+    A round takes all nodes a level up that need one of the last round's; there are as many rounds as the deepest graph has levels. Only
+    whether a round has rows reaches the driver. A cycle raises ValueError: a node would be deeper than its graph has nodes.
+    """
+    size = nodes.groupBy("g").agg(F.count("*").alias("size"))
+    level = cut(nodes.select("g", "node", F.lit(0).alias("level")))
+    edges, now, depth = cut(edges.select("g", "node", "needs")), level, 0
+    while not now.isEmpty():
+        depth += 1
+        now = cut(edges.join(now.select("g", F.col("node").alias("needs")), ["g", "needs"]).select("g", "node").distinct().withColumn("level", F.lit(depth)))
+        if not now.join(size, "g").filter("level >= size").isEmpty():
+            raise ValueError("the stages have a cycle")
+        level = cut(level.unionByName(now).groupBy("g", "node").agg(F.max("level").alias("level")))
+    return level
+
+
 def run(stages: dict[str, Callable[[], None]], done: set[str] | None = None, needs: dict[str, tuple[str, ...]] = NEEDS, workers: int = 2, attempts: int = 3, pause: float = 1.0) -> dict[str, str]:
     """Run stages as what they need is done, with retries; 'done', 'skipped', 'failed' or 'blocked' for each."""
     state = {s: "skipped" for s in done or ()}

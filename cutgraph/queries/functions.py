@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import scalar, udfs
 from ..operators import sequences
 from ..sources.kb import KB
 from .base import query, r6
@@ -150,9 +150,9 @@ def effort_tier(kb: KB) -> DataFrame:
     return t.join(t.groupBy("media_id", "batch").agg(F.max("tier").alias("batch_tier")), ["media_id", "batch"]).select("media_id", "id", "tier", "batch_tier")
 
 
-@query("SELECT media_id, start_us, CASE WHEN least(80000, (end_us - start_us) // 2) > 1000 THEN least(80000, (end_us - start_us) // 2) ELSE 0 END AS fade_us FROM sig WHERE id % 3 = 0")
+@query("SELECT media_id, start_us, CASE WHEN least(80000, (end_us - start_us) // 2) > 1000 THEN least(80000, (end_us - start_us) // 2) ELSE 0 END AS fade_us FROM sig")
 def fade_clamp(kb: KB) -> DataFrame:
-    return kb.signals.filter("id % 3 = 0").select("media_id", "start_us", scalar.clamped_fade(F.lit(80_000).cast("long"), F.col("end_us") - F.col("start_us")).cast("long").alias("fade_us"))
+    return kb.signals.select("media_id", "start_us", scalar.clamped_fade(F.lit(80_000).cast("long"), F.col("end_us") - F.col("start_us")).cast("long").alias("fade_us"))
 
 
 @query("""WITH w AS (SELECT s.media_id, s.id, count(g.id) AS n FROM scenes s LEFT JOIN sig g ON s.media_id = g.media_id AND g.start_us >= s.start_us AND g.start_us < s.end_us GROUP BY 1, 2)
@@ -168,3 +168,23 @@ def importance(kb: KB) -> DataFrame:
 def quantize_grid(kb: KB) -> DataFrame:
     """The nearest frame at 30 a second, halves to the even one."""
     return kb.signals.select("media_id", "id", F.rint(F.col("start_us") * 30 / 1e6).cast("long").alias("frame"))
+
+
+_MESSAGES = ("HTTP %d from upstream", "Throttling: rate exceeded (%d)", "bad key %d", "peer: Connection reset by peer, attempt %d", "ModelNotReadyException %d")
+
+
+@query("""WITH m AS (SELECT event_id, lower(printf(['HTTP %d from upstream', 'Throttling: rate exceeded (%d)', 'bad key %d', 'peer: Connection reset by peer, attempt %d', 'ModelNotReadyException %d'][event_id % 5 + 1], 400 + event_id % 200)) AS m FROM events)
+    SELECT event_id, m LIKE '%throttl%' OR m LIKE '%429%' OR m LIKE '%500%' OR m LIKE '%502%' OR m LIKE '%503%' OR m LIKE '%504%' OR m LIKE '%connection%' OR m LIKE '%modelnotready%' AS transient FROM m""")
+def transient_errors(kb: KB) -> DataFrame:
+    """Messages of errors that pass (here: made of an event's number)."""
+    i = F.col("event_id")
+    message = F.get(F.array(*(F.format_string(m, 400 + i % 200) for m in _MESSAGES)), (i % len(_MESSAGES)).cast("int"))
+    return kb.table("events").select("event_id", udfs.is_transient(message).alias("transient"))
+
+
+@query("""WITH t AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE CAST(floor(o_totalprice) AS BIGINT) * 1000 END AS target, (1 + o_custkey % 300)::BIGINT * 1000000 AS video FROM orders)
+    SELECT o_orderkey, least(CASE WHEN target <= 0 THEN 3000000 ELSE target END, video) AS target_us FROM t""")
+def target_clamp(kb: KB) -> DataFrame:
+    k = F.col("o_custkey")
+    target = F.when(k % 5 == 0, -1).otherwise(F.floor("o_totalprice") * 1000)
+    return kb.table("orders").select("o_orderkey", scalar.target_duration(target, (1 + k % 300).cast("long") * 1_000_000).cast("long").alias("target_us"))

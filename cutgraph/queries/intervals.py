@@ -89,17 +89,14 @@ def compound_while(kb: KB) -> DataFrame:
     return both.filter("end_us - start_us > 200000")
 
 
-_QUARTER = "(SELECT media_id, id, start_us, end_us FROM utts WHERE id % 2 = 0)"
-
-
-@query(f"SELECT u.media_id, u.id, substring(string_agg(w.word, ' ' ORDER BY w.start_us, w.utt_id, w.idx), 1, 200) AS text, count(*) AS n FROM {_QUARTER} u JOIN words w ON u.media_id = w.media_id AND w.start_us >= u.start_us AND w.end_us <= u.end_us GROUP BY 1, 2")
+@query("SELECT u.media_id, u.id, string_agg(w.word, ' ' ORDER BY w.start_us, w.utt_id, w.idx) AS text, count(*) AS n FROM utts u JOIN words w ON u.media_id = w.media_id AND w.start_us >= u.start_us AND w.end_us <= u.end_us GROUP BY 1, 2")
 def scene_text(kb: KB) -> DataFrame:
     """Words that lie whole within an interval, in order."""
-    outer = kb.utterances.filter("id % 2 = 0").select("media_id", "id", "start_us", "end_us")
+    outer = kb.utterances.select("media_id", "id", "start_us", "end_us")
     inner = kb.words.select("media_id", "utt_id", "idx", "word", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
     held = iv.contain_join(inner, outer, M, 30_000_000)
     words = F.transform(F.array_sort(F.collect_list(F.struct("b_start_us", "utt_id", "idx", "word"))), lambda s: s["word"])
-    return held.groupBy("media_id", "id").agg(F.substring(F.array_join(words, " "), 1, 200).alias("text"), F.count("*").alias("n"))
+    return held.groupBy("media_id", "id").agg(F.array_join(words, " ").alias("text"), F.count("*").alias("n"))
 
 
 @query("SELECT media_id, id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:20], ' ') || '...' AS quote FROM utts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import sequential
-from ..plans import planner
+from ..plans import planner, stages
 from ..sources.kb import DURATION, KB
 from .base import query, r6
 
@@ -140,12 +140,12 @@ def kept_transcript(kb: KB) -> DataFrame:
     return w.groupBy("media_id").agg(text.alias("transcript"), F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_us, id) AS pos, start_us, end_us FROM scenes WHERE id % 2 = 0), n AS (SELECT media_id, pos, start_us + media_id * 9000 AS start_us, end_us FROM o WHERE media_id < 12 OR pos > 1)
+@query("""WITH o AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_us, id) AS pos, start_us, end_us FROM scenes), n AS (SELECT media_id, pos, start_us + media_id * 9000 AS start_us, end_us FROM o WHERE media_id < 12 OR pos > 1)
     SELECT media_id, coalesce(bool_and(o.start_us IS NOT NULL AND n.start_us IS NOT NULL AND abs(o.start_us - n.start_us) <= 50000 AND abs(o.end_us - n.end_us) <= 50000), false) AS same FROM o FULL JOIN n USING (media_id, pos) GROUP BY 1""")
 def plan_equal(kb: KB) -> DataFrame:
     """Whether two plans have as many clips, each within 50 ms of the other's."""
     w = Window.partitionBy(*M).orderBy("start_us", "id")
-    o = kb.scenes.filter("id % 2 = 0").select("media_id", F.row_number().over(w).alias("pos"), "start_us", "end_us")
+    o = kb.scenes.select("media_id", F.row_number().over(w).alias("pos"), "start_us", "end_us")
     n = o.filter("media_id < 12 or pos > 1").select("media_id", "pos", (F.col("start_us") + F.col("media_id") * 9000).alias("s"), F.col("end_us").alias("e"))
     same = (F.abs(F.col("start_us") - F.col("s")) <= 50_000) & (F.abs(F.col("end_us") - F.col("e")) <= 50_000)
     return o.join(n, [*M, "pos"], "full").groupBy("media_id").agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("same"))
@@ -214,13 +214,15 @@ def order_highlight(kb: KB) -> DataFrame:
     return planner.ordered(_story(kb), "highlight").select("media_id", "id", "pos")
 
 
-@query("""WITH RECURSIVE d AS (SELECT * FROM (VALUES ('normalize', NULL), ('scenes', 'normalize'), ('audio', 'normalize'), ('cut_affinity', 'normalize'), ('audio_separation', 'normalize'), ('beat_grid', 'audio_separation'), ('faces', 'scenes'), ('vision', 'scenes'), ('vision', 'audio'), ('vision', 'faces'), ('graph', 'audio'), ('graph', 'vision'), ('index', 'graph'), ('story', 'index')) t(stage, after)),
-    r AS (SELECT stage, 0 AS level FROM d WHERE after IS NULL UNION ALL SELECT d.stage, r.level + 1 FROM d JOIN r ON d.after = r.stage) SELECT stage, max(level) AS level FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS g, l_linenumber::BIGINT AS node FROM lineitem), e AS (SELECT DISTINCT a.l_orderkey AS g, a.l_linenumber::BIGINT AS node, b.l_linenumber::BIGINT AS needs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND (a.l_partkey + b.l_suppkey) % 3 = 0),
+    r AS (SELECT g, node, 0 AS level FROM n UNION SELECT e.g, e.node, r.level + 1 FROM e JOIN r ON r.g = e.g AND r.node = e.needs) SELECT g, node, max(level) AS level FROM r GROUP BY 1, 2""")
 def stage_levels(kb: KB) -> DataFrame:
-    """Depth of each ingest stage in the graph of stages."""
-    from ..plans.stages import levels
-
-    return kb.spark.createDataFrame(sorted(levels().items()), "stage string, level int")
+    """Depth of each step of many graphs (here: an order's lines, of which some need earlier ones)."""
+    line = kb.table("lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("node"), "l_partkey", "l_suppkey")
+    nodes = line.select("g", "node").distinct()
+    before = line.select("g", F.col("node").alias("needs"), F.col("l_suppkey").alias("s"))
+    edges = line.join(before, "g").filter("needs < node and (l_partkey + s) % 3 = 0").select("g", "node", "needs").distinct()
+    return stages.levels_of(nodes, edges)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'noop' WHEN o_orderkey % 7 = 0 THEN 'awaiting' WHEN o_orderstatus = 'F' THEN 'mechanical' WHEN o_orderpriority LIKE '1%' THEN 'narrative' ELSE 'default' END AS plan FROM orders""")
@@ -277,3 +279,15 @@ def reorder(kb: KB) -> DataFrame:
     k = _keeps(kb).select("media_id", "start_us", "end_us", F.lit(0).alias("kind"), F.lit(0.0).alias("score"))
     s = kb.signals.filter("event_type = 'purchase'").select("media_id", "start_us", "end_us", F.lit(1).alias("kind"), F.col("value").alias("score"))
     return sequential.per_media(k.unionByName(s), "media_id", ["kind", "start_us"], core, "media_id long, pos int, start_us long, end_us long")
+
+
+@query(f"""WITH {_KEEPS}, m AS (SELECT media_id, CAST(sum(end_us - start_us) AS BIGINT) AS kept FROM keeps GROUP BY 1), t AS (SELECT media_id, kept, CASE media_id % 3 WHEN 0 THEN 'max' WHEN 1 THEN 'exact' END AS mode, (100 + media_id % 50)::BIGINT * 1000000 AS target FROM m)
+    SELECT media_id, 'duration' AS issue, 'story' AS route FROM t WHERE CASE coalesce(mode, 'approx') WHEN 'max' THEN kept > target WHEN 'exact' THEN abs(kept - target) > 2000000 ELSE 100 * kept > 115 * target END
+    UNION ALL SELECT media_id, 'floor', 'planner' FROM t WHERE kept < 1000000 UNION ALL SELECT media_id, 'ratio', 'story' FROM t WHERE 1 - kept / 2600000000.0::DOUBLE > 0.98 AND media_id % 2 = 0
+    UNION ALL SELECT media_id, 'order', 'story' FROM keeps GROUP BY media_id HAVING media_id % 5 = 0 AND count(*) > 1""")
+def critic_targets(kb: KB) -> DataFrame:
+    """Plans against their targets (at most, exact or approximate), the floor, the ratio unless compression was asked for, and the order of shapes that must change it."""
+    i = F.col("media_id")
+    asked = kb.items.select("media_id", F.when(i % 3 == 0, "max").when(i % 3 == 1, "exact").alias("mode"), ((100 + i % 50) * 1_000_000).cast("long").alias("target_us"), (i % 2 == 1).alias("compressive"), F.when(i % 5 == 0, "trailer").otherwise("chronological").alias("shape"))
+    w = Window.partitionBy("media_id").orderBy("start_us")
+    return planner.target_failures(_keeps(kb).withColumn("pos", F.row_number().over(w)), asked, DURATION)

@@ -227,10 +227,10 @@ def rerank_combine(kb: KB) -> DataFrame:
     return s.select("id", "channel", F.when(F.col("channel").isin("vector", "keyword"), F.col("p")).otherwise(F.greatest("score", "p")).alias("score"))
 
 
-@query("""SELECT s.media_id, s.id, count(DISTINCT a.type) < 2 AS needs_confirmation FROM scenes s LEFT JOIN audio a ON a.media_id = s.media_id AND a.start_us <= s.end_us AND a.end_us >= s.start_us AND a.type <> 'gasp' WHERE s.id % 2 = 0 GROUP BY 1, 2""")
+@query("""SELECT s.media_id, s.id, count(DISTINCT a.type) < 2 AS needs_confirmation FROM scenes s LEFT JOIN audio a ON a.media_id = s.media_id AND a.start_us <= s.end_us AND a.end_us >= s.start_us AND a.type <> 'gasp' WHERE EXISTS (FROM unsure u WHERE u.media_id = s.media_id AND u.scene_id = s.id) GROUP BY 1, 2""")
 def corroborate(kb: KB) -> DataFrame:
     """Scenes that need verification and that fewer than two channels touch."""
-    s = kb.scenes.filter("id % 2 = 0").select("media_id", "id", "start_us", "end_us")
+    s = kb.scenes.select("media_id", "id", "start_us", "end_us").join(kb.unsure.withColumnRenamed("scene_id", "id"), ["media_id", "id"], "left_semi")
     a = kb.audio_events.filter("type <> 'gasp'").select("media_id", "type", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
     n = iv.overlap_join(s, a, M, 20_000_000, closed=True).groupBy("media_id", "id").agg(F.countDistinct("type").alias("n"))
     return s.join(n, ["media_id", "id"], "left").select("media_id", "id", (F.coalesce("n", F.lit(0)) < 2).alias("needs_confirmation"))
@@ -303,3 +303,22 @@ def emit_relations(kb: KB) -> DataFrame:
     UNION ALL SELECT media_id, 'awkward', e, n FROM (SELECT media_id, end_us AS e, lead(start_us) OVER (PARTITION BY media_id ORDER BY start_us, id) AS n FROM utts) WHERE n - e > 2000000""")
 def derived_moments(kb: KB) -> DataFrame:
     return retrieve.derived_moments(kb)
+
+
+@query("""SELECT s.media_id, s.id FROM scenes s WHERE EXISTS (FROM objects o WHERE o.media_id = s.media_id AND o.scene_id = s.id AND o.label = 'laptop') AND EXISTS (FROM topics t WHERE t.media_id = s.media_id AND t.label = 'travel' AND t.start_us < s.end_us AND t.end_us > s.start_us) AND NOT is_broll""")
+def scenes_with(kb: KB) -> DataFrame:
+    """Scenes by what they hold and what is talked about in them."""
+    return retrieve.scenes_where(kb, is_broll=False, holds="laptop", topic="travel").select("media_id", "id")
+
+
+@query("""WITH n AS (SELECT media_id, id, lead(id) OVER (PARTITION BY media_id ORDER BY start_us, id) AS n FROM scenes),
+    t AS (SELECT DISTINCT u.media_id, u.speaker, t.label FROM utts u JOIN topics t ON t.media_id = u.media_id AND u.start_us < t.end_us AND u.end_us > t.start_us)
+    SELECT media_id, 'scene:' || id AS src, 'followed_by' AS rel, 'scene:' || n AS dst, 1.0::DOUBLE AS confidence FROM n WHERE n IS NOT NULL UNION ALL SELECT media_id, 'person:' || speaker, 'speaks_about', 'topic:' || label, 0.8 FROM t""")
+def emit_links(kb: KB) -> DataFrame:
+    """Relations of scenes to the next, and of speakers to the topics of their time."""
+    w = Window.partitionBy("media_id").orderBy("start_us", "id")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    after = kb.scenes.select("media_id", "id", F.lead("id").over(w).alias("n")).filter("n is not null").select("media_id", name("scene:", "id").alias("src"), F.lit("followed_by").alias("rel"), name("scene:", "n").alias("dst"), F.lit(1.0).alias("confidence"))
+    topics = kb.topics.select("media_id", "label", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    said = iv.overlap_join(kb.utterances.select("media_id", "speaker", "start_us", "end_us"), topics, M, 60_000_000).select("media_id", "speaker", "label").distinct()
+    return after.unionByName(said.select("media_id", name("person:", "speaker").alias("src"), F.lit("speaks_about").alias("rel"), name("topic:", "label").alias("dst"), F.lit(0.8).alias("confidence")))

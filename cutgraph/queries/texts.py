@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import intervals as iv
 from ..operators import search
+from ..operators import sequences as sq
 from ..session import folder
 from ..sources.kb import KB
 from .base import query, r6
@@ -93,15 +94,15 @@ def bm25_topk(kb: KB) -> DataFrame:
     return search.bm25_search(index, asked, 20).drop("item")
 
 
-@query("""WITH c AS (SELECT media_id, id, row_number() OVER (PARTITION BY media_id ORDER BY id DESC) AS pos, start_us, end_us FROM utts WHERE id % 2 = 0),
+@query("""WITH c AS (SELECT media_id, id, row_number() OVER (PARTITION BY media_id ORDER BY id DESC) AS pos, start_us, end_us FROM utts),
     o AS (SELECT *, coalesce(sum(end_us - start_us) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
     w AS (SELECT o.media_id, o.pos, w.word, w.start_us, w.idx, CAST(w.start_us - o.start_us + off AS BIGINT) AS s, CAST(w.end_us - o.start_us + off AS BIGINT) AS e FROM o JOIN words w ON w.media_id = o.media_id AND w.start_us >= o.start_us AND w.end_us <= o.end_us),
     n AS (SELECT *, (row_number() OVER (PARTITION BY media_id ORDER BY s, pos, idx) - 1) // 5 AS cue FROM w),
     g AS (SELECT media_id, cue, min(s) // 1000 AS s, max(e) // 1000 AS e, string_agg(word, ' ' ORDER BY s, pos, idx) AS text FROM n GROUP BY 1, 2)
     SELECT media_id, CAST(cue AS BIGINT) AS cue, printf('%02d:%02d:%02d,%03d', s // 3600000, s // 60000 % 60, s // 1000 % 60, s % 1000) AS start, printf('%02d:%02d:%02d,%03d', e // 3600000, e // 60000 % 60, e // 1000 % 60, e % 1000) AS "end", text FROM g""")
 def captions(kb: KB) -> DataFrame:
-    """Cues of five words over a playlist in another order than the source's (here: even utterances, last first)."""
-    clips = kb.utterances.filter("id % 2 = 0").select("media_id", (-F.col("id")).alias("pos"), "start_us", "end_us")
+    """Cues of five words over a playlist in another order than the source's (here: the utterances, last first)."""
+    clips = kb.utterances.select("media_id", (-F.col("id")).alias("pos"), "start_us", "end_us")
     return remapped_captions(clips, kb.words)
 
 
@@ -152,12 +153,25 @@ _BARE = r"^[^a-z0-9]+|[^a-z0-9]+$"
 
 
 @query(rf"""WITH b AS (SELECT media_id, utt_id, idx, regexp_replace(lower(word), '{_BARE}', '', 'g') AS label FROM words),
-    e AS (SELECT DISTINCT 'person:' || speaker AS entity, speaker AS label FROM utts UNION SELECT 'object:' || label, label FROM (SELECT label FROM b WHERE length(label) > 5 GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 20)),
+    e AS (SELECT DISTINCT 'person:' || speaker AS entity, speaker AS label FROM utts UNION SELECT 'object:' || label, label FROM (SELECT label FROM b WHERE length(label) > 5 GROUP BY 1 HAVING count(*) > 1)),
     m AS (SELECT b.media_id, b.utt_id, b.idx, e.entity FROM b JOIN e USING (label)) SELECT *, count(*) OVER (PARTITION BY media_id, utt_id, idx) > 1 AS ambiguous FROM m""")
 def ground_entities(kb: KB) -> DataFrame:
-    """Words that name an entity as a whole: the speakers and the twenty long words said most often; a word that names several is ambiguous."""
+    """Words that name an entity as a whole: the speakers and the long words said more than once; a word that names several is ambiguous."""
     w = kb.words.select("media_id", "utt_id", "idx", F.regexp_replace(F.lower("word"), _BARE, "").alias("label"))
     people = kb.utterances.select(F.concat(F.lit("person:"), "speaker").alias("entity"), F.col("speaker").alias("label")).distinct()
-    objects = w.filter(F.length("label") > 5).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(20).select(F.concat(F.lit("object:"), "label").alias("entity"), "label")
+    objects = w.filter(F.length("label") > 5).groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("object:"), "label").alias("entity"), "label")
     m = w.join(people.unionByName(objects).distinct(), "label").select("media_id", "utt_id", "idx", "entity")
     return m.withColumn("ambiguous", F.count("*").over(Window.partitionBy("media_id", "utt_id", "idx")) > 1)
+
+
+@query(r"""WITH s AS (SELECT *, text || CASE WHEN id % 4 = 0 THEN ' Thanks for  watching!' WHEN id % 4 = 1 THEN ' Don''t forget to subscribe' ELSE '' END AS t, (media_id * 7 + id * 13) % 100 / 100.0::DOUBLE AS p FROM utts),
+    v AS (SELECT *, EXISTS (FROM sig g WHERE g.media_id = s.media_id AND g.event_type = 'view' AND s.start_us < g.end_us AND s.end_us > g.start_us) AS spoken FROM s),
+    w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM v),
+    g AS (SELECT media_id, id, max(k) AS most FROM (SELECT media_id, id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g, count(*) AS k FROM (SELECT media_id, id, w, unnest(range(len(w) - 2)) AS i FROM w WHERE len(w) >= 6) GROUP BY ALL) GROUP BY 1, 2)
+    SELECT w.media_id, w.id, coalesce(most, 0) >= 4 AS repeated, id % 4 < 2 AND NOT spoken AS gratitude, p > 0.7 AND NOT spoken AS no_speech FROM w LEFT JOIN g USING (media_id, id)""".replace("'\\s+'", "'\s+'"))
+def transcript_guards(kb: KB) -> DataFrame:
+    """Why an utterance is dropped: a trigram four times; thanks for watching, or doubt about speech, where no speech was detected (here: views are speech)."""
+    i = F.col("id")
+    said = kb.utterances.withColumn("text", F.concat("text", F.when(i % 4 == 0, " Thanks for  watching!").when(i % 4 == 1, " Don't forget to subscribe").otherwise("")))
+    said = said.withColumn("no_speech_prob", (F.col("media_id") * 7 + i * 13) % 100 / 100)
+    return sq.guarded(said, kb.signals.filter("event_type = 'view'")).select("media_id", "id", "repeated", "gratitude", "no_speech")

@@ -149,7 +149,18 @@ def test_stages():
     assert told == {"a": "done", "b": "failed", "c": "blocked"} and ran == ["a"]
 
 
+def test_levels_of_many_graphs(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 0), (2, 1)], "g long, node long")
+    edges = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (1, 3, 0), (1, 3, 2)], "g long, node long, needs long")
+    assert {(r.g, r.node): r.level for r in stages.levels_of(nodes, edges).collect()} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): 0, (2, 0): 0, (2, 1): 0}
+    with pytest.raises(ValueError):
+        stages.levels_of(nodes, spark.createDataFrame([(2, 0, 1), (2, 1, 0)], "g long, node long, needs long"))
+    assert stages.levels_of(nodes.limit(0), edges).collect() == []
+
+
 def test_intents():
+    for prompt, action, query in [("Cut out filler words", "remove", "filler words"), ("remove silences longer than 1.5 s", "remove", "silence > 1.5s"), ("cut the dead air", "remove", "silence"), ("please keep the final take", "remove", "retakes"), ("remove uh and um", "remove", "ums and uhs"), ("remove silences and keep speech", "keep_only", "speech"), ("keep scenes with person:bo", "keep_only", "person:bo"), ("make under 30 seconds", "compress", "important moments"), ("trailer-style cut", "restructure", "trailer story beats"), ("keep only the shots where i'm speaking", "keep_only", "owner speaking"), ("make a TikTok!", "compress", "short-form highlights")]:
+        assert [(o.action, o.query) for o in intent.parse(prompt).operations] == [(action, query)], prompt
     i = intent.parse("Please remove all the pauses.")
     assert [(o.action, o.query) for o in i.operations] == [("remove", "silence")]
     assert intent.parse("make this under 30 seconds").target_us == 30 * S
@@ -172,6 +183,7 @@ def test_edit_ask_and_revise(spark, sf_dir):
     clip = [(0, 5 * S), (10 * S, 12 * S), (20 * S, 30 * S)]
     assert edit.revise(clip, "drop the first clip") == clip[1:]
     assert edit.revise(clip, "swap the first two") == [clip[1], clip[0], clip[2]]
+    assert edit.revise(clip, "restore the intro") == [(0, 5 * S), *clip] and edit.revise(clip[1:], "bring back the intro") == [(0, 10 * S), *clip[1:]] and edit.revise([], "restore the intro") == []
     assert edit.revise(clip, "make it 2 seconds shorter") == [(0, 3 * S), (10 * S, 11 * S), (20 * S, 28 * S)]
 
 
