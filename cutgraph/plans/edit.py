@@ -80,16 +80,16 @@ def snapped(kb: KB, clips: DataFrame) -> DataFrame:
 
 def with_floor(kb: KB, clips: DataFrame) -> DataFrame:
     """The clips; of a media item that has none left, a second or 5 % of it from the start."""
-    least = max(1_000_000, DURATION // 20)
-    bare = kb.media.join(clips.select("media_id").distinct(), M, "left_anti")
-    return clips.unionByName(bare.select("media_id", F.lit(0).cast("long").alias("start_us"), F.lit(least).cast("long").alias("end_us")))
+    bare = kb.lengths.join(clips.select("media_id").distinct(), M, "left_anti")
+    end = F.least("duration_us", F.greatest(F.lit(1_000_000).cast("long"), F.expr("duration_us div 20")))
+    return clips.unionByName(bare.select("media_id", F.lit(0).cast("long").alias("start_us"), end.alias("end_us")))
 
 
 def edit(kb: KB, prompt: str) -> Edit:
     """Plan of a prompt for every media item: what stays in its order, its metrics and what the checks find wrong.
 
     Removals and filters leave clips; a target length selects among them; edges snap to pauses and words unless pauses or
-    times decided them; clips are repaired, short ones dropped, fades set. ``restructure`` only orders, ``stylize`` only sets the
+    times decided them; clips are repaired, short ones dropped, fades and the sound's cuts set. Failures have the route that mends them. ``restructure`` only orders, ``stylize`` only sets the
     style. A question or an empty prompt leaves everything.
     """
     i = intents.parse(prompt)
@@ -108,25 +108,32 @@ def edit(kb: KB, prompt: str) -> Edit:
         elif op.action == "restructure":
             template = next((t for w, t in (("trailer", "trailer"), ("hook", "hook_first"), ("highlight", "highlight"), ("setup", "build_tension")) if w in op.query), template)
     gone = cut(planner.removals(remove, keep, DURATION, every))
-    left = iv.complement(gone.withColumn("id", F.lit(0)), M, DURATION, items=every)
+    left = planner.within(iv.complement(gone.withColumn("id", F.lit(0)), M, DURATION, items=every), kb.lengths)
     target = i.target_us if i.target_us is not None else DURATION // 2 if any(op.action == "compress" for op in i.operations) else None
     if target is not None:
         left = selected(kb, left, target)
     elif not exact:
         left = snapped(kb, cut(left))
     left = cut(left)
-    clips = planner.min_clip(planner.repaired(with_floor(kb, left), DURATION), 1_000_000)
+    clips = planner.min_clip(planner.within(planner.repaired(with_floor(kb, left), DURATION), kb.lengths), 1_000_000)
     clips = planner.crossfades(clips)
     if template != "chronological":
         role = kb.scenes.select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"), "story_role", "intensity")
         first = iv.overlap_join(clips, role, M, 60_000_000).groupBy("media_id", "start_us").agg(F.min_by("story_role", "b_start_us").alias("role"), F.max("intensity").alias("score"))
         clips = planner.ordered(clips.join(first, ["media_id", "start_us"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("id", F.col("start_us")), template)
+    else:
+        clips = planner.jl_offsets(clips, kb.scenes, kb.words)
     clips = cut(clips)
-    m = planner.metrics(clips, DURATION)
-    issue = lambda cond, name: m.filter(cond).select("media_id", F.lit(name).alias("issue"))
-    failures = issue(F.col("kept_us") < 1_000_000, "floor").unionByName(issue(F.col("removal_ratio") > 0.98, "ratio"))
-    if i.target_us is not None:
-        failures = failures.unionByName(issue(F.col("kept_us") > i.target_us + 1_000_000, "duration"))
+    m = planner.metrics(clips, kb.lengths)
+    failed = lambda df, name, route: df.select("media_id", F.lit(name).alias("issue"), F.lit(route).alias("route"))
+    shape = {"trailer": "trailer", "hook_first": "hook_first"}.get(template, "chronological")
+    mode = "max" if retrieve.says(prompt, ("under", "less than")) else "approx"
+    asked = every.select("media_id", F.lit(mode).alias("mode"), F.lit(i.target_us).cast("long").alias("target_us"), F.lit(any(op.action in ("compress", "keep_only") for op in i.operations)).alias("compressive"), F.lit(shape).alias("shape"))
+    placed = clips if "pos" in clips.columns else clips.withColumn("pos", F.col("start_us"))
+    failures = planner.target_failures(placed.select("media_id", "pos", "start_us", "end_us"), asked, DURATION)
+    if template == "chronological":
+        failures = failures.unionByName(failed(planner.midword(clips, kb.words, kb.lengths), "midword", "planner"))
+    failures = failures.unionByName(failed(planner.leftovers(clips, remove), "leftover", "retrieval"))
     return Edit(i, clips, m, failures)
 
 

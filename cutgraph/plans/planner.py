@@ -60,11 +60,51 @@ def crossfades(clips: DataFrame, inner: int = 80_000, outer: int = 120_000) -> D
     return c.withColumn("fade_in_us", fade(F.col("_first"))).withColumn("fade_out_us", fade(F.col("_last"))).drop("_first", "_last")
 
 
-def metrics(clips: DataFrame, duration: int) -> DataFrame:
-    """(media_id, kept_us, removal_ratio, clip_count)."""
+def metrics(clips: DataFrame, duration: int | DataFrame) -> DataFrame:
+    """(media_id, kept_us, removal_ratio, clip_count); ``duration`` is that of all items, or a table (media_id, duration_us)."""
     kept = F.sum(F.col("end_us") - F.col("start_us"))
     g = clips.groupBy(*M).agg(kept.alias("kept_us"), F.count("*").alias("clip_count"))
-    return g.withColumn("removal_ratio", F.floor((1 - F.col("kept_us") / duration) * 1e4 + 0.5) / 1e4)
+    g = g.join(duration, "media_id") if isinstance(duration, DataFrame) else g.withColumn("duration_us", F.lit(duration).cast("long"))
+    return g.withColumn("removal_ratio", F.floor((1 - F.col("kept_us") / F.col("duration_us")) * 1e4 + 0.5) / 1e4).drop("duration_us")
+
+
+def jl_offsets(clips: DataFrame, scenes: DataFrame, words: DataFrame, near: int = 500_000, most: int = 80_000, lead: int = 120_000) -> DataFrame:
+    """``audio_start_us`` of each clip (media_id, start_us, end_us) in the order of the source.
+
+    Near a scene boundary the sound's cut moves towards it, ``most`` at the farthest. Else the sound leads by ``lead``, but not into the clip before nor over a word. An item's first
+    clip has its sound cut where its picture is.
+    """
+    w = Window.partitionBy(*M).orderBy("start_us")
+    c = clips.select("media_id", F.col("start_us").alias("t"), F.lag("end_us").over(w).alias("before"))
+    bounds = scenes.select("media_id", F.col("start_us").alias("u")).union(scenes.select("media_id", "end_us"))
+    at = iv.nearest(c.select("media_id", "t").distinct(), bounds, M, "t", "u", near)
+    lap = c.filter("before is not null").select("media_id", "t", F.greatest("before", F.col("t") - lead).alias("start_us"), F.col("t").alias("end_us")).filter("start_us < end_us")
+    heard = words.select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    free = lap.join(iv.overlap_join(lap, heard, M, 2_000_000).select("media_id", "t").distinct(), [*M, "t"], "left_anti").select("media_id", "t", F.col("start_us").alias("lap"))
+    d = F.col("nearest_us") - F.col("t")
+    audio = F.when(F.col("before").isNull(), F.col("t")).when(d != 0, F.col("t") + F.signum(d).cast("long") * F.least(F.abs(d), F.lit(most))).otherwise(F.coalesce("lap", "t"))
+    found = c.join(at, [*M, "t"]).join(free, [*M, "t"], "left").select("media_id", F.col("t").alias("start_us"), audio.cast("long").alias("audio_start_us"))
+    return clips.join(found, [*M, "start_us"])
+
+
+def within(clips: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Clips of items (media_id, duration_us), none beyond its item's end."""
+    held = clips.join(lengths, "media_id").withColumn("end_us", F.least("end_us", "duration_us"))
+    return held.filter(F.col("end_us") - F.col("start_us") > LEAST).drop("duration_us")
+
+
+def leftovers(clips: DataFrame, gone: DataFrame, least: int = 500_000) -> DataFrame:
+    """media_id of the items whose clips still have more than ``least`` of something that was to go."""
+    hits = gone.select("media_id", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    met = iv.overlap_join(clips.select("media_id", "start_us", "end_us"), hits, M, 10_000_000)
+    return met.filter(F.least("end_us", "b_end_us") - F.greatest("start_us", "b_start_us") > least).select("media_id").distinct()
+
+
+def midword(clips: DataFrame, words: DataFrame, lengths: DataFrame, edge: int = 40_000) -> DataFrame:
+    """media_id of the items with a cut more than ``edge`` within a word; the item's own ends are no cuts."""
+    ends = clips.join(lengths, "media_id").select("media_id", F.explode(F.array_compact(F.array(F.when(F.col("start_us") > 0, F.col("start_us")), F.when(F.col("end_us") < F.col("duration_us"), F.col("end_us"))))).alias("t"))
+    inside = words.select("media_id", (F.col("start_us") + edge + 1).alias("start_us"), (F.col("end_us") - edge).alias("end_us")).filter("end_us > start_us")
+    return iv.point_join(ends, inside, M, "t", 2_000_000).select("media_id").distinct()
 
 
 def target_failures(clips: DataFrame, asked: DataFrame, duration: int) -> DataFrame:

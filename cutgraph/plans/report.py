@@ -35,6 +35,14 @@ def markdown(metrics: DataFrame, failures: DataFrame, duration: int) -> DataFram
     return metrics.join(wrong, "media_id", "left").select("media_id", lines.alias("text"))
 
 
+def as_json(metrics: DataFrame, failures: DataFrame, duration: int) -> DataFrame:
+    """(media_id, text): the report as a JSON object, lengths in microseconds."""
+    wrong = failures.groupBy("media_id").agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    none = F.expr("cast(array() as array<string>)")
+    one = F.struct("media_id", F.lit(duration).cast("long").alias("before_us"), F.col("kept_us").alias("after_us"), F.col("clip_count").alias("clips"), F.coalesce("issues", none).alias("issues"))
+    return metrics.join(wrong, "media_id", "left").select("media_id", F.to_json(one).alias("text"))
+
+
 def write_text(files: DataFrame, path: str) -> None:
     """A folder of text per media item."""
     files.write.mode("overwrite").partitionBy("media_id").text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import sequential
-from ..plans import planner, stages
+from ..plans import planner, report, stages
 from ..sources.kb import DURATION, KB
 from .base import query, r6
 
@@ -291,3 +291,33 @@ def critic_targets(kb: KB) -> DataFrame:
     asked = kb.items.select("media_id", F.when(i % 3 == 0, "max").when(i % 3 == 1, "exact").alias("mode"), ((100 + i % 50) * 1_000_000).cast("long").alias("target_us"), (i % 2 == 1).alias("compressive"), F.when(i % 5 == 0, "trailer").otherwise("chronological").alias("shape"))
     w = Window.partitionBy("media_id").orderBy("start_us")
     return planner.target_failures(_keeps(kb).withColumn("pos", F.row_number().over(w)), asked, DURATION)
+
+
+@query(f"""WITH {_KEEPS}, m AS (SELECT media_id, CAST(sum(end_us - start_us) AS BIGINT) AS kept, count(*) AS n FROM keeps GROUP BY 1), w AS (SELECT media_id, string_agg('"' || issue || '"', ',' ORDER BY issue) AS issues FROM (SELECT media_id, 'long' AS issue FROM m WHERE kept > 200000000 UNION ALL SELECT media_id, 'cuts' FROM m WHERE n > 20) GROUP BY 1)
+    SELECT media_id, '{{"media_id":' || media_id || ',"before_us":2600000000,"after_us":' || kept || ',"clips":' || n || ',"issues":[' || coalesce(issues, '') || ']}}' AS text FROM m LEFT JOIN w USING (media_id)""")
+def report_json(kb: KB) -> DataFrame:
+    """An edit's report as JSON, a row per media item."""
+    m = planner.metrics(_keeps(kb), DURATION)
+    wrong = m.filter("kept_us > 200000000").select("media_id", F.lit("long").alias("issue")).unionByName(m.filter("clip_count > 20").select("media_id", F.lit("cuts").alias("issue")))
+    return report.as_json(m, wrong, DURATION)
+
+
+@query("""WITH c AS (SELECT media_id, start_us AS t, lag(end_us) OVER (PARTITION BY media_id ORDER BY start_us) AS p FROM utts), b AS (SELECT media_id, start_us AS u FROM scenes UNION SELECT media_id, end_us FROM scenes),
+    n AS (SELECT c.media_id, t, arg_min(u, abs(u - t)::HUGEINT * 10000000000 + u) AS u FROM c JOIN b ON b.media_id = c.media_id AND abs(u - t) <= 500000 GROUP BY 1, 2)
+    SELECT c.media_id, c.t AS start_us, CASE WHEN p IS NULL THEN c.t WHEN u <> c.t THEN c.t + sign(u - c.t)::BIGINT * least(abs(u - c.t), 80000) WHEN greatest(p, c.t - 120000) < c.t AND NOT EXISTS (FROM words w WHERE w.media_id = c.media_id AND w.start_us < c.t AND w.end_us > greatest(p, c.t - 120000)) THEN greatest(p, c.t - 120000) ELSE c.t END AS audio_start_us
+    FROM c LEFT JOIN n ON n.media_id = c.media_id AND n.t = c.t""")
+def jl_offsets(kb: KB) -> DataFrame:
+    """Where the sound of each clip (here: an utterance) begins: towards a near scene boundary, or before the picture where no word is heard."""
+    return planner.jl_offsets(kb.utterances.select("media_id", "start_us", "end_us"), kb.scenes, kb.words).select("media_id", "start_us", "audio_start_us")
+
+
+@query(f"""WITH {_KEEPS} SELECT DISTINCT k.media_id FROM keeps k JOIN audio a ON a.media_id = k.media_id AND a.type = 'gasp' AND least(a.end_us, k.end_us) - greatest(a.start_us, k.start_us) > 500000""")
+def critic_left(kb: KB) -> DataFrame:
+    """Items whose clips have something left that was to go."""
+    return planner.leftovers(_keeps(kb), kb.audio_events.filter("type = 'gasp'"))
+
+
+@query(f"""WITH {_KEEPS}, c AS (SELECT media_id, start_us AS t FROM keeps WHERE start_us > 0 UNION SELECT media_id, end_us FROM keeps WHERE end_us < 2600000000) SELECT DISTINCT c.media_id FROM c JOIN words w ON w.media_id = c.media_id AND t > w.start_us + 40000 AND t < w.end_us - 40000""")
+def critic_midword(kb: KB) -> DataFrame:
+    """Items with a cut inside a word."""
+    return planner.midword(_keeps(kb), kb.words, kb.lengths)

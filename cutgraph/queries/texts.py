@@ -168,7 +168,7 @@ def ground_entities(kb: KB) -> DataFrame:
     v AS (SELECT *, EXISTS (FROM sig g WHERE g.media_id = s.media_id AND g.event_type = 'view' AND s.start_us < g.end_us AND s.end_us > g.start_us) AS spoken FROM s),
     w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '') AS w FROM v),
     g AS (SELECT media_id, id, max(k) AS most FROM (SELECT media_id, id, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS g, count(*) AS k FROM (SELECT media_id, id, w, unnest(range(len(w) - 2)) AS i FROM w WHERE len(w) >= 6) GROUP BY ALL) GROUP BY 1, 2)
-    SELECT w.media_id, w.id, coalesce(most, 0) >= 4 AS repeated, id % 4 < 2 AND NOT spoken AS gratitude, p > 0.7 AND NOT spoken AS no_speech FROM w LEFT JOIN g USING (media_id, id)""".replace("'\\s+'", "'\s+'"))
+    SELECT w.media_id, w.id, coalesce(most, 0) >= 4 AS repeated, id % 4 < 2 AND NOT spoken AS gratitude, p > 0.7 AND NOT spoken AS no_speech FROM w LEFT JOIN g USING (media_id, id)""")
 def transcript_guards(kb: KB) -> DataFrame:
     """Why an utterance is dropped: a trigram four times; thanks for watching, or doubt about speech, where no speech was detected (here: views are speech)."""
     i = F.col("id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals
 from ..operators.sequences import interpolated_words
 
-#: Length of every media item of the test tables, in microseconds.
+#: Length of every media item of the test tables, in microseconds; no item of another knowledge base may be longer.
 DURATION = 2_600_000_000
 SOUNDS = {"click": "laughter", "view": "music", "purchase": "applause", "signup": "gasp", "error": "cough"}
 EMOTIONS = ("happy", "joy", "sad", "angry", "amused", "excited", "neutral", "tense")
@@ -61,6 +61,11 @@ class KB:
         """All media items, those with words alone too."""
         return self.items.union(self.table("conversations").select(F.col("conv_id").alias("media_id"))).distinct()
 
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """(media_id, duration_us) of all media items; those of the test tables are as long as each other."""
+        return self.media.select("media_id", F.lit(DURATION).cast("long").alias("duration_us"))
+
     @cached_property
     def silences(self) -> DataFrame:
         return intervals.gaps(self.signals, ["media_id"], DURATION, 300_000)

@@ -308,6 +308,12 @@ def test_edit_prompts_end_to_end(spark, sf_dir):
     assert length("Create a trailer-style cut.", 1) == whole and length("remove questions", 1) < whole == length("remove questions", 2)
     order = edit.edit(kb, "Create a trailer-style cut.").clips
     assert "pos" in order.columns
+    # items have lengths of their own
+    kb.__dict__["lengths"] = spark.createDataFrame([(1, 40 * S), (2, whole)], "media_id long, duration_us long")
+    done = edit.edit(kb, "cut 0:10 to 0:20")
+    clips = sorted((r.media_id, r.start_us // S, r.end_us // S) for r in done.clips.collect())
+    assert clips == [(1, 0, 10), (1, 20, 40), (2, 0, 10), (2, 20, whole // S)] and "audio_start_us" in done.clips.columns
+    assert {r.media_id: r.removal_ratio for r in done.metrics.collect()} == {1: 0.25, 2: 0.0038}
 
 
 def test_ask_uses_every_channel(spark, sf_dir):
