@@ -387,6 +387,46 @@ def retrieve_segments(kb, requests: DataFrame, rerank: DataFrame | None = None)
     return out.select(*R, "start_us", "end_us", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "n", "scene_ids", "sources", "needs_confirmation")
 
 
+def answers(kb, requests: DataFrame, topic: tuple[str, ...] = ("pricing", "price"), terms: tuple[str, ...] = ("price", "pricing")) -> DataFrame:
+    """(query_id, media_id, kind, times_us, speakers, end_us): what the transcript says to each question (query_id, media_id, query).
+
+    A question about the ``topic`` gets the times of the first three words that have one of the ``terms``; one that asks who speaks, the speakers by name; any other
+    the end of the transcript. An item without words answers nothing: its kind is null.
+    """
+    q = F.lower("query")
+    about, who = F.lit(False), says(q, ("who", "speaker", "speakers"))
+    for t in topic:
+        about |= F.contains(q, F.lit(t))
+    match = F.lit(False)
+    for t in terms:
+        match |= F.contains(F.lower("word"), F.lit(t))
+    order = Window.partitionBy("media_id").orderBy("start_us", "utt_id", "idx")
+    first = kb.words.filter(match).withColumn("r", F.row_number().over(order)).filter("r <= 3").groupBy("media_id").agg(F.array_sort(F.collect_list("start_us")).alias("times_us"))
+    spoken = kb.utterances.groupBy("media_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
+    last = kb.words.groupBy("media_id").agg(F.max("end_us").alias("end_us"))
+    each = requests.select(*R, "query").join(last, "media_id", "left").join(first, "media_id", "left").join(spoken, "media_id", "left")
+    kind = F.when(F.col("end_us").isNotNull(), F.when(about, "topic").when(who, "speakers").otherwise("end"))
+    of = lambda k, c, t: F.when(F.col("kind") == k, F.coalesce(c, F.expr(f"cast(array() as array<{t}>)"))).alias(c)
+    return each.withColumn("kind", kind).select(*R, "kind", of("topic", "times_us", "bigint"), of("speakers", "speakers", "string"), F.when(F.col("kind") == "end", F.col("end_us")).alias("end_us"))
+
+
+def grounded(kb, requests: DataFrame) -> DataFrame:
+    """(query_id, media_id, entities, candidates): the persons and objects of the item that a request's words name.
+
+    A word names a label, or a person by the part of the id behind the colon. Where a request of the modality "person" (column ``person``) names none and holds no label either,
+    all labels are ``candidates`` to ask back for.
+    """
+    people = kb.people.select("media_id", "entity_id", F.lower("label").alias("label"), F.regexp_extract("entity_id", "[^:]*$", 0).alias("short"))
+    things = kb.objects.select("media_id", F.concat(F.lit("object:"), F.lower("label")).alias("entity_id"), F.lower("label").alias("label"), F.lower("label").alias("short")).distinct()
+    entities = people.unionByName(things)
+    met = requests.select(*R, F.lower("query").alias("q"), "person").join(entities, "media_id", "left")
+    word = lambda c: F.array_contains(F.split("q", r"\W+"), F.col(c))
+    named = F.col("label").isNotNull() & (word("label") | word("short"))
+    g = met.groupBy(*R).agg(F.array_sort(F.collect_set(F.when(named, F.col("entity_id")))).alias("entities"), F.array_sort(F.collect_set("label")).alias("labels"), F.coalesce(F.bool_or(F.contains("q", F.col("label"))), F.lit(False)).alias("held"), F.coalesce(F.bool_or("person"), F.lit(False)).alias("person"))
+    ask = F.col("person") & (F.size("entities") == 0) & ~F.col("held")
+    return g.select(*R, "entities", F.when(ask, F.col("labels")).otherwise(F.expr("cast(array() as array<string>)")).alias("candidates"))
+
+
 def of_every_item(kb, queries: list[str]) -> DataFrame:
     """Requests of each query over every media item; a query's id is its place in the list."""
     asked = F.posexplode(F.array(*map(F.lit, queries))).alias("query_id", "query")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar, udfs
 from ..operators import intervals as iv
 from ..operators import search, vectors
-from ..plans import requests, retrieve
+from ..plans import edit, requests, retrieve
 from ..sources.kb import KB
 from .base import query, r6
 
@@ -87,7 +88,7 @@ def ch_object(kb: KB) -> DataFrame:
     return _channel(kb, "object", "the laptop or a screen", "objects like a phone", "product on cameras")
 
 
-@query("SELECT i AS query_id, media_id, a * 1000000 AS start_us, b * 1000000 AS end_us, 1.0::DOUBLE AS score, 'explicit_timestamp' AS source FROM media, (VALUES (0, 30, 105), (1, 10, 20)) v(i, a, b)".replace("media,", "media CROSS JOIN"))
+@query("SELECT i AS query_id, media_id, a * 1000000 AS start_us, b * 1000000 AS end_us, 1.0::DOUBLE AS score, 'explicit_timestamp' AS source FROM media CROSS JOIN (VALUES (0, 30, 105), (1, 10, 20)) v(i, a, b)")
 def ch_time(kb: KB) -> DataFrame:
     return _channel(kb, "time", "0:30 to 1:45", "from 10 to 20 seconds", "2:00 to 1:00")
 
@@ -322,3 +323,56 @@ def emit_links(kb: KB) -> DataFrame:
     topics = kb.topics.select("media_id", "label", F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
     said = iv.overlap_join(kb.utterances.select("media_id", "speaker", "start_us", "end_us"), topics, M, 60_000_000).select("media_id", "speaker", "label").distinct()
     return after.unionByName(said.select("media_id", name("person:", "speaker").alias("src"), F.lit("speaks_about").alias("rel"), name("topic:", "label").alias("dst"), F.lit(0.8).alias("confidence")))
+
+
+@query("""WITH r AS (SELECT media_id, unnest(range(3)) AS i FROM media), l AS (SELECT media_id, max(end_us) AS e FROM words GROUP BY 1), f AS (SELECT media_id, list(start_us ORDER BY start_us) AS t FROM (SELECT media_id, start_us FROM words WHERE contains(lower(word), 'the') OR contains(lower(word), 'que') QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY start_us, utt_id, idx) <= 3) GROUP BY 1),
+    s AS (SELECT media_id, list_sort(list(DISTINCT speaker)) AS s FROM utts GROUP BY 1)
+    SELECT i AS query_id, r.media_id, CASE WHEN e IS NOT NULL THEN ['topic', 'speakers', 'end'][i + 1] END AS kind, CASE WHEN e IS NOT NULL AND i = 0 THEN coalesce(array_to_string(t, ','), '') END AS times, CASE WHEN e IS NOT NULL AND i = 1 THEN coalesce(array_to_string(s, ','), '') END AS speakers, CASE WHEN i = 2 THEN e END AS end_us
+    FROM r LEFT JOIN l USING (media_id) LEFT JOIN f USING (media_id) LEFT JOIN s USING (media_id)""")
+def qa_answers(kb: KB) -> DataFrame:
+    """Three questions of every media item; no text has prices, so that common words stand in for the terms."""
+    asked = requests.of_every_item(kb, ["what about pricing?", "who is the speaker", "how long is it"])
+    a = requests.answers(kb, asked, terms=("the", "que"))
+    return a.select("query_id", "media_id", "kind", F.array_join(F.transform("times_us", lambda t: t.cast("string")), ",").alias("times"), F.array_join("speakers", ",").alias("speakers"), "end_us")
+
+
+@query(r"""WITH e AS (SELECT media_id, entity_id, label, regexp_extract(entity_id, '[^:]*$') AS short FROM people UNION SELECT media_id, 'object:' || label, label, label FROM objects),
+    r AS (SELECT media_id, unnest([0, 1, 2]) AS query_id, unnest(['scenes with the laptop and 7', 'keep the tall man', 'guest 3 in the cups']) AS q, unnest([false, true, true]) AS person FROM media),
+    m AS (SELECT query_id, r.media_id, q, person, entity_id, label, list_contains(regexp_split_to_array(q, '\W+'), label) OR list_contains(regexp_split_to_array(q, '\W+'), short) AS named FROM r LEFT JOIN e USING (media_id)),
+    g AS (SELECT query_id, media_id, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) FILTER (named) AS entities, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, coalesce(bool_or(contains(q, label)), false) AS held, bool_or(person) AS person FROM m GROUP BY 1, 2)
+    SELECT query_id, media_id, coalesce(entities, '') AS entities, CASE WHEN person AND entities IS NULL AND NOT held THEN coalesce(labels, '') ELSE '' END AS candidates FROM g""")
+def grounded_requests(kb: KB) -> DataFrame:
+    """What the words of requests name in each media item, and whom to ask back for where a person isn't found."""
+    asked = requests.of_every_item(kb, ["scenes with the laptop and 7", "keep the tall man", "guest 3 in the cups"]).withColumn("person", F.col("query_id") > 0)
+    g = requests.grounded(kb, asked)
+    return g.select("query_id", "media_id", F.array_join("entities", ",").alias("entities"), F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("SELECT media_id, src, scene_id, t_us, CASE WHEN confidence >= 0.85 THEN 0.95 WHEN confidence <= 0.5 THEN 0.0 ELSE floor(confidence * 1e6 + 0.5) / 1e6 END AS confidence FROM appears")
+def snapped_confidence(kb: KB) -> DataFrame:
+    return kb.appearances.select("media_id", "src", "scene_id", "t_us", r6(scalar.snapped_confidence(F.col("confidence"))).alias("confidence"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"n": [1], "p": ' || props || '}' END AS json FROM events""")
+def json_extract(kb: KB) -> DataFrame:
+    """JSON in an answer's text: within a fence, after other braces with a comma too many, or none."""
+    i, props = F.col("event_id"), F.col("props")
+    text = F.when(i % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```"))).when(i % 3 == 1, F.concat(F.lit('{"p": '), props, F.lit(', "n": [1,]} done'))).otherwise("no braces here")
+    return kb.table("events").select("event_id", udfs.extract_json(text).alias("json"))
+
+
+@query("""WITH o AS (SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY start_us, id) AS pos, start_us, end_us FROM scenes), n AS (SELECT media_id, pos, start_us + CASE WHEN pos % 3 = 0 THEN 5 ELSE 0 END AS start_us, end_us FROM o UNION ALL SELECT media_id, max(pos) + 1, 0, 9 FROM o GROUP BY 1)
+    SELECT n.media_id, n.pos FROM n LEFT JOIN o ON o.media_id = n.media_id AND o.pos = n.pos AND o.start_us = n.start_us AND o.end_us = n.end_us WHERE o.pos IS NULL""")
+def dirty_clips(kb: KB) -> DataFrame:
+    """Clips of a revision that must be rendered (here: every third is moved, and one more added)."""
+    w = Window.partitionBy("media_id").orderBy("start_us", "id")
+    old = kb.scenes.select("media_id", F.row_number().over(w).cast("long").alias("pos"), "start_us", "end_us")
+    new = old.withColumn("start_us", F.col("start_us") + F.when(F.col("pos") % 3 == 0, 5).otherwise(0))
+    new = new.unionByName(old.groupBy("media_id").agg((F.max("pos") + 1).alias("pos")).select("media_id", "pos", F.lit(0).cast("long").alias("start_us"), F.lit(9).cast("long").alias("end_us")))
+    return new.join(old, ["media_id", "pos", "start_us", "end_us"], "left_anti").select("media_id", "pos")
+
+
+@query("""WITH s AS (SELECT media_id, start_us, end_us FROM scenes WHERE is_broll) SELECT media_id, start_us, end_us FROM s UNION ALL SELECT media_id, 0, 130000000 FROM media WHERE media_id NOT IN (SELECT media_id FROM s)""")
+def floor_clips(kb: KB) -> DataFrame:
+    """Clips, and for items that have none left, 5 % from the start."""
+    return edit.with_floor(kb, kb.scenes.filter("is_broll").select("media_id", "start_us", "end_us"))
