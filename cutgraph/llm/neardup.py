@@ -44,6 +44,8 @@ LEAST_NEAR, LEAST_LINK = 3, 28
 #: Shingles in a block of whole sets, and documents in a block of sketches.
 BLOCK = 1 << 18
 CROWD = 2048
+#: Members from which a list, or the pairs of a pivot, are dealt to several tasks, and how many such lists or pivots are broadcast (24 bytes each); they are counted.
+HOT, FEW = 1 << 14, 1_000_000
 
 
 def shingle_set(text: bytes | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -101,6 +103,13 @@ def _with(pairs: DataFrame, table: DataFrame, key: str, suffix: str) -> DataFram
     return pairs.join(renamed, key)
 
 
+def _hot(scratch: Scratch, counted: DataFrame) -> tuple[DataFrame, bool, DataFrame]:
+    """The keys of ``counted`` that have more than HOT members (column m), saved; whether there are any; and the same to join with: broadcast if they are few."""
+    hot = scratch.save(counted.filter(F.col("m") > HOT))
+    n = hot.count()
+    return hot, n > 0, F.broadcast(hot) if n <= FEW else hot
+
+
 class _Block:
     """The sets of a block's rows, and an inverted index of those that aren't probes."""
 
@@ -189,14 +198,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     least = F.when(F.col("n") <= WHOLE, F.greatest(F.lit(1), F.floor(F.col("n") * 0.6) - 1)).otherwise(SHARED).cast("int")
     rare = shared.withColumn("least", least).filter("size(vs) >= least").select("x", "n", F.explode(F.expr("slice(vs, 1, size(vs) - least + 1)")).alias("e"))
     lists = scratch.save(rare.select(F.col("e.v").alias("v"), "x", "n"))
-    pivots = lists.groupBy("v").agg(F.min(F.struct("x", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
-    members = scratch.save(lists.join(pivots.select("v", F.col("p.x").alias("p"), F.col("p.n").alias("n_p")), "v").filter("x <> p").select("v", "p", "n_p", "x", "n"))
+    first = lists.groupBy("v").agg(F.min(F.struct("x", "n")).alias("p"), F.count("*").alias("m")).filter("m > 1")
+    pivots = scratch.save(first.select("v", F.col("p.x").alias("p"), F.col("p.n").alias("n_p"), "m"))
+    # long lists meet their pivot where they lie, so that none is gathered in one task
+    long, any_long, to_join = _hot(scratch, pivots)
+    members = lists.join(pivots.filter(F.col("m") <= HOT), "v")
+    if any_long:
+        members = lists.join(to_join.select("v"), "v", "left_anti").join(pivots.filter(F.col("m") <= HOT), "v").unionByName(lists.join(to_join, "v"))
+    members = scratch.save(members.filter("x <> p").select("v", "p", "n_p", "x", "n"))
 
     # exact similarity of members with their pivots
     wanted = members.select("x").union(members.select("p")).distinct()
     sets = scratch.save(texts.join(wanted, F.col("doc_id") == F.col("x"), "left_semi").mapInArrow(_full_sets(width), "x long, s array<long>"))
-    pairs = members.filter(f"n >= {NEAR} * n_p and n_p >= {NEAR} * n").select("p", "n_p", "x", "n").distinct()
-    tried = _with(_with(pairs, sets, "x", "a"), sets, "p", "b").filter(_estimate(LEAST_NEAR))
+    pairs = scratch.save(members.filter(f"n >= {NEAR} * n_p and n_p >= {NEAR} * n").select("p", "n_p", "x", "n").distinct())
+    crowded, any_crowded, to_join = _hot(scratch, pairs.groupBy("p").agg(F.count("*").alias("m")))
+    if any_crowded:
+        # the pairs of a pivot of many are dealt to tasks of CROWD members, each with a copy of the pivot's set
+        crowds = to_join.select("p", F.ceil(F.col("m") / CROWD).cast("int").alias("k"))
+        dealt = pairs.join(crowds, "p", "left").withColumn("z", F.coalesce(F.pmod(F.xxhash64("x"), "k").cast("int"), F.lit(0))).drop("k")
+        copies = sets.withColumnRenamed("x", "p").join(crowds, "p", "left").select("p", F.col("s").alias("s_b"), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("z"))
+        tried = _with(dealt, sets, "x", "a").join(copies, ["p", "z"]).drop("z").filter(_estimate(LEAST_NEAR))
+    else:
+        tried = _with(_with(pairs, sets, "x", "a"), sets, "p", "b").filter(_estimate(LEAST_NEAR))
     near = tried.select("p", "x", "n", _jaccard("s_a", "s_b", "n", "n_p").alias("j"), _linked("s_a", "s_b", "n", "n_p", percent).alias("linked"))
     near = scratch.save(near.filter(F.col("j") >= NEAR))
     stars = near.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
@@ -230,7 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 2, percen
     if not twice.isEmpty():
         links = links.union(known.join(twice, "doc_id", "left_semi").join(classes.select("digest", "x"), "digest").select(F.col("doc_id").alias("a"), F.col("x").alias("b")))
     final = components(scratch, links)
-    for table in (lists, members, sets, near, opened, twice):
+    for table in (lists, pivots, long, members, pairs, crowded, sets, near, opened, twice):
         scratch.drop(table)  # the labels are written, and the result reads no other
     found = classes.select("digest", "x").join(final, F.col("x") == F.col("node"), "left").select("digest", F.coalesce("component", "x").alias("component"))
     rows = every.select("doc_id", "n", "digest").join(found, "digest", "left")
