@@ -67,19 +67,6 @@ def test_blocks_smaller_than_a_group(spark, monkeypatch):
     assert 1 < len({c for _, c in got.values()}) < 80
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_long_lists_and_crowded_pivots(spark, monkeypatch, few):
-    monkeypatch.setattr(neardup, "HOT", 4)
-    monkeypatch.setattr(neardup, "CROWD", 3)
-    monkeypatch.setattr(neardup, "FEW", few)
-    r = random.Random(9)
-    vocabulary = [f"w{i}" for i in range(300)]
-    bases = [[r.choice(vocabulary) for _ in range(80)] for _ in range(3)]
-    rows = [(i, " ".join(w if r.random() > 0.03 else r.choice(vocabulary) for w in r.choice(bases))) for i in range(90)] + [(100 + i, " ".join(bases[0])) for i in range(20)]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in run(spark, rows)}
-    assert got == brute(rows, 2) and len({c for _, c in got.values()}) < 60
-
-
 def test_common_passage_does_not_link(spark):
     r = random.Random(4)
     passage = [f"p{i}" for i in range(60)]
