@@ -164,13 +164,21 @@ def retakes(kb: KB) -> DataFrame:
     return retrieve.retake_takes(kb)
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT media_id, list(start_us ORDER BY start_us) AS xs FROM scenes GROUP BY 1),
+    r AS (SELECT media_id, xs, 0::BIGINT AS now_us, NULL::BIGINT AS start_us, NULL::BIGINT AS end_us FROM b
+        UNION ALL SELECT media_id, xs, CASE WHEN now_us + 190000000 >= 2600000000 OR x >= 2590000000 THEN 2600000000 ELSE x END, now_us, CASE WHEN now_us + 190000000 >= 2600000000 OR x >= 2590000000 THEN 2600000000 ELSE x END
+        FROM (SELECT *, coalesce(list_min(list_transform(list_filter(xs, lambda x: abs(x - now_us - 180000000) <= 60000000 AND x > now_us), lambda x: abs(x - now_us - 180000000) * 10000000000 + x)) % 10000000000, now_us + 180000000) AS x FROM r WHERE now_us < 2600000000))
+    SELECT media_id, start_us, end_us FROM r WHERE end_us IS NOT NULL""")
 def chunks(kb: KB) -> DataFrame:
     core = lambda rows: [{"start_us": a, "end_us": b} for a, b in sequential.scene_chunks([r["start_us"] for r in rows], DURATION)]
     return sequential.per_media(kb.scenes, "media_id", ["start_us"], core, "media_id long, start_us long, end_us long")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT media_id, list((start_us + end_us) // 2) AS ms FROM silences GROUP BY 1),
+    r AS (SELECT media_id, ms, 20000000::BIGINT AS want, 0::BIGINT AS last, 0::BIGINT AS took FROM b
+        UNION ALL SELECT media_id, ms, want + 20000000, CASE WHEN ok THEN c ELSE last END, CASE WHEN ok THEN c END FROM (SELECT *, c - last >= 2000000 AND 2600000000 - c >= 2000000 AS ok FROM (
+            SELECT *, coalesce(list_min(list_transform(list_filter(ms, lambda m: abs(m - want) <= 5000000), lambda m: abs(m - want) * 10000000000 + m)) % 10000000000, want) AS c FROM r WHERE want < 2600000000)))
+    SELECT media_id, took AS start_us, lead(took, 1, 2600000000) OVER (PARTITION BY media_id ORDER BY took) AS end_us FROM r WHERE took IS NOT NULL""")
 def pseudo_shots(kb: KB) -> DataFrame:
     core = lambda rows: [{"start_us": a, "end_us": b} for a, b in sequential.pseudo_shots([(r["start_us"], r["end_us"]) for r in rows], DURATION)]
     return sequential.per_media(kb.silences, "media_id", ["start_us"], core, "media_id long, start_us long, end_us long")
@@ -193,13 +201,17 @@ def group_shots(kb: KB) -> DataFrame:
     return sequential.per_media(kb.signals.select("media_id", "id", "event_type", "value", "start_us", "end_us"), "media_id", ["start_us", "id"], core, "media_id long, id long, scene long")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id // 200 AS reel, vec_id // 10 AS scene, arg_min(embedding, vec_id)::DOUBLE[] AS head, arg_max(embedding, vec_id)::DOUBLE[] AS tail FROM embeddings GROUP BY 1, 2),
+    n AS (SELECT x.reel, x.scene, list(struct_pack(s := y.scene, v := list_inner_product(x.tail, y.head)) ORDER BY list_inner_product(x.tail, y.head) DESC, y.scene) AS tos FROM e x JOIN e y ON x.reel = y.reel AND x.scene <> y.scene GROUP BY 1, 2),
+    r AS (SELECT reel, 0 AS pos, min(scene) AS scene, [min(scene)] AS seen, false AS matched FROM e GROUP BY 1 HAVING count(*) >= 3
+        UNION ALL SELECT reel, pos + 1, t.s, list_append(seen, t.s), t.v >= 0.72 FROM (SELECT r.reel, pos, seen, list_filter(tos, lambda t: NOT list_contains(seen, t.s))[1] AS t FROM r JOIN n ON n.reel = r.reel AND n.scene = r.scene) WHERE t IS NOT NULL)
+    SELECT reel, pos, scene, matched FROM r UNION ALL SELECT reel, CAST(row_number() OVER (PARTITION BY reel ORDER BY scene) - 1 AS INTEGER), scene, false FROM e WHERE reel IN (SELECT reel FROM e GROUP BY 1 HAVING count(*) < 3)""")
 def match_chain(kb: KB) -> DataFrame:
     """Clips of an identity, of a reel each (here: twenty scenes of ten vectors), chained by the likeness of a clip's last to the next one's first vector."""
 
     def core(rows: list[dict]) -> list[dict]:
         heads, tails = ([list(map(float, r[c])) for r in rows] for c in ("head", "tail"))
-        return [{"pos": p, "scene": rows[i]["scene"], "matched": m} for p, (i, _, m) in enumerate(sequential.match_chain(heads, tails))]
+        return [{"pos": p, "scene": rows[i]["scene"], "matched": m} for p, (i, _, m) in enumerate(sequential.match_chain(tails, heads))]
 
     ends = kb.vectors.groupBy(F.expr("vec_id div 200").alias("reel"), F.expr("vec_id div 10").alias("scene")).agg(F.min_by("embedding", "vec_id").alias("head"), F.max_by("embedding", "vec_id").alias("tail"))
     return sequential.per_media(ends, "reel", ["scene"], core, "reel long, pos int, scene long, matched boolean")
