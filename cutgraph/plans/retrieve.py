@@ -85,8 +85,8 @@ def filler_channel(kb, query: str, always: tuple[str, ...] = scalar.FILLERS, con
     return out
 
 
-def retake_takes(kb, least: float = 0.87) -> DataFrame:
-    """(media_id, cluster_id, id, take_index) of utterances said again; by difflib's ratio, whose cheaper upper bounds come first."""
+def retake_takes(kb, least: float = 0.87, utterances: DataFrame | None = None) -> DataFrame:
+    """(media_id, cluster_id, id, take_index) of utterances (those of the knowledge base, if none are given) said again; by difflib's ratio, whose cheaper upper bounds come first."""
     import difflib
 
     def alike(a: dict, b: dict) -> float:
@@ -94,7 +94,7 @@ def retake_takes(kb, least: float = 0.87) -> DataFrame:
         return m.ratio() if m.real_quick_ratio() > least and m.quick_ratio() > least else 0.0
 
     core = lambda rows: sequential.retake_clusters(rows, alike, least)
-    return sequential.per_media(kb.utterances, "media_id", ["start_us", "id"], core, "media_id long, cluster_id long, id long, take_index int")
+    return sequential.per_media(kb.utterances if utterances is None else utterances, "media_id", ["start_us", "id"], core, "media_id long, cluster_id long, id long, take_index int")
 
 
 def times_of(query: str, duration: int) -> tuple[int, int] | None:

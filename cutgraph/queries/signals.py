@@ -164,6 +164,15 @@ def retakes(kb: KB) -> DataFrame:
     return retrieve.retake_takes(kb)
 
 
+@query()
+def retakes_of_names(kb: KB) -> DataFrame:
+    """Retakes where there are some (here: a nation's customers say their names, ten seconds each; those with a balance under zero do it slowly)."""
+    c = kb.table("customer")
+    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
+    said = c.select(F.col("c_nationkey").cast("long").alias("media_id"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("speaker"), F.col("c_name").alias("text"), (at * 10_000_000).alias("start_us"), F.when(F.col("c_acctbal") < 0, 9_000_000).otherwise(2_000_000).alias("d"))
+    return retrieve.retake_takes(kb, 0.93, said.withColumn("end_us", F.col("start_us") + F.col("d")))
+
+
 @query("""WITH RECURSIVE b AS (SELECT media_id, list(start_us ORDER BY start_us) AS xs FROM scenes GROUP BY 1),
     r AS (SELECT media_id, xs, 0::BIGINT AS now_us, NULL::BIGINT AS start_us, NULL::BIGINT AS end_us FROM b
         UNION ALL SELECT media_id, xs, CASE WHEN now_us + 190000000 >= 2600000000 OR x >= 2590000000 THEN 2600000000 ELSE x END, now_us, CASE WHEN now_us + 190000000 >= 2600000000 OR x >= 2590000000 THEN 2600000000 ELSE x END

@@ -241,3 +241,28 @@ def test_swaps_are_applied_or_all_taken_back():
     assert [x["id"] for x in seq.swapped(kept, dropped, [(1, 3)], [(1, 2)], None)] == [1, 2]  # 2 needs 1
     assert [x["id"] for x in seq.swapped(kept, dropped, [(9, 3), (1, 9)], [], None)] == [1, 2]
     assert [x["id"] for x in seq.swapped(kept, dropped, [(1, 3), (3, 1)] * 3, [], None)] == [2, 3]  # the sixth isn't made
+
+
+def test_retakes_of_a_table_against_plain_loops(spark, sf_dir):
+    import difflib
+
+    from cutgraph.queries import QUERIES
+
+    rows = sorted(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_custkey", "c_mktsegment", "c_name", "c_acctbal").collect())
+    told = set()
+    for nation in {r.c_nationkey for r in rows}:
+        mine = [r for r in rows if r.c_nationkey == nation]
+        used = set()
+        for i, a in enumerate(mine):
+            if i in used:
+                continue
+            take = [i]
+            for j in range(i + 1, min(len(mine), i + 13)):  # ten seconds apart, 120 s at most
+                b = mine[j]
+                if j not in used and a.c_mktsegment == b.c_mktsegment and (a.c_acctbal < 0) == (b.c_acctbal < 0) and difflib.SequenceMatcher(None, a.c_name, b.c_name, autojunk=False).ratio() > 0.93:
+                    take.append(j)
+            if len(take) > 1:
+                used.update(take)
+                told |= {(nation, i, mine[k].c_custkey, t) for t, k in enumerate(take)}
+    got = {(r.media_id, r.cluster_id, r.id, r.take_index) for r in QUERIES["retakes_of_names"](spark, sf_dir).collect()}
+    assert got == told and len(got) > 10
