@@ -155,7 +155,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED, rate: int = RATE, suffix_f
             for part in _parts(texts):
                 rows = transform(scanner, ids[part.start : part.stop].to_pylist(), texts[part], seed, rate, suffix_first, sentinels)
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                columns[4] = columns[4].cast(pa.string())
+                columns[4] = pa.Array.from_buffers(pa.string(), len(rows), columns[4].buffers())  # as it is: bytes that aren't UTF-8 stay
                 yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], *columns], ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")

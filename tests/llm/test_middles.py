@@ -95,3 +95,9 @@ def test_sentinels_are_checked(spark):
     assert middles.fill_in_middle(docs, rate=100, sentinels=("[pre]", "[suf]", "[mid]")).first().form == "plain"
     got = middles.fill_in_middle(docs, rate=100, sentinels=("[p]", "[s]", "[m]"))
     assert got.select(middles.restored(got.output, got.form, ("[p]", "[s]", "[m]"))).first()[0] == "a b c d [pre] e"
+
+
+def test_bytes_that_are_no_utf8_dont_fail(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "cast(X'61FF622063E46420F09F' as string) as text")
+    rows = middles.fill_in_middle(docs).collect()
+    assert len(rows) == 40 and {r.form for r in rows} == {"plain", "psm", "spm"}
