@@ -7,8 +7,6 @@ records, and shards are equal stretches of it. Copies of a text are records like
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
