@@ -53,6 +53,20 @@ def hysteresis(df: DataFrame, keys: list[str], at: str, value: str, enter: float
     return inside.groupBy(*keys, "_island").agg(F.min(at).alias("start_us"), (F.max(F.coalesce("_next", at)) + hop).alias("end_us"), F.avg(value).alias("confidence"), F.count("*").alias("n")).drop("_island")
 
 
+def windowed_events(scores: DataFrame, keys: list[str], at: str, value: str, last: int, enter: float = 0.5, leave: float = 0.3, hop: int = 1_000_000, length: int = 2_000_000) -> DataFrame:
+    """Events of each key (an item's label) from the scores of sliding windows: median over three windows, then hysteresis.
+
+    ``at`` numbers windows from 0 to ``last``, each begun ``hop`` after the one before; a window without a row scores 0. Only windows within two of
+    one that has a row are made: between these, medians are 0, events have ended and none begins, so the rest can't change anything, and an item's
+    silence costs nothing. Times are the windows' middles.
+    """
+    near = scores.filter(F.col(at).between(0, last)).groupBy(*keys, at).agg(F.max(value).alias(value))
+    around = near.select(*keys, F.explode(F.array(*(F.struct((F.col(at) + d).alias(at), F.when(F.lit(d == 0), F.col(value)).otherwise(0.0).alias(value)) for d in range(-2, 3)))).alias("_p")).select(*keys, "_p.*")
+    grid = around.filter(F.col(at).between(0, last)).groupBy(*keys, at).agg(F.max(value).alias(value))
+    smooth = median_filter(grid, keys, [at], value, "_m").withColumn("_t", F.col(at) * hop + length // 2)
+    return hysteresis(smooth, keys, "_t", "_m", enter, leave, hop)
+
+
 def runs(df: DataFrame, keys: list[str], at: str, flag: Column) -> DataFrame:
     """Maximal runs of consecutive rows with ``flag``: (keys, start_us, last_us, next_us, n); next_us is null at the end."""
     w = Window.partitionBy(*keys).orderBy(at)

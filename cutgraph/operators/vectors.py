@@ -43,6 +43,33 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id: str
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+#: Rows of a registry that go to every task as they are.
+FEW = 4096
+
+
+def best_match(df: DataFrame, registry: DataFrame, id: str, vector: str, label: str, centroid: str, places: int = 5, few: int = FEW) -> DataFrame:
+    """(id, label, score): for each row the registered vector with the greatest cosine, the smallest label of equal ones; null vectors match nothing.
+
+    The registry is counted: up to ``few`` rows are broadcast, a larger one is dealt to blocks of that size, each of which every row meets; a row
+    keeps one match of a block.
+    """
+    n = registry.count()
+    own = df.select(id, unit(vector).alias("_v")).filter("_v is not null")
+    known = registry.select(F.col(label).alias("_label"), F.col(centroid).alias("_c"))
+    score = F.floor(inner("_v", "_c") * 10**places + 0.5) / 10**places
+    if n <= few:
+        met = own.join(F.broadcast(known))
+    else:
+        blocks = -(-n // few)
+        dealt = known.withColumn("_b", F.pmod(F.xxhash64("_label"), F.lit(blocks)))
+        # rows are dealt too, so that a block of the registry isn't one task
+        spread = [F.lit(i) for i in range(blocks)]
+        dealt = dealt.withColumn("_s", F.explode(F.array(*spread)))
+        met = own.withColumn("_s", F.pmod(F.xxhash64(id), F.lit(blocks)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, ["_b", "_s"])
+    best = met.select(id, "_label", score.alias("_score")).groupBy(id).agg(F.max("_score").alias("score"), F.min_by("_label", F.struct(-F.col("_score"), "_label")).alias(label))
+    return best.select(id, label, "score")
+
+
 def similar_pairs(df: DataFrame, id: str, vector: str, least: float, axes: int = 3) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of unit vectors with an inner product of ``least`` or more.
 

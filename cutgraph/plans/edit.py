@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +12,7 @@ from ..operators import sequential
 from ..session import cut
 from ..sources.kb import DURATION, KB
 from . import intent as intents
-from . import planner, requests, retrieve
+from . import planner, requests, retrieve, revisions
 
 M = ["media_id"]
 
@@ -142,24 +141,10 @@ def ask(kb: KB, question: str, k: int = 10) -> DataFrame:
     return fused(kb, question).orderBy(F.desc("score"), "media_id", "start_us", "end_us").limit(k)
 
 
-def revise(clips: list[tuple[int, int]], prompt: str) -> list[tuple[int, int]]:
-    """Deltas on a timeline: restore the intro, drop the first, swap the first two, shorter or longer by seconds; one second stays of each."""
-    p = prompt.lower()
-    second = 1_000_000
-    if clips and re.search(r"\b(?:restore|bring back|add back)\b.*\b(?:intro|beginning)\b", p):
-        # up to the first clip; where that begins at once, five seconds or a tenth of the item
-        end = clips[0][0] if clips[0][0] > second // 10 else min(5 * second, DURATION // 10)
-        clips = [(0, max(end, second)), *clips]
-    elif re.search(r"\b(?:drop|remove|delete)\b.*\bfirst\b", p):
-        clips = clips[1:]
-    elif re.search(r"\bswap\b.*\bfirst two\b", p) and len(clips) > 1:
-        clips = [clips[1], clips[0], *clips[2:]]
-    elif m := re.search(r"([0-9]+)\s*(?:seconds?|s)\s+shorter", p):
-        clips = [(a, max(b - int(m[1]) * second, min(b, a + second))) for a, b in clips]
-    elif m := re.search(r"extend\b.*?([0-9]+)\s*(?:seconds?|s)", p):
-        half = int(m[1]) * second // 2
-        clips = [(max(0, a - half), min(DURATION, b + half)) for a, b in clips]
-    return [(a, b) for a, b in clips if b - a > planner.LEAST]
+def revise(kb: KB, clips: DataFrame, prompt: str) -> DataFrame:
+    """The timelines (media_id, pos, start_us, end_us) after the delta that the prompt asks for, in every media item; see plans.revisions."""
+    requests_ = clips.select("media_id").distinct().withColumn("prompt", F.lit(prompt))
+    return revisions.revised(clips, requests_, kb.lengths)
 
 
 def status(kb: KB) -> DataFrame:

@@ -51,6 +51,42 @@ def repaired(clips: DataFrame, duration: int) -> DataFrame:
     return moved.filter(F.col("end_us") - F.col("start_us") > LEAST)
 
 
+def fade_filter(start: Column, end: Column, fade_in: Column, fade_out: Column) -> Column:
+    """A renderer's text that cuts a clip's sound and fades it: fades are half the clip at most, those of a millisecond or less are left out; whole milliseconds."""
+    seconds = lambda us: F.concat(F.floor(us / 1_000_000).cast("string"), F.lit("."), F.lpad((F.floor(us / 1000) % 1000).cast("string"), 3, "0"))
+    length = F.greatest(end - start, F.lit(0))
+    half = F.floor(length / 2)
+    fade = lambda us: F.least(us, half)
+    into, out = fade(fade_in), fade(fade_out)
+    return F.concat(
+        F.lit("atrim="), seconds(start), F.lit(":"), seconds(end), F.lit(",asetpts=PTS-STARTPTS"),
+        F.when(into > 1000, F.concat(F.lit(",afade=t=in:d="), seconds(into))).otherwise(""),
+        F.when(out > 1000, F.concat(F.lit(",afade=t=out:st="), seconds(length - out), F.lit(":d="), seconds(out))).otherwise(""),
+    )
+
+
+def render_issue(actual_us: Column, expected_us: Column, sound_us: Column) -> Column:
+    """What is wrong with a rendered file: drift (its length is over 2 % and over 250 ms off), sync (sound and picture begin over 100 ms apart), or null."""
+    off = F.abs(actual_us - expected_us)
+    drift = (off * 50 > F.greatest(expected_us, F.lit(100_000))) & (off > 250_000)
+    return F.when(drift, "drift").when(F.abs(sound_us) > 100_000, "sync")
+
+
+def kept_story(clips: DataFrame, words: DataFrame, scenes: DataFrame, caption: str, width: int = 10_000_000) -> DataFrame:
+    """(media_id, start_us, end_us, scenes, words): for each kept clip the captions of the scenes that it shows for over .5 s, and the words whole within it, in order.
+
+    A clip that has neither is left out. ``scenes`` have (media_id, id, start_us, end_us) and the column ``caption``.
+    """
+    keep = clips.select("media_id", "start_us", "end_us").distinct()
+    shown = scenes.select("media_id", F.col("id").alias("scene_id"), F.coalesce(caption, F.lit("")).alias("caption"), F.col("start_us").alias("b_start_us"), F.col("end_us").alias("b_end_us"))
+    met = iv.overlap_join(keep, shown, M, width).filter(F.least("end_us", "b_end_us") - F.greatest("start_us", "b_start_us") > 500_000)
+    text = lambda rows, field, by: F.array_join(F.transform(F.array_sort(rows), lambda s: s[field]), by)
+    seen = met.groupBy("media_id", "start_us", "end_us").agg(text(F.collect_list(F.struct("b_start_us", "scene_id", "caption")), "caption", " | ").alias("scenes"))
+    said = iv.point_join(words.select("media_id", F.col("start_us").alias("t"), F.col("end_us").alias("until"), "utt_id", "idx", "word"), keep, M, "t", width).filter("until <= end_us")
+    said = said.groupBy("media_id", "start_us", "end_us").agg(text(F.collect_list(F.struct("t", "utt_id", "idx", "word")), "word", " ").alias("words"))
+    return seen.join(said, ["media_id", "start_us", "end_us"], "full").select("media_id", "start_us", "end_us", F.coalesce("scenes", F.lit("")).alias("scenes"), F.coalesce("words", F.lit("")).alias("words"))
+
+
 def crossfades(clips: DataFrame, inner: int = 80_000, outer: int = 120_000) -> DataFrame:
     """fade_in_us and fade_out_us by position: ``outer`` at the playlist's ends, ``inner`` between, half the clip at most."""
     w = Window.partitionBy(*M).orderBy("start_us")

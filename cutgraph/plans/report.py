@@ -43,6 +43,13 @@ def as_json(metrics: DataFrame, failures: DataFrame, duration: int) -> DataFrame
     return metrics.join(wrong, "media_id", "left").select("media_id", F.to_json(one).alias("text"))
 
 
+def shot_index(shots: DataFrame) -> DataFrame:
+    """(media_id, text): the shots of an item as a JSON list, in order of time and numbered from 0, times in microseconds."""
+    w = F.array_sort(F.collect_list(F.struct("start_us", "end_us")))
+    numbered = F.transform(w, lambda s, i: F.struct(i.alias("shot_id"), s["start_us"].alias("start_us"), s["end_us"].alias("end_us")))
+    return shots.groupBy("media_id").agg(F.to_json(numbered).alias("text"))
+
+
 def write_text(files: DataFrame, path: str) -> None:
     """A folder of text per media item."""
     files.write.mode("overwrite").partitionBy("media_id").text(path)

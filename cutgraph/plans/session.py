@@ -1,10 +1,8 @@
-"""Edit sessions: a pure state machine, its budget, a cache key, and which clips of a revision are new."""
+"""Edit sessions: their states, the ways back from a failed check, and their budget; plans.sessions applies them to tables."""
 
 from __future__ import annotations
 
-import hashlib
-import time
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
 # Stages of a session by the kind of intent.
 PATHS = {
@@ -24,58 +22,3 @@ class Budget:
     retries: int = 10
     seconds: float = 900.0
     dollars: float = 1.0
-
-    def spent(self, calls: int = 0, retries: int = 0, seconds: float = 0.0, dollars: float = 0.0) -> Budget:
-        return Budget(self.calls - calls, self.retries - retries, self.seconds - seconds, self.dollars - dollars)
-
-    @property
-    def open(self) -> bool:
-        return self.calls > 0 and self.retries >= 0 and self.seconds > 0 and self.dollars > 0
-
-
-@dataclass(frozen=True)
-class Session:
-    kind: str
-    state: str = "parsed"
-    steps: int = 0
-    budget: Budget = field(default_factory=Budget)
-    plans: frozenset[str] = frozenset()
-
-
-def advanced(s: Session, passed: bool = True, route: str | None = None, plan: str | None = None) -> Session:
-    """The next state; a failed validation goes back by its route while the budget lasts and the plan is new."""
-    if s.state in ("done", "failed", "awaiting_answer"):
-        return s
-    if s.steps >= MOST_STEPS or not s.budget.open:
-        return replace(s, state="failed")
-    if s.state == "validating" and not passed:
-        back = ROUTES.get(route or "", "")
-        if back not in PATHS[s.kind] or s.budget.retries == 0 or plan is not None and plan in s.plans:
-            return replace(s, state="failed", steps=s.steps + 1)
-        return replace(s, state=back, steps=s.steps + 1, budget=s.budget.spent(retries=1), plans=s.plans | ({plan} if plan else set()))
-    path = PATHS[s.kind]
-    return replace(s, state=path[path.index(s.state) + 1], steps=s.steps + 1)
-
-
-def cache_key(media: str, prompt: str) -> str:
-    return hashlib.sha256(f"{media}:{prompt}".encode()).hexdigest()
-
-
-def plan_key(clips: list[tuple[int, int]], grid: int = 50_000) -> str:
-    """A digest that plans share whose clips agree on a 50 ms grid."""
-    return hashlib.sha256(repr([(a // grid, b // grid) for a, b in clips]).encode()).hexdigest()
-
-
-def dirty_clips(old: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[int]:
-    """Positions of the new timeline that must be rendered; the rest is as it was in the old one."""
-    return [i for i, c in enumerate(new) if i >= len(old) or old[i] != c]
-
-
-class Clock:
-    """Seconds since it was made, for a budget."""
-
-    def __init__(self) -> None:
-        self.began = time.monotonic()
-
-    def seconds(self) -> float:
-        return time.monotonic() - self.began

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import MOST_STEPS, PATHS, ROUTES, Budget
@@ -37,6 +37,13 @@ def cache_key(media_id: Column, prompt: Column) -> Column:
     return F.sha2(F.concat_ws(":", media_id.cast("string"), prompt), 256)
 
 
+def plan_keys(clips: DataFrame, grid: int = 50_000) -> DataFrame:
+    """(media_id, plan): a digest that an item's plans share whose clips, in order of their place, agree on a 50 ms grid."""
+    cell = lambda c: F.expr(f"{c} div {grid}").cast("string")
+    each = F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("-", cell("start_us"), cell("end_us")).alias("c"))))
+    return clips.groupBy("media_id").agg(F.sha2(F.array_join(F.transform(each, lambda e: e["c"]), ","), 256).alias("plan"))
+
+
 def cached(log: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests`` (media_id, prompt, ...) with the ``payload`` of the latest session done for the same item and prompt, null if there is none."""
     done = snapshot(log).filter("state = 'done' and payload is not null").select(cache_key(F.col("media_id"), F.col("prompt")).alias("_key"), "session_id", "payload")
@@ -132,6 +139,29 @@ def gated(requests: DataFrame, coverage: DataFrame, words: DataFrame) -> DataFra
     return requests.join(have, "media_id", "left").join(spoken, "media_id", "left").withColumn("out_of_scope", reason).drop("_have", "_spoken")
 
 
+def learned(prompts: DataFrame, least: int = 3) -> DataFrame:
+    """(user_id, pacing, platforms): what each user has asked for ``least`` times or more, from prompts (user_id, seq, pacing, platform).
+
+    The pacing is that of the last prompt which named one asked for so often by then; platforms are in the order in which they got there. Users without either have
+    no row. A user's prompts are counted in one window for each kind; nothing but the learned values is gathered.
+    """
+    each = prompts.select("user_id", "seq", F.explode(F.array(F.struct(F.lit("pacing").alias("kind"), F.col("pacing").alias("value")), F.struct(F.lit("platform").alias("kind"), F.col("platform").alias("value")))).alias("p")).select("user_id", "seq", "p.*").filter("value is not null")
+    n = F.row_number().over(Window.partitionBy("user_id", "kind", "value").orderBy("seq"))
+    known = each.withColumn("n", n).filter(F.col("n") >= least)
+    pacing = F.max_by(F.when(F.col("kind") == "pacing", F.col("value")), F.when(F.col("kind") == "pacing", F.col("seq")))
+    got = F.array_sort(F.collect_list(F.when((F.col("kind") == "platform") & (F.col("n") == least), F.struct("seq", "value"))))
+    return known.groupBy("user_id").agg(pacing.alias("pacing"), F.transform(got, lambda s: s["value"]).alias("platforms"))
+
+
+def with_profile(intents: DataFrame, profile: DataFrame) -> DataFrame:
+    """``intents`` (user_id, pacing, platform, ...) with a learned pacing and the first learned platform where they name none, and ``applied``: which of them."""
+    known = profile.select("user_id", F.col("pacing").alias("_pacing"), F.get("platforms", F.lit(0)).alias("_platform"))
+    i = intents.join(known, "user_id", "left")
+    takes = lambda c: F.col(c).isNull() & F.col(f"_{c}").isNotNull()
+    applied = F.array_compact(F.array(F.when(takes("pacing"), "profile_pacing"), F.when(takes("platform"), "profile_platform")))
+    return i.select(*(F.coalesce(c, f"_{c}").alias(c) if c in ("pacing", "platform") else F.col(c) for c in intents.columns), applied.alias("applied"))
+
+
 def needs_story(cut_style: Column, shape: Column, actions: Column, target_us: Column) -> Column:
     """Whether an intent needs the story agent: cuts by beat or match, a narrative shape, restructuring or compression, or a target length for what is kept."""
     no = F.lit(False)

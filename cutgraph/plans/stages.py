@@ -1,30 +1,49 @@
-"""The graph of ingest stages, run on the driver: each stage a callable that writes tables."""
+"""Ingestion of many media items as tables: which stages of which items are done, may run, wait or are blocked.
+
+The log of jobs is append-only: (media_id, stage, seq, status, version, attempts, updated_us), status running, done or failed; of an item's
+stage the row with the greatest ``seq`` holds. A wave takes all runnable stages of all items at once and hands each stage the items that need
+it as a DataFrame, so the work is done by Spark and a stopped ingestion goes on from the log.
+"""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-# Stages and what they need.
-NEEDS: dict[str, tuple[str, ...]] = {
-    "normalize": (),
-    "scenes": ("normalize",),
-    "audio": ("normalize",),
-    "cut_affinity": ("normalize",),
-    "audio_separation": ("normalize",),
-    "beat_grid": ("audio_separation",),
-    "faces": ("scenes",),
-    "vision": ("scenes", "audio", "faces"),
-    "graph": ("audio", "vision"),
-    "index": ("graph",),
-    "story": ("index",),
+
+@dataclass(frozen=True)
+class Stage:
+    needs: tuple[str, ...]
+    version: str
+    pool: str
+    lease_us: int
+
+
+S = 1_000_000
+# Stages, what they need, their versions, the pool that they use and how long they may run.
+STAGES = {
+    "normalize": Stage((), "2.0", "cpu", 300 * S),
+    "audio": Stage(("normalize",), "2.0", "cpu", 600 * S),
+    "scenes": Stage(("normalize",), "2.0", "cpu", 300 * S),
+    "faces": Stage(("scenes",), "3.0", "cpu", 600 * S),
+    "cut_affinity": Stage(("audio",), "1.0", "cpu", 300 * S),
+    "audio_separation": Stage(("normalize",), "1.0", "cpu", 1200 * S),
+    "beat_grid": Stage(("audio_separation",), "1.0", "cpu", 300 * S),
+    "vision": Stage(("scenes", "audio", "faces"), "2.0", "api", 600 * S),
+    "graph": Stage(("audio", "vision"), "2.0", "cpu", 300 * S),
+    "index": Stage(("graph",), "2.0", "cpu", 300 * S),
+    "story": Stage(("index",), "2.0", "api", 600 * S),
 }
+# How many stages of an item may run at once in a pool, and how often a stage is tried.
+POOLS = {"cpu": 2, "gpu": 1, "api": 2}
+ATTEMPTS = 3
+NEEDS: dict[str, tuple[str, ...]] = {name: s.needs for name, s in STAGES.items()}
+LOG = "media_id long, stage string, seq long, status string, version string, attempts long, updated_us long"
 
 
 def levels(needs: dict[str, tuple[str, ...]] = NEEDS) -> dict[str, int]:
@@ -56,27 +75,122 @@ def levels_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return level
 
 
-def run(stages: dict[str, Callable[[], None]], done: set[str] | None = None, needs: dict[str, tuple[str, ...]] = NEEDS, workers: int = 2, attempts: int = 3, pause: float = 1.0) -> dict[str, str]:
-    """Run stages as what they need is done, with retries; 'done', 'skipped', 'failed' or 'blocked' for each."""
-    state = {s: "skipped" for s in done or ()}
-
-    def tried(stage: str) -> None:
-        for k in range(attempts):
-            try:
-                return stages[stage]()
-            except Exception:
-                if k + 1 == attempts:
-                    raise
-                time.sleep(pause * 2**k)
-
-    with ThreadPoolExecutor(workers) as pool:
-        running = {}
-        while True:
-            for s, ns in needs.items():
-                if s in stages and s not in state and s not in running.values() and all(state.get(n) in ("done", "skipped") for n in ns):
-                    running[pool.submit(tried, s)] = s
-            if not running:
-                break
-            for f in wait(running, return_when=FIRST_COMPLETED).done:
-                state[running.pop(f)] = "failed" if f.exception() else "done"
-    return {s: state.get(s, "blocked") for s in needs}
+def above(stage: str, stages: dict[str, Stage] = STAGES) -> set[str]:
+    """All stages that a stage needs, directly or not."""
+    out: set[str] = set()
+    left = list(stages[stage].needs)
+    while left:
+        s = left.pop()
+        if s not in out:
+            out.add(s)
+            left += stages[s].needs
+    return out
+
+
+def holding(log: DataFrame) -> DataFrame:
+    """The row that holds of each item's stage; of rows with the same ``seq`` the one with the greatest status by name."""
+    last = log.groupBy("media_id", "stage").agg(F.max(F.struct("seq", "status", "version", "attempts", "updated_us")).alias("r"))
+    return last.select("media_id", "stage", "r.*")
+
+
+def _of_stage(pick: Callable[[Stage], object], stages: dict[str, Stage], kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for name, s in stages.items():
+        out = F.when(F.col("stage") == name, F.lit(pick(s)).cast(kind)).otherwise(out)
+    return out
+
+
+def states(log: DataFrame, items: DataFrame, now_us: int, stages: dict[str, Stage] = STAGES, pools: dict[str, int] = POOLS) -> DataFrame:
+    """(media_id, stage, state, attempts, seq, claimed) of every stage of every item, ``claimed`` those that run next.
+
+    done: finished by the stage's present version (another version's result is made again). failed: tried ATTEMPTS times. blocked: needs
+    a failed stage. running: begun, and its lease isn't over; an expired lease is taken back. backoff: failed lately, 1, 2, ... seconds
+    ago at most, by attempts. ready: all that it needs is done. waiting: else. Of the ready stages of an item as many are claimed as the
+    stage's pool has places beside those that run, in the order of their depth. Rows of unknown stages or items count for nothing.
+
+    An item has a handful of rows; they are gathered by item, once, and everything else is a function of them.
+    """
+    known = F.array(*map(F.lit, stages))
+    jobs = holding(log.filter(F.col("stage").isin(*stages))).groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("seq", "status", "version", "attempts", "updated_us")))).alias("_jobs"))
+    each = items.select("media_id").distinct().join(jobs, "media_id", "left").select("media_id", "_jobs", F.explode(known).alias("stage"))
+    each = each.withColumn("_j", F.try_element_at("_jobs", F.col("stage")))
+    since = F.lit(now_us) - F.col("_j.updated_us")
+    own = (
+        F.when((F.col("_j.status") == "done") & (F.col("_j.version") == _of_stage(lambda s: s.version, stages, "string")), "done")
+        .when((F.col("_j.status") == "running") & (since <= _of_stage(lambda s: s.lease_us, stages, "long")), "running")
+        .when((F.col("_j.status") == "failed") & (F.col("_j.attempts") >= ATTEMPTS), "failed")
+        .when((F.col("_j.status") == "failed") & (since < F.pow(F.lit(2.0), F.col("_j.attempts") - 1) * S), "backoff")
+        .otherwise("pending")
+    )
+    w = Window.partitionBy("media_id")
+    each = each.withColumn("own", own)
+    each = each.withColumn("_done", F.collect_set(F.when(F.col("own") == "done", F.col("stage"))).over(w)).withColumn("_failed", F.collect_set(F.when(F.col("own") == "failed", F.col("stage"))).over(w))
+    lists = lambda pick: _map({n: sorted(pick(n)) for n in stages})
+    blocked = F.arrays_overlap("_failed", lists(lambda n: above(n, stages)))
+    ready = F.size(F.array_except(lists(lambda n: set(stages[n].needs)), "_done")) == 0
+    state = F.when(F.col("own") != "pending", F.col("own")).when(blocked, "blocked").when(ready, "ready").otherwise("waiting")
+    depth = levels({n: s.needs for n, s in stages.items()})
+    each = each.withColumn("state", state).withColumn("_pool", _of_stage(lambda s: s.pool, stages, "string"))
+    of_pool = Window.partitionBy("media_id", "_pool")
+    places = F.lit(1)
+    for name, n in pools.items():
+        places = F.when(F.col("_pool") == name, n).otherwise(places)
+    deep = F.lit(0)
+    for name, d in depth.items():
+        deep = F.when(F.col("stage") == name, d).otherwise(deep)
+    busy = F.count(F.when(F.col("state") == "running", 1)).over(of_pool)
+    turn = F.row_number().over(of_pool.orderBy(F.when(F.col("state") == "ready", 0).otherwise(1), deep, "stage"))
+    claimed = (F.col("state") == "ready") & (turn + busy <= places)
+    return each.select("media_id", "stage", "state", F.coalesce("_j.attempts", F.lit(0).cast("long")).alias("attempts"), F.coalesce("_j.seq", F.lit(0).cast("long")).alias("seq"), claimed.alias("claimed"))
+
+
+def _map(lists: dict[str, list[str]]) -> Column:
+    """The list of the row's stage."""
+    out = F.expr("cast(array() as array<string>)")
+    for name, needed in lists.items():
+        if needed:
+            out = F.when(F.col("stage") == name, F.array(*map(F.lit, needed))).otherwise(out)
+    return out
+
+
+class JobLog:
+    """The log of jobs as a Parquet folder, rows only appended."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """The log; empty before the first rows were written."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(self.path)
+
+    def append(self, rows: DataFrame) -> None:
+        columns = [f.split(" ") for f in LOG.split(", ")]
+        rows.select(*(F.col(name).cast(kind) for name, kind in columns)).write.mode("append").parquet(self.path)
+
+
+def ingest(log: JobLog, items: DataFrame, work: dict[str, Callable[[DataFrame], DataFrame]], clock: Callable[[], int], stages: dict[str, Stage] = STAGES) -> DataFrame:
+    """Wave after wave, until no stage of any item can be claimed; returns the last ``states``.
+
+    ``work`` has of each stage a function from the items (media_id) that need it to (media_id, ok), false or absent where it failed; what it
+    makes, it writes itself. ``clock`` gives microseconds. Stages whose items back off are claimed by a later call. A wave logs that its
+    jobs run, then how they ended; a driver that stops between leaves leases that expire.
+    """
+    while True:
+        now = cut(states(log.rows(), items, clock(), stages).filter("claimed"))
+        if now.isEmpty():
+            return states(log.rows(), items, clock(), stages)
+        version = _of_stage(lambda s: s.version, stages, "string")
+        begun = now.select("media_id", "stage", (F.col("seq") + 1).alias("seq"), F.lit("running").alias("status"), version.alias("version"), F.col("attempts").alias("attempts"), F.lit(clock()).alias("updated_us"))
+        log.append(begun)
+        for stage in stages:
+            mine = now.filter(F.col("stage") == stage)
+            if mine.isEmpty():
+                continue
+            told = work[stage](mine.select("media_id")).groupBy("media_id").agg(F.bool_and("ok").alias("ok"))
+            ended = mine.join(told, "media_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+            status = F.when(F.col("ok"), "done").otherwise("failed")
+            tries = F.when(F.col("ok"), F.col("attempts")).otherwise(F.col("attempts") + 1)
+            log.append(ended.select("media_id", "stage", (F.col("seq") + 2).alias("seq"), status.alias("status"), version.alias("version"), tries.alias("attempts"), F.lit(clock()).alias("updated_us")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators import sequential
-from ..plans import planner, report, stages
+from ..plans import planner, report, revisions, stages
 from ..sources.kb import DURATION, KB
 from .base import query, r6
 
@@ -267,7 +267,11 @@ def knapsack(kb: KB) -> DataFrame:
     return sequential.per_media(i, "media_id", ["start_us"], core, "media_id long, id long, start_us long, end_us long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KEEPS}, k AS (SELECT media_id, list(struct_pack(a := start_us, b := end_us) ORDER BY start_us) AS ks FROM keeps GROUP BY 1), w AS (SELECT media_id, start_us AS a, end_us AS b, row_number() OVER (PARTITION BY media_id ORDER BY value DESC, start_us, end_us) AS r FROM sig WHERE event_type = 'purchase'),
+    s AS (SELECT media_id, ks, 0::BIGINT AS r, []::BIGINT[] AS used FROM k
+        UNION ALL SELECT media_id, ks, r, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END FROM (SELECT s.media_id, s.ks, w.r, s.used, list_filter(range(1, len(s.ks) + 1), lambda i: NOT list_contains(s.used, i) AND s.ks[i].a - 500000 <= w.a AND w.b <= s.ks[i].b + 500000)[1] AS hit FROM s JOIN w ON w.media_id = s.media_id AND w.r = s.r + 1)),
+    e AS (SELECT media_id, ks, list_concat(used, list_filter(range(1, len(ks) + 1), lambda i: NOT list_contains(used, i))) AS o FROM s QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY r DESC) = 1)
+    SELECT media_id, CAST(p AS INTEGER) AS pos, ks[o[p + 1]].a AS start_us, ks[o[p + 1]].b AS end_us FROM (SELECT *, unnest(range(len(o))) AS p FROM e)""")
 def reorder(kb: KB) -> DataFrame:
     """Kept clips in the order in which the strongest scenes claim them."""
 
@@ -278,7 +282,7 @@ def reorder(kb: KB) -> DataFrame:
 
     k = _keeps(kb).select("media_id", "start_us", "end_us", F.lit(0).alias("kind"), F.lit(0.0).alias("score"))
     s = kb.signals.filter("event_type = 'purchase'").select("media_id", "start_us", "end_us", F.lit(1).alias("kind"), F.col("value").alias("score"))
-    return sequential.per_media(k.unionByName(s), "media_id", ["kind", "start_us"], core, "media_id long, pos int, start_us long, end_us long")
+    return sequential.per_media(k.unionByName(s), "media_id", ["kind", "start_us", "end_us"], core, "media_id long, pos int, start_us long, end_us long")
 
 
 @query(f"""WITH {_KEEPS}, m AS (SELECT media_id, CAST(sum(end_us - start_us) AS BIGINT) AS kept FROM keeps GROUP BY 1), t AS (SELECT media_id, kept, CASE media_id % 3 WHEN 0 THEN 'max' WHEN 1 THEN 'exact' END AS mode, (100 + media_id % 50)::BIGINT * 1000000 AS target FROM m)
@@ -321,3 +325,46 @@ def critic_left(kb: KB) -> DataFrame:
 def critic_midword(kb: KB) -> DataFrame:
     """Items with a cut inside a word."""
     return planner.midword(_keeps(kb), kb.words, kb.lengths)
+
+
+@query(f"""WITH {_KEEPS}, s AS (SELECT k.media_id, k.start_us, k.end_us, string_agg(s.location, ' | ' ORDER BY s.start_us, s.id) AS scenes FROM keeps k JOIN scenes s ON s.media_id = k.media_id AND least(s.end_us, k.end_us) - greatest(s.start_us, k.start_us) > 500000 GROUP BY ALL),
+    w AS (SELECT k.media_id, k.start_us, k.end_us, string_agg(w.word, ' ' ORDER BY w.start_us, w.utt_id, w.idx) AS words FROM keeps k JOIN words w ON w.media_id = k.media_id AND w.start_us >= k.start_us AND w.start_us < k.end_us AND w.end_us <= k.end_us GROUP BY ALL)
+    SELECT media_id, start_us, end_us, coalesce(scenes, '') AS scenes, coalesce(words, '') AS words FROM s FULL JOIN w USING (media_id, start_us, end_us)""")
+def kept_story(kb: KB) -> DataFrame:
+    """What is left of an item, clip by clip: the scenes that are shown (here: their places), and the words."""
+    return planner.kept_story(_keeps(kb), kb.words, kb.scenes, "location")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS e, CAST(floor(o_totalprice) AS BIGINT) + (o_orderkey % 7) * 900000 AS a, (o_custkey % 21 - 10) * 20000 AS av FROM orders)
+    SELECT o_orderkey, CASE WHEN abs(a - e) * 50 > greatest(e, 100000) AND abs(a - e) > 250000 THEN 'drift' WHEN abs(av) > 100000 THEN 'sync' END AS issue FROM o""")
+def render_issues(kb: KB) -> DataFrame:
+    """Rendered files (here: orders) whose length or sound is off."""
+    o = kb.table("orders").select("o_orderkey", F.floor("o_totalprice").alias("e"), ((F.col("o_custkey") % 21 - 10) * 20_000).alias("av"))
+    return o.select("o_orderkey", planner.render_issue(F.col("e") + F.col("o_orderkey") % 7 * 900_000, F.col("e"), F.col("av")).alias("issue"))
+
+
+@query("""WITH c AS (SELECT media_id, id, start_us AS a, end_us AS b, end_us - start_us AS d, (id % 4) * 60000 AS i, (id % 5) * 40000 AS o FROM sig),
+    f AS (SELECT *, least(i, d // 2) AS fi, least(o, d // 2) AS fo FROM c)
+    SELECT media_id, id, 'atrim=' || a // 1000000 || '.' || lpad(CAST(a // 1000 % 1000 AS VARCHAR), 3, '0') || ':' || b // 1000000 || '.' || lpad(CAST(b // 1000 % 1000 AS VARCHAR), 3, '0') || ',asetpts=PTS-STARTPTS'
+        || CASE WHEN fi > 1000 THEN ',afade=t=in:d=' || fi // 1000000 || '.' || lpad(CAST(fi // 1000 % 1000 AS VARCHAR), 3, '0') ELSE '' END
+        || CASE WHEN fo > 1000 THEN ',afade=t=out:st=' || (d - fo) // 1000000 || '.' || lpad(CAST((d - fo) // 1000 % 1000 AS VARCHAR), 3, '0') || ':d=' || fo // 1000000 || '.' || lpad(CAST(fo // 1000 % 1000 AS VARCHAR), 3, '0') ELSE '' END AS filter FROM f""")
+def fade_filters(kb: KB) -> DataFrame:
+    """The renderer's text for each clip (here: a signal)."""
+    i = F.col("id")
+    return kb.signals.select("media_id", "id", planner.fade_filter(F.col("start_us"), F.col("end_us"), i % 4 * 60_000, i % 5 * 40_000).alias("filter"))
+
+
+@query("""WITH c AS (SELECT media_id, start_us AS a, end_us AS b, row_number() OVER (PARTITION BY media_id ORDER BY start_us, id) - 1 AS p, count(*) OVER (PARTITION BY media_id) AS n, media_id % 8 AS k FROM scenes),
+    f AS (SELECT media_id, arg_min(a, p) AS a FROM c GROUP BY 1),
+    r AS (SELECT media_id, p, a, CASE WHEN k IN (3, 4, 5, 6) AND p = 0 THEN CASE k WHEN 3 THEN greatest(a + 1000000, b - 2000000) WHEN 4 THEN b + 7000000 WHEN 5 THEN b + 2000000 ELSE b END ELSE b END AS b, k IN (0, 1) OR (k = 2 AND n > 1 AND p < 2) OR (k IN (3, 4, 5) AND p = 0) AS dirty,
+            CASE WHEN k = 2 AND n > 1 AND p < 2 THEN 1 - p ELSE p END AS o FROM c WHERE NOT (k = 0 AND p = 0)
+        UNION ALL SELECT media_id, -1, 0, greatest(1000000, CASE WHEN a > 100000 THEN a ELSE 5000000 END), true, -1 FROM f WHERE media_id % 8 = 1
+        UNION ALL SELECT media_id, -1, 0, 5000000, true, -1 FROM media WHERE media_id % 8 = 1 AND media_id NOT IN (SELECT media_id FROM f)),
+    t AS (SELECT media_id, o, least(a, 2600000000) AS a, least(b, 2600000000) AS b, dirty FROM r), g AS (SELECT *, b - a > 10000 AS good, bool_or(b - a > 10000) OVER (PARTITION BY media_id) AS any_good FROM t)
+    SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY o) - 1 AS INTEGER) AS pos, a AS start_us, b AS end_us, dirty FROM g WHERE good OR NOT any_good""")
+def revisions_applied(kb: KB) -> DataFrame:
+    """Timelines (here: all scenes of an item) after a revision each, and what of them is new."""
+    w = Window.partitionBy(*M).orderBy("start_us", "id")
+    prompts = ("Remove the first clip", "please put back the intro", "swap the first two", "make it shorter", "extend the opening by 7 s", "a bit longer", "cut the pricing talk", "nice work")
+    asked = kb.media.select("media_id", F.get(F.array(*map(F.lit, prompts)), (F.col("media_id") % 8).cast("int")).alias("prompt"))
+    return revisions.revised(kb.scenes.select("media_id", F.row_number().over(w).alias("pos"), "start_us", "end_us"), asked, kb.lengths)

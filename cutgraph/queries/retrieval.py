@@ -256,10 +256,9 @@ def vector_topk(kb: KB) -> DataFrame:
     s AS (SELECT v.vec_id, c.label, floor(list_cosine_similarity(v.embedding::DOUBLE[], c.embedding) * 1e5 + 0.5) / 1e5 AS score FROM embeddings v, c)
     SELECT vec_id, arg_max(label, score * 1000 - label / 1e6) AS label, max(score) AS score FROM s GROUP BY 1 HAVING max(score) > 0.3""")
 def registry_match(kb: KB) -> DataFrame:
-    """Each vector's best registered identity above a threshold; identities are few."""
-    c = vectors.centroids(kb.vectors, ["label"], "embedding")
-    s = kb.vectors.select("vec_id", "embedding").crossJoin(F.broadcast(c)).select("vec_id", "label", (F.floor(vectors.inner(vectors.unit("embedding"), "centroid") * 1e5 + 0.5) / 1e5).alias("score"))
-    return s.groupBy("vec_id").agg(F.max_by("label", F.struct("score", -F.col("label"))).alias("label"), F.max("score").alias("score")).filter("score > 0.3")
+    """Each vector's best registered identity above a threshold."""
+    c = vectors.centroids(kb.vectors, ["label"], "embedding").filter("centroid is not null")
+    return vectors.best_match(kb.vectors, c, "vec_id", "embedding", "label", "centroid").filter("score > 0.3")
 
 
 @query("""WITH c AS (SELECT label, reel, list(m ORDER BY i) AS v FROM (SELECT label, reel, i, avg(e) AS m FROM (SELECT label, vec_id // 200 AS reel, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2, 3) GROUP BY 1, 2),

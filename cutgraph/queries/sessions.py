@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import session, sessions
+from ..plans import session, sessions, stages
 from ..sources.kb import KB
 from .base import query, r6
 
@@ -80,3 +80,42 @@ def need_agent(kb: KB) -> DataFrame:
     actions = F.when(k % 5 == 0, of("remove", "compress")).when(k % 5 == 1, of("keep_only")).when(k % 5 == 2, of("restructure")).otherwise(of("remove"))
     needs = sessions.needs_story(pick(("beat_cut", "match_cut", "fast", None), k % 4), pick(("trailer", "chronological", None), o % 3), actions, F.when(k % 2 == 0, F.lit(60_000_000)))
     return kb.table("orders").select("o_orderkey", needs.alias("needs"))
+
+
+_NAMES = list(stages.STAGES)
+_FACTS = ", ".join(f"('{n}', {[*s.needs]}::VARCHAR[], {sorted(stages.above(n))}::VARCHAR[], '{s.version}', '{s.pool}', {s.lease_us}, {stages.levels()[n]})" for n, s in stages.STAGES.items())
+
+
+@query(f"""WITH f(stage, needs, above, version, pool, lease, depth) AS (VALUES {_FACTS}),
+    l AS (SELECT l_orderkey AS media_id, {_NAMES}[l_partkey % 11 + 1] AS stage, l_linenumber AS seq, ['done', 'done', 'done', 'running', 'failed'][l_suppkey % 5 + 1] AS status, CASE WHEN l_partkey % 11 < 4 AND l_suppkey % 7 > 0 THEN '2.0' ELSE '1.0' END AS version, l_linenumber % 4 AS attempts, CAST(l_quantity AS BIGINT) * 20000000 AS since FROM lineitem),
+    j AS (SELECT media_id, stage, max(struct_pack(seq := seq, status := status, version := version, attempts := attempts, since := since)) AS r FROM l GROUP BY 1, 2),
+    e AS (SELECT o_orderkey AS media_id, f.*, j.r FROM orders CROSS JOIN f LEFT JOIN j ON j.media_id = o_orderkey AND j.stage = f.stage),
+    o AS (SELECT *, CASE WHEN r.status = 'done' AND r.version = version THEN 'done' WHEN r.status = 'running' AND 1000000000 - r.since <= lease THEN 'running' WHEN r.status = 'failed' AND r.attempts >= 3 THEN 'failed' WHEN r.status = 'failed' AND 1000000000 - r.since < pow(2, r.attempts - 1) * 1000000 THEN 'backoff' ELSE 'pending' END AS own FROM e),
+    d AS (SELECT media_id, list(stage) FILTER (own = 'done') AS done, list(stage) FILTER (own = 'failed') AS failed FROM o GROUP BY 1),
+    s AS (SELECT *, CASE WHEN own <> 'pending' THEN own WHEN list_has_any(coalesce(failed, []), above) THEN 'blocked' WHEN list_has_all(coalesce(done, []), needs) THEN 'ready' ELSE 'waiting' END AS state FROM o JOIN d USING (media_id))
+    SELECT media_id, stage, state, coalesce(r.attempts, 0) AS attempts, coalesce(r.seq, 0) AS seq, state = 'ready' AND row_number() OVER (PARTITION BY media_id, pool ORDER BY state <> 'ready', depth, stage) + count(*) FILTER (state = 'running') OVER (PARTITION BY media_id, pool) <= 2 AS claimed FROM s""")
+def stage_claims(kb: KB) -> DataFrame:
+    """Which stages of which items run next (here: an order's lines are its log of jobs, at 1000 s)."""
+    s = F.col("l_suppkey")
+    version = F.when((F.col("l_partkey") % 11 < 4) & (s % 7 > 0), "2.0").otherwise("1.0")
+    log = kb.table("lineitem").select(
+        F.col("l_orderkey").alias("media_id"), F.get(F.array(*map(F.lit, _NAMES)), (F.col("l_partkey") % 11).cast("int")).alias("stage"), F.col("l_linenumber").cast("long").alias("seq"),
+        F.get(F.array(*map(F.lit, ("done", "done", "done", "running", "failed"))), (s % 5).cast("int")).alias("status"), version.alias("version"), (F.col("l_linenumber") % 4).cast("long").alias("attempts"), (F.col("l_quantity").cast("long") * 20_000_000).alias("updated_us"),
+    )
+    return stages.states(log, kb.table("orders").select(F.col("o_orderkey").alias("media_id")), 1_000_000_000)
+
+
+@query("""WITH p AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'fast' WHEN 'view' THEN 'cinematic' END AS pacing, CASE WHEN value > 30 THEN NULL WHEN event_id % 3 = 0 THEN 'tiktok' WHEN event_id % 3 = 1 THEN 'youtube' ELSE 'reels' END AS platform FROM events),
+    a AS (SELECT user_id, arg_max(pacing, seq) AS pacing FROM (SELECT *, row_number() OVER (PARTITION BY user_id, pacing ORDER BY seq) AS n FROM p WHERE pacing IS NOT NULL) WHERE n >= 3 GROUP BY 1),
+    b AS (SELECT user_id, arg_min(platform, seq) AS platform FROM (SELECT *, row_number() OVER (PARTITION BY user_id, platform ORDER BY seq) AS n FROM p WHERE platform IS NOT NULL) WHERE n = 3 GROUP BY 1),
+    i AS (SELECT o_orderkey, o_custkey AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'neutral' END AS pacing, CASE WHEN o_orderkey % 2 = 0 THEN 'cinema' END AS platform FROM orders)
+    SELECT o_orderkey, i.user_id, coalesce(i.pacing, a.pacing) AS pacing, coalesce(i.platform, b.platform) AS platform, concat_ws(',', CASE WHEN i.pacing IS NULL AND a.pacing IS NOT NULL THEN 'profile_pacing' END, CASE WHEN i.platform IS NULL AND b.platform IS NOT NULL THEN 'profile_platform' END) AS applied
+    FROM i LEFT JOIN a ON a.user_id = i.user_id LEFT JOIN b ON b.user_id = i.user_id""")
+def profile_merge(kb: KB) -> DataFrame:
+    """Intents (here: orders) with what their users' earlier prompts (here: events) have taught."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    platform = F.when(F.col("value") > 30, None).when(e % 3 == 0, "tiktok").when(e % 3 == 1, "youtube").otherwise("reels")
+    prompts = kb.table("events").select("user_id", e.alias("seq"), F.when(kind == "click", "fast").when(kind == "view", "cinematic").alias("pacing"), platform.alias("platform"))
+    o = F.col("o_orderkey")
+    intents = kb.table("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.when(o % 3 == 0, "neutral").alias("pacing"), F.when(o % 2 == 0, "cinema").alias("platform"))
+    return sessions.with_profile(intents, sessions.learned(prompts)).withColumn("applied", F.array_join("applied", ","))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, sequential, tracking
 from ..operators import intervals as iv
-from ..plans import retrieve
+from ..operators import sequences as sq
+from ..plans import people, report, retrieve
 from ..sources.kb import DURATION, KB
 from .base import query, r6
 
@@ -193,7 +194,13 @@ def pseudo_shots(kb: KB) -> DataFrame:
     return sequential.per_media(kb.silences, "media_id", ["start_us"], core, "media_id long, start_us long, end_us long")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, id) AS r, [value, value % 7, value % 3, 1.0]::DOUBLE[] AS h FROM sig),
+    s AS (SELECT DISTINCT media_id, 0::BIGINT AS r, NULL::BIGINT AS id, -1::BIGINT AS scene, NULL::DOUBLE[] AS m, 0::BIGINT AS n, 0::BIGINT AS begun, NULL::VARCHAR AS who FROM f
+        UNION ALL SELECT media_id, r, id, CASE WHEN joins THEN scene ELSE scene + 1 END, CASE WHEN joins THEN list_transform(list_zip(m, h), lambda z: (z[1] * n + z[2]) / (n + 1)) ELSE h END, CASE WHEN joins THEN n + 1 ELSE 1 END, CASE WHEN joins THEN begun ELSE start_us END, event_type
+        FROM (SELECT *, coalesce(n > 0 AND end_us - begun <= 60000000 AND (c > 0.65 OR (who = event_type AND c > 0.4)), false) AS joins FROM (
+            SELECT *, CASE WHEN list_inner_product(x, x) * list_inner_product(y, y) > 0 THEN list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) ELSE 1.0 END AS c FROM (
+                SELECT s.media_id, f.r, f.id, s.scene, s.m, s.n, s.begun, s.who, f.h, f.start_us, f.end_us, f.event_type, list_transform(s.m, lambda z: z - list_avg(s.m)) AS x, list_transform(f.h, lambda z: z - list_avg(f.h)) AS y FROM s JOIN f ON f.media_id = s.media_id AND f.r = s.r + 1))))
+    SELECT media_id, id, scene FROM s WHERE r > 0""")
 def group_shots(kb: KB) -> DataFrame:
     """Shots grouped to scenes; a shot's histogram is its values in four bins."""
     import numpy as np
@@ -283,6 +290,42 @@ def distinct_keyframes(kb: KB) -> DataFrame:
     return sequential.per_media(frames, "media_id", ["id"], core, "media_id long, id long, rank int")
 
 
+@query("""WITH a AS (SELECT media_id, type, start_us // 1000000 AS k, confidence FROM audio), p AS (SELECT media_id, type, w, max(confidence) AS v FROM (SELECT media_id, type, confidence, unnest([k - 1, k]) AS w FROM a) WHERE w BETWEEN 0 AND 2597 GROUP BY 1, 2, 3),
+    g AS (SELECT media_id, type, w, coalesce(v, 0.0) AS v FROM (SELECT media_id, type, unnest(range(2598)) AS w FROM (SELECT DISTINCT media_id, type FROM p)) LEFT JOIN p USING (media_id, type, w)),
+    m AS (SELECT media_id, type, w * 1000000 + 1000000 AS t, median(v) OVER (PARTITION BY media_id, type ORDER BY w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM g),
+    e AS (SELECT *, CASE WHEN v > 0.5 THEN 1 WHEN v < 0.3 THEN 0 END AS edge, lead(t) OVER (PARTITION BY media_id, type ORDER BY t) AS n FROM m),
+    s AS (SELECT *, coalesce(last_value(edge IGNORE NULLS) OVER (PARTITION BY media_id, type ORDER BY t ROWS UNBOUNDED PRECEDING), 0) AS is_on FROM e),
+    i AS (SELECT *, sum(CASE WHEN is_on = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id, type ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM s)
+    SELECT media_id, type, min(t) AS start_us, max(coalesce(n, t)) + 1000000 AS end_us, floor(avg(v) * 1e6 + 0.5) / 1e6 AS confidence, count(*) AS n FROM i WHERE is_on = 1 GROUP BY media_id, type, g""")
+def event_windows(kb: KB) -> DataFrame:
+    """Sound events from scores: windows of 2 s every second, the median of three, and hysteresis, for each item and label (the oracle has every window)."""
+    k = F.expr("start_us div 1000000")
+    scores = kb.audio_events.select("media_id", "type", "confidence", F.explode(F.array(k - 1, k)).alias("w"))
+    return sq.windowed_events(scores, ["media_id", "type"], "w", "confidence", DURATION // 1_000_000 - 3).withColumn("confidence", r6("confidence"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT vec_id // 50 AS m, vec_id AS id, vec_id % 50 AS scene, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS r FROM embeddings),
+    s AS (SELECT DISTINCT m, 0::BIGINT AS r, []::STRUCT(sc BIGINT, v DOUBLE[])[] AS seeds, NULL::BIGINT AS id, NULL::BIGINT AS scene, NULL::BIGINT AS g FROM f
+        UNION ALL SELECT m, r, CASE WHEN hit IS NULL THEN list_append(seeds, struct_pack(sc := scene, v := v)) ELSE seeds END, id, scene, coalesce(hit, len(seeds) + 1)
+        FROM (SELECT s.m, f.r, s.seeds, f.id, f.scene, f.v, nullif(list_position(list_transform(s.seeds, lambda k: list_inner_product(k.v, f.v) + CASE WHEN abs(k.sc - f.scene) <= 2 THEN 0.1 ELSE 0 END > 0.2), true), 0) AS hit FROM s JOIN f ON f.m = s.m AND f.r = s.r + 1)),
+    faces AS (SELECT vec_id // 50 AS m, vec_id % 50 AS scene, 'person:' || chr(CAST(65 + label % 3 AS INTEGER)) AS person FROM embeddings WHERE label IN (1, 2)),
+    c AS (SELECT s.m, s.g, arg_min(person, s.scene) FILTER (person IS NOT NULL) AS person FROM s LEFT JOIN faces USING (m, scene) WHERE s.r > 0 GROUP BY 1, 2),
+    t AS (SELECT m, list(DISTINCT person) AS taken FROM faces GROUP BY 1),
+    n AS (SELECT m, g, row_number() OVER (PARTITION BY m ORDER BY g) AS k FROM c WHERE person IS NULL),
+    l AS (SELECT n.m, n.g, list_filter(list_transform(range(60), lambda i: 'person:' || chr(CAST(65 + i % 26 AS INTEGER)) || CASE WHEN i >= 26 THEN CAST(i // 26 AS VARCHAR) ELSE '' END), lambda x: NOT list_contains(coalesce(taken, []), x))[k] AS person FROM n LEFT JOIN t USING (m))
+    SELECT s.m AS media_id, s.id, coalesce(c.person, l.person) AS person FROM s JOIN c ON c.m = s.m AND c.g = s.g LEFT JOIN l ON l.m = s.m AND l.g = s.g WHERE s.r > 0""")
+def identity_merge(kb: KB) -> DataFrame:
+    """Persons described in an item's scenes (here: its vectors, of which those of two labels are faces; test vectors are unlike, so that .2 stands for .8)."""
+    raw = _reels(kb).withColumn("scene", F.col("id") % 50)
+    faces = kb.vectors.filter("label in (1, 2)").select(F.expr("vec_id div 50").alias("media_id"), (F.col("vec_id") % 50).alias("scene"), F.concat(F.lit("person:"), F.char(65 + F.col("label") % 3)).alias("person"))
+    return people.resolved(raw, faces, 0.2)
+
+
+@query("""SELECT media_id, '[' || string_agg('{"shot_id":' || i || ',"start_us":' || start_us || ',"end_us":' || end_us || '}', ',' ORDER BY i) || ']' AS text FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_us, end_us) - 1 AS i FROM scenes) GROUP BY 1""")
+def shot_index(kb: KB) -> DataFrame:
+    return report.shot_index(kb.scenes)
+
+
 @query()
 def motion_peaks(kb: KB) -> DataFrame:
     """Peaks and valleys of an item's smoothed motion (here: its signals' values) that stand out by 5 and are 10 samples apart."""
