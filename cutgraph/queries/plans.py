@@ -243,13 +243,31 @@ def _half(kb: KB) -> DataFrame:
     return kb.scenes.select("media_id", "id", "start_us", "end_us", (F.col("importance") > 0.1).alias("kept"))
 
 
-@query()
+_NEEDS = "needs AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY pos, setup) AS r FROM (SELECT media_id, start_us AS pos, id AS payoff, lag(id) OVER (PARTITION BY media_id ORDER BY start_us, id) AS setup FROM scenes WHERE story_role IN ('setup', 'payoff')) WHERE setup IS NOT NULL)"
+
+
+def _closed_sql(target: int) -> str:
+    """The clips ``h`` (media_id, id, start_us, end_us, kept) after each need in turn has pulled its setup in."""
+    return f"""k AS (SELECT media_id, coalesce(list(struct_pack(id := id, a := start_us, b := end_us)) FILTER (kept), []) AS ks, coalesce(list(struct_pack(id := id, a := start_us, b := end_us)) FILTER (NOT kept), []) AS ds FROM h GROUP BY 1),
+    c AS (SELECT media_id, 0::BIGINT AS r, ks, ds FROM k
+        UNION ALL SELECT media_id, r, CASE WHEN x IS NULL THEN ks ELSE list_append(ks, struct_pack(id := x.id, a := CASE WHEN more THEN greatest(x.a, mid - allowed // 2) ELSE x.a END, b := CASE WHEN more THEN least(x.b, mid + allowed // 2) ELSE x.b END)) END, CASE WHEN x IS NULL THEN ds ELSE list_filter(ds, lambda y: y.id <> x.id) END
+        FROM (SELECT *, (x.a + x.b) // 2 AS mid, greatest({target} - spent, 3000000) AS allowed, spent + x.b - x.a > {target} AS more FROM (
+            SELECT c.media_id, n.r, ks, ds, coalesce(list_sum(list_transform(ks, lambda y: y.b - y.a)), 0)::BIGINT AS spent, CASE WHEN len(list_filter(ks, lambda y: y.id = n.payoff)) > 0 AND len(list_filter(ks, lambda y: y.id = n.setup)) = 0 THEN list_filter(ds, lambda y: y.id = n.setup)[1] END AS x
+            FROM c JOIN needs n ON n.media_id = c.media_id AND n.r = c.r + 1)))
+    SELECT media_id, u.id AS id, u.a AS start_us, u.b AS end_us FROM (SELECT media_id, unnest(ks) AS u FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY r DESC) = 1))"""
+
+
+@query(f"WITH RECURSIVE h AS (SELECT media_id, id, start_us, end_us, importance > 0.1 AS kept FROM scenes), {_NEEDS}, {_closed_sql(600_000_000)}")
 def dep_truncated(kb: KB) -> DataFrame:
     """Kept scenes with the setups that their payoffs need, cut to what ten minutes leave."""
     return planner.repaired_selection(_half(kb), kb.story_needs, 600_000_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT media_id, id, start_us, end_us, importance > 0.1 AS kept FROM scenes), {_NEEDS}, o AS (SELECT media_id, id, kept, CASE WHEN kept THEN row_number() OVER (PARTITION BY media_id, kept ORDER BY start_us DESC, id DESC) ELSE row_number() OVER (PARTITION BY media_id, kept ORDER BY start_us, id) END AS pos FROM f),
+    w AS (SELECT x.media_id, x.id AS gone, y.id AS come FROM o x JOIN o y ON y.media_id = x.media_id AND y.pos = x.pos AND x.kept AND NOT y.kept WHERE x.pos <= 3),
+    n AS (SELECT f.*, CASE WHEN g.gone IS NOT NULL THEN false WHEN c.come IS NOT NULL THEN true ELSE kept END AS then_kept FROM f LEFT JOIN w g ON g.media_id = f.media_id AND g.gone = f.id LEFT JOIN w c ON c.media_id = f.media_id AND c.come = f.id),
+    v AS (SELECT media_id FROM n WHERE then_kept GROUP BY 1 HAVING 100 * sum(end_us - start_us) > 115 * 1300000000::BIGINT UNION SELECT d.media_id FROM needs d JOIN n a ON a.media_id = d.media_id AND a.id = d.payoff AND a.then_kept JOIN n b ON b.media_id = d.media_id AND b.id = d.setup AND NOT b.then_kept),
+    h AS (SELECT media_id, id, start_us, end_us, CASE WHEN media_id IN (FROM v) THEN kept ELSE then_kept END AS kept FROM n), {_closed_sql(1_300_000_000)}""")
 def swaps_applied(kb: KB) -> DataFrame:
     """Kept scenes after the swaps proposed (here: the first dropped scenes for the last kept ones), all or none."""
     half = _half(kb)

@@ -326,7 +326,16 @@ def shot_index(kb: KB) -> DataFrame:
     return report.shot_index(kb.scenes)
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT media_id, list(value ORDER BY start_us, id) AS v, list(start_us ORDER BY start_us, id) AS ts, list(id ORDER BY start_us, id) AS ids, count(*) AS n FROM sig GROUP BY 1),
+    g AS (SELECT list_transform([-2, -1, 0, 1, 2], lambda k: exp(-k * k / (2 * 1.1::DOUBLE * 1.1::DOUBLE))) AS w),
+    m AS (SELECT media_id, ts, ids, n, list_transform(range(n), lambda i: list_sum(list_transform(range(5), lambda k: w[k + 1] * v[CASE WHEN n = 1 THEN 0 WHEN i + k - 2 < 0 THEN 2 - i - k WHEN i + k - 2 >= n THEN 2 * (n - 1) - (i + k - 2) ELSE i + k - 2 END + 1])) / list_sum(w)) AS s FROM b, g WHERE n > 2),
+    x AS (SELECT media_id, kind, n, list_transform(s, lambda z: z * kind) AS s FROM m, (SELECT unnest([1, -1]) AS kind)),
+    p AS (SELECT *, s[p] AS height, row_number() OVER (PARTITION BY media_id, kind ORDER BY s[p] DESC, p DESC) AS r FROM (SELECT *, unnest(range(2, n)) AS p FROM x) WHERE s[p - 1] < s[p] AND s[p + 1] < s[p]),
+    k AS (SELECT DISTINCT media_id, kind, 0::BIGINT AS r, []::BIGINT[] AS kept FROM p
+        UNION ALL SELECT k.media_id, k.kind, p.r, CASE WHEN len(list_filter(kept, lambda q: abs(q - p.p) < 10)) = 0 THEN list_append(kept, p.p) ELSE kept END FROM k JOIN p ON p.media_id = k.media_id AND p.kind = k.kind AND p.r = k.r + 1),
+    c AS (SELECT k.media_id, k.kind, unnest(k.kept) AS p FROM k QUALIFY row_number() OVER (PARTITION BY k.media_id, k.kind ORDER BY k.r DESC) = 1),
+    e AS (SELECT c.*, s, n, coalesce(list_max(list_filter(range(1, c.p), lambda j: s[j] > s[c.p])), 0) AS l, coalesce(list_min(list_filter(range(c.p + 1, n + 1), lambda j: s[j] > s[c.p])), n + 1) AS u FROM c JOIN x USING (media_id, kind))
+    SELECT e.media_id, m.ts[p] AS t_us, m.ids[p] AS id, CAST(kind AS INTEGER) AS kind FROM e JOIN m USING (media_id) WHERE e.s[p] - greatest(list_min(e.s[l + 1:p]), list_min(e.s[p:u - 1])) >= 5""")
 def motion_peaks(kb: KB) -> DataFrame:
     """Peaks and valleys of an item's smoothed motion (here: its signals' values) that stand out by 5 and are 10 samples apart."""
 
