@@ -232,7 +232,20 @@ def stage_plan(kb: KB) -> DataFrame:
     return kb.table("orders").select("o_orderkey", plan.alias("plan"))
 
 
-@query()
+def _round_sql(i: int) -> str:
+    """Round ``i`` of settling the clips of c{i - 1}: merged, without short ones, and moved to the nearest of the best targets within .4 s."""
+    return f"""p{i} AS (SELECT *, max(e) OVER (PARTITION BY media_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c{i - 1}),
+    g{i} AS (SELECT *, sum(CASE WHEN seen IS NULL OR s - seen >= 300000 THEN 1 ELSE 0 END) OVER (PARTITION BY media_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM p{i}),
+    m{i} AS (SELECT media_id, min(s) AS s, max(e) AS e FROM g{i} GROUP BY media_id, g),
+    l{i} AS MATERIALIZED (SELECT * FROM m{i} QUALIFY e - s >= 1000000 OR (max(e - s) OVER (PARTITION BY media_id) < 1000000 AND row_number() OVER (PARTITION BY media_id ORDER BY e - s DESC, s) = 1)),
+    n{i} AS MATERIALIZED (SELECT t.media_id, t.t, arg_min(x, rank * 10000000000000000 + abs(x - t) * 10000000000 + x) AS x FROM (SELECT media_id, s AS t FROM l{i} UNION SELECT media_id, e FROM l{i}) t JOIN targets u ON u.media_id = t.media_id AND u.x BETWEEN t.t - 400000 AND t.t + 400000 GROUP BY 1, 2),
+    c{i} AS MATERIALIZED (SELECT * FROM (SELECT l.media_id, coalesce(a.x, l.s) AS s, coalesce(b.x, l.e) AS e FROM l{i} l LEFT JOIN n{i} a ON a.media_id = l.media_id AND a.t = l.s LEFT JOIN n{i} b ON b.media_id = l.media_id AND b.t = l.e) WHERE s < e)"""
+
+
+# a settled plan stays as it is, so that five rounds may always be done
+@query(f"""WITH {_KEEPS}, targets AS MATERIALIZED (SELECT DISTINCT media_id, 1::BIGINT AS rank, x FROM (SELECT media_id, (start_us + end_us) // 2 AS x FROM silences WHERE end_us - start_us >= 300000) s WHERE NOT EXISTS (FROM words w WHERE w.media_id = s.media_id AND w.start_us + 15000 < s.x AND w.end_us - 15000 > s.x)
+        UNION SELECT media_id, 2, (end_us + n) // 2 FROM (SELECT media_id, end_us, lead(start_us) OVER (PARTITION BY media_id ORDER BY start_us, end_us) AS n FROM words) WHERE n - end_us >= 120000 UNION SELECT media_id, 3, start_us FROM words UNION SELECT media_id, 3, end_us FROM words),
+    c0 AS (SELECT media_id, start_us AS s, end_us AS e FROM keeps), {", ".join(map(_round_sql, range(1, 6)))} SELECT media_id, s AS start_us, e AS end_us FROM c5""")
 def plan_fixpoint(kb: KB) -> DataFrame:
     """Kept clips after micro-gap merge, minimum length and the snap ladder, until settled."""
     return planner.settled(_keeps(kb), kb.silences, kb.words)
