@@ -1,6 +1,7 @@
 """Queries against their oracles on small tables that the test data has nothing like."""
 
 import duckdb
+import pytest
 
 from cutgraph.queries import ORACLES, QUERIES
 from tests.test_queries import rows
@@ -30,3 +31,10 @@ def events(*series):
 def test_correlation_of_series_that_are_constant_or_missing(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "mouth_audio_corr", events=events("vccc", "cccc", "cvcvcvc", "cc", "c   c   vc"))
     assert len(got) == 4
+
+
+@pytest.mark.parametrize("blank", [" ", " ", "　", "\t"])
+def test_questions_by_ascii_words(spark, tmp_path, blank):
+    texts = ["Doías que", "do we", "whaté?", "éadd it?", "addé it?", "you add it?", "who_is it", "Keep it?", "maKe it?", "iſ it so", "Is\nit", "cut", "", "why?"]
+    values = ", ".join(f"({i}, '{blank}{t}{blank}')" for i, t in enumerate(texts))
+    same_as_sql(spark, tmp_path, "is_question", documents=f"SELECT i::BIGINT AS doc_id, t AS text FROM (VALUES {values}, (99, NULL)) v(i, t)")
