@@ -30,15 +30,18 @@ def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return whole.select(*keys, unit(F.transform("_v", lambda s: s["_m"])).alias("centroid"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id: str, vector: str) -> DataFrame:
-    """(query_id, id, score, rank) of the k best vectors of each query; every query meets every vector, in blocks.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, id: str, vector: str, places: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of the k best vectors of each query; every query meets every vector, in blocks. With ``places``, scores are rounded before they rank.
 
     The optimiser broadcasts the queries if their size allows that and pairs partitions with partitions if not; each task keeps the
     k best of a query before anything is shuffled.
     """
     from pyspark.sql import Window
 
-    scored = vectors.crossJoin(queries.select(query_id, F.col(vector).alias("_q"))).select(query_id, id, inner(vector, "_q").alias("score"))
+    scored = vectors.crossJoin(queries.select(query_id, F.col(vector).alias("_q")))
+    score = inner(vector, "_q")
+    score = score if places is None else F.floor(score * 10.0**places + 0.5) / 10.0**places
+    scored = scored.select(query_id, id, score.alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), id)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -247,9 +247,9 @@ def vector_topk(kb: KB) -> DataFrame:
     """Exact search with an absolute and a relative cut-off."""
     v = kb.vectors
     q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = vectors.top_k(q, v, 20, "query_id", "vec_id", "embedding")
+    hits = vectors.top_k(q, v, 20, "query_id", "vec_id", "embedding", 6)
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return hits.withColumn("best", best).filter(F.col("score") >= F.greatest(F.lit(0.15), F.col("best") - 0.5)).select("query_id", "vec_id", r6("score").alias("score"), "rank")
+    return hits.withColumn("best", best).filter(F.col("score") >= F.greatest(F.lit(0.15), F.col("best") - 0.5)).select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"""WITH c AS (SELECT label, list(m ORDER BY i) AS embedding FROM (SELECT label, i, avg(e) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),

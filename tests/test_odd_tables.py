@@ -38,3 +38,9 @@ def test_questions_by_ascii_words(spark, tmp_path, blank):
     texts = ["Doías que", "do we", "whaté?", "éadd it?", "addé it?", "you add it?", "who_is it", "Keep it?", "maKe it?", "iſ it so", "Is\nit", "cut", "", "why?"]
     values = ", ".join(f"({i}, '{blank}{t}{blank}')" for i, t in enumerate(texts))
     same_as_sql(spark, tmp_path, "is_question", documents=f"SELECT i::BIGINT AS doc_id, t AS text FROM (VALUES {values}, (99, NULL)) v(i, t)")
+
+
+def test_equal_rounded_scores_rank_by_id(spark, tmp_path):
+    vec = lambda x: f"[{x}, 0.0]::FLOAT[]"
+    rows = ", ".join(f"({i}, {vec(x)})" for i, x in ((0, 1.0), (1, 0.5), (2, 0.5000002), (3, 0.5), (4, 0.7), (5, 0.4999998), (20, 0.1)))
+    same_as_sql(spark, tmp_path, "vector_topk", embeddings=f"SELECT i::BIGINT AS vec_id, e AS embedding, 0 AS label FROM (VALUES {rows}) v(i, e)")
