@@ -13,6 +13,7 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -24,7 +25,8 @@ BATCH = 4096
 def per_media(df: DataFrame, key: str, order: list[str], core: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """Rows of each key, sorted, through ``core``; ``schema`` starts with the key, which is filled in.
 
-    Many items share a batch, so that small ones cost no call each; memory holds one item and one batch.
+    Many items share a batch, so that small ones cost no call each; memory holds one item and one batch. Rows are dealt by a hash of the key,
+    as Spark drops a repartition by the key itself over a union that claims it, and adaptive execution then breaks that claim.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -38,7 +40,7 @@ def per_media(df: DataFrame, key: str, order: list[str], core: Callable[[list[di
         if made:
             yield pa.RecordBatch.from_pylist(made, out)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def retake_clusters(utts: list[dict], similar: Callable[[dict, dict], float], least: float = 0.87, near: int = 5 * S, far: int = 120 * S) -> list[dict]:

@@ -44,3 +44,21 @@ def test_equal_rounded_scores_rank_by_id(spark, tmp_path):
     vec = lambda x: f"[{x}, 0.0]::FLOAT[]"
     rows = ", ".join(f"({i}, {vec(x)})" for i, x in ((0, 1.0), (1, 0.5), (2, 0.5000002), (3, 0.5), (4, 0.7), (5, 0.4999998), (20, 0.1)))
     same_as_sql(spark, tmp_path, "vector_topk", embeddings=f"SELECT i::BIGINT AS vec_id, e AS embedding, 0 AS label FROM (VALUES {rows}) v(i, e)")
+
+
+@pytest.fixture
+def unequal(spark):
+    """Adaptive execution makes a different number of partitions of each side of a union."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["dep_truncated", "plan_fixpoint", "swaps_applied"])
+def test_items_come_whole_after_a_union(spark, unequal, tmp_path, name):
+    table = lambda t: f"SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'"
+    same_as_sql(spark, tmp_path, name, events=table("events"), conversations=table("conversations"))
