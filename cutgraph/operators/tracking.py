@@ -8,64 +8,79 @@ are not confirmed yet come after those that are. Tracks unseen for too long are
 
 from __future__ import annotations
 
-import numpy as np
-
 from .sequential import assigned
 
 Box = tuple[float, float, float, float, float]
 #: 95 % of the chi-square distribution with 4 degrees of freedom.
 GATE = 9.4877
 POSITION, VELOCITY = 1 / 20, 1 / 160
-_MOVE = np.eye(8) + np.eye(8, k=4)
-_SEEN = np.eye(4, 8)
 
 
-def measured(box: Box) -> np.ndarray:
+def measured(box: Box) -> tuple[float, float, float, float]:
     w, h = max(box[2] - box[0], 1e-6), max(box[3] - box[1], 1e-6)
-    return np.array([box[0] + w / 2, box[1] + h / 2, w / h, h])
+    return box[0] + w / 2, box[1] + h / 2, w / h, h
 
 
 class Kalman:
     """Constant velocity; ``mean`` and ``cov`` of the eight state variables."""
 
-    def __init__(self, z: np.ndarray):
-        h = z[3]
-        self.mean = np.concatenate([z, np.zeros(4)])
-        self.cov = np.diag(np.square([2 * POSITION * h, 2 * POSITION * h, 1e-2, 2 * POSITION * h, 10 * VELOCITY * h, 10 * VELOCITY * h, 1e-5, 10 * VELOCITY * h]))
-
-    def predict(self) -> None:
-        h = self.mean[3]
-        noise = np.square([POSITION * h, POSITION * h, 1e-2, POSITION * h, VELOCITY * h, VELOCITY * h, 1e-5, VELOCITY * h])
-        self.mean = _MOVE @ self.mean
-        self.cov = _MOVE @ self.cov @ _MOVE.T + np.diag(noise)
+    __slots__ = ("at", "speed", "of_place", "of_ratio")
 
-    def _projected(self) -> tuple[np.ndarray, np.ndarray]:
-        h = self.mean[3]
-        return self.mean[:4], self.cov[:4, :4] + np.diag(np.square([POSITION * h, POSITION * h, 1e-1, POSITION * h]))
+    def __init__(self, z):
+        h = float(z[3])
+        self.at, self.speed = tuple(map(float, z)), (0.0, 0.0, 0.0, 0.0)
+        # variance, covariance with the velocity, and the velocity's variance
+        self.of_place = ((2 * POSITION * h) ** 2, 0.0, (10 * VELOCITY * h) ** 2)
+        self.of_ratio = (1e-2**2, 0.0, 1e-5**2)
 
-    def distance(self, z: np.ndarray) -> float:
+    def predict(self) -> None:
+        (x, y, r, h), (dx, dy, dr, dh) = self.at, self.speed
+        p, c, v = self.of_place
+        self.of_place = p + c + (c + v) + (POSITION * h) ** 2, c + v, v + (VELOCITY * h) ** 2
+        p, c, v = self.of_ratio
+        self.of_ratio = p + c + (c + v) + 1e-2**2, c + v, v + 1e-5**2
+        self.at = x + dx, y + dy, r + dr, h + dh
+
+    def distance(self, z) -> float:
         """Squared Mahalanobis distance of a measurement from what is expected."""
-        mean, cov = self._projected()
-        d = z - mean
-        return float(d @ np.linalg.solve(cov, d))
+        x, y, r, h = self.at
+        place, ratio = self.of_place[0] + (POSITION * h) ** 2, self.of_ratio[0] + 1e-1**2
+        return float(((z[0] - x) ** 2 + (z[1] - y) ** 2 + (z[3] - h) ** 2) / place + (z[2] - r) ** 2 / ratio)
+
+    def update(self, z) -> None:
+        (x, y, r, h), (dx, dy, dr, dh) = self.at, self.speed
+        (p, c, v), (rp, rc, rv) = self.of_place, self.of_ratio
+        s, rs = p + (POSITION * h) ** 2, rp + 1e-1**2
+        g, f, rg, rf = p / s, c / s, rp / rs, rc / rs
+        ex, ey, er, eh = float(z[0]) - x, float(z[1]) - y, float(z[2]) - r, float(z[3]) - h
+        self.at = x + g * ex, y + g * ey, r + rg * er, h + g * eh
+        self.speed = dx + f * ex, dy + f * ey, dr + rf * er, dh + f * eh
+        self.of_place = p - g * s * g, c - g * s * f, v - f * s * f
+        self.of_ratio = rp - rg * rs * rg, rc - rg * rs * rf, rv - rf * rs * rf
 
-    def update(self, z: np.ndarray) -> None:
-        mean, cov = self._projected()
-        gain = np.linalg.solve(cov, _SEEN @ self.cov).T
-        self.mean = self.mean + gain @ (z - mean)
-        self.cov = self.cov - gain @ cov @ gain.T
+    @property
+    def mean(self) -> tuple[float, ...]:
+        return self.at + self.speed
+
+    @property
+    def cov(self) -> list[list[float]]:
+        out = [[0.0] * 8 for _ in range(8)]
+        for i, (p, c, v) in enumerate((self.of_place, self.of_place, self.of_ratio, self.of_place)):
+            out[i][i], out[i][i + 4], out[i + 4][i], out[i + 4][i + 4] = p, c, c, v
+        return out
 
     @property
     def box(self) -> tuple[float, float, float, float]:
-        x, y, ratio, h = self.mean[:4]
+        x, y, ratio, h = self.at
         h = max(h, 1e-6)
         w = max(ratio, 1e-6) * h
         return x - w / 2, y - h / 2, x + w / 2, y + h / 2
 
 
 def iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(w, 0.0) * max(h, 0.0)
+    w = (a[2] if a[2] < b[2] else b[2]) - (a[0] if a[0] > b[0] else b[0])
+    h = (a[3] if a[3] < b[3] else b[3]) - (a[1] if a[1] > b[1] else b[1])
+    both = w * h if w > 0 and h > 0 else 0.0
     return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both or 1.0)
 
 
@@ -86,30 +101,43 @@ def tracks(frames: list[list[Box]], high: float = 0.6, low: float = 0.1, overlap
         if len(t["path"]) >= hits:
             out.extend((f, i, t["id"]) for f, i in t["path"])
 
-    def match(f: int, some: list[dict], rest: list[int], boxes: list[Box]) -> None:
-        cost = [[1 - o if (o := iou(t["filter"].box, boxes[i])) >= overlap and t["filter"].distance(measured(boxes[i])) <= GATE else NEVER for i in rest] for t in some]
-        for a, b in assigned(cost, NEVER / 2):
+    def match(f: int, some: list[dict], rest: list[int], boxes: list[Box], seen: list) -> None:
+        cost, pairs = [], []
+        for a, t in enumerate(some):
+            expected, row = t["filter"].box, [NEVER] * len(rest)
+            for b, i in enumerate(rest):
+                if (o := iou(expected, boxes[i])) >= overlap and t["filter"].distance(seen[i]) <= GATE:
+                    row[b] = 1 - o
+                    pairs.append((a, b))
+            cost.append(row)
+        # pairs that share nothing need no choice
+        apart = len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+        for a, b in pairs if apart else assigned(cost, NEVER / 2):
             t, i = some[a], rest[b]
-            t["filter"].update(measured(boxes[i]))
+            t["filter"].update(seen[i])
             t["seen"] = f
             t["path"].append((f, i))
 
     for f, boxes in enumerate(frames):
-        for t in live:
-            if f - t["seen"] > age + 1:
-                close(t)
-        live = [t for t in live if f - t["seen"] <= age + 1]
+        if any(f - t["seen"] > age + 1 for t in live):
+            for t in live:
+                if f - t["seen"] > age + 1:
+                    close(t)
+            live = [t for t in live if f - t["seen"] <= age + 1]
+        seen, bands = [measured(b) for b in boxes], [[i for i, b in enumerate(boxes) if least <= b[4] < most] for least, most in ((high, float("inf")), (low, high))]
         for t in live:
             t["filter"].predict()
-        sure = {id(t) for t in live if len(t["path"]) >= hits}
-        for confirmed in (True, False):
-            for least, most in ((high, float("inf")), (low, high)):
-                taken = {i for t in live for g, i in t["path"][-1:] if g == f}
-                match(f, [t for t in live if (id(t) in sure) == confirmed and t["seen"] < f], [i for i, b in enumerate(boxes) if least <= b[4] < most and i not in taken], boxes)
-        taken = {i for t in live for g, i in t["path"][-1:] if g == f}
-        for i, b in enumerate(boxes):
-            if b[4] >= high and i not in taken:
-                live.append({"id": count, "filter": Kalman(measured(b)), "seen": f, "path": [(f, i)]})
+        left, taken = ([t for t in live if len(t["path"]) >= hits], [t for t in live if len(t["path"]) < hits]), set()
+        for some in left:
+            for band in bands:
+                rest = [i for i in band if i not in taken]
+                if some and rest:
+                    match(f, some, rest, boxes, seen)
+                    taken.update(t["path"][-1][1] for t in some if t["seen"] == f)
+                    some = [t for t in some if t["seen"] < f]
+        for i in bands[0]:
+            if i not in taken:
+                live.append({"id": count, "filter": Kalman(seen[i]), "seen": f, "path": [(f, i)]})
                 count += 1
     for t in live:
         close(t)
