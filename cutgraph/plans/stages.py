@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -87,12 +88,6 @@ def above(stage: str, stages: dict[str, Stage] = STAGES) -> set[str]:
     return out
 
 
-def holding(log: DataFrame) -> DataFrame:
-    """The row that holds of each item's stage; of rows with the same ``seq`` the one with the greatest status by name."""
-    last = log.groupBy("media_id", "stage").agg(F.max(F.struct("seq", "status", "version", "attempts", "updated_us")).alias("r"))
-    return last.select("media_id", "stage", "r.*")
-
-
 def _of_stage(pick: Callable[[Stage], object], stages: dict[str, Stage], kind: str) -> Column:
     out = F.lit(None).cast(kind)
     for name, s in stages.items():
@@ -108,49 +103,50 @@ def states(log: DataFrame, items: DataFrame, now_us: int, stages: dict[str, Stag
     ago at most, by attempts. ready: all that it needs is done. waiting: else. Of the ready stages of an item as many are claimed as the
     stage's pool has places beside those that run, in the order of their depth. Rows of unknown stages or items count for nothing.
 
-    An item has a handful of rows; they are gathered by item, once, and everything else is a function of them.
+    An item's rows become one, with a column for each stage, and everything else is a function of it: nothing is sorted or counted after the
+    rows of an item met, and its stages are only made rows at the end.
     """
-    known = F.array(*map(F.lit, stages))
-    jobs = holding(log.filter(F.col("stage").isin(*stages))).groupBy("media_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.struct("seq", "status", "version", "attempts", "updated_us")))).alias("_jobs"))
-    each = items.select("media_id").distinct().join(jobs, "media_id", "left").select("media_id", "_jobs", F.explode(known).alias("stage"))
-    each = each.withColumn("_j", F.try_element_at("_jobs", F.col("stage")))
-    since = F.lit(now_us) - F.col("_j.updated_us")
-    own = (
-        F.when((F.col("_j.status") == "done") & (F.col("_j.version") == _of_stage(lambda s: s.version, stages, "string")), "done")
-        .when((F.col("_j.status") == "running") & (since <= _of_stage(lambda s: s.lease_us, stages, "long")), "running")
-        .when((F.col("_j.status") == "failed") & (F.col("_j.attempts") >= ATTEMPTS), "failed")
-        .when((F.col("_j.status") == "failed") & (since < F.pow(F.lit(2.0), F.col("_j.attempts") - 1) * S), "backoff")
-        .otherwise("pending")
-    )
-    w = Window.partitionBy("media_id")
-    each = each.withColumn("own", own)
-    each = each.withColumn("_done", F.collect_set(F.when(F.col("own") == "done", F.col("stage"))).over(w)).withColumn("_failed", F.collect_set(F.when(F.col("own") == "failed", F.col("stage"))).over(w))
-    lists = lambda pick: _map({n: sorted(pick(n)) for n in stages})
-    blocked = F.arrays_overlap("_failed", lists(lambda n: above(n, stages)))
-    ready = F.size(F.array_except(lists(lambda n: set(stages[n].needs)), "_done")) == 0
-    state = F.when(F.col("own") != "pending", F.col("own")).when(blocked, "blocked").when(ready, "ready").otherwise("waiting")
+    names = sorted(stages)
+    place = {n: i for i, n in enumerate(names)}
+    row = F.struct("seq", "status", "version", "attempts", "updated_us")
+    # the row with the greatest seq holds, of equal ones that with the greatest status by name
+    jobs = log.filter(F.col("stage").isin(*names)).groupBy("media_id").agg(*(F.max(F.when(F.col("stage") == n, row)).alias(f"j{i}") for n, i in place.items()))
+    each = items.select("media_id").distinct().join(jobs, "media_id", "left")
+
+    def own(n: str) -> Column:
+        j = lambda field: F.col(f"j{place[n]}")[field]
+        since = F.lit(now_us) - j("updated_us")
+        return (
+            F.when((j("status") == "done") & (j("version") == stages[n].version), "done")
+            .when((j("status") == "running") & (since <= stages[n].lease_us), "running")
+            .when((j("status") == "failed") & (j("attempts") >= ATTEMPTS), "failed")
+            .when((j("status") == "failed") & (since < F.pow(F.lit(2.0), j("attempts") - 1) * S), "backoff")
+            .otherwise("pending")
+        )
+
+    rest = [*(F.coalesce(F.col(f"j{i}")[field], F.lit(0).cast("long")).alias(f"{field}{i}") for i in place.values() for field in ("attempts", "seq"))]
+    each = each.select("media_id", *rest, *(own(n).alias(f"own{i}") for n, i in place.items()))
+    every = lambda conds: reduce(Column.__and__, conds, F.lit(True))
+    some = lambda conds: reduce(Column.__or__, conds, F.lit(False))
+
+    def state(n: str) -> Column:
+        is_ = lambda m, what: F.col(f"own{place[m]}") == what
+        blocked, ready = some(is_(m, "failed") for m in sorted(above(n, stages))), every(is_(m, "done") for m in sorted(set(stages[n].needs)))
+        return F.when(~is_(n, "pending"), F.col(f"own{place[n]}")).when(blocked, "blocked").when(ready, "ready").otherwise("waiting")
+
+    each = each.withColumns({f"state{i}": state(n) for n, i in place.items()})
     depth = levels({n: s.needs for n, s in stages.items()})
-    each = each.withColumn("state", state).withColumn("_pool", _of_stage(lambda s: s.pool, stages, "string"))
-    of_pool = Window.partitionBy("media_id", "_pool")
-    places = F.lit(1)
-    for name, n in pools.items():
-        places = F.when(F.col("_pool") == name, n).otherwise(places)
-    deep = F.lit(0)
-    for name, d in depth.items():
-        deep = F.when(F.col("stage") == name, d).otherwise(deep)
-    busy = F.count(F.when(F.col("state") == "running", 1)).over(of_pool)
-    turn = F.row_number().over(of_pool.orderBy(F.when(F.col("state") == "ready", 0).otherwise(1), deep, "stage"))
-    claimed = (F.col("state") == "ready") & (turn + busy <= places)
-    return each.select("media_id", "stage", "state", F.coalesce("_j.attempts", F.lit(0).cast("long")).alias("attempts"), F.coalesce("_j.seq", F.lit(0).cast("long")).alias("seq"), claimed.alias("claimed"))
-
-
-def _map(lists: dict[str, list[str]]) -> Column:
-    """The list of the row's stage."""
-    out = F.expr("cast(array() as array<string>)")
-    for name, needed in lists.items():
-        if needed:
-            out = F.when(F.col("stage") == name, F.array(*map(F.lit, needed))).otherwise(out)
-    return out
+    is_ = lambda n, what: F.col(f"state{place[n]}") == what
+    count = lambda conds: reduce(Column.__add__, (c.cast("int") for c in conds), F.lit(0))
+
+    def made(n: str) -> Column:
+        fellows = [m for m in names if stages[m].pool == stages[n].pool]
+        before = [m for m in fellows if (depth[m], m) < (depth[n], n)]
+        claimed = is_(n, "ready") & (count(is_(m, "ready") for m in before) + count(is_(m, "running") for m in fellows) < pools.get(stages[n].pool, 1))
+        i = place[n]
+        return F.struct(F.lit(n).alias("stage"), F.col(f"state{i}").alias("state"), F.col(f"attempts{i}").alias("attempts"), F.col(f"seq{i}").alias("seq"), claimed.alias("claimed"))
+
+    return each.select("media_id", F.inline(F.array(*map(made, names))))
 
 
 class JobLog:

@@ -131,3 +131,10 @@ def test_plan_keys_and_profiles(spark):
     assert [tuple(r) for r in known.collect()] == [(1, "fast", ["reels"])]
     asked = spark.createDataFrame([(1, None, "x", 5), (1, "slow", None, 6), (2, None, None, 7), (None, None, None, 8)], "user_id long, pacing string, platform string, n int")
     assert {r.n: (r.pacing, r.platform, r.applied) for r in sessions.with_profile(asked, known).collect()} == {5: ("fast", "x", ["profile_pacing"]), 6: ("slow", "reels", ["profile_platform"]), 7: (None, None, []), 8: (None, None, [])}
+
+
+def test_states_sort_nothing_after_items_met(spark):
+    """Windows over the eleven rows that each item's stages made took most of a task's memory."""
+    log, items = spark.createDataFrame([(1, "audio", 1, "failed", "2.0", 1, 0)], stages.LOG), spark.createDataFrame([(1,)], "media_id long")
+    plan = stages.states(log, items, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
