@@ -62,3 +62,10 @@ def unequal(spark):
 def test_items_come_whole_after_a_union(spark, unequal, tmp_path, name):
     table = lambda t: f"SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'"
     same_as_sql(spark, tmp_path, name, events=table("events"), conversations=table("conversations"))
+
+
+def test_trigrams_are_counted_where_their_text_is(spark, tmp_path):
+    texts = ["a b c a b c a b c a b c", "A b\tc d e", "", "x x x x x x x", "one two three four five six", "é é é  é é é"]
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
+    same_as_sql(spark, tmp_path, "hallucination_guard", documents=f"SELECT i::BIGINT AS doc_id, t AS text FROM (VALUES {values}, (99, NULL)) v(i, t)")
+    assert "Exchange" not in QUERIES["hallucination_guard"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
