@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 
 #: Partitions of the postings by the hash of their term.
 BUCKETS = 32
+#: Words whose postings a task sorts and writes, about.
+PER_TASK = 2_000_000
 #: Postings to look up from which it pays to leave some out.
 PRUNE_FROM = 20_000_000
 #: Scores are rounded to 5 decimals; a bound must fall short by more to exclude a document.
@@ -36,7 +39,7 @@ def write_index(docs: DataFrame, path: str, id: str, text: str, item: str | None
     """Write an index of ``docs`` to ``path``; each ``item`` is a corpus by itself, or all documents are one.
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become FLOOR times the mean of the item's. Texts are read twice: for the
-    lengths, and for the postings. Postings lie in folders by the hash of their term, sorted by it.
+    lengths, and for the postings. An id is one document's within its item. Postings lie in folders by the hash of their term, sorted by it.
     """
     of = F.lit(0).cast("long") if item is None else F.col(item)
     words = docs.select(of.alias("item"), F.col(id).alias("id"), tokens(F.col(text)).alias("ws"))
@@ -44,13 +47,17 @@ def write_index(docs: DataFrame, path: str, id: str, text: str, item: str | None
     totals.write.parquet(f"{path}/totals")
     totals = docs.sparkSession.read.parquet(f"{path}/totals")
     totals = F.broadcast(totals) if item is None else totals  # one row then
-    # dealt by document, texts are moved once and their words are counted where they are
-    dealt = docs.select(of.alias("item"), F.col(id).alias("id"), F.col(text).alias("text")).repartition("item", "id").select("item", "id", tokens(F.col("text")).alias("ws"))
-    counts = dealt.select("item", "id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("item", "id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # a text's words are sorted and counted where it is, so that texts aren't moved
+    ranked = words.select("item", "id", F.sort_array("ws").alias("ws"), F.size("ws").alias("dl")).filter("dl > 0")
+    first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.get("ws", i - 1) != F.get("ws", i - 2)))
+    term = F.transform("first", lambda i, p: F.struct(F.get("ws", i - 1).alias("term"), (F.coalesce(F.get("first", p + 1), F.col("dl") + 1) - i).cast("long").alias("tf")))
+    counts = ranked.withColumn("first", first).select("item", "id", "dl", F.inline(term))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
     parts = counts.join(totals.select("item", "avgdl"), "item").select(bucket.alias("bucket"), "item", "term", "id", part.alias("part"))
-    parts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "item").write.partitionBy("bucket").parquet(f"{path}/postings")
+    # a bucket is dealt to as many tasks as hold PER_TASK words each
+    shares = max(1, math.ceil(totals.agg(F.sum(F.col("n") * F.col("avgdl"))).first()[0] or 0) // (buckets * PER_TASK) + 1)
+    parts.repartition(buckets * shares, "bucket", F.pmod(F.xxhash64("id"), F.lit(shares))).sortWithinPartitions("bucket", "term", "item").write.partitionBy("bucket").parquet(f"{path}/postings")
     postings = docs.sparkSession.read.schema("item long, term string, id string, part double, bucket int" if parts.schema["id"].dataType.simpleString() == "string" else "item long, term string, id long, part double, bucket int").parquet(f"{path}/postings")
     df = postings.groupBy("item", "term").agg(F.count("*").alias("df"), F.max("part").alias("most")).join(totals.select("item", "n"), "item")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from cutgraph.operators import search
 from cutgraph.queries import ORACLES, QUERIES
 from tests.test_queries import rows
 
@@ -69,3 +70,12 @@ def test_trigrams_are_counted_where_their_text_is(spark, tmp_path):
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts))
     same_as_sql(spark, tmp_path, "hallucination_guard", documents=f"SELECT i::BIGINT AS doc_id, t AS text FROM (VALUES {values}, (99, NULL)) v(i, t)")
     assert "Exchange" not in QUERIES["hallucination_guard"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bucket_of_the_index_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PER_TASK", 50, raising=False)
+    docs = spark.createDataFrame([(i, f"word{i % 3} and and others {i}") for i in range(100)], "id long, text string")
+    index = search.write_index(docs, str(tmp_path / "index"), "id", "text", buckets=2)
+    assert all(len(list(b.glob("*.parquet"))) > 1 for b in (tmp_path / "index" / "postings").glob("bucket=*"))
+    assert {r.term: r.df for r in index.terms.collect()} == {"word0": 34, "word1": 33, "word2": 33, "and": 100, "others": 100} | {str(i): 1 for i in range(100)}
+    assert index.postings.count() == 400
