@@ -79,3 +79,11 @@ def test_a_bucket_of_the_index_is_dealt_to_several_tasks(spark, tmp_path, monkey
     assert all(len(list(b.glob("*.parquet"))) > 1 for b in (tmp_path / "index" / "postings").glob("bucket=*"))
     assert {r.term: r.df for r in index.terms.collect()} == {"word0": 34, "word1": 33, "word2": 33, "and": 100, "others": 100} | {str(i): 1 for i in range(100)}
     assert index.postings.count() == 400
+
+
+def test_phrases_over_utterances_without_sorting_words(spark, tmp_path):
+    said = ["of", "the", "x in", "the", "  de  LA ", "", "You know what", "um you", "know", "i", "mean it", "of the the"]
+    values = ", ".join(f"({c}, {i}, '{t}')" for c in (1, 2) for i, t in enumerate(said[c - 1 :]))
+    got = same_as_sql(spark, tmp_path, "filler_ngrams", conversations=f"SELECT c::BIGINT AS conv_id, i::BIGINT AS turn, 'user' AS role, t AS text FROM (VALUES {values}) v(c, i, t)")
+    plan = QUERIES["filler_ngrams"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert got and plan.index("Generate") < plan.index("Window")
