@@ -140,7 +140,7 @@ def fuse(segments: DataFrame, threshold: float = 0.35, band: tuple[float, float]
     parts = ranked.select(*keys, key("start_us").alias("ks"), key("end_us").alias("ke"), "start_us", "end_us", seq.alias("seq"), (weight / (base + F.col("r") + 1)).alias("w"), "evidence", "channel", *(["scene_id"] if scene else []))
     fused = parts.groupBy(*keys, "ks", "ke").agg(
         F.sum("w").alias("sum"), F.min_by(F.struct("start_us", "end_us"), "seq").alias("first"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"]).alias("evidence"), F.countDistinct("channel").alias("channels"),
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "evidence"))), lambda s: s["evidence"]).alias("evidence"), F.size(F.collect_set("channel")).cast("long").alias("channels"),
         *([F.array_sort(F.collect_set("scene_id")).alias("scene_ids")] if scene else []),
     )
     score = F.least(F.floor(base * F.col("sum") * 1e6 + 0.5) / 1e6, F.lit(1.0))

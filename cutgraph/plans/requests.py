@@ -44,9 +44,14 @@ def says(q: Column, words: tuple[str, ...] | list[str]) -> Column:
     return F.regexp_like(q, F.lit(rf"(?<![a-z0-9])(?:{'|'.join(rf'\Q{w}\E' for w in words)})(?![a-z0-9])"))
 
 
+def spaced(text: Column) -> Column:
+    """A text in lower case between spaces, its words apart by spaces: one holds another's words if it contains it."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9:_-]+", " "), F.lit(" "))
+
+
 def holds(q: Column, word: Column) -> Column:
-    """Whether a query has what a column says, not within a longer word or number."""
-    return F.contains(F.concat(F.lit(" "), F.regexp_replace(q, "[^a-z0-9:_-]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(F.lower(word), "[^a-z0-9:_-]+", " "), F.lit(" ")))
+    """Whether a query has what a column says, not within a longer word or number; where many meet, both are made ``spaced`` before."""
+    return F.contains(spaced(q), spaced(F.lower(word)))
 
 
 def first_of(q: Column, cases: tuple[tuple[str, str], ...]) -> Column:
@@ -81,8 +86,9 @@ def retakes(kb, asked: DataFrame) -> DataFrame:
 
 def persons(kb, asked: DataFrame) -> DataFrame:
     """Scenes of the persons whose label or id the query has, and of the owner where it says "me"."""
-    q = F.col("q")
-    called = asked.join(kb.people, "media_id").filter(holds(q, F.col("label")) | holds(q, F.col("entity_id")) | (F.col("is_owner") & says(q, OWN)))
+    own = asked.select(*KEYS, spaced(F.col("q")).alias("qs"), says(F.col("q"), OWN).alias("me"))
+    people = kb.people.select("media_id", "entity_id", "is_owner", spaced(F.lower("label")).alias("named"), spaced(F.lower("entity_id")).alias("coded"))
+    called = own.join(people, "media_id").filter(F.contains("qs", F.col("named")) | F.contains("qs", F.col("coded")) | (F.col("is_owner") & F.col("me")))
     in_scenes = kb.appearances.select("media_id", F.col("src").alias("entity_id"), "scene_id").distinct()
     met = called.join(in_scenes, ["media_id", "entity_id"]).select(*KEYS, "scene_id").distinct()
     return found(met.join(_scenes(kb, "start_us", "end_us"), ["media_id", "scene_id"]), F.lit(1.0), "graph", "scene_id")
@@ -93,7 +99,8 @@ def _scenes(kb, *columns: str) -> DataFrame:
 
 
 def locations(kb, asked: DataFrame) -> DataFrame:
-    return found(asked.join(_scenes(kb, "start_us", "end_us", "location"), "media_id").filter(holds(F.col("q"), F.col("location"))), F.lit(1.0), "location", "scene_id")
+    places = _scenes(kb, "start_us", "end_us", "location").withColumn("location", spaced(F.lower("location")))
+    return found(asked.select(*KEYS, spaced(F.col("q")).alias("qs")).join(places, "media_id").filter(F.contains("qs", F.col("location"))), F.lit(1.0), "location", "scene_id")
 
 
 def sounds(kb, asked: DataFrame) -> DataFrame:
@@ -152,9 +159,10 @@ def off_topic(kb, asked: DataFrame) -> DataFrame:
 
 def topics(kb, asked: DataFrame) -> DataFrame:
     """Topics whose label is in the query or has it, or whose class, other than "other", the query names."""
-    q, label, kind = F.col("q"), F.lower("label"), F.lower("class")
-    match = ((F.length("label") >= 3) & (holds(q, label) | F.contains(label, q))) | ((kind != "other") & (F.length("class") >= 3) & holds(q, kind))
-    return found(asked.join(kb.topics, "media_id").filter(match), F.lit(0.95), "topic_model")
+    label, kind = F.lower("label"), F.lower("class")
+    told = kb.topics.select("media_id", "start_us", "end_us", F.when(F.length("label") >= 3, label).alias("label"), F.when(F.length("label") >= 3, spaced(label)).alias("labels"), F.when((kind != "other") & (F.length("class") >= 3), spaced(kind)).alias("kinds"))
+    match = F.contains("qs", F.col("labels")) | F.contains("label", F.col("q")) | F.contains("qs", F.col("kinds"))
+    return found(asked.select(*KEYS, "q", spaced(F.col("q")).alias("qs")).join(told, "media_id").filter(match), F.lit(0.95), "topic_model")
 
 
 def _clock() -> tuple[Column, Column]:
@@ -203,25 +211,31 @@ def keywords(kb, asked: DataFrame, k: int = K, fuzzy: float = 0.7) -> DataFrame:
 
 
 def by_vector(kb, asked: DataFrame, k: int = K) -> DataFrame:
-    """The ``k`` scenes of the media item nearest to the query's vector, where it has one, of which those near the best count."""
+    """The ``k`` scenes of the media item nearest to the query's vector, where it has one, of which those near the best count.
+
+    The parts of a request have one vector, so scenes are scored once a request.
+    """
     given = getattr(kb, "query_vectors", None)
     if given is None:
         return found(asked.filter("false").withColumn("start_us", F.lit(0)).withColumn("end_us", F.lit(0)), F.lit(0.0), "vector")
-    met = asked.join(given.select("query_id", F.col("embedding").alias("wanted")), "query_id").join(kb.scene_vectors, "media_id").withColumn("s", F.floor(vectors.inner("wanted", "embedding") * 1e6 + 0.5) / 1e6)
-    w = Window.partitionBy(*KEYS)
+    each = asked.select(*R).distinct().join(given.select("query_id", F.col("embedding").alias("wanted")), "query_id")
+    met = each.join(kb.scene_vectors, "media_id").select(*R, "scene_id", (F.floor(vectors.inner("wanted", "embedding") * 1e6 + 0.5) / 1e6).alias("s"))
+    w = Window.partitionBy(*R)
     top = met.withColumn("r", F.row_number().over(w.orderBy(F.desc("s"), "scene_id"))).filter(F.col("r") <= k)
     near = top.withColumn("best", F.max("s").over(w)).filter(F.col("s") >= F.greatest(F.lit(0.15), F.col("best") - 0.15))
-    return found(near.join(_scenes(kb, "start_us", "end_us"), ["media_id", "scene_id"]), F.col("s"), "vector", "scene_id")
+    timed = near.join(_scenes(kb, "start_us", "end_us"), ["media_id", "scene_id"])
+    return found(asked.select(*KEYS).join(timed, R), F.col("s"), "vector", "scene_id")
 
 
 def metadata(kb, asked: DataFrame) -> DataFrame:
     q = F.col("q")
-    met = asked.join(_scenes(kb, "start_us", "end_us", "is_broll", "indoor", "story_role"), "media_id")
+    own = asked.select(*KEYS, "q", says(q, retrieve.BROLL_WORDS).alias("cut_in"), says(q, retrieve.OUTDOOR_WORDS).alias("outside"), says(q, retrieve.INDOOR_WORDS).alias("inside"))
+    met = own.join(_scenes(kb, "start_us", "end_us", "is_broll", "indoor", "story_role"), "media_id")
     role = F.contains(q, F.col("story_role")) | ((F.col("story_role") == "intro") & F.contains(q, F.lit("hook")))
     matches = F.array(
-        F.when(says(q, retrieve.BROLL_WORDS) & F.col("is_broll"), F.lit(0.9)),
-        F.when(says(q, retrieve.OUTDOOR_WORDS) & ~F.col("indoor"), F.lit(0.95)),
-        F.when(says(q, retrieve.INDOOR_WORDS) & F.col("indoor"), F.lit(0.95)),
+        F.when(F.col("cut_in") & F.col("is_broll"), F.lit(0.9)),
+        F.when(F.col("outside") & ~F.col("indoor"), F.lit(0.95)),
+        F.when(F.col("inside") & F.col("indoor"), F.lit(0.95)),
         F.when(role, F.lit(0.85)),
     )
     each = met.withColumn("m", F.explode(F.filter(matches, lambda m: m.isNotNull())))
@@ -319,9 +333,14 @@ def complete(requests: DataFrame) -> DataFrame:
     return requests.select(*R, "query", F.coalesce("retry", F.lit(0)).alias("retry"), "anchor_type", "anchor_subject", "anchor_start_us", "anchor_end_us")
 
 
+def dealt(asked: DataFrame) -> DataFrame:
+    """The parts of requests in as many tasks as a shuffle has: their few bytes meet many rows, and sizes alone would put them into one."""
+    return asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("media_id"))
+
+
 def hits_of(kb, known: DataFrame) -> DataFrame:
     """(query_id, media_id, part, start_us, end_us, score, source, scene_id, channel): what every channel finds for the requests with their ways."""
-    asked = cut(parts_of(known.filter("way in ('all', 'time', 'pauses')")))
+    asked = cut(dealt(parts_of(known.filter("way in ('all', 'time', 'pauses')"))))
     hits = None
     for c in CHANNELS:
         short = {"time": "time", "silence": "pauses", "filler": "pauses"}.get(c.name, "all")
@@ -352,7 +371,8 @@ def retrieve_segments(kb, requests: DataFrame, rerank: DataFrame | None = None)
     of_all = hits.filter("way = 'all'").withColumn("evidence", F.col("source")).withColumn("id", F.coalesce("scene_id", F.lit(-1)))
     # a side of a "while" is judged by the plain threshold
     limit = F.when(side == "w", F.col("least")).otherwise(0.35)
-    fused = search.fuse(of_all.withColumn("limit", limit), keys=(*KEYS, "least", "limit"), limit=F.col("limit"), band=BAND)
+    # of one request's part all rows meet in one task, to be ranked and to be fused
+    fused = search.fuse(of_all.withColumn("limit", limit).repartition(*KEYS), keys=(*KEYS, "least", "limit"), limit=F.col("limit"), band=BAND)
     fused = cut(fused.withColumn("sources", F.array_distinct("evidence")).drop("evidence", "limit"))
 
     a, b = (fused.filter(side == x) for x in "ab")

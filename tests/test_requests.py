@@ -103,3 +103,25 @@ def test_an_index_is_read_again_and_items_are_apart(spark):
     one = {(x.item, x.id) for x in search.bm25_search(search.read_index(spark, at), asked, 3).collect()}
     search.write_index(spark.createDataFrame([*rows, *((3, str(i), "red red") for i in range(50))], "item long, id string, text string"), at + "more", "id", "text", "item")
     assert one == {(x.item, x.id) for x in search.bm25_search(search.read_index(spark, at + "more"), asked, 3).collect()}
+
+
+def test_parts_of_requests_are_dealt_and_hits_shuffled_once(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    asked = spark.range(40).select(F.lit(0).alias("query_id"), F.col("id").alias("media_id"), F.lit("w0").alias("part"), F.lit("Happy scenes").alias("said"), F.lit("happy scenes").alias("q")).coalesce(1)
+    assert requests.dealt(asked).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hits = spark.range(9).select((F.col("id") % 2).alias("media_id"), F.concat(F.lit("w"), F.col("id") % 3).alias("part"), F.lit("keyword").alias("channel"), "id", (F.col("id") % 3).alias("start_us"), F.lit(9).alias("end_us"), F.lit(0.5).alias("score"), F.lit("k").alias("evidence"))
+    plan = search.fuse(hits.repartition("media_id", "part"), keys=("media_id", "part"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_scenes_are_scored_once_a_request(spark, sf_dir):
+    kb = planted(spark, sf_dir)
+    kb.query_vectors = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    kb.__dict__["scene_vectors"] = spark.createDataFrame([(1, 4, [0.6, 0.0]), (1, 5, [0.5, 1.0]), (1, 6, [0.1, 1.0])], "media_id long, scene_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, 1, p, "x", "x") for p in ("w0", "w1", "a0")], "query_id long, media_id long, part string, said string, q string")
+    df = requests.by_vector(kb, asked)
+    assert sorted((r.part, r.scene_id, r.score) for r in df.collect()) == [(p, i, s) for p in ("a0", "w0", "w1") for i, s in ((4, 0.6), (5, 0.5))]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if " Window [" in x or x.strip().startswith(("Window [", "+- Window [", ":- Window ["))]
+    assert windows and not any("part#" in x for x in windows)
