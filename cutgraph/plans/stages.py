@@ -7,14 +7,18 @@ it as a DataFrame, so the work is done by Spark and a stopped ingestion goes on
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..session import cut
+from ..session import cut, folder
 
 
 @dataclass(frozen=True)
@@ -58,12 +62,67 @@ def levels(needs: dict[str, tuple[str, ...]] = NEEDS) -> dict[str, int]:
     return done
 
 
+#: Nodes up to which a graph is one row; it has as many edges as their square at most.
+SMALL = 64
+
+
 def levels_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, node, level) of many graphs at once, from (g, node) and (g, node, needs): the longest way to each node from one that needs nothing.
 
-    A round takes all nodes a level up that need one of the last round's; there are as many rounds as the deepest graph has levels. Only
-    whether a round has rows reaches the driver. A cycle raises ValueError: a node would be deeper than its graph has nodes.
+    Rows may be repeated, and edges are between nodes of their graph. Graphs of up to SMALL nodes (repeated rows count) are levelled by the batch, each
+    within its row; larger ones by rounds of joins. A cycle raises ValueError: a node would be deeper than its graph has nodes.
+    """
+    big = cut(nodes.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("g"))
+    if big.isEmpty():
+        return _levels_in_rows(nodes, edges)
+    of = lambda how: (df.join(big, "g", how) for df in (nodes, edges))
+    return _levels_in_rows(*of("left_anti")).unionByName(_levels_by_rounds(*of("left_semi")))
+
+
+def _levels_in_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of graphs that are rows with their nodes and edges; all graphs of a batch go up together, as often as its deepest one has levels."""
+    schema = StructType([nodes.schema["g"], nodes.schema["node"], StructField("level", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, e = b.column("nodes"), b.column("edges")
+            rows = np.concatenate([pc.list_parent_indices(x).to_numpy().astype("int64") for x in (n, e, e)])
+            flat = [n.flatten().field("node"), e.flatten().field("node"), e.flatten().field("needs")]
+            values = pa.concat_arrays(flat).dictionary_encode(null_encoding="encode")
+            known, at = np.unique(rows * len(values.dictionary) + values.indices.to_numpy(), return_inverse=True)
+            given, node, needs = np.split(at, [len(flat[0]), len(flat[0]) + len(flat[1])])
+            graph = known // max(len(values.dictionary), 1)
+            size, cyclic = np.bincount(graph, minlength=b.num_rows), np.zeros(b.num_rows, bool)
+            level = np.full(len(known), -1)
+            level[given] = 0
+            while True:
+                up = level.copy()
+                reached = (level[needs] >= 0) & ~cyclic[graph[node]]
+                np.maximum.at(up, node[reached], level[needs[reached]] + 1)
+                if (up == level).all():
+                    break
+                level = up
+                cyclic[graph[level >= size[graph]]] = True
+            out = level >= 0
+            columns = [b.column("g").take(pa.array(graph[out])), values.dictionary.take(pa.array(known[out] % max(len(values.dictionary), 1)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(level[out], pa.int32(), mask=cyclic[graph[out]])], ["g", "node", "level"])
+
+    # nodes are in structs so that a null is kept
+    each = nodes.groupBy("g").agg(F.collect_set(F.struct("node")).alias("nodes"))
+    links = edges.filter("needs is not null").groupBy("g").agg(F.collect_set(F.struct("node", "needs")).alias("edges"))
+    path = folder(nodes.sparkSession, "levels")
+    each.join(links, "g", "left").mapInArrow(run, schema).write.parquet(path)
+    level = nodes.sparkSession.read.schema(schema).parquet(path)
+    if not level.filter("level is null").isEmpty():
+        raise ValueError("the stages have a cycle")
+    return level
+
+
+def _levels_by_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A round takes all nodes a level up that need one of the last round's; there are as many rounds as the deepest graph has levels. Only
+    whether a round has rows reaches the driver.
     """
+    nodes, edges = nodes.select("g", "node").distinct(), edges.select("g", "node", "needs").distinct()
     size = nodes.groupBy("g").agg(F.count("*").alias("size"))
     level = cut(nodes.select("g", "node", F.lit(0).alias("level")))
     edges, now, depth = cut(edges.select("g", "node", "needs")), level, 0

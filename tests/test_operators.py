@@ -152,6 +152,25 @@ def test_levels_of_many_graphs(spark):
     assert stages.levels_of(nodes.limit(0), edges).collect() == []
 
 
+def test_levels_of_small_graphs_take_no_rounds(spark, monkeypatch):
+    from cutgraph.plans import stages
+
+    deep = [(g, i) for g, n in ((1, 40), (2, 3), (None, 1)) for i in range(n)] * 2 + [(3, None)]
+    links = [(1, i, i - d) for i in range(40) for d in (1, 2, 7) if i >= d] * 2 + [(2, 2, 0), (2, 1, None)]
+    nodes, edges = spark.createDataFrame(deep, "g long, node long"), spark.createDataFrame(links, "g long, node long, needs long")
+    told = {(1, i): i for i in range(40)} | {(2, 0): 0, (2, 1): 0, (2, 2): 1, (None, 0): 0, (3, None): 0}
+    rounds = []
+    monkeypatch.setattr(stages, "cut", lambda df: rounds.append(df) or df)
+    for small, most in ((100, 1), (6, 200)):
+        monkeypatch.setattr(stages, "SMALL", small, raising=False)
+        rows = stages.levels_of(nodes, edges.filter("g <> 1 or node < 9") if small == 6 else edges).collect()
+        assert len(rows) == len(told) and len(rounds) <= most
+        assert {(r.g, r.node): r.level for r in rows} == {k: 0 if small == 6 and k[0] == 1 and k[1] > 8 else v for k, v in told.items()}
+    cycle = spark.createDataFrame([(2, 0, 2), (2, 2, 1), (2, 1, 0)], "g long, node long, needs long")
+    with pytest.raises(ValueError):
+        stages.levels_of(nodes, cycle)
+
+
 def test_intents():
     for prompt, action, query in [("Cut out filler words", "remove", "filler words"), ("remove silences longer than 1.5 s", "remove", "silence > 1.5s"), ("cut the dead air", "remove", "silence"), ("please keep the final take", "remove", "retakes"), ("remove uh and um", "remove", "ums and uhs"), ("remove silences and keep speech", "keep_only", "speech"), ("keep scenes with person:bo", "keep_only", "person:bo"), ("make under 30 seconds", "compress", "important moments"), ("trailer-style cut", "restructure", "trailer story beats"), ("keep only the shots where i'm speaking", "keep_only", "owner speaking"), ("make a TikTok!", "compress", "short-form highlights")]:
         assert [(o.action, o.query) for o in intent.parse(prompt).operations] == [(action, query)], prompt
