@@ -51,6 +51,14 @@ def test_what_long_silences_leave(spark, tmp_path, name):
     assert name != "critic_tier0" or plan.count("Sort [") <= 3
 
 
+def test_windows_of_events_are_shuffled_once(spark, tmp_path):
+    first = [(1, "click", s, n) for s, n in ((0.2, 1.2), (1.5, 0.5), (1.6, 0.9), (2, 0.8), (4, 0.7), (6.5, 1.1), (9, 0.2), (9.5, 0.6), (10.1, 0.8))]
+    last = [(2, "view", s, n) for s, n in ((2595, 2), (2596.5, 1.4), (2597.2, 0.9), (2598.9, 3), (2599.5, 4))] + [(2, "error", 2598.2, 1.9), (3, "view", 1.1, 2), (3, "other", 5, 2), (4, "signup", 0, 0.4), (4, "signup", 1, 1.9), (4, "signup", 40, 1.1), (4, "signup", 42, 1.2)]
+    got = same_as_sql(spark, tmp_path, "event_windows", events=timed(*first, *last))
+    plan = QUERIES["event_windows"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 5 and plan.count("Exchange") == 1 and plan.count("Sort [") == 2
+
+
 @pytest.mark.parametrize("blank", [" ", " ", "　", "\t"])
 def test_questions_by_ascii_words(spark, tmp_path, blank):
     texts = ["Doías que", "do we", "whaté?", "éadd it?", "addé it?", "you add it?", "who_is it", "Keep it?", "maKe it?", "iſ it so", "Is\nit", "cut", "", "why?"]
