@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cutgraph.operators import search
+from cutgraph.operators import search, vectors
 from cutgraph.queries import ORACLES, QUERIES
 from tests.test_queries import rows
 
@@ -72,6 +72,28 @@ def test_equal_rounded_scores_rank_by_id(spark, tmp_path):
     same_as_sql(spark, tmp_path, "vector_topk", embeddings=f"SELECT i::BIGINT AS vec_id, e AS embedding, 0 AS label FROM (VALUES {rows}) v(i, e)")
 
 
+@pytest.mark.parametrize(("side", "extreme"), [(32768, "0.0"), (9, "0.0"), (9, "1e20"), (9, "nan")])
+def test_vectors_are_scored_in_tiles(spark, tmp_path, monkeypatch, side, extreme):
+    for limit, value in (("ROWS", side), ("QUERIES", 2), ("ROWS_AT_ONCE", 32)):
+        monkeypatch.setattr(vectors, limit, value, raising=False)
+    # many equal vectors, scores that are equal when rounded, one beyond a long or not a number
+    v = [[(i * i % 7) / 7, (i % 3) / 3, 0.1] if i % 4 else [0.5, 0.5, 0.5 + i % 8 * 1e-8] for i in range(120)]
+    v[33], v[60] = [extreme, 0.0, 0.0], [0.0, -1.0, 0.0]
+    values = ", ".join("({}, ['{}'::DOUBLE, '{}'::DOUBLE, '{}'::DOUBLE])".format(i, *e) for i, e in enumerate(v))
+    got = same_as_sql(spark, tmp_path, "vector_topk", embeddings=f"SELECT i::BIGINT AS vec_id, e AS embedding, 0 AS label FROM (VALUES {values}) v(i, e)")
+    assert got
+    plan = QUERIES["vector_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_vectors_without_a_score_are_left_out(spark):
+    held = "id long, v array<float>"
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.5, 1.0]), (6, [])], held)
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, None), (9, [2.0])], held).withColumnRenamed("id", "q")
+    assert sorted(map(tuple, vectors.top_k(asked, rows, 3, "q", "id", "v").collect())) == [(7, 1, 1.0, 1), (7, 5, 0.5, 2), (9, 4, 2.0, 1)]
+    assert vectors.top_k(asked, rows.limit(0), 3, "q", "id", "v", 6).collect() == []
+
+
 @pytest.fixture
 def unequal(spark):
     """Adaptive execution makes a different number of partitions of each side of a union."""
