@@ -142,3 +142,13 @@ def test_fillers_without_sorting_words(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "ch_filler", conversations=f"SELECT c::BIGINT AS conv_id, i::BIGINT AS turn, r AS role, t AS text FROM (VALUES {values}) v(c, i, r, t)")
     plan = QUERIES["ch_filler"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert got and not [x for x in plan.splitlines() if "Window [" in x and "speaker" in x]
+
+
+@pytest.mark.parametrize("place", [0, 2_000_000])
+def test_keywords_of_empty_and_equal_documents(spark, tmp_path, monkeypatch, place):
+    monkeypatch.setattr(search, "IN_PLACE_FROM", place, raising=False)
+    texts = ["'Red fox  the'", "''", "NULL", "'the'", "'the THE the\tdog'", "'é É cat the'"] + ["'red copy of the fox'"] * 30 + ["'blue'"]
+    asked = ["'red the'", "NULL", "''", "'É cat cat'", "'unknown'", "'the'", "'blue fox'"]
+    table = lambda name, xs: f"SELECT i::BIGINT AS {name}, t AS text FROM (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(xs))}) v(i, t)"
+    got = same_as_sql(spark, tmp_path, "bm25_topk", documents=table("doc_id", texts), benchmark=table("item_id", asked))
+    assert got

@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from cutgraph.operators import search
 from cutgraph.plans import requests
 from cutgraph.session import folder
@@ -95,6 +97,28 @@ def test_keyword_index_against_brute_force(spark):
     assert search.bm25_search(index, asked.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_documents_of_one_item_are_scored_where_they_are(spark, monkeypatch, key):
+    for limit, value in (("IN_PLACE_FROM", 0), ("GAINS", 40), ("CELLS", 90)):
+        monkeypatch.setattr(search, limit, value, raising=False)
+    r = random.Random(6)
+    vocabulary = ["the"] * 30 + ["of"] * 20 + [f"w{i}" for i in range(40)]
+    said = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(25))) for _ in range(300)]
+    docs = [(0, i if key == "long" else f"d{i}", said[i % 250]) for i in range(300)]
+    queries = [(q, 0, " ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 7)))) for q in range(30)] + [(30, 0, "none"), (31, 0, "w1 w1 W2 of")]
+    at = folder(spark, "index")
+    search.write_index(spark.createDataFrame(docs, f"item long, id {key}, text string"), at, "id", "text")
+    index = search.read_index(spark, at)
+    df = search.bm25_search(index, spark.createDataFrame(queries, "query_id long, item long, query string"), 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("Exchange") == 1 and "Generate" not in plan
+    got = {(x.query_id, x.item, x.id, x.rank, x.raw) for x in df.collect()}
+    assert {g[:4] for g in got} == {w[:4] for w in brute(docs, queries, 5)}
+    # the words of a text are in one row, by the task that read it
+    assert index.documents.count() == 300
+    assert index.postings.count() == sum(len(set(s.split())) for _, _, s in docs)
+
+
 def test_an_index_is_read_again_and_items_are_apart(spark):
     at = folder(spark, "index")
     rows = [(1, "a", "red fox"), (1, "b", "red red dog"), (1, "c", "blue cat"), (2, "a", "red")]
